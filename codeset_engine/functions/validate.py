@@ -122,8 +122,9 @@ def _extension_error(name: Column) -> Column:
 
 
 def _size_error(n_bytes: Column) -> Column:
-    too_big = F.format_string(f"File size %.1fMB exceeds maximum {MAX_FILE_SIZE_MB}MB",
-                              n_bytes.cast("double") / F.lit(1024.0 * 1024.0))
+    # bround: a size exactly between two tenths goes to the even one, as in Python.
+    megabytes = F.bround(n_bytes.cast("double") / F.lit(1024.0 * 1024.0), 1)
+    too_big = F.format_string(f"File size %.1fMB exceeds maximum {MAX_FILE_SIZE_MB}MB", megabytes)
     return _first_error(
         (n_bytes > MAX_FILE_SIZE_MB * 1024 * 1024, too_big),
         (n_bytes == 0, F.lit("File is empty (0 bytes)")),

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
@@ -70,15 +70,18 @@ def extract_links(pages: DataFrame, **options: str) -> DataFrame:
     return page_links(pages, **options).orderBy("url")
 
 
-def expand_type_groups(requested: DataFrame) -> DataFrame:
-    """Distinct detailed ``code_type`` of requested types and groups (``all``, families)."""
+def expand_type_groups(requested: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
+    """Distinct detailed ``code_type`` (with the ``keep`` columns) of types and groups.
+
+    Groups are ``all`` and the families; anything else stands for itself.
+    """
     every = [name for names in TYPE_GROUPS.values() for name in names]
     groups = {"all": every, **TYPE_GROUPS}
     kind = F.col("code_type")
     detailed = F.array(kind)
     for name, members in groups.items():
         detailed = F.when(kind == name, F.array(*[F.lit(m) for m in members])).otherwise(detailed)
-    return requested.select(F.explode(detailed).alias("code_type")).distinct()
+    return requested.select(*keep, F.explode(detailed).alias("code_type")).distinct()
 
 
 def code_family(code_type: Column) -> Column:
