@@ -57,20 +57,21 @@ def split_spans(text: str, size: int, overlap: int,
                 separators: Sequence[str] = SEPARATORS) -> list[tuple[int, int]]:
     """(start, end) of chunks of one text.
 
-    A chunk ends after the last occurrence of the most preferred separator inside its window,
-    else at the window's end. The next chunk starts ``overlap`` characters before that end but
-    always later than the chunk before it.
+    A chunk ends after the last occurrence of the most preferred separator in the part of its
+    window that is new, else at the window's end. The next chunk starts ``overlap`` characters
+    before that end but always later than the chunk before it.
     """
-    spans, start = [], 0
+    spans, start, covered = [], 0, 0
     while start < len(text):
         end = min(start + size, len(text))
         if end < len(text):
             for separator in separators:
-                at = text.rfind(separator, start, end)
+                at = text.rfind(separator, covered, end)
                 if at > start:
                     end = at + len(separator)
                     break
         spans.append((start, end))
+        covered = end
         if end == len(text):
             break
         start = max(end - overlap, start + 1)
