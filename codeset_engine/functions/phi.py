@@ -25,11 +25,20 @@ CONFIGURED_PATTERNS = {
 KEPT_BY_REDACTION = ("zip",)
 
 
+# A character that every match of the pattern contains. Texts without it skip the regex.
+_NEEDED = {PATTERNS["ssn"]: "-", PATTERNS["email"]: "@", PATTERNS["dob"]: "/"}
+
+
 def _java(kind: str, pattern: str, mrn_ignore_case: bool) -> str:
     flags = "(?Ui)" if kind == "mrn" and mrn_ignore_case else "(?U)"
     return flags + pattern
 
 
+def _worthwhile(text: Column, pattern: str) -> Column | None:
+    needed = _NEEDED.get(pattern)
+    return None if needed is None else F.contains(text, F.lit(needed))
+
+
 def detect_phi(text: Column, patterns: Mapping[str, str] = PATTERNS,
                mrn_ignore_case: bool = True, zip_suffix_only: bool = False) -> Column:
     """``map<type, matches>`` without empty types.
@@ -42,6 +51,9 @@ def detect_phi(text: Column, patterns: Mapping[str, str] = PATTERNS,
         group = 1 if kind == "zip" and zip_suffix_only else 0
         found = F.regexp_extract_all(text, F.lit(_java(kind, pattern, mrn_ignore_case)),
                                      F.lit(group))
+        possible = _worthwhile(text, pattern)
+        if possible is not None:
+            found = F.when(possible, found).otherwise(F.array().cast("array<string>"))
         entries += [F.lit(kind), found]
     return F.map_filter(F.create_map(*entries), lambda _, found: F.size(found) > 0)
 
@@ -51,18 +63,28 @@ def contains_phi(text: Column, patterns: Mapping[str, str] = PATTERNS,
     """Whether any pattern matches; stops at the first that does."""
     result = F.lit(False)
     for kind, pattern in patterns.items():
-        result = result | text.rlike(_java(kind, pattern, mrn_ignore_case))
+        matches = text.rlike(_java(kind, pattern, mrn_ignore_case))
+        possible = _worthwhile(text, pattern)
+        result = result | (matches if possible is None else possible & matches)
     return result
 
 
 def redact_phi(text: Column, patterns: Mapping[str, str] = PATTERNS,
                mrn_ignore_case: bool = True) -> Column:
-    """Replace matches by ``[REDACTED-TYPE]``, pattern after pattern; ZIP codes stay."""
+    """Replace matches by ``[REDACTED-TYPE]``, pattern after pattern; ZIP codes stay.
+
+    A replacement adds no "@" or "/", and the SSN rule comes first, so the tests can look at
+    the original text.
+    """
+    redacted = text
     for kind, pattern in patterns.items():
         if kind not in KEPT_BY_REDACTION:
-            text = F.regexp_replace(text, _java(kind, pattern, mrn_ignore_case),
-                                    f"[REDACTED-{kind.upper()}]")
-    return text
+            replaced = F.regexp_replace(redacted, _java(kind, pattern, mrn_ignore_case),
+                                        f"[REDACTED-{kind.upper()}]")
+            possible = _worthwhile(text, pattern)
+            redacted = (replaced if possible is None
+                        else F.when(possible, replaced).otherwise(redacted))
+    return redacted
 
 
 def redact_log_line(line: Column) -> Column:

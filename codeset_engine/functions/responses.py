@@ -6,43 +6,49 @@ from pyspark.sql import Column, functions as F, types as T
 
 from .strings import strip
 
-FENCE = "```"
-JSON_FENCE = "```json"
+# A fence may be tagged as JSON; what follows it runs to the next fence. Without
+# a closing fence everything but the last character is taken.
+JSON_FENCE, FENCE = "```json", "```"
+JSON_FENCED = r"(?s)```json(.*?)(?:```|.\z)"
+FENCED = r"(?s)```(.*?)(?:```|.\z)"
 
 
-def _after(text: Column, opening: str) -> Column:
-    """Text between the first ``opening`` and the next fence.
-
-    Without a closing fence everything but the last character is taken.
-    """
-    rest = F.substring(text, F.instr(text, opening) + len(opening), F.length(text))
-    end = F.instr(rest, FENCE)
-    return strip(F.substring(rest, F.lit(1), F.when(end > 0, end - 1)
-                             .otherwise(F.length(rest) - 1)))
+def _once(value: Column, use) -> Column:
+    """``use(value)`` with ``value`` computed once, however often ``use`` refers to it."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
 
 
 def fenced_json(content: Column) -> Column:
     """Body of the json-tagged fence, else of the first fence, else null."""
-    return (F.when(F.contains(content, F.lit(JSON_FENCE)), _after(content, JSON_FENCE))
-            .when(F.contains(content, F.lit(FENCE)), _after(content, FENCE)))
+    return (F.when(F.contains(content, F.lit(JSON_FENCE)),
+                   strip(F.regexp_extract(content, JSON_FENCED, 1)))
+            .when(F.contains(content, F.lit(FENCE)), strip(F.regexp_extract(content, FENCED, 1))))
+
+
+def _if_json(text: Column) -> Column:
+    """The text when it is valid JSON. The first character tells most prose apart cheaply."""
+    return F.when(text.rlike(r'^\s*[\[{"\-0-9tfn]') & F.try_parse_json(text).isNotNull(), text)
+
+
+def _if_filled_object(text: Column) -> Column:
+    """The text when it is a JSON object with at least one key."""
+    return F.when(text.rlike(r"^\s*\{") & (F.size(F.json_object_keys(text)) > 0), text)
 
 
-def _is_json(text: Column) -> Column:
-    return F.try_parse_json(text).isNotNull()
+def _body(content: Column, accept) -> Column:
+    return _once(content, lambda c: F.coalesce(accept(c), _once(fenced_json(c), accept)))
 
 
 def json_body(content: Column) -> Column:
     """The JSON text of a response: as it stands when valid, else from its fence, else null."""
-    inner = fenced_json(content)
-    return F.when(_is_json(content), content).when(_is_json(inner), inner)
+    return _body(content, _if_json)
 
 
-def parse_response(content: Column, schema: T.StructType) -> Column:
-    """Typed value of a response, null when there is no valid JSON in it."""
-    body = json_body(content)
-    return F.when(body.isNotNull(), F.from_json(body, schema))
+def object_body(content: Column) -> Column:
+    """As :func:`json_body`, but only objects that hold something."""
+    return _body(content, _if_filled_object)
 
 
-def has_content(body: Column) -> Column:
-    """Whether the parsed JSON is an object with at least one key."""
-    return F.coalesce(F.size(F.json_object_keys(body)) > 0, F.lit(False))
+def parse_response(content: Column, schema: T.StructType) -> Column:
+    """Typed value of a response, null when there is no valid JSON in it."""
+    return F.from_json(json_body(content), schema)

@@ -60,7 +60,7 @@ def _icd10pcs_error(code: Column) -> Column:
 
 def _cpt_error(code: Column) -> Column:
     clean = strip(code)
-    in_range = clean.try_cast("int").between(CPT_MIN, CPT_MAX)
+    in_range = clean.between(f"{CPT_MIN:05d}", f"{CPT_MAX:05d}")   # five digits by then
     return _first_error(
         (_is_blank(code), F.lit(EMPTY_CODE)),
         (~clean.rlike(CPT_PATTERN), _said("Invalid CPT format (must be 5 digits): ", clean)),

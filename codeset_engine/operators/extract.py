@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from .. import schemas
 from ..functions.prompts import TEMPLATES, build_messages, render_prompt
-from ..functions.responses import has_content, json_body
+from ..functions.responses import object_body
 from .embed import with_retry
 
 # Entity kinds with their templates, and the retry settings of model calls.
@@ -81,24 +81,23 @@ def parse_entities(responses: DataFrame, content: str = "content", tokens: str =
     """Adds ``success, diagnoses, procedures, n_found, tokens_used, error`` per response.
 
     A response counts as parsed when it holds a JSON object with any key; the entity list may
-    be missing and is then empty.
+    be missing and is then empty. Each response is parsed once for both lists.
     """
-    body = F.col("__body")
-    parsed = has_content(body)
-    result = responses.withColumn("__body", json_body(F.col(content))).withColumn(
-        "success", F.col(kind).isNotNull() & parsed)
-    for name, schema in RESPONSES.items():
-        found = F.from_json(body, schema)[name]
-        empty = F.array().cast(schema[name].dataType)
-        wanted = F.col("success") & (F.col(kind) == name)
-        result = result.withColumn(name, F.when(wanted, F.coalesce(found, empty)).otherwise(empty))
+    fields = T.StructType([field for schema in RESPONSES.values() for field in schema])
+    result = (responses.withColumn("__body", object_body(F.col(content)))
+              .withColumn("__parsed", F.from_json("__body", fields))
+              .withColumn("success", F.col(kind).isNotNull() & F.col("__body").isNotNull()))
+    for field in fields:
+        wanted = F.col("success") & (F.col(kind) == field.name)
+        result = result.withColumn(field.name, F.coalesce(
+            F.when(wanted, F.col("__parsed")[field.name]), F.array().cast(field.dataType)))
     return (result
             .withColumn("n_found", F.size("diagnoses") + F.size("procedures"))
             .withColumn("tokens_used", F.when(F.col("success"), F.coalesce(F.col(tokens), F.lit(0)))
                         .otherwise(F.lit(0)))
             .withColumn("error", F.when(F.col(kind).isNull(), F.lit(NO_TEXT))
                         .when(~F.col("success"), F.lit(NOT_PARSED)))
-            .drop("__body"))
+            .drop("__body", "__parsed"))
 
 
 def combine_extractions(parsed: DataFrame, doc: str) -> DataFrame:

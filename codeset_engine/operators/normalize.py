@@ -7,13 +7,12 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.strings import split_once, strip
-from ..functions.validate import validate_cpt, validate_icd10cm, validate_icd10pcs
+from ..functions.validate import CPT_MIN, ICD10CM_PATTERN, ICD10PCS_PATTERN
 from .ranking import first_per_key, top_k
 
-# Words that mark header cells and cells that are no codes.
+# Words that mark header cells, and how many rows and cells are looked at.
 CODE_HEADER_WORDS = ("code", "cpt", "hcpcs", "procedure code")
 DESCRIPTION_HEADER_WORDS = ("description", "descriptor", "long", "short", "procedure")
-NOT_A_CODE = ("code", "cpt", "hcpcs", "nan", "none")
 HEADER_ROWS_TRIED = 20
 SAMPLE_CELLS = 10
 
@@ -35,18 +34,23 @@ def insert_dot(code: Column) -> Column:
 
 
 def clean_cpt_code(raw: Column) -> Column:
-    """Upper case letters and digits only; null for cells that hold no code."""
-    text = strip(raw)
-    kept = F.regexp_replace(F.upper(text), "[^0-9A-Z]", "")
-    refused = text.isNull() | (text == "") | F.lower(text).isin(*NOT_A_CODE)
-    return F.when(~refused & (F.length(kept) == 5), kept)
+    """Upper case letters and digits only.
+
+    Header words and the text forms of a missing value need no rule of their own: cleaned,
+    none of them has the form of a code.
+    """
+    return F.regexp_replace(F.upper(raw), "[^0-9A-Z]", "")
+
+
+def is_cpt_or_hcpcs(code: Column) -> Column:
+    """Five digits from the lowest CPT code on, or a letter and four digits (cleaned codes)."""
+    return code.rlike("^[0-9A-Z][0-9]{4}$") & (code >= f"{CPT_MIN:05d}")
 
 
 def classify_cpt_code(code: Column) -> Column:
     """``cpt`` for valid five-digit codes, ``hcpcs`` for letter plus four digits, else null."""
-    return (F.when(code.rlike("^[0-9]{5}$"),
-                   F.when(validate_cpt(code)["is_valid"], F.lit("cpt")))
-            .when(code.rlike("^[A-Z][0-9]{4}$"), F.lit("hcpcs")))
+    kind = F.when(code < "A", F.lit("cpt")).otherwise(F.lit("hcpcs"))
+    return F.when(is_cpt_or_hcpcs(code), kind)
 
 
 def _content_lines(lines: DataFrame) -> DataFrame:
@@ -56,8 +60,11 @@ def _content_lines(lines: DataFrame) -> DataFrame:
 
 
 def _parts(lines: DataFrame, parts: Column, code_position: int) -> DataFrame:
-    """Code and description from split parts; lines with fewer parts are no data."""
-    return (lines.withColumn("__parts", parts)
+    """Code and description from split parts; lines with fewer parts are no data.
+
+    The generator keeps the split from being repeated in every filter on its result.
+    """
+    return (lines.withColumn("__parts", F.explode(F.array(parts)))
             .filter(F.size("__parts") >= 2 + code_position)
             .withColumn("code", F.upper(strip(F.get("__parts", F.lit(code_position)))))
             .withColumn("description", strip(F.get("__parts", F.lit(1 + code_position))))
@@ -82,7 +89,7 @@ def parse_icd10cm_lines(lines: DataFrame, dotless: bool = False,
     if dotless:
         rows = rows.withColumn("code", insert_dot(F.col("code")))
     code = F.col("code")
-    return (rows.filter(validate_icd10cm(code)["is_valid"])
+    return (rows.filter(code.rlike(ICD10CM_PATTERN))
             .withColumn("code_type", F.lit("icd10cm"))
             .withColumn("category", derive_category(code))
             .withColumn("is_billable", is_billable(code)))
@@ -95,7 +102,7 @@ def parse_icd10pcs_lines(lines: DataFrame, code_position: int = 0) -> DataFrame:
              else F.split(line, r"\s+", 2 + code_position))
     code = F.col("code")
     return (_parts(_content_lines(lines), parts, code_position)
-            .filter(validate_icd10pcs(code)["is_valid"])
+            .filter(code.rlike(ICD10PCS_PATTERN))
             .withColumn("code_type", F.lit("icd10pcs"))
             .withColumn("section", F.substring(code, 1, 1))
             .withColumn("body_system", F.substring(code, 2, 1)))
@@ -104,17 +111,18 @@ def parse_icd10pcs_lines(lines: DataFrame, code_position: int = 0) -> DataFrame:
 def parse_cpt_rows(rows: DataFrame) -> DataFrame:
     """Rows with ``raw_code`` and ``description`` to CPT/HCPCS code rows."""
     return (rows.withColumn("code", clean_cpt_code(F.col("raw_code")))
-            .withColumn("code_type", classify_cpt_code(F.col("code")))
-            .filter(F.col("code_type").isNotNull())
+            .filter(is_cpt_or_hcpcs(F.col("code")))
+            .withColumn("code_type", F.when(F.col("code") < "A", F.lit("cpt"))
+                        .otherwise(F.lit("hcpcs")))
             .withColumn("description", strip(F.col("description")))
             .drop("raw_code"))
 
 
 def cpt_row_counts(rows: DataFrame, by: Sequence[str]) -> DataFrame:
     """Parsed and skipped rows per file (or other key), without parsing twice."""
-    kind = classify_cpt_code(clean_cpt_code(F.col("raw_code")))
-    return rows.groupBy(*by).agg(F.count_if(kind.isNotNull()).alias("parsed"),
-                                 F.count_if(kind.isNull()).alias("skipped"))
+    kept = F.coalesce(is_cpt_or_hcpcs(clean_cpt_code(F.col("raw_code"))), F.lit(False))
+    return (rows.select(*by, kept.alias("__kept")).groupBy(*by)
+            .agg(F.count_if("__kept").alias("parsed"), F.count_if(~F.col("__kept")).alias("skipped")))
 
 
 def dedupe_codes(codes: DataFrame, order: Sequence[Column],

@@ -17,6 +17,7 @@ CODE_TYPES = ("icd10cm", "icd10pcs", "cpt")
 CURRENT_YEAR = 2025
 ALL_YEARS = (2025, 2024, 2023, 2022)
 SAMPLE_SIZE = 100
+FIRST_YEAR = 1990   # of the 63 years that fit a year mask
 
 
 def code_counts(codes: DataFrame) -> DataFrame:
@@ -99,17 +100,40 @@ def compare_years(codes: DataFrame, year1: int, year2: int) -> DataFrame:
         F.when(missing, F.lit("One or both years not available")).alias("error"))
 
 
-def compare_consecutive_years(codes: DataFrame) -> DataFrame:
-    """The comparison for every pair (y, y+1) of stored years of each type, in one shuffle.
+def year_masks(codes: DataFrame, first_year: int = FIRST_YEAR) -> DataFrame:
+    """(code_type, code, mask): one bit per year in which the code occurs.
 
-    Each row counts as the newer year of one pair and the older year of the next. Pairs with
-    only one stored year are dropped at the end.
+    A single aggregation whose map-side state is one long per code. Years outside the 63 from
+    ``first_year`` on are an error.
     """
-    shifted = codes.select("code_type", "code", F.explode(F.array(
-        F.struct(F.col("year").alias("year1"), F.lit(True).alias("older")),
-        F.struct((F.col("year") - 1).alias("year1"), F.lit(False).alias("older"))
-    )).alias("p")).select("code_type", "code", "p.year1", "p.older")
-    presence = _presence(shifted, F.col("older"), ~F.col("older"), "code_type", "year1")
+    year = F.col("year")
+    offset = F.when(year.between(first_year, first_year + 62), year - first_year).otherwise(
+        F.raise_error(F.concat(F.lit("year out of range: "), year.cast("string"))).cast("int"))
+    bit = F.call_function("shiftleft", F.lit(1).cast("long"), offset)
+    return codes.groupBy("code_type", "code").agg(F.bit_or(bit).alias("mask"))
+
+
+def _has(mask: Column, year: Column, first_year: int) -> Column:
+    return F.getbit(mask, year - first_year) == 1
+
+
+def _years_of(mask: Column, first_year: int) -> Column:
+    every = F.sequence(F.lit(first_year), F.lit(first_year + 62))
+    return F.filter(every, lambda year: _has(mask, year, first_year))
+
+
+def compare_consecutive_years(codes: DataFrame, first_year: int = FIRST_YEAR) -> DataFrame:
+    """The comparison for every pair (y, y+1) of stored years of each type.
+
+    One shuffle by code; what follows works on one mask per code. Pairs of which one year is
+    not stored are dropped at the end.
+    """
+    mask, year1 = F.col("mask"), F.col("year1")
+    either = mask.bitwiseOR(F.shiftrightunsigned(mask, 1))
+    presence = (year_masks(codes, first_year)
+                .select("code_type", "mask", F.explode(_years_of(either, first_year)).alias("year1"))
+                .select("code_type", "year1", _has(mask, year1, first_year).alias("in_year1"),
+                        _has(F.shiftrightunsigned(mask, 1), year1, first_year).alias("in_year2")))
     counts = _difference_counts(presence, "code_type", "year1")
     return (counts.filter((F.col("year1_total") > 0) & (F.col("year2_total") > 0))
             .withColumn("year2", F.col("year1") + 1))
@@ -170,14 +194,11 @@ def code_history(codes: DataFrame, order: Sequence[Column], code: str | None = N
     return first_per_key(codes, ["code_type", "code", "year"], order)
 
 
-def history_flags(codes: DataFrame) -> DataFrame:
-    """Per (code_type, code, year): first and last year of the code, years missing before.
-
-    One aggregation with map-side sets; a set holds at most the stored years.
-    """
+def history_flags(codes: DataFrame, first_year: int = FIRST_YEAR) -> DataFrame:
+    """Per (code_type, code, year): first and last year of the code, years missing before."""
     years = F.col("years")
-    per_code = codes.groupBy("code_type", "code").agg(
-        F.array_sort(F.collect_set("year")).alias("years"))
+    per_code = year_masks(codes, first_year).select(
+        "code_type", "code", _years_of(F.col("mask"), first_year).alias("years"))
     return (per_code.select("code_type", "code", "years", F.posexplode("years").alias("i", "year"))
             .select("code_type", "code", "year",
                     F.get(years, F.lit(0)).alias("first_year"),

@@ -225,9 +225,10 @@ checked AS (SELECT *, regexp_matches(token, '^[a-zA-Z0-9._%+-]+@[a-zA-Z0-9.-]+\\
 SELECT doc_id, token, is_valid, CASE WHEN NOT is_valid THEN 'Invalid email format: ' || token END AS error,
     true AS non_empty FROM checked""")
 def validate_emails(spark, sf_dir):
-    tokens = read(spark, sf_dir, "documents").select("doc_id", F.explode(
-        F.regexp_extract_all("text", F.lit(f"[^{WHITESPACE_CLASS}]+"), F.lit(0))).alias("token"))
-    mails = tokens.filter(F.contains("token", F.lit("@")))
+    with_at = F.regexp_extract_all("text", F.lit(f"[^{WHITESPACE_CLASS}]*@[^{WHITESPACE_CLASS}]*"),
+                                   F.lit(0))
+    mails = (read(spark, sf_dir, "documents").filter(F.contains("text", F.lit("@")))
+             .select("doc_id", F.explode(with_at).alias("token")))
     return mails.select("doc_id", "token", validate.validate_email(F.col("token")).alias("r"),
                         validate.validate_non_empty(F.col("token"), "Email").alias("n")).select(
         "doc_id", "token", "r.is_valid", "r.error", F.col("n.is_valid").alias("non_empty"))

@@ -8,7 +8,9 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
+
+from ...session import spread
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -28,6 +30,12 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def read_spread(spark: SparkSession, sf_dir: str, table: str, *columns: str) -> DataFrame:
+    """A table for work that costs much CPU per row; only ``columns`` are moved."""
+    df = read(spark, sf_dir, table)
+    return spread(df.select(*columns) if columns else df)
+
+
 _CODE = ("chr(CAST(65 + p_partkey % 26 AS INT)) || lpad(CAST(p_partkey % 100 AS STRING), 2, '0')"
          " || CASE WHEN p_partkey % 7 = 0 THEN '' ELSE '.' || CAST(p_size % 5 AS STRING) END")
 _PCS = ("lpad(CAST(p_partkey % 700 AS STRING), 4, '0') || chr(CAST(65 + p_partkey % 26 AS INT))"
@@ -131,9 +139,13 @@ DERIVED: dict[str, tuple[str, dict[str, str]]] = {
 }
 
 
-def derived(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+def derived(spark: SparkSession, sf_dir: str, name: str, heavy: bool = False) -> DataFrame:
+    """A derived table. The generator makes sure that its expressions are computed once per
+    row; later filters would otherwise be pushed below them with a copy of each."""
     table, columns = DERIVED[name]
-    return read(spark, sf_dir, table).selectExpr(*[f"{e} AS {c}" for c, e in columns.items()])
+    source = read_spread if heavy else read
+    row = F.struct(*[F.expr(e).alias(c) for c, e in columns.items()])
+    return source(spark, sf_dir, table).select(F.inline(F.array(row)))
 
 
 def ctes(*names: str) -> str:

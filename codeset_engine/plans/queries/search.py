@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ...functions.strings import WHITESPACE_CLASS
 from ...operators import embed, ranking, search
-from .registry import ctes, derived, query, read
+from .registry import ctes, derived, query, read, read_spread
 
 WORDS = ("tion", "que", "der", "the", "and", "ion", "est", "ent", "ing", "sch")
 KEYWORDS = ("tion", "que ", "NICHT", "the", "la ", ". on", "ß", "@")
@@ -98,7 +98,7 @@ SELECT qid, doc_id, round(score, 6) AS score,
 FROM keyword QUALIFY rank <= 20""")
 def keyword_topk(spark, sf_dir):
     requests = spark.createDataFrame(list(enumerate(KEYWORDS)), "qid int, query string")
-    hits = search.keyword_topk(read(spark, sf_dir, "documents"), requests, 20, id_col="doc_id",
+    hits = search.keyword_topk(read_spread(spark, sf_dir, "documents", "doc_id", "text"), requests, 20, id_col="doc_id",
                                text_col="text")
     return _rounded(hits, "score")
 
@@ -118,7 +118,7 @@ FROM scored QUALIFY rank <= 10""")
 def hybrid_search(spark, sf_dir):
     vectors = read(spark, sf_dir, "embeddings").withColumnRenamed("vec_id", "doc_id")
     requests = _requests(spark, sf_dir).withColumn("query", _word(F.col("qid")))
-    hits = search.hybrid_topk(vectors, read(spark, sf_dir, "documents"), requests, 10,
+    hits = search.hybrid_topk(vectors, read_spread(spark, sf_dir, "documents", "doc_id", "text"), requests, 10,
                               id_col="doc_id", vector_col="embedding", text_col="text")
     return _rounded(hits, "semantic_score", "keyword_score", "hybrid_score")
 
@@ -191,7 +191,7 @@ def collection_counts(spark, sf_dir):
 
 @query("embed_hash")
 def embed_hash(spark, sf_dir):
-    vectors = embed.hashing_embed(read(spark, sf_dir, "documents").select("doc_id", "text"),
+    vectors = embed.hashing_embed(read_spread(spark, sf_dir, "documents", "doc_id", "text"),
                                   "text", 64)
     norm = F.sqrt(F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x * x))
     return vectors.select("doc_id", F.size("embedding").alias("dimension"),

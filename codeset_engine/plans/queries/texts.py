@@ -8,7 +8,7 @@ from ... import schemas
 from ...functions import phi, prompts, responses, sanitize
 from ...functions.strings import WHITESPACE
 from ...operators import chunk, extract, reports
-from .registry import ctes, derived, query, read, sql_text
+from .registry import ctes, derived, query, read, read_spread, sql_text
 
 _WS = "||".join(f"chr({ord(c)})" for c in WHITESPACE)
 
@@ -43,9 +43,9 @@ _ALL_TEXTS = f"""{ctes('phi_texts')}, texts AS (SELECT 'customer' AS source, id,
 
 
 def _all_texts(spark, sf_dir) -> DataFrame:
-    customers = derived(spark, sf_dir, "phi_texts").select(
+    customers = derived(spark, sf_dir, "phi_texts", heavy=True).select(
         F.lit("customer").alias("source"), "id", "text")
-    docs = read(spark, sf_dir, "documents").select(
+    docs = read_spread(spark, sf_dir, "documents", "doc_id", "text").select(
         F.lit("document").alias("source"), F.col("doc_id").alias("id"), "text")
     return customers.unionByName(docs)
 
@@ -177,7 +177,7 @@ def chunk_neighbours(spark, sf_dir):
 
 @query("chunk_separator")
 def chunk_separator(spark, sf_dir):
-    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    docs = read_spread(spark, sf_dir, "documents", "doc_id", "text")
     return chunk.chunk_by_separator(docs).withColumn("chunk_id", chunk.chunk_id(F.col("chunk")))
 
 
@@ -231,7 +231,7 @@ SELECT doc_id, kind, body, success, CAST(CASE WHEN success THEN coalesce(n, 0) E
     CAST(CASE WHEN success THEN total_tokens ELSE 0 END AS BIGINT) AS tokens_used, first_name,
     CASE WHEN NOT success THEN 'Failed to parse JSON response' END AS error FROM parsed""")
 def parse_responses(spark, sf_dir):
-    rows = derived(spark, sf_dir, "responses")
+    rows = derived(spark, sf_dir, "responses", heavy=True)
     parsed = extract.parse_entities(
         rows.withColumn("body", responses.json_body(F.col("content"))))
     first = F.when(F.col("kind") == "diagnoses", F.get("diagnoses", F.lit(0))["condition"]).otherwise(
@@ -249,7 +249,7 @@ SELECT doc_id, bool_and(success) AS success,
     max(CASE WHEN NOT success THEN 'Failed to parse JSON response' END) AS error FROM parsed GROUP BY doc_id""")
 def combine_extractions(spark, sf_dir):
     combined = extract.combine_extractions(
-        extract.parse_entities(derived(spark, sf_dir, "responses")), "doc_id")
+        extract.parse_entities(derived(spark, sf_dir, "responses", heavy=True)), "doc_id")
     return combined.drop("diagnoses", "procedures")
 
 
@@ -273,7 +273,7 @@ SELECT event_id, json->>'$.suggestions[0].code' AS code, json->>'$.suggestions[0
     round(CAST(json->>'$.suggestions[0].confidence' AS DOUBLE), 6) AS confidence, json->>'$.suggestions[0].modifiers[1]' AS modifier,
     json->>'$.notes' AS notes FROM suggested""")
 def parse_suggestions(spark, sf_dir):
-    parsed = derived(spark, sf_dir, "suggested").select(
+    parsed = derived(spark, sf_dir, "suggested", heavy=True).select(
         "event_id", responses.parse_response(F.col("json"), schemas.SUGGESTIONS_RESPONSE).alias("r"))
     return (parsed.select("event_id", "r.notes", F.inline_outer("r.suggestions"))
             .select("event_id", "code", "description", F.round("confidence", 6).alias("confidence"),
@@ -293,7 +293,7 @@ FROM events""")
 def parse_findings(spark, sf_dir):
     finding = responses.parse_response(F.expr(_FINDING_SQL), schemas.VALIDATION_RESPONSE)
     entity = responses.parse_response(F.expr(_ENTITY_SQL), schemas.ENTITIES_RESPONSE)
-    rows = read(spark, sf_dir, "events").select("event_id", finding.alias("f"), entity.alias("e"))
+    rows = read_spread(spark, sf_dir, "events").select("event_id", finding.alias("f"), entity.alias("e"))
     return (rows.select("event_id", "f.is_valid", "f.validation_score", "e.entities",
                         F.get("f.alternative_codes", F.lit(0)).alias("alternative"),
                         F.inline_outer("f.issues"))

@@ -69,3 +69,14 @@ def rows_if_small(df: DataFrame, max_rows: int) -> list[Row] | None:
     """
     rows = df.limit(max_rows + 1).collect()
     return rows if len(rows) <= max_rows else None
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Repartition a scan that has fewer splits than the session has cores.
+
+    A Parquet row group is read by one task, so a few large ones would leave most cores idle
+    in work that costs much CPU per row. Inputs with enough splits stay as they are, which at
+    scale is every input.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
