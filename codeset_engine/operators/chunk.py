@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator, Sequence
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, functions as F, types as T
+from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from .. import schemas
 from ..functions.validate import file_extension
@@ -162,6 +162,22 @@ def neighbour_flags(chunks: DataFrame, doc: str) -> DataFrame:
             .withColumn("has_next_chunk", F.col("chunk_index") < F.col("total_chunks") - 1))
 
 
+def number_across_elements(chunks: DataFrame, doc: str = "path",
+                           element: str = "element_no") -> DataFrame:
+    """Chunk index and total over all elements (pages, sheets) of a document.
+
+    Chunks of documents that are one element (null ``element``) are numbered already and are
+    not moved. The others are gathered per document, which one task has decoded before.
+    """
+    whole = chunks.filter(F.col(element).isNull())
+    by_doc = Window.partitionBy(doc)
+    in_order = by_doc.orderBy(element, "chunk_index")
+    parts = (chunks.filter(F.col(element).isNotNull())
+             .withColumn("total_chunks", F.count(F.lit(1)).over(by_doc).cast("int"))
+             .withColumn("chunk_index", F.row_number().over(in_order) - 1))
+    return whole.unionByName(parts)
+
+
 def dedupe_chunks(chunks: DataFrame, order: Sequence[Column],
                   text: str = "chunk") -> DataFrame:
     """One chunk per content hash: the first in ``order``."""

@@ -74,7 +74,7 @@ def chunk_documents(docs: DataFrame, raw_dir: str, size: int = chunk.CHUNK_SIZE,
                     overlap: int = chunk.CHUNK_OVERLAP) -> DataFrame:
     """Loaded documents to unique chunk rows with metadata."""
     texts = docs.filter(F.col("load_error").isNull())
-    chunks = chunk.chunk_by_separator(texts, "text", size, overlap)
+    chunks = chunk.number_across_elements(chunk.chunk_by_separator(texts, "text", size, overlap))
     return chunk.dedupe_chunks(chunk.chunk_metadata(chunks, root=raw_dir.rstrip("/") + "/"),
                                [F.asc("path"), F.asc("chunk_index")])
 

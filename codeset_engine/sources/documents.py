@@ -7,7 +7,7 @@ import zipfile
 from collections.abc import Callable, Iterator, Mapping
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from ..functions.validate import file_extension
 
@@ -18,6 +18,7 @@ OPTIONAL_TYPES = (".xsd",)
 Decoder = Callable[[bytes], list[dict]]
 # What an injected decoder may say about each element it returns, besides ``text``.
 ELEMENT_FACTS = T.StructType([
+    T.StructField("element_no", T.IntegerType()),
     T.StructField("page_number", T.IntegerType()), T.StructField("page_label", T.StringType()),
     T.StructField("total_pages", T.IntegerType()), T.StructField("sheet_name", T.StringType()),
     T.StructField("row_number", T.IntegerType())])
@@ -33,12 +34,17 @@ def document_listing(files: DataFrame, code_type: str, year: int,
             .withColumn("code_type", F.lit(code_type)).withColumn("year", F.lit(year)))
 
 
+def _no_facts() -> list[Column]:
+    return [F.lit(None).cast(f.dataType).alias(f.name) for f in ELEMENT_FACTS]
+
+
 def load_documents(files: DataFrame, decoders: Mapping[str, Decoder] | None = None) -> DataFrame:
     """Texts of binary files: ``files``' columns without ``content``, then element and error.
 
     ``files``: ``path, extension, content, ...``. Plain text and XML are decoded by built-in
     functions. PDF and spreadsheet bytes need a decoder from ``decoders`` (keyed by extension,
-    bytes in, ``[{"text": ..., facts}]`` out), which runs over Arrow batches. What cannot be
+    bytes in, ``[{"text": ..., facts}]`` out), which runs over Arrow batches and numbers the
+    elements of a file in ``element_no``. What cannot be
     loaded keeps a row with its error.
     """
     decoders = dict(decoders or {})
@@ -51,14 +57,11 @@ def load_documents(files: DataFrame, decoders: Mapping[str, Decoder] | None = No
     plain = files.filter(F.col("extension").isin(*builtin)).select(
         *keep,
         F.when(readable, F.when(F.col("extension").isin(*MARKUP_TYPES), unpacked).otherwise(text))
-        .alias("text"),
-        *[F.lit(None).cast(f.dataType).alias(f.name) for f in ELEMENT_FACTS],
-        F.when(~readable, F.lit("not UTF-8")).alias("load_error"))
+        .alias("text"), *_no_facts(), F.when(~readable, F.lit("not UTF-8")).alias("load_error"))
     other = files.filter(~F.col("extension").isin(*builtin))
     known = other.filter(F.col("extension").isin(*decoders)) if decoders else other.limit(0)
     refused = other.filter(~F.col("extension").isin(*decoders)).select(
-        *keep, F.lit(None).cast("string").alias("text"),
-        *[F.lit(None).cast(f.dataType).alias(f.name) for f in ELEMENT_FACTS],
+        *keep, F.lit(None).cast("string").alias("text"), *_no_facts(),
         F.concat(F.lit("Unsupported file type: "), F.col("extension")).alias("load_error"))
     out = plain.schema
 
@@ -68,7 +71,8 @@ def load_documents(files: DataFrame, decoders: Mapping[str, Decoder] | None = No
                 content = record.pop("content")
                 try:
                     elements = decoders[record["extension"]](bytes(content))
-                    rows = [{**record, **element, "load_error": None} for element in elements]
+                    rows = [{**record, "element_no": i, **element, "load_error": None}
+                            for i, element in enumerate(elements)]
                 except Exception as error:
                     rows = [{**record, "text": None,
                              "load_error": f"{type(error).__name__}: {error}"}]
