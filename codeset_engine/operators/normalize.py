@@ -137,23 +137,38 @@ def _looks_like_code(cell: Column) -> Column:
     return F.coalesce(strip(cell).rlike("^([0-9]{5}|[A-Za-z][0-9]{4})$"), F.lit(False))
 
 
-def detect_header_rows(rows: DataFrame) -> DataFrame:
-    """(file, header_row): the first of rows 0-19 that is followed by a code, else 0.
+def _named(cells: Column) -> Column:
+    return F.exists(cells, lambda c: c.isNotNull() & (strip(c) != "")
+                    & ~F.contains(F.lower(c), F.lit("unnamed")))
+
+
+def sheet_headers(rows: DataFrame) -> DataFrame:
+    """(file, header_row, code_col, desc_col) of each sheet.
 
-    A header needs two columns and at least one named cell. Only the first 21 rows of each
-    file are looked at, so the window stays small for any file size.
+    The header is the first of rows 0-19 that has two columns, a named cell and a code below
+    its first one, else row 0. Only the first 21 rows of a file are gathered, whatever its
+    size; everything else happens inside that one small array.
     """
-    head = (rows.filter(F.col("row_no") <= HEADER_ROWS_TRIED)
-            .select("file", "row_no", "cells"))
-    following = head.select("file", (F.col("row_no") - 1).alias("row_no"),
-                            F.get("cells", F.lit(0)).alias("next_cell"))
-    named = F.exists("cells", lambda c: c.isNotNull() & (strip(c) != "")
-                     & ~F.contains(F.lower(c), F.lit("unnamed")))
-    is_header = ((F.size("cells") >= 2) & named & _looks_like_code(F.col("next_cell"))
-                 & (F.col("row_no") < HEADER_ROWS_TRIED))
-    return (head.join(following, ["file", "row_no"], "left")
-            .groupBy("file").agg(F.coalesce(
-                F.min(F.when(is_header, F.col("row_no"))), F.lit(0)).alias("header_row")))
+    top = (rows.filter(F.col("row_no") <= HEADER_ROWS_TRIED).groupBy("file")
+           .agg(F.array_sort(F.collect_list(F.struct("row_no", "cells"))).alias("top")))
+    below = F.transform("top", lambda row, i: F.struct(
+        row["row_no"].alias("row_no"), row["cells"].alias("cells"),
+        F.get(F.get("top", i + 1)["cells"], F.lit(0)).alias("below"),
+        F.get("top", i + 1)["row_no"].alias("below_no")))
+    headers = F.filter(below, lambda row: (
+        (row["row_no"] < HEADER_ROWS_TRIED) & (row["below_no"] == row["row_no"] + 1)
+        & (F.size(row["cells"]) >= 2) & _named(row["cells"]) & _looks_like_code(row["below"])))
+    header_row = F.coalesce(F.get(headers, F.lit(0))["row_no"], F.lit(0))
+    return (top.withColumn("header_row", header_row)
+            .withColumn("header", F.get(F.filter(
+                "top", lambda row: row["row_no"] == F.col("header_row")), F.lit(0))["cells"])
+            .select("file", "header_row", detect_columns(F.col("header")).alias("c"))
+            .select("file", "header_row", "c.code_col", "c.desc_col"))
+
+
+def detect_header_rows(rows: DataFrame) -> DataFrame:
+    """(file, header_row) of each sheet."""
+    return sheet_headers(rows).select("file", "header_row")
 
 
 def _first_with(header: Column, words: Sequence[str]) -> Column:
@@ -194,12 +209,7 @@ def read_sheet_codes(rows: DataFrame, by_data: bool = False,
     code column from the values instead of the header words. ``carry`` names further columns
     to keep, such as the line order.
     """
-    headers = detect_header_rows(rows)
-    header_cells = (rows.filter(F.col("row_no") < HEADER_ROWS_TRIED)
-                    .join(headers, "file").filter(F.col("row_no") == F.col("header_row"))
-                    .select("file", "header_row", detect_columns(F.col("cells")).alias("cols"))
-                    .select("file", "header_row", "cols.code_col", "cols.desc_col"))
-    data = rows.join(header_cells, "file").filter(F.col("row_no") > F.col("header_row"))
+    data = rows.join(sheet_headers(rows), "file").filter(F.col("row_no") > F.col("header_row"))
     if by_data:
         found = detect_code_column_by_data(data.select("file", "row_no", "cells"))
         data = data.drop("code_col").join(found, "file")

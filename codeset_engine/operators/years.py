@@ -25,19 +25,22 @@ def code_counts(codes: DataFrame) -> DataFrame:
     return codes.groupBy("code_type", "year").agg(F.count(F.lit(1)).alias("total_codes"))
 
 
-def year_grid(types: DataFrame, years: Sequence[int]) -> DataFrame:
-    """Every (code_type, year) for the distinct types of ``types``."""
-    return types.select("code_type").distinct().withColumn(
-        "year", F.explode(F.array(*[F.lit(int(y)) for y in years])))
-
-
 def availability(codes: DataFrame, years: Sequence[int],
                  types: DataFrame | None = None) -> DataFrame:
-    """(code_type, year, exists, total_codes) for every pair, present or not."""
-    grid = year_grid(codes if types is None else types, years)
-    return (grid.join(code_counts(codes), ["code_type", "year"], "left")
-            .select("code_type", "year", F.col("total_codes").isNotNull().alias("exists"),
-                    F.coalesce("total_codes", F.lit(0)).alias("total_codes")))
+    """(code_type, year, exists, total_codes) for every asked pair, present or not.
+
+    The types are those that occur, or those of ``types``. The counts of a type, one per year,
+    are held in a map and looked up for each asked year: one scan, no join with a grid.
+    """
+    by_year = code_counts(codes).groupBy("code_type").agg(
+        F.map_from_entries(F.collect_list(F.struct("year", "total_codes"))).alias("by_year"))
+    if types is not None:
+        by_year = types.select("code_type").distinct().join(by_year, "code_type", "left")
+    asked = by_year.select("code_type", "by_year", F.explode(
+        F.array(*[F.lit(int(y)) for y in years])).alias("year"))
+    total = F.try_element_at("by_year", F.col("year"))
+    return asked.select("code_type", "year", total.isNotNull().alias("exists"),
+                        F.coalesce(total, F.lit(0)).alias("total_codes"))
 
 
 def available_years(codes: DataFrame) -> DataFrame:
@@ -164,24 +167,37 @@ def comparison_report(codes: DataFrame, year1: int, year2: int,
     return compare_years(codes, year1, year2).join(wide, "code_type", "left")
 
 
-def _set_operation(left: DataFrame, right: DataFrame, how: str) -> DataFrame:
-    """Both sides are made distinct before the join, so repeated codes never meet in it."""
-    return left.select("code").distinct().join(right.select("code").distinct(), "code", how)
+def code_changes(codes1: DataFrame, codes2: DataFrame) -> DataFrame:
+    """(code, change): every code of either set as ``added``, ``removed`` or ``common``.
+
+    One aggregation over both sets. Repeated codes are combined before the shuffle, so a code
+    that fills a third of the rows costs no more than any other.
+    """
+    both = codes1.select("code", F.lit(True).alias("one"), F.lit(False).alias("two")).unionByName(
+        codes2.select("code", F.lit(False).alias("one"), F.lit(True).alias("two")))
+    flags = both.groupBy("code").agg(F.max("one").alias("one"), F.max("two").alias("two"))
+    change = (F.when(F.col("one") & F.col("two"), F.lit("common"))
+              .when(F.col("two"), F.lit("added")).otherwise(F.lit("removed")))
+    return flags.select("code", change.alias("change"))
+
+
+def _changed(codes1: DataFrame, codes2: DataFrame, change: str) -> DataFrame:
+    return code_changes(codes1, codes2).filter(F.col("change") == change).select("code")
 
 
 def added(codes1: DataFrame, codes2: DataFrame) -> DataFrame:
     """Codes of the second set that the first lacks."""
-    return _set_operation(codes2, codes1, "left_anti")
+    return _changed(codes1, codes2, "added")
 
 
 def removed(codes1: DataFrame, codes2: DataFrame) -> DataFrame:
     """Codes of the first set that the second lacks."""
-    return _set_operation(codes1, codes2, "left_anti")
+    return _changed(codes1, codes2, "removed")
 
 
 def common(codes1: DataFrame, codes2: DataFrame) -> DataFrame:
     """Codes in both sets."""
-    return _set_operation(codes1, codes2, "left_semi")
+    return _changed(codes1, codes2, "common")
 
 
 def code_history(codes: DataFrame, order: Sequence[Column], code: str | None = None,

@@ -107,10 +107,7 @@ def detect_header(spark, sf_dir):
 @query("detect_columns", f"""{_SHEETS} SELECT file, CAST(code_col AS INT) AS code_col,
     CAST(desc_col AS INT) AS desc_col FROM cols""")
 def detect_columns(spark, sf_dir):
-    rows = _sheets(spark, sf_dir)
-    header = rows.join(normalize.detect_header_rows(rows), "file").filter("row_no = header_row")
-    return header.select("file", normalize.detect_columns(F.col("cells")).alias("c")).select(
-        "file", "c.code_col", "c.desc_col")
+    return normalize.sheet_headers(_sheets(spark, sf_dir)).select("file", "code_col", "desc_col")
 
 
 @query("detect_code_column", f"""{ctes('sheets')},
@@ -296,10 +293,7 @@ UNION ALL SELECT 'removed', code FROM (SELECT code FROM a EXCEPT SELECT code FRO
 UNION ALL SELECT 'common', code FROM (SELECT code FROM a INTERSECT SELECT code FROM b)""")
 def set_operations(spark, sf_dir):
     codes = derived(spark, sf_dir, "year_codes")
-    one, two = codes.filter("year = 1995"), codes.filter("year = 1996")
-    parts = [operation(one, two).select(F.lit(name).alias("change"), "code") for name, operation in
-             (("added", years.added), ("removed", years.removed), ("common", years.common))]
-    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+    return years.code_changes(codes.filter("year = 1995"), codes.filter("year = 1996"))
 
 
 @query("code_history", f"""{_YEAR_CODES}

@@ -139,13 +139,24 @@ DERIVED: dict[str, tuple[str, dict[str, str]]] = {
 }
 
 
+# Derived tables with long expressions that the operators refer to more than once.
+COMPUTED_ONCE = ("code_lines", "pcs_lines", "cpt_cells", "typed_codes", "sheets", "phi_texts",
+                 "responses")
+
+
 def derived(spark: SparkSession, sf_dir: str, name: str, heavy: bool = False) -> DataFrame:
-    """A derived table. The generator makes sure that its expressions are computed once per
-    row; later filters would otherwise be pushed below them with a copy of each."""
+    """A derived table; ``heavy`` for work that costs much CPU per row.
+
+    The generator makes sure that long expressions are computed once per row; filters would
+    otherwise be pushed below them with a copy of each. Cheap tables go without, so that their
+    scans are pruned.
+    """
     table, columns = DERIVED[name]
-    source = read_spread if heavy else read
-    row = F.struct(*[F.expr(e).alias(c) for c, e in columns.items()])
-    return source(spark, sf_dir, table).select(F.inline(F.array(row)))
+    rows = (read_spread if heavy else read)(spark, sf_dir, table)
+    values = [F.expr(e).alias(c) for c, e in columns.items()]
+    if name in COMPUTED_ONCE:
+        return rows.select(F.inline(F.array(F.struct(*values))))
+    return rows.select(*values)
 
 
 def ctes(*names: str) -> str:

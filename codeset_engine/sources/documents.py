@@ -38,32 +38,33 @@ def _no_facts() -> list[Column]:
     return [F.lit(None).cast(f.dataType).alias(f.name) for f in ELEMENT_FACTS]
 
 
-def load_documents(files: DataFrame, decoders: Mapping[str, Decoder] | None = None) -> DataFrame:
-    """Texts of binary files: ``files``' columns without ``content``, then element and error.
-
-    ``files``: ``path, extension, content, ...``. Plain text and XML are decoded by built-in
-    functions. PDF and spreadsheet bytes need a decoder from ``decoders`` (keyed by extension,
-    bytes in, ``[{"text": ..., facts}]`` out), which runs over Arrow batches and numbers the
-    elements of a file in ``element_no``. What cannot be
-    loaded keeps a row with its error.
+def _carried(files: DataFrame) -> list[str]:
+    return [name for name in files.columns if name != "content"]
+
+
+def load_plain(files: DataFrame) -> DataFrame:
+    """Texts of plain text and XML files, decoded by built-in functions.
+
+    XML gives its character data without tags, comments and declarations. Bytes that are no
+    UTF-8 give an error instead of a text.
     """
-    decoders = dict(decoders or {})
-    keep = [name for name in files.columns if name != "content"]
     text = F.col("content").cast("string")
     readable = F.is_valid_utf8(text)
     unpacked = F.trim(F.regexp_replace(F.regexp_replace(
         text, r"(?s)<!--.*?-->|<\?.*?\?>|<[^>]*>", " "), r"\s+", " "))
-    builtin = TEXT_TYPES + MARKUP_TYPES
-    plain = files.filter(F.col("extension").isin(*builtin)).select(
-        *keep,
-        F.when(readable, F.when(F.col("extension").isin(*MARKUP_TYPES), unpacked).otherwise(text))
-        .alias("text"), *_no_facts(), F.when(~readable, F.lit("not UTF-8")).alias("load_error"))
-    other = files.filter(~F.col("extension").isin(*builtin))
-    known = other.filter(F.col("extension").isin(*decoders)) if decoders else other.limit(0)
-    refused = other.filter(~F.col("extension").isin(*decoders)).select(
-        *keep, F.lit(None).cast("string").alias("text"), *_no_facts(),
-        F.concat(F.lit("Unsupported file type: "), F.col("extension")).alias("load_error"))
-    out = plain.schema
+    value = F.when(F.col("extension").isin(*MARKUP_TYPES), unpacked).otherwise(text)
+    return files.select(*_carried(files), F.when(readable, value).alias("text"), *_no_facts(),
+                        F.when(~readable, F.lit("not UTF-8")).alias("load_error"))
+
+
+def load_decoded(files: DataFrame, decoders: Mapping[str, Decoder]) -> DataFrame:
+    """Texts of files that need an injected decoder, keyed by extension.
+
+    A decoder takes bytes and returns ``[{"text": ..., facts}]``; the elements of a file are
+    numbered in ``element_no``. It runs over Arrow batches; its failure becomes the row's error.
+    """
+    decoders = dict(decoders)
+    out = load_plain(files).schema
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -79,17 +80,38 @@ def load_documents(files: DataFrame, decoders: Mapping[str, Decoder] | None = No
                 yield pd.DataFrame(rows).reindex(columns=out.names).astype(object).where(
                     lambda frame: frame.notna(), None)
 
-    parts = plain.unionByName(refused)
-    return parts.unionByName(known.mapInPandas(run, out)) if decoders else parts
+    return files.mapInPandas(run, out)
+
+
+def refuse(files: DataFrame) -> DataFrame:
+    """Rows for files that nothing can load; their contents are not read."""
+    return files.select(*_carried(files), F.lit(None).cast("string").alias("text"), *_no_facts(),
+                        F.concat(F.lit("Unsupported file type: "), F.col("extension"))
+                        .alias("load_error"))
 
 
 def scan_documents(spark: SparkSession, raw_dir: str, code_type: str, year: int,
                    decoders: Mapping[str, Decoder] | None = None,
                    include_xsd: bool = False) -> DataFrame:
-    """Documents of one code type and year under ``{raw_dir}/{code_type}/*_{year}/``."""
-    files = (spark.read.format("binaryFile").option("recursiveFileLookup", "true")
-             .load(f"{raw_dir}/{code_type}"))
-    return load_documents(document_listing(files, code_type, year, include_xsd), decoders)
+    """Documents of one code type and year under ``{raw_dir}/{code_type}/*_{year}/``.
+
+    Each way of loading has its own scan, limited by file name, so no content is read twice.
+    What cannot be loaded keeps a row with its error.
+    """
+    def scan(*types: str) -> DataFrame:
+        # A name pattern for the extensions in any case.
+        names = ",".join("".join(f"[{c.lower()}{c.upper()}]" for c in t[1:]) for t in types)
+        files = (spark.read.format("binaryFile").option("recursiveFileLookup", "true")
+                 .option("pathGlobFilter", f"*.{{{names}}}").load(f"{raw_dir}/{code_type}"))
+        return document_listing(files, code_type, year, include_xsd)
+
+    decoders = {t: d for t, d in (decoders or {}).items() if t in DECODED_TYPES + OPTIONAL_TYPES}
+    asked = DECODED_TYPES + (OPTIONAL_TYPES if include_xsd else ())
+    docs = load_plain(scan(*TEXT_TYPES, *MARKUP_TYPES))
+    if decoders:
+        docs = docs.unionByName(load_decoded(scan(*decoders), decoders))
+    unknown = [t for t in asked if t not in decoders]
+    return docs.unionByName(refuse(scan(*unknown))) if unknown else docs
 
 
 def expand_archives(archives: DataFrame) -> DataFrame:
