@@ -63,10 +63,8 @@ def embed_codes(spark: SparkSession, codes_path: str, collections_path: str, cod
 
 def _embed_and_write(entries: DataFrame, path: str, embedder: Callable | None, force: bool,
                      dimension: int) -> dict[str, int]:
-    if embedder is None:
-        vectors = embed.hashing_embed(entries, "document", dimension)
-    else:
-        vectors = cut_lineage(embed.embed_batches(entries, embedder, "document"), "embedded")
+    vectors = (embed.hashing_embed(entries, "document", dimension) if embedder is None
+               else embed.embed_batches(entries, embedder, "document"))
     return tables.write_collection(vectors, path, f"{path}-errors", force)
 
 

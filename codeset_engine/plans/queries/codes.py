@@ -8,7 +8,7 @@ from ...functions import validate
 from ...functions.strings import WHITESPACE, WHITESPACE_CLASS
 from ...operators import normalize, years
 from ...sources import links
-from .registry import ctes, derived, query, read
+from .registry import ctes, derived, int_rank, query, read
 
 _WS = "||".join(f"chr({ord(c)})" for c in WHITESPACE)
 _SP = f"[{WHITESPACE_CLASS}]+"
@@ -277,10 +277,10 @@ def compare_two_years(spark, sf_dir):
     return report
 
 
-@query("compare_years_samples", f"""{_two(1995, 2001)}
+@query("compare_years_samples", int_rank(f"""{_two(1995, 2001)}
 SELECT code_type, CASE WHEN two THEN 'added' ELSE 'removed' END AS change, code,
     row_number() OVER (PARTITION BY code_type, change ORDER BY code) AS rank
-FROM p WHERE one <> two QUALIFY rank <= 100""")
+FROM p WHERE one <> two QUALIFY rank <= 100"""))
 def compare_years_samples(spark, sf_dir):
     return years.changed_code_samples(derived(spark, sf_dir, "year_codes"), 1995, 2001)
 

@@ -169,5 +169,10 @@ def ctes(*names: str) -> str:
     return "WITH " + ",\n".join(parts)
 
 
+def int_rank(sql: str, name: str = "rank") -> str:
+    """The check with its rank as a 32-bit integer, as Spark numbers rows."""
+    return f"SELECT * REPLACE (CAST({name} AS INT) AS {name}) FROM ({sql})"
+
+
 def sql_text(value: str) -> str:
     return "'" + value.replace("'", "''") + "'"

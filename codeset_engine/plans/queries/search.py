@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ...functions.strings import WHITESPACE_CLASS
 from ...operators import embed, ranking, search
-from .registry import ctes, derived, query, read, read_spread
+from .registry import ctes, derived, int_rank, query, read, read_spread
 
 WORDS = ("tion", "que", "der", "the", "and", "ion", "est", "ent", "ing", "sch")
 KEYWORDS = ("tion", "que ", "NICHT", "the", "la ", ". on", "ß", "@")
@@ -49,40 +49,40 @@ def _rounded(hits: DataFrame, *names: str) -> DataFrame:
     return hits
 
 
-@query("semantic_topk", f"""WITH {REQUESTS_SQL}
+@query("semantic_topk", int_rank(f"""WITH {REQUESTS_SQL}
 SELECT qid, vec_id, round(similarity, 6) AS similarity,
        row_number() OVER (PARTITION BY qid ORDER BY similarity DESC, vec_id) AS rank
-FROM semantic QUALIFY rank <= 10""")
+FROM semantic QUALIFY rank <= 10"""))
 def semantic_topk(spark, sf_dir):
     hits = search.semantic_topk(read(spark, sf_dir, "embeddings"), _requests(spark, sf_dir), 10,
                                 id_col="vec_id", vector_col="embedding")
     return _rounded(hits, "similarity")
 
 
-@query("semantic_topk_filtered", f"""WITH {REQUESTS_SQL}
+@query("semantic_topk_filtered", int_rank(f"""WITH {REQUESTS_SQL}
 SELECT qid, vec_id, round(similarity, 6) AS similarity,
        row_number() OVER (PARTITION BY qid ORDER BY similarity DESC, vec_id) AS rank
-FROM semantic WHERE label = 3 QUALIFY rank <= 10""")
+FROM semantic WHERE label = 3 QUALIFY rank <= 10"""))
 def semantic_topk_filtered(spark, sf_dir):
     hits = search.semantic_topk(read(spark, sf_dir, "embeddings"), _requests(spark, sf_dir), 10,
                                 id_col="vec_id", vector_col="embedding", where=F.col("label") == 3)
     return _rounded(hits, "similarity")
 
 
-@query("semantic_topk_per_type", f"""WITH {REQUESTS_SQL}
+@query("semantic_topk_per_type", int_rank(f"""WITH {REQUESTS_SQL}
 SELECT qid, label, vec_id, round(similarity, 6) AS similarity,
        row_number() OVER (PARTITION BY qid, label ORDER BY similarity DESC, vec_id) AS rank
-FROM semantic QUALIFY rank <= 5""")
+FROM semantic QUALIFY rank <= 5"""))
 def semantic_topk_per_type(spark, sf_dir):
     hits = search.semantic_topk(read(spark, sf_dir, "embeddings"), _requests(spark, sf_dir), 5,
                                 id_col="vec_id", vector_col="embedding", per=["label"])
     return _rounded(hits, "similarity")
 
 
-@query("similarity_threshold", f"""WITH {REQUESTS_SQL}
+@query("similarity_threshold", int_rank(f"""WITH {REQUESTS_SQL}
 SELECT qid, vec_id, round(similarity, 6) AS similarity, round(1 - (1 - similarity), 6) AS from_distance,
        row_number() OVER (PARTITION BY qid ORDER BY similarity DESC, vec_id) AS rank
-FROM semantic WHERE similarity >= 0.3 QUALIFY rank <= 20""")
+FROM semantic WHERE similarity >= 0.3 QUALIFY rank <= 20"""))
 def similarity_threshold(spark, sf_dir):
     hits = search.semantic_topk(read(spark, sf_dir, "embeddings"), _requests(spark, sf_dir), 20,
                                 id_col="vec_id", vector_col="embedding",
@@ -92,10 +92,10 @@ def similarity_threshold(spark, sf_dir):
                     "similarity", "from_distance")
 
 
-@query("keyword_topk", f"""WITH {_words_sql(KEYWORDS)}, {KEYWORD_SQL}
+@query("keyword_topk", int_rank(f"""WITH {_words_sql(KEYWORDS)}, {KEYWORD_SQL}
 SELECT qid, doc_id, round(score, 6) AS score,
        row_number() OVER (PARTITION BY qid ORDER BY score DESC, doc_id) AS rank
-FROM keyword QUALIFY rank <= 20""")
+FROM keyword QUALIFY rank <= 20"""))
 def keyword_topk(spark, sf_dir):
     requests = spark.createDataFrame(list(enumerate(KEYWORDS)), "qid int, query string")
     hits = search.keyword_topk(read_spread(spark, sf_dir, "documents", "doc_id", "text"), requests, 20, id_col="doc_id",
@@ -103,7 +103,7 @@ def keyword_topk(spark, sf_dir):
     return _rounded(hits, "score")
 
 
-@query("hybrid_search", f"""WITH {REQUESTS_SQL}, {_words_sql(WORDS)}, {KEYWORD_SQL},
+@query("hybrid_search", int_rank(f"""WITH {REQUESTS_SQL}, {_words_sql(WORDS)}, {KEYWORD_SQL},
 s AS (SELECT qid, vec_id AS doc_id, similarity FROM semantic
       QUALIFY row_number() OVER (PARTITION BY qid ORDER BY similarity DESC, vec_id) <= 20),
 k AS (SELECT qid, doc_id, score FROM keyword
@@ -114,7 +114,7 @@ scored AS (SELECT *, round(0.7::DOUBLE * semantic_score + 0.3::DOUBLE * keyword_
 SELECT qid, doc_id, round(semantic_score, 6) AS semantic_score, round(keyword_score, 6) AS keyword_score,
        round(h, 6) AS hybrid_score,
        row_number() OVER (PARTITION BY qid ORDER BY h DESC, doc_id) AS rank
-FROM scored QUALIFY rank <= 10""")
+FROM scored QUALIFY rank <= 10"""))
 def hybrid_search(spark, sf_dir):
     vectors = read(spark, sf_dir, "embeddings").withColumnRenamed("vec_id", "doc_id")
     requests = _requests(spark, sf_dir).withColumn("query", _word(F.col("qid")))
@@ -198,12 +198,12 @@ def embed_hash(spark, sf_dir):
                           F.round(norm, 4).alias("norm"))
 
 
-@query("rerank", f"""{ctes('suggested')},
+@query("rerank", int_rank(f"""{ctes('suggested')},
 best AS (SELECT session, code, max(confidence) AS relevance_score FROM suggested GROUP BY ALL),
 parts AS (SELECT session, code, count(*) AS n FROM suggested WHERE kind = 'diagnosis' GROUP BY ALL)
 SELECT session, code, n, round(relevance_score, 6) AS relevance_score,
        row_number() OVER (PARTITION BY session ORDER BY relevance_score DESC, code) AS new_rank
-FROM parts JOIN best USING (session, code) QUALIFY new_rank <= 5""")
+FROM parts JOIN best USING (session, code) QUALIFY new_rank <= 5""", "new_rank"))
 def rerank(spark, sf_dir):
     suggested = derived(spark, sf_dir, "suggested")
     scores = suggested.groupBy("session", "code").agg(F.max("confidence").alias("relevance_score"))
@@ -212,10 +212,10 @@ def rerank(spark, sf_dir):
     return _rounded(ranking.apply_rerank(candidates, scores, ["session"]), "relevance_score")
 
 
-@query("suggestion_cap", f"""{ctes('suggested')}
+@query("suggestion_cap", int_rank(f"""{ctes('suggested')}
 SELECT doc_id, kind, event_id, code, round(confidence, 6) AS confidence,
        row_number() OVER (PARTITION BY doc_id, kind ORDER BY confidence DESC, code, event_id) AS rank
-FROM suggested QUALIFY rank <= 5""")
+FROM suggested QUALIFY rank <= 5"""))
 def suggestion_cap(spark, sf_dir):
     suggested = derived(spark, sf_dir, "suggested").select("doc_id", "kind", "event_id", "code",
                                                            "confidence")
@@ -223,12 +223,12 @@ def suggestion_cap(spark, sf_dir):
                     "confidence")
 
 
-@query("context_budget", """WITH ranked AS (SELECT source, doc_id, length(text) AS text_length,
+@query("context_budget", int_rank("""WITH ranked AS (SELECT source, doc_id, length(text) AS text_length,
     row_number() OVER (PARTITION BY source ORDER BY doc_id) AS rank,
     sum(length(text)) OVER (PARTITION BY source ORDER BY doc_id
                             ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS used
     FROM documents WHERE length(text) > 0)
-SELECT source, doc_id, text_length, rank, CAST(used AS BIGINT) AS used FROM ranked WHERE used <= 8000""")
+SELECT source, doc_id, text_length, rank, CAST(used AS BIGINT) AS used FROM ranked WHERE used <= 8000"""))
 def context_budget(spark, sf_dir):
     docs = read(spark, sf_dir, "documents").select("source", "doc_id", "text")
     return ranking.context_budget(docs, ["source"], [F.asc("doc_id")],

@@ -51,7 +51,7 @@ def _all_texts(spark, sf_dir) -> DataFrame:
 
 
 @query("phi_detect", f"""{_ALL_TEXTS}, {_found_sql('source, id')}
-SELECT source, id, phi_type, len(matches) AS n_matches, array_to_string(matches, '|') AS matches FROM found""")
+SELECT source, id, phi_type, CAST(len(matches) AS INT) AS n_matches, array_to_string(matches, '|') AS matches FROM found""")
 def phi_detect(spark, sf_dir):
     found = _all_texts(spark, sf_dir).select("source", "id", F.explode(
         phi.detect_phi(F.col("text"))).alias("phi_type", "m"))

@@ -98,24 +98,25 @@ def write_collection(entries: DataFrame, path: str, errors_path: str | None = No
     missing (see ``embed_error``) go to ``errors_path`` and do not stop the others.
     """
     spark = entries.sparkSession
-    known = 0
+    entries = cut_lineage(entries, "entries")   # vectors are computed once, then read three times
+    total = entries.count()
     if not force and exists(spark, path):
-        total = entries.count()
-        entries = only_new(entries, read_collections(spark, path))
-        entries = cut_lineage(entries, "new-entries")
-        known = total - entries.count()
+        # The stored ids are read before the append, so the plan below cannot see its own output.
+        entries = cut_lineage(only_new(entries, read_collections(spark, path)), "new-entries")
     columns = [F.col(f.name).cast(f.dataType).alias(f.name) for f in schemas.COLLECTION_ENTRY]
-    failed = entries.filter(F.col("embedding").isNull())
-    good = entries.filter(F.col("embedding").isNotNull()).select(*columns)
-    writer = (good.repartitionByRange("collection", "id").write.partitionBy("collection"))
+    has_vector = F.col("embedding").isNotNull()
+    counts = entries.agg(F.count_if(has_vector).alias("written"),
+                         F.count_if(~has_vector).alias("failed")).first()
+    writer = (entries.filter(has_vector).select(*columns)
+              .repartitionByRange("collection", "id").write.partitionBy("collection"))
     if force:
         writer.mode("overwrite").option("partitionOverwriteMode", "dynamic").parquet(path)
     else:
         writer.mode("append").parquet(path)
-    n_failed = failed.count()
-    if n_failed and errors_path:
-        failed.write.mode("append").parquet(errors_path)
-    return {"written": entries.count() - n_failed, "known": known, "failed": n_failed}
+    if counts["failed"] and errors_path:
+        entries.filter(~has_vector).write.mode("append").parquet(errors_path)
+    return {"written": counts["written"], "failed": counts["failed"],
+            "known": total - counts["written"] - counts["failed"]}
 
 
 def collection_counts(entries: DataFrame) -> DataFrame:

@@ -202,3 +202,20 @@ def test_audit_texts(spark):
     assert events.schema.names == schemas.AUDIT_EVENT.names
     assert events.first()["user"] == "system"
     assert all(isinstance(f.dataType, T.DataType) for f in events.schema)
+
+
+def test_sql_functions_agree_with_columns(spark):
+    from codeset_engine.functions import sql
+    from codeset_engine.operators.chunk import chunk_id
+    assert "redact_phi" in sql.register(spark)
+    values = ["E11.9", " i10 ", "0DBJ8ZZ", "99213", "00009", "a1234", "x@y.org", PHI_TEXT, "", "it's \\d", "　I10"]
+    spark.createDataFrame([(v,) for v in values], "v string").createOrReplaceTempView("sql_function_values")
+    v = F.col("v")
+    same = {"is_icd10cm": validate.validate_icd10cm(v)["is_valid"], "is_icd10pcs": validate.validate_icd10pcs(v)["is_valid"],
+            "is_cpt": validate.validate_cpt(v)["is_valid"], "is_hcpcs": validate.validate_hcpcs(v)["is_valid"],
+            "is_email": validate.validate_email(v)["is_valid"], "sanitize_code": sanitize.sanitize_code(v),
+            "redact_phi": phi.redact_phi(v), "contains_phi": phi.contains_phi(v), "chunk_id": chunk_id(v)}
+    for name, expression in same.items():
+        rows = spark.sql(f"SELECT v, {name}(v) AS got FROM sql_function_values").select("got", expression.alias("want")).collect()
+        assert [r["got"] for r in rows] == [r["want"] for r in rows], name
+    assert spark.sql("SELECT keyword_score('Diabetes and diabetes', 'DIABETES')").first()[0] == pytest.approx(2 / 3)
