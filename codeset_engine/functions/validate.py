@@ -20,7 +20,27 @@ ALLOWED_EXTENSIONS = (".csv", ".docx", ".pdf", ".txt", ".xls", ".xlsx")
 MAX_FILE_SIZE_MB = 50
 CPT_MIN, CPT_MAX = 10, 99999
 MIN_YEAR = 2015
+
+# Messages. Those that end in a space are followed by the value.
 EMPTY_CODE = "Code cannot be empty"
+BAD_ICD10CM = "Invalid ICD-10-CM format: "
+ICD10PCS_LENGTH = "ICD-10-PCS must be exactly 7 characters: "
+BAD_ICD10PCS = "Invalid ICD-10-PCS format: "
+BAD_CPT = "Invalid CPT format (must be 5 digits): "
+CPT_OUT_OF_RANGE = "CPT code out of valid range: "
+BAD_HCPCS = "Invalid HCPCS format: "
+UNKNOWN_TYPE = "Unknown code type: "
+EMPTY_FILENAME = "Filename cannot be empty"
+EMPTY_FILE = "File is empty (0 bytes)"
+FILE_TOO_BIG = f"File size %.1fMB exceeds maximum {MAX_FILE_SIZE_MB}MB"
+NO_SUCH_FILE = "File does not exist: "
+NOT_A_FILE = "Path is not a file: "
+SCORE_NOT_NUMERIC = "Confidence score must be numeric, got "
+SCORE_OUT_OF_RANGE = "Confidence score must be between 0 and 1, got "
+YEAR_NOT_INTEGER = "Year must be an integer, got "
+BAD_EMAIL = "Invalid email format: "
+NOT_A_MAP = "Expected dictionary, got null"
+MISSING_KEYS = "Missing required keys: "
 
 
 def _outcome(error: Column) -> Column:
@@ -45,7 +65,7 @@ def _icd10cm_error(code: Column) -> Column:
     clean = F.upper(strip(code))
     return _first_error(
         (_is_blank(code), F.lit(EMPTY_CODE)),
-        (~clean.rlike(ICD10CM_PATTERN), _said("Invalid ICD-10-CM format: ", clean)),
+        (~clean.rlike(ICD10CM_PATTERN), _said(BAD_ICD10CM, clean)),
     )
 
 
@@ -53,8 +73,8 @@ def _icd10pcs_error(code: Column) -> Column:
     clean = F.upper(strip(code))
     return _first_error(
         (_is_blank(code), F.lit(EMPTY_CODE)),
-        (F.length(clean) != 7, _said("ICD-10-PCS must be exactly 7 characters: ", clean)),
-        (~clean.rlike(ICD10PCS_PATTERN), _said("Invalid ICD-10-PCS format: ", clean)),
+        (F.length(clean) != 7, _said(ICD10PCS_LENGTH, clean)),
+        (~clean.rlike(ICD10PCS_PATTERN), _said(BAD_ICD10PCS, clean)),
     )
 
 
@@ -63,8 +83,8 @@ def _cpt_error(code: Column) -> Column:
     in_range = clean.between(f"{CPT_MIN:05d}", f"{CPT_MAX:05d}")   # five digits by then
     return _first_error(
         (_is_blank(code), F.lit(EMPTY_CODE)),
-        (~clean.rlike(CPT_PATTERN), _said("Invalid CPT format (must be 5 digits): ", clean)),
-        (~in_range, _said("CPT code out of valid range: ", clean)),
+        (~clean.rlike(CPT_PATTERN), _said(BAD_CPT, clean)),
+        (~in_range, _said(CPT_OUT_OF_RANGE, clean)),
     )
 
 
@@ -72,7 +92,7 @@ def _hcpcs_error(code: Column) -> Column:
     clean = F.upper(strip(code))
     return _first_error(
         (_is_blank(code), F.lit(EMPTY_CODE)),
-        (~clean.rlike(HCPCS_PATTERN), _said("Invalid HCPCS format: ", clean)),
+        (~clean.rlike(HCPCS_PATTERN), _said(BAD_HCPCS, clean)),
     )
 
 
@@ -100,7 +120,7 @@ def validate_code(code: Column, code_type: Column) -> Column:
     """Validator chosen per row by ``code_type`` (any case)."""
     kind = F.lower(code_type)
     unknown = ~F.coalesce(kind.isin(*_CODE_ERRORS), F.lit(False))
-    error = F.when(unknown, _said("Unknown code type: ", F.coalesce(code_type, F.lit("null"))))
+    error = F.when(unknown, _said(UNKNOWN_TYPE, F.coalesce(code_type, F.lit("null"))))
     for name, rule in _CODE_ERRORS.items():
         error = error.when(kind == name, rule(code))
     return _outcome(error)
@@ -116,7 +136,7 @@ def _extension_error(name: Column) -> Column:
     refused = F.concat(F.lit("File type '"), extension, F.lit("' not allowed. Allowed: "),
                        F.lit(", ".join(ALLOWED_EXTENSIONS)))
     return _first_error(
-        (_is_blank(name), F.lit("Filename cannot be empty")),
+        (_is_blank(name), F.lit(EMPTY_FILENAME)),
         (~extension.isin(*ALLOWED_EXTENSIONS), refused),
     )
 
@@ -124,10 +144,10 @@ def _extension_error(name: Column) -> Column:
 def _size_error(n_bytes: Column) -> Column:
     # bround: a size exactly between two tenths goes to the even one, as in Python.
     megabytes = F.bround(n_bytes.cast("double") / F.lit(1024.0 * 1024.0), 1)
-    too_big = F.format_string(f"File size %.1fMB exceeds maximum {MAX_FILE_SIZE_MB}MB", megabytes)
+    too_big = F.format_string(FILE_TOO_BIG, megabytes)
     return _first_error(
         (n_bytes > MAX_FILE_SIZE_MB * 1024 * 1024, too_big),
-        (n_bytes == 0, F.lit("File is empty (0 bytes)")),
+        (n_bytes == 0, F.lit(EMPTY_FILE)),
     )
 
 
@@ -142,8 +162,8 @@ def validate_file_size(n_bytes: Column) -> Column:
 def validate_file(path: Column, n_bytes: Column, exists: Column, is_file: Column) -> Column:
     """Existence, kind, extension, size: the first failure wins."""
     return _outcome(F.coalesce(
-        F.when(~exists, _said("File does not exist: ", path)),
-        F.when(~is_file, _said("Path is not a file: ", path)),
+        F.when(~exists, _said(NO_SUCH_FILE, path)),
+        F.when(~is_file, _said(NOT_A_FILE, path)),
         _extension_error(path),
         _size_error(n_bytes),
     ))
@@ -153,9 +173,9 @@ def validate_confidence(score: Column) -> Column:
     """``score`` may be a number or text; text that is no number is refused."""
     number = score.try_cast("double")
     return _outcome(_first_error(
-        (number.isNull() | F.isnan(number), _said("Confidence score must be numeric, got ",
+        (number.isNull() | F.isnan(number), _said(SCORE_NOT_NUMERIC,
                                                   F.coalesce(score.cast("string"), F.lit("null")))),
-        (~number.between(0.0, 1.0), _said("Confidence score must be between 0 and 1, got ", score)),
+        (~number.between(0.0, 1.0), _said(SCORE_OUT_OF_RANGE, score)),
     ))
 
 
@@ -164,7 +184,7 @@ def validate_year(year: Column, as_of: Column) -> Column:
     number = year.try_cast("int")
     latest = as_of + 1
     return _outcome(_first_error(
-        (number.isNull(), _said("Year must be an integer, got ",
+        (number.isNull(), _said(YEAR_NOT_INTEGER,
                                 F.coalesce(year.cast("string"), F.lit("null")))),
         (number < MIN_YEAR, F.concat(F.lit("Year "), number.cast("string"),
                                      F.lit(f" is too old (minimum {MIN_YEAR})"))),
@@ -177,7 +197,7 @@ def validate_year(year: Column, as_of: Column) -> Column:
 def validate_email(address: Column) -> Column:
     value = F.coalesce(address, F.lit(""))
     return _outcome(_first_error((~value.rlike(EMAIL_PATTERN),
-                                  _said("Invalid email format: ", value))))
+                                  _said(BAD_EMAIL, value))))
 
 
 def validate_non_empty(value: Column, field: str = "Field") -> Column:
@@ -192,7 +212,7 @@ def validate_required_keys(data: Column, required: list[str]) -> Column:
     wanted = F.array(*[F.lit(key) for key in required])
     missing = F.array_sort(F.array_except(wanted, F.map_keys(data)))
     return _outcome(_first_error(
-        (data.isNull(), F.lit("Expected dictionary, got null")),
-        (F.size(missing) > 0, F.concat(F.lit("Missing required keys: "),
+        (data.isNull(), F.lit(NOT_A_MAP)),
+        (F.size(missing) > 0, F.concat(F.lit(MISSING_KEYS),
                                        F.array_join(missing, ", "))),
     ))

@@ -10,6 +10,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from ..schemas import COLUMNS_BY_TYPE
 from .ranking import first_per_key, top_k
 
 # Known code types and years, and the length of sample lists.
@@ -17,6 +18,9 @@ CODE_TYPES = ("icd10cm", "icd10pcs", "cpt")
 CURRENT_YEAR = 2025
 ALL_YEARS = (2025, 2024, 2023, 2022)
 SAMPLE_SIZE = 100
+# The wording of report lines.
+PRESENT, MISSING, CURRENT, NOT_AVAILABLE = "✓", "✗", " (CURRENT)", "Not available"
+
 FIRST_YEAR = 1990   # of the 63 years that fit a year mask
 
 
@@ -50,15 +54,19 @@ def available_years(codes: DataFrame) -> DataFrame:
 
 def year_metadata(codes: DataFrame, files: DataFrame, years: Sequence[int],
                   types: DataFrame | None = None) -> DataFrame:
-    """Counts joined with file facts.
+    """Counts joined with file facts and, for known types, the column names.
 
     ``files``: ``code_type, year, path, length, modificationTime`` of the stored files.
     """
+    known = F.lit(None).cast("array<string>")
+    for name, columns in COLUMNS_BY_TYPE.items():
+        known = F.when(F.col("code_type") == name, F.array(*map(F.lit, columns))).otherwise(known)
     facts = files.groupBy("code_type", "year").agg(
         F.sum("length").alias("file_size"), F.min("path").alias("file_path"),
         F.max("modificationTime").alias("last_updated"))
     return (availability(codes, years, types).join(facts, ["code_type", "year"], "left")
-            .withColumn("file_size", F.coalesce("file_size", F.lit(0))))
+            .withColumn("file_size", F.coalesce("file_size", F.lit(0)))
+            .withColumn("columns", F.when(F.col("exists"), known)))
 
 
 def summary_lines(metadata: DataFrame, current_year: int = CURRENT_YEAR) -> DataFrame:
@@ -67,10 +75,10 @@ def summary_lines(metadata: DataFrame, current_year: int = CURRENT_YEAR) -> Data
         F.format_number("total_codes", 0), F.lit(" codes | "),
         F.format_string("%.2f MB", F.col("file_size") / F.lit(1024.0 * 1024.0))))
     line = F.concat(
-        F.lit("  "), F.when(F.col("exists"), F.lit("✓")).otherwise(F.lit("✗")), F.lit(" "),
+        F.lit("  "), F.when(F.col("exists"), F.lit(PRESENT)).otherwise(F.lit(MISSING)), F.lit(" "),
         F.col("year").cast("string"),
-        F.when(F.col("year") == current_year, F.lit(" (CURRENT)")).otherwise(F.lit("")),
-        F.lit(": "), F.coalesce(info, F.lit("Not available")))
+        F.when(F.col("year") == current_year, F.lit(CURRENT)).otherwise(F.lit("")),
+        F.lit(": "), F.coalesce(info, F.lit(NOT_AVAILABLE)))
     return metadata.select(F.upper("code_type").alias("code_type"), "year", line.alias("line"))
 
 

@@ -43,10 +43,11 @@ def normalize_codes(spark: SparkSession, raw_dir: str, code_type: str, year: int
     if found is None:
         return None
     codes = parse_code_file(spark, found["path"], code_type)
+    if codes.isEmpty():
+        return None
     codes = codes.withColumn("collection_type", F.lit(code_type)).withColumn("year", F.lit(year))
     tables.write_codes(codes, out)
-    stored = tables.load_codes(spark, out, code_type, year)
-    return None if stored.isEmpty() else stored
+    return tables.load_codes(spark, out, code_type, year)
 
 
 def embed_codes(spark: SparkSession, codes_path: str, collections_path: str, code_type: str,

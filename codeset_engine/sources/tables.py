@@ -6,7 +6,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from .. import schemas
-from ..operators.embed import only_new
+from ..operators.embed import collection_name, only_new
 from ..session import cut_lineage
 
 CODE_PARTITIONS = ["collection_type", "year"]
@@ -131,6 +131,13 @@ def collection_exists(entries: DataFrame, names: DataFrame) -> DataFrame:
                     F.coalesce("count", F.lit(0)).alias("count")))
 
 
+def collection_stats(entries: DataFrame, requests: DataFrame) -> DataFrame:
+    """``code_type, year, collection, exists, count`` for requested types and years."""
+    named = requests.select("code_type", "year", collection_name(
+        F.col("code_type"), F.col("year")).alias("collection"))
+    return named.join(collection_exists(entries, named), "collection")
+
+
 def delete_collection(spark: SparkSession, path: str, name: str) -> bool:
     """Drop one collection's folder through Hadoop's file system API; false if absent."""
     jvm = spark._jvm

@@ -4,6 +4,7 @@ import datetime as dt
 import io
 import json
 import sys
+import uuid
 import zipfile
 
 import numpy as np
@@ -99,6 +100,8 @@ def test_normalize_store_load(spark, raw, tmp_path):
     metadata = years.year_metadata(codes, tables.stored_files(spark, out), [2024, 2023])
     rows = {(r["code_type"], r["year"]): r for r in metadata.collect()}
     assert rows[("icd10cm", 2024)]["total_codes"] == 3 and rows[("icd10cm", 2024)]["file_size"] > 0
+    assert rows[("cpt", 2024)]["columns"] == ["code", "description", "code_type"]
+    assert rows[("cpt", 2023)]["columns"] is None
     assert rows[("cpt", 2023)]["exists"] is False and rows[("cpt", 2023)]["last_updated"] is None
     lines = {r["line"] for r in years.summary_lines(metadata, 2024).filter("code_type = 'CPT'").collect()}
     assert "  ✗ 2023: Not available" in lines and any(x.startswith("  ✓ 2024 (CURRENT): 2 codes | 0.00 MB") for x in lines)
@@ -149,6 +152,9 @@ def test_collections(spark, raw, tmp_path, monkeypatch):
     asked = spark.createDataFrame([("medical_codes_cpt_2024",), ("x",)], "collection string")
     assert {(r["collection"], r["exists"], r["count"]) for r in tables.collection_exists(entries, asked).collect()} == {
         ("medical_codes_cpt_2024", True, 2), ("x", False, 0)}
+    stats = spark.createDataFrame([("cpt", 2024), ("cpt", 2023)], "code_type string, year int")
+    assert {(r["year"], r["collection"], r["exists"], r["count"]) for r in tables.collection_stats(entries, stats).collect()} == {
+        (2024, "medical_codes_cpt_2024", True, 2), (2023, "medical_codes_cpt_2023", False, 0)}
     assert tables.delete_collection(spark, store, "medical_codes_cpt_2024")
     assert not tables.delete_collection(spark, store, "medical_codes_cpt_2024")
     assert tables.read_collections(spark, store).count() == 3
@@ -259,7 +265,7 @@ def test_redaction_stream_equals_batch(spark, tmp_path):
     for i, line in enumerate(lines):
         write(tmp_path / "in" / f"{i}.log", line)
     stream = logs.redact_stream(spark.readStream.text(str(tmp_path / "in")))
-    run(logs.to_files(stream, str(tmp_path / "out"), f"redact-{tmp_path.name}"))
+    run(logs.to_files(stream, str(tmp_path / "out"), f"redact-{uuid.uuid4().hex}"))
     batch = logs.redact_stream(spark.read.text(str(tmp_path / "in")))
     got = sorted(r["value"] for r in spark.read.parquet(str(tmp_path / "out")).collect())
     assert got == sorted(r["value"] for r in batch.collect())
@@ -275,7 +281,7 @@ def test_audit_log_round_trip_and_stream(spark, tmp_path):
     assert logs.read_audit_log(spark, path).collect() == events.collect() * 2
     line = spark.read.text(path).first()["value"]
     assert set(json.loads(line)) == set(schemas.AUDIT_EVENT.names)
-    run(logs.to_files(logs.read_audit_stream(spark, path), str(tmp_path / "out"), f"audit-{tmp_path.name}"))
+    run(logs.to_files(logs.read_audit_stream(spark, path), str(tmp_path / "out"), f"audit-{uuid.uuid4().hex}"))
     assert spark.read.parquet(str(tmp_path / "out")).count() == 2
 
 
@@ -285,7 +291,7 @@ def test_duration_windows_stream_equals_batch(spark, tmp_path):
     source = str(tmp_path / "in")
     events.repartition(3).write.parquet(source)
     stream = spark.readStream.schema(events.schema).parquet(source)
-    run(logs.to_files(logs.duration_windows(stream), str(tmp_path / "out"), f"windows-{tmp_path.name}"))
+    run(logs.to_files(logs.duration_windows(stream), str(tmp_path / "out"), f"windows-{uuid.uuid4().hex}"))
     got = spark.read.parquet(str(tmp_path / "out"))
     want = logs.duration_windows(events)
     latest = events.agg(F.max("timestamp")).first()[0] - dt.timedelta(minutes=10)
@@ -298,7 +304,7 @@ def test_chunk_stream_dedupe(spark, tmp_path):
                                  "chunk_id string, timestamp timestamp")
     rows.write.parquet(str(tmp_path / "in"))
     stream = logs.dedupe_chunk_stream(spark.readStream.schema(rows.schema).parquet(str(tmp_path / "in")))
-    run(logs.to_files(stream, str(tmp_path / "out"), f"dedupe-{tmp_path.name}"))
+    run(logs.to_files(stream, str(tmp_path / "out"), f"dedupe-{uuid.uuid4().hex}"))
     assert sorted(r["chunk_id"] for r in spark.read.parquet(str(tmp_path / "out")).collect()) == ["a", "b"]
 
 
