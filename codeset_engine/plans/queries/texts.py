@@ -134,7 +134,7 @@ _ID = "left(md5(chunk), 16)"
 @query("chunk_fixed", f"""WITH {_CHUNKS}
 SELECT doc_id, chunk_index, total_chunks, start_index, chunk, {_ID} AS chunk_id FROM chunks""")
 def chunk_fixed(spark, sf_dir):
-    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    docs = read_spread(spark, sf_dir, "documents", "doc_id", "text")
     return chunk.chunk_fixed(docs).withColumn("chunk_id", chunk.chunk_id(F.col("chunk")))
 
 
@@ -146,7 +146,7 @@ SELECT source || '_' || lang || '_' || source || '/' || doc_id || '.txt_chunk_'
     chunk_index > 0 AS has_previous_chunk, chunk_index < total_chunks - 1 AS has_next_chunk, start_index
 FROM chunks""")
 def chunk_metadata(spark, sf_dir):
-    docs = read(spark, sf_dir, "documents").select(
+    docs = read_spread(spark, sf_dir, "documents").select(
         F.expr("'raw/' || source || '/' || doc_id || '.txt'").alias("path"), "text",
         F.col("n_chars").alias("length"), F.col("source").alias("code_type"),
         F.col("lang").alias("year"))
@@ -160,7 +160,7 @@ def chunk_metadata(spark, sf_dir):
 SELECT {_ID} AS chunk_id, doc_id, chunk_index, start_index FROM chunks
 QUALIFY row_number() OVER (PARTITION BY {_ID} ORDER BY doc_id, chunk_index) = 1""")
 def chunk_dedupe(spark, sf_dir):
-    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    docs = read_spread(spark, sf_dir, "documents", "doc_id", "text")
     hashed = chunk.chunk_fixed(docs).select("doc_id", "chunk_index", "start_index",
                                             chunk.chunk_id(F.col("chunk")).alias("chunk_id"))
     return chunk.dedupe_chunks(hashed, [F.asc("doc_id"), F.asc("chunk_index")])
