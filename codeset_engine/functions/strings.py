@@ -37,6 +37,15 @@ def occurrences(text: Column, needle: Column) -> Column:
     return (removed / F.length(needle)).cast("long")
 
 
+def keyword_score(text: Column, query: Column) -> Column:
+    """Keyword density of one row for its own query: the score that keyword search ranks by.
+
+    Zero without a match; null when the query is empty or the text has no tokens.
+    """
+    hits = occurrences(F.lower(text), F.lower(query))
+    return F.when(query != "", F.try_divide(hits, token_count(text)))
+
+
 def drop_invalid_utf8(text: Column) -> Column:
     """Text without the bytes that do not decode as UTF-8."""
     repaired = F.replace(F.make_valid_utf8(text), F.lit("\ufffd"), F.lit(""))

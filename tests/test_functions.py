@@ -218,4 +218,7 @@ def test_sql_functions_agree_with_columns(spark):
     for name, expression in same.items():
         rows = spark.sql(f"SELECT v, {name}(v) AS got FROM sql_function_values").select("got", expression.alias("want")).collect()
         assert [r["got"] for r in rows] == [r["want"] for r in rows], name
+    scores = spark.createDataFrame([("Diabetes and diabetes", "DIABETES"), ("x", "y"), (" ", " "), ("x", "")], "t string, q string")
+    assert [r[0] for r in scores.select(strings.keyword_score(F.col("t"), F.col("q"))).collect()] == [
+        pytest.approx(2 / 3), 0.0, None, None]
     assert spark.sql("SELECT keyword_score('Diabetes and diabetes', 'DIABETES')").first()[0] == pytest.approx(2 / 3)
