@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from .. import schemas
@@ -14,13 +13,18 @@ CODE_PARTITIONS = ["collection_type", "year"]
 EXPORT_FORMATS = ("csv", "json")
 
 
+def _folder(spark: SparkSession, path: str):
+    """Hadoop file system and path object of a folder."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return folder.getFileSystem(spark._jsc.hadoopConfiguration()), folder
+
+
 def exists(spark: SparkSession, path: str) -> bool:
-    """Whether a table folder with files is there."""
-    try:
-        return not spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(
-            path).select("path").isEmpty()
-    except AnalysisException:
-        return False
+    """Whether a table folder holds anything; looks at its first level only."""
+    file_system, folder = _folder(spark, path)
+    return bool(file_system.exists(folder)) and any(
+        not status.getPath().getName().startswith(("_", "."))
+        for status in file_system.listStatus(folder))
 
 
 def as_code_rows(codes: DataFrame) -> DataFrame:
@@ -140,7 +144,5 @@ def collection_stats(entries: DataFrame, requests: DataFrame) -> DataFrame:
 
 def delete_collection(spark: SparkSession, path: str, name: str) -> bool:
     """Drop one collection's folder through Hadoop's file system API; false if absent."""
-    jvm = spark._jvm
-    folder = jvm.org.apache.hadoop.fs.Path(f"{path}/collection={name}")
-    file_system = folder.getFileSystem(spark._jsc.hadoopConfiguration())
+    file_system, folder = _folder(spark, f"{path}/collection={name}")
     return bool(file_system.delete(folder, True))

@@ -1,4 +1,4 @@
-"""Column functions against the reference's documented cases."""
+"""Column functions against documented cases and Python."""
 
 import datetime as dt
 import re

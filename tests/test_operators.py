@@ -30,6 +30,20 @@ def test_first_per_key_limits_before_the_shuffle(spark):
     assert plan.rindex("WindowGroupLimit") > plan.index("Exchange")   # one below the exchange
 
 
+def test_hot_key_sends_few_rows_to_the_shuffle(spark):
+    """A third of all rows share one key; each task passes on one row of it at most."""
+    rows = spark.range(0, 90000, numPartitions=6).select(
+        F.when(F.col("id") % 3 == 0, F.lit(-1)).otherwise(F.col("id")).alias("k"), "id")
+    first = ranking.first_per_key(rows, ["k"], [F.asc("id")])
+    assert first.filter("k = -1").first()["id"] == 0 and first.count() == 60001
+    changes = years.code_changes(rows.select(F.col("k").cast("string").alias("code")),
+                                 rows.filter("id < 3").select(F.col("k").cast("string").alias("code")))
+    counts = {r["change"]: r["count"] for r in changes.groupBy("change").count().collect()}
+    assert counts == {"removed": 59998, "common": 3}
+    plan = plan_of(changes)
+    assert plan.count("HashAggregate") >= 2 and "SortAggregate" not in plan
+
+
 def test_top_k_beyond_the_limit_threshold(spark):
     df = spark.range(9000).select((F.col("id") % 3).alias("k"), F.xxhash64("id").alias("v"), "id")
     k = 1500
@@ -205,7 +219,7 @@ def test_sheets(spark):
     headers = {r["file"]: r["header_row"] for r in normalize.detect_header_rows(df).collect()}
     assert headers == {"a": 2, "b": 1, "c": 1}   # the first row followed by a code
     got = {(r["file"], r["code"], r["description"]) for r in normalize.read_sheet_codes(df).collect()}
-    # A header with "procedure code" names both columns, as in the reference.
+    # A header with "procedure code" names both columns.
     assert got == {("a", "J0120", "J0120"), ("a", "99213", "99213"), ("b", "99214", "y"),
                    ("c", "99215", "w")}
     by_data = {r["file"]: r["code_col"] for r in normalize.detect_code_column_by_data(df).collect()}
