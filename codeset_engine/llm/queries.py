@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+import public_tokenizers
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import near_dup
+from . import decontamination, near_dup, packing
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -29,3 +30,50 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 @query("op3_minhash_near_dedup")
 def near_dedup(spark, sf_dir):
     return near_dup.near_duplicates(read(spark, sf_dir, "documents"))
+
+
+@query("op1_benchmark_decontamination", """
+WITH doc_words AS (
+    SELECT doc_id, unnest(words) AS word, generate_subscripts(words, 1) AS pos FROM (
+        SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+            'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS words FROM documents)),
+items AS (
+    SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+        'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS words FROM benchmark),
+item_windows AS (
+    SELECT DISTINCT item_id, size, list_slice(words, pos, pos + size - 1) AS win FROM (
+        SELECT item_id, words, least(10, len(words)) AS size,
+            unnest(range(1, len(words) - least(10, len(words)) + 2)) AS pos FROM items WHERE len(words) > 0)),
+doc_lists AS (
+    SELECT doc_id, list(word ORDER BY pos) AS words FROM doc_words GROUP BY doc_id),
+doc_windows AS (
+    SELECT doc_id, size, pos, list_slice(words, pos, pos + size - 1) AS win FROM (
+        SELECT doc_id, words, size, unnest(range(1, len(words) - size + 2)) AS pos
+        FROM doc_lists, (SELECT DISTINCT size FROM item_windows) WHERE len(words) >= size)),
+found AS (SELECT d.doc_id, d.pos, d.size, i.item_id FROM doc_windows d JOIN item_windows i USING (size, win)),
+hit AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM (
+    SELECT doc_id, unnest(range(pos, pos + size)) AS p FROM found) GROUP BY doc_id),
+named AS (SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS names FROM (
+    SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS item FROM found) GROUP BY doc_id),
+counted AS (SELECT doc_id, count(*) AS n_words FROM doc_words GROUP BY doc_id)
+SELECT d.doc_id, coalesce(n_words, 0) AS n_words, coalesce(n_hit, 0) AS n_hit,
+    coalesce(n_items, 0) AS n_items, sha256(coalesce(names, '')) AS items_sha256,
+    coalesce(n_hit, 0) > 0 AS contaminated
+FROM documents d LEFT JOIN counted USING (doc_id) LEFT JOIN hit USING (doc_id)
+LEFT JOIN named USING (doc_id)""")
+def benchmark_decontamination(spark, sf_dir):
+    found = decontamination.decontaminate(
+        read(spark, sf_dir, "documents").select("doc_id", "text"), read(spark, sf_dir, "benchmark"))
+    r = F.col("decontamination")
+    return found.select(
+        "doc_id", r["n_words"].alias("n_words"), r["n_hit"].alias("n_hit"),
+        F.size(r["items"]).cast("long").alias("n_items"),
+        F.sha2(F.concat_ws(",", r["items"]), 256).alias("items_sha256"),
+        r["contaminated"].alias("contaminated"))
+
+
+@query("op10_hilbert_packing")
+def hilbert_packing(spark, sf_dir):
+    packed = packing.pack_documents(read(spark, sf_dir, "documents"),
+                                    public_tokenizers.path("byte_bpe_50k.json"))
+    return packed.drop("ids")
