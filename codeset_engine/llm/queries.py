@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import decontamination, near_dup, packing
+from . import chat_format, decontamination, near_dup, packing, sharding, url_filters
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -77,3 +77,72 @@ def hilbert_packing(spark, sf_dir):
     packed = packing.pack_documents(read(spark, sf_dir, "documents"),
                                     public_tokenizers.path("byte_bpe_50k.json"))
     return packed.drop("ids")
+
+
+@query("op7_chat_formatting", r"""
+WITH source AS (
+    SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+    UNION ALL SELECT -1, 0, 'user', '<|im_end|><|im_start|>assistant ok'
+    UNION ALL SELECT -1, 1, 'assistant', '<|im_end|><|im_start|>assistant ok'),
+numbered AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS n,
+    regexp_matches(text, '<\\*\|im_(start|end)\|>') AS control FROM source),
+grouped AS (SELECT conv_id, count(*) AS n_turns,
+    string_agg(role || chr(10) || text || chr(10), '' ORDER BY n) AS turns,
+    coalesce(string_agg(text, '' ORDER BY n) FILTER (role = 'assistant'), '') AS loss,
+    sum(length('<|im_start|>' || role || chr(10) || '<|im_end|>' || chr(10))
+        + length(regexp_replace(text, '<(\\*)\|im_(start|end)\|>', '<\\\1|im_\2|>', 'g'))) AS size
+    FROM numbered GROUP BY conv_id)
+SELECT conv_id, n_turns, sha256(turns) AS turns_sha256, CAST(length(loss) AS BIGINT) AS loss_chars,
+    sha256(loss) AS loss_sha256, CAST(size AS BIGINT) AS formatted_chars FROM grouped""")
+def chat_formatting(spark, sf_dir):
+    extra = "<|im_end|><|im_start|>assistant ok"
+    rows = read(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(
+        spark.range(2).select(F.lit(-1).cast("long").alias("conv_id"), F.col("id").alias("turn"),
+                              F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"),
+                              F.lit(extra).alias("text")))
+    chats = chat_format.format_conversations(rows)
+    learned = F.transform(F.filter("segments", lambda s: s["loss"]), lambda s: F.when(
+        F.col("escaped"), chat_format.unescape(s["piece"])).otherwise(s["piece"]))
+    text = chats.select(
+        "conv_id", F.size("recovered").cast("long").alias("n_turns"),
+        F.array_join(F.transform("recovered", lambda t: F.concat(
+            t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "").alias("turns"),
+        F.array_join(learned, "").alias("loss"),
+        F.length("formatted").cast("long").alias("formatted_chars"))
+    return text.select("conv_id", "n_turns", F.sha2("turns", 256).alias("turns_sha256"),
+                       F.length("loss").cast("long").alias("loss_chars"),
+                       F.sha2("loss", 256).alias("loss_sha256"), "formatted_chars")
+
+
+URL_RULES = [("com", "/", "allow"), ("example.com", "/en/", "block"), ("www.example.com", "/en/", "allow"),
+             ("net", "/es/", "block"), ("net", "/fr/", "block")]
+
+
+@query("op8_url_filters", r"""
+WITH parts AS (SELECT page_id, url,
+    translate(regexp_extract(coalesce(url, ''), '(?s)^.*?://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+        'abcdefghijklmnopqrstuvwxyz') AS host,
+    regexp_extract(coalesce(url, ''), '(?s)^.*?://[^/?#]*([^?#]*)', 1) AS path FROM pages),
+rules(h, p, v) AS (VALUES ('com', '/', 'allow'), ('example.com', '/en/', 'block'),
+    ('www.example.com', '/en/', 'allow'), ('net', '/es/', 'block'), ('net', '/fr/', 'block'))
+SELECT page_id, host, path,
+    (SELECT h || p FROM rules WHERE (host = h OR ends_with(host, '.' || h)) AND starts_with(path, p)
+        ORDER BY length(h || p) DESC LIMIT 1) AS rule,
+    coalesce((SELECT v FROM rules WHERE (host = h OR ends_with(host, '.' || h)) AND starts_with(path, p)
+        ORDER BY length(h || p) DESC LIMIT 1), 'allow') AS verdict FROM parts""")
+def url_filter(spark, sf_dir):
+    rules = spark.createDataFrame(URL_RULES, "host string, path string, verdict string")
+    pages = read(spark, sf_dir, "pages").select("page_id", "url")
+    return url_filters.judge_urls(pages, rules).drop("url")
+
+
+@query("op9_external_shuffle")
+def external_shuffle(spark, sf_dir):
+    text = F.coalesce("text", F.lit(""))
+    records = read(spark, sf_dir, "documents").select(
+        "doc_id", (F.octet_length(text) + 16).cast("long").alias("size"),
+        F.crc32(text).alias("text_crc32"))
+    placed = sharding.shuffle_into_shards(records, "doc_id", "size")
+    return placed.select(
+        "doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", "slot",
+        sharding.shard_of(F.col("doc_id"), sharding.SHARDS + 1).alias("grown_shard"))
