@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import chat_format, decontamination, near_dup, packing, sharding, url_filters
+from . import chat_format, decontamination, near_dup, packing, quality, sharding, url_filters
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -146,3 +146,33 @@ def external_shuffle(spark, sf_dir):
     return placed.select(
         "doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", "slot",
         sharding.shard_of(F.col("doc_id"), sharding.SHARDS + 1).alias("grown_shard"))
+
+
+@query("op2_quality_rules", r"""
+WITH texts AS (SELECT doc_id, coalesce(text, '') AS text,
+    regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words FROM documents),
+lines AS (SELECT doc_id, count(*) AS n_lines, count(*) - count(DISTINCT line) AS n_dup_lines FROM (
+    SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM texts)
+    WHERE regexp_matches(line, '[^\x20\x09-\x0D]') GROUP BY doc_id),
+windows AS (SELECT doc_id, i, words[i] AS a, words[i + 1] AS b, words[i + 2] AS c FROM (
+    SELECT doc_id, words, unnest(range(1, len(words) - 1)) AS i FROM texts WHERE len(words) >= 3)),
+repeated AS (SELECT doc_id, count(DISTINCT p) AS n_repeat_words FROM (
+    SELECT doc_id, unnest([i, i + 1, i + 2]) AS p FROM (
+        SELECT *, count(*) OVER (PARTITION BY doc_id, a, b, c) AS n FROM windows) WHERE n > 1) GROUP BY doc_id),
+stops AS (SELECT string_split('""" + quality.STOP_WORDS + r"""', ' ') AS list),
+counted AS (SELECT t.doc_id, CAST(len(words) AS BIGINT) AS n_words,
+    CAST(length(array_to_string(words, '')) AS BIGINT) AS word_chars,
+    CAST(length(text) - length(translate(text, '#*$%&|<>', '')) AS BIGINT) AS n_symbols,
+    coalesce(n_lines, 0) AS n_lines, coalesce(n_dup_lines, 0) AS n_dup_lines,
+    coalesce(n_repeat_words, 0) AS n_repeat_words,
+    len(list_intersect(words, list)) AS n_stop_kinds
+    FROM texts t, stops LEFT JOIN lines l ON l.doc_id = t.doc_id LEFT JOIN repeated r ON r.doc_id = t.doc_id)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
+    n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed,
+    NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words)
+    AND word_chars BETWEEN 2 * n_words AND 15 * n_words AND 10 * n_symbols <= n_words
+    AND n_stop_kinds >= 2 AND 10 * n_dup_lines <= 6 * n_lines AS kept FROM counted""")
+def quality_rules(spark, sf_dir):
+    judged = quality.judge(read(spark, sf_dir, "documents").select("doc_id", "text"))
+    return judged.select("doc_id", *[F.col("quality")[c].alias(c) for c in (
+        "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")])
