@@ -7,7 +7,8 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import chat_format, decontamination, near_dup, packing, quality, sharding, url_filters
+from . import (chat_format, decontamination, language_id, near_dup, packing, quality, sharding,
+               url_filters)
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -176,3 +177,21 @@ def quality_rules(spark, sf_dir):
     judged = quality.judge(read(spark, sf_dir, "documents").select("doc_id", "text"))
     return judged.select("doc_id", *[F.col("quality")[c].alias(c) for c in (
         "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")])
+
+
+def held_out(doc_id):
+    return F.crc32(doc_id.cast("string").cast("binary")) % 3 == 1
+
+
+def language_model(documents):
+    """Learned from the documents that are not held out."""
+    return language_id.train(documents.where(~F.coalesce(held_out(F.col("doc_id")), F.lit(False))),
+                             "text", "lang", "doc_id")
+
+
+@query("op4_language_id")
+def language(spark, sf_dir):
+    documents = read(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    found = language_id.identify(documents.select("doc_id", "text"), language_model(documents))
+    return found.select("doc_id", F.coalesce(held_out(F.col("doc_id")), F.lit(False)).alias("held_out"),
+                        "language.lang_pred", "language.score", "language.ambiguous")
