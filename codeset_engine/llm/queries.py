@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from . import (chat_format, decontamination, language_id, near_dup, packing, quality, sharding,
-               url_filters)
+               toxicity, url_filters)
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -195,3 +195,10 @@ def language(spark, sf_dir):
     found = language_id.identify(documents.select("doc_id", "text"), language_model(documents))
     return found.select("doc_id", F.coalesce(held_out(F.col("doc_id")), F.lit(False)).alias("held_out"),
                         "language.lang_pred", "language.score", "language.ambiguous")
+
+
+@query("op5_toxicity")
+def toxic_severity(spark, sf_dir):
+    documents = read(spark, sf_dir, "documents").select("doc_id", "text")
+    model = toxicity.train(documents, read(spark, sf_dir, "labels"))
+    return toxicity.grade_toxicity(documents, model).select("doc_id", "toxicity.*")
