@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import (chat_format, decontamination, language_id, near_dup, packing, quality, sharding,
+from . import (chat_format, decontamination, language_id, near_dup, packing, pii, quality, sharding,
                toxicity, url_filters)
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -202,3 +202,15 @@ def toxic_severity(spark, sf_dir):
     documents = read(spark, sf_dir, "documents").select("doc_id", "text")
     model = toxicity.train(documents, read(spark, sf_dir, "labels"))
     return toxicity.grade_toxicity(documents, model).select("doc_id", "toxicity.*")
+
+
+@query("op6_pii_candidates")
+def personal_data(spark, sf_dir):
+    found = pii.find_personal_data(read(spark, sf_dir, "documents").select("doc_id", "text"))
+    listed = lambda spans: F.array_join(F.transform(spans, lambda s: F.concat_ws(
+        ":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
+    base = F.col("personal.base")
+    number = lambda kind: F.size(F.filter(base, lambda s: s["kind"] == kind)).cast("long")
+    return found.select(
+        "doc_id", *[number(kind).alias(f"n_{kind}") for kind in pii.KINDS],
+        F.sha2(listed(base), 256).alias("base_sha256"), listed(F.col("personal.spans")).alias("spans"))
