@@ -125,18 +125,49 @@ def near_duplicates(documents: DataFrame, id_col: str = "doc_id", text_col: str
     4. Where members of a bucket are still in different components, blocks of them are compared
        exactly: those outside the bucket's largest component with all others.
     """
-    spark = documents.sparkSession
-    scratch = Scratch(spark, "near-dup")
+    scratch = Scratch(documents.sparkSession, "near-dup")
+    signed = _signed(documents.select(id_col, text_col), id_col, text_col, tables, scratch)
+    grouped = _grouped(signed, tables, scratch)
+    scratch.drop(signed)
+    return grouped.select(
+        F.col("id").alias(id_col), F.col("n").alias("n_shingles"), "component_id",
+        F.col("id").eqNullSafe(F.col("component_id")).alias("kept"))
+
+
+def drop_near_duplicates(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text",
+                         tables: int = TABLES) -> DataFrame:
+    """The rows of ``documents`` with one row of each group of near duplicates, all columns kept.
+
+    Groups are those of ``near_duplicates``. The row with the smallest id stays, one of repeated
+    ones; a row without an id stays only where none of its group has one. Texts without words stay.
+    """
+    scratch = Scratch(documents.sparkSession, "near-dup")
+    signed = _signed(documents, id_col, text_col, tables, scratch)
+    grouped = _grouped(signed, tables, scratch)
+    first = grouped.groupBy("group").agg(F.min(F.struct(F.isnull("id").alias("none"), "id", "rid")).alias("first"))
+    kept = signed.select("rid", "text", "others").join(first.select("first.rid"), "rid")
+    return kept.select(*[F.col("text").alias(text_col) if c == text_col else F.col(f"others.`{c}`")
+                         for c in documents.columns])
+
+
+def _signed(documents: DataFrame, id_col: str, text_col: str, tables: int, scratch: Scratch) -> DataFrame:
+    """The rows with a number of their own, their text and signature."""
     sign = F.arrow_udf(_signer(tables), _SIGNATURE)
-    signed = scratch.save(
-        documents.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
-        .withColumn("rid", F.monotonically_increasing_id()).withColumn("s", sign("text"))
-        .select("rid", "id", "text", "s.n", "s.d1", "s.d2", "s.h"), "signed")
+    others = [c for c in documents.columns if c != text_col]
+    return scratch.save(
+        documents.select(F.struct(*others).alias("others"), F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+        .withColumn("rid", F.monotonically_increasing_id())
+        .withColumn("s", sign(F.col("text").cast("string")))
+        .select("rid", "id", "text", "others", "s.n", "s.d1", "s.d2", "s.h"), "signed")
+
+
+def _grouped(signed: DataFrame, tables: int, scratch: Scratch) -> DataFrame:
+    """(rid, id, n, group, component_id) of every signed row."""
     classes = (signed.where("n > 0").groupBy("d1", "d2")
                .agg(F.min("rid").alias("c"), F.min("id").alias("least_id")))
     live = scratch.save(_live_keys(signed, classes, tables), "live")
     texts = scratch.save(
-        signed.select(F.col("rid").alias("c"), "text", "n")
+        signed.select(F.col("rid").alias("c"), F.col("text").cast("string").alias("text"), "n")
         .join(live.select("c").distinct(), "c"), "texts")
     degree = live.groupBy("c").agg(F.sum("members").alias("degree"))
     hubs = (live.join(degree, "c").groupBy("key")
@@ -153,16 +184,15 @@ def near_duplicates(documents: DataFrame, id_col: str = "doc_id", text_col: str
     named = roots.join(classes.select(F.col("c").alias("node"), "least_id"), "node")
     least = named.groupBy("root").agg(F.min("least_id").alias("component"))
     components = scratch.save(
-        named.join(least, "root").select(F.col("node").alias("c"), "component"), "components")
+        named.join(least, "root").select(F.col("node").alias("c"), "root", "component"), "components")
     result = scratch.save(
-        signed.select("id", "n", "d1", "d2").join(classes, ["d1", "d2"], "left")
+        signed.select("rid", "id", "n", "d1", "d2").join(classes, ["d1", "d2"], "left")
         .join(components, "c", "left")
-        .select("id", "n", F.when(F.col("n") > 0, F.coalesce("component", "least_id"))
+        .select("rid", "id", "n", F.when(F.col("n") > 0, F.coalesce("root", "c")).otherwise(F.col("rid")).alias("group"),
+                F.when(F.col("n") > 0, F.coalesce("component", "least_id"))
                 .otherwise(F.col("id")).alias("component_id")), "result")
-    scratch.drop(signed, live, texts, members, links, labels, rest, classes, components)
-    return result.select(
-        F.col("id").alias(id_col), F.col("n").alias("n_shingles"), "component_id",
-        F.col("id").eqNullSafe(F.col("component_id")).alias("kept"))
+    scratch.drop(live, texts, members, links, labels, rest, classes, components)
+    return result
 
 
 def _live_keys(signed: DataFrame, classes: DataFrame, tables: int) -> DataFrame:
