@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Mapping
 
 from pyspark.sql import Column, DataFrame, functions as F
@@ -16,16 +17,30 @@ DEFAULT_USER = "system"
 UNKNOWN = "unknown"
 
 
+def _hex4(code: Column) -> Column:
+    return F.concat(F.lit("\\u"), F.lower(F.lpad(F.hex(code), 4, "0")))
+
+
+def ascii_json(text: Column) -> Column:
+    """JSON text with characters beyond ASCII as ``\\uXXXX``, those above U+FFFF as two."""
+    def escaped(char: Column) -> Column:
+        code = F.ascii(char)
+        beyond = code - 0x10000
+        pair = F.concat(_hex4(F.shiftright(beyond, 10) + 0xD800), _hex4(beyond.bitwiseAND(F.lit(0x3FF)) + 0xDC00))
+        return F.when(code <= 127, char).when(code > 0xFFFF, pair).otherwise(_hex4(code))
+    return F.when(text.rlike(r"[^\x00-\x7F]"), F.array_join(F.transform(F.split(text, ""), escaped), "")).otherwise(text)
+
+
 def _scalar(value: Column) -> Column:
     """JSON text of one value: the only element of a JSON array."""
     array = F.to_json(F.array(value), {"ignoreNullFields": "false"})
     return F.when(value.isNull(), F.lit("null")).otherwise(
-        F.substring(array, F.lit(2), F.length(array) - 2))
+        ascii_json(F.substring(array, F.lit(2), F.length(array) - 2)))
 
 
 def json_object(values: Mapping[str, Column]) -> Column:
-    """JSON object text with ``", "`` and ``": "`` between its parts."""
-    pairs = [F.concat(F.lit(f'"{name}": '), _scalar(value)) for name, value in values.items()]
+    """JSON object text with ``", "`` and ``": "`` between its parts; all of it is ASCII."""
+    pairs = [F.concat(F.lit(f"{json.dumps(name)}: "), _scalar(value)) for name, value in values.items()]
     return F.concat(F.lit("{"), F.concat_ws(", ", *pairs), F.lit("}"))
 
 

@@ -119,11 +119,11 @@ def chunk_metadata(chunks: DataFrame, path: str = "path", n_bytes: str = "length
     name = F.substring_index(F.col(path), "/", -1)
     extension = file_extension(F.col(path))
     relative = F.when(F.startswith(F.col(path), F.lit(root)),
-                      F.substring(path, len(root) + 1, 1 << 20)).otherwise(F.col(path))
+                      F.substring(path, len(root) + 1, (1 << 31) - 1)).otherwise(F.col(path))
     index, total = F.col("chunk_index"), F.col("total_chunks")
     values = {
         "source_file": name, "source_path": relative,
-        "file_type": F.substring(F.regexp_extract(name, r"[^/](\.[^./]+)$", 1), 2, 255),
+        "file_type": F.substring(F.regexp_extract(name, r"[^/](\.[^./]+)$", 1), 2, (1 << 31) - 1),
         "file_size_kb": F.round(F.col(n_bytes) / F.lit(1024.0), 2),
         "code_type": F.col(code_type), "year": F.col(year).cast("string"),
         "cms_category": F.upper(code_type), "chunk_index": index, "total_chunks": total,
@@ -180,7 +180,10 @@ def number_across_elements(chunks: DataFrame, doc: str = "path",
 
 def dedupe_chunks(chunks: DataFrame, order: Sequence[Column],
                   text: str = "chunk") -> DataFrame:
-    """One chunk per content hash: the first in ``order``."""
-    hashed = chunks if "chunk_id" in chunks.columns else chunks.withColumn(
-        "chunk_id", chunk_id(F.col(text)))
-    return first_per_key(hashed, ["chunk_id"], order)
+    """One chunk per text: the first in ``order``.
+
+    Texts are compared in full; their SHA-256 digest comes first, so that comparing is cheap.
+    """
+    digest = "__sha256"
+    hashed = chunks.withColumn(digest, F.sha2(F.col(text), 256))
+    return first_per_key(hashed, [digest, text], order).drop(digest)

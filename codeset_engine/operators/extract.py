@@ -100,18 +100,20 @@ def parse_entities(responses: DataFrame, content: str = "content", tokens: str =
             .drop("__body", "__parsed"))
 
 
-def combine_extractions(parsed: DataFrame, doc: str) -> DataFrame:
+def combine_extractions(parsed: DataFrame, doc: str, order: str | None = None) -> DataFrame:
     """One row per document: success of all kinds, both entity lists, counts and tokens.
 
-    A document has one row per kind, so a group never has more than two rows.
+    The lists hold the entities of all responses of their kind, by the column ``order`` (such as
+    a chunk number), then by content.
     """
+    place = F.col(order) if order else F.lit(0)
     lists = []
-    for name, schema in RESPONSES.items():
-        own = F.max_by(F.col(name), F.when(F.col("kind") == name, F.lit(1)).otherwise(F.lit(0)))
-        lists.append(F.coalesce(own, F.array().cast(schema[name].dataType)).alias(name))
+    for name in RESPONSES:
+        own = F.when(F.col("kind") == name, F.struct(place.alias("place"), F.col(name).alias("found")))
+        lists.append(F.flatten(F.sort_array(F.collect_list(own))["found"]).alias(name))
     return (parsed.groupBy(doc).agg(
         F.bool_and("success").alias("success"), *lists,
-        F.sum("tokens_used").alias("tokens_used"), F.first("error", ignorenulls=True).alias("error"))
+        F.sum("tokens_used").alias("tokens_used"), F.min("error").alias("error"))
         .withColumn("n_diagnoses", F.size("diagnoses"))
         .withColumn("n_procedures", F.size("procedures"))
         .withColumn("n_total", F.col("n_diagnoses") + F.col("n_procedures")))

@@ -21,8 +21,6 @@ SAMPLE_SIZE = 100
 # The wording of report lines.
 PRESENT, MISSING, CURRENT, NOT_AVAILABLE = "✓", "✗", " (CURRENT)", "Not available"
 
-FIRST_YEAR = 1990   # of the 63 years that fit a year mask
-
 
 def code_counts(codes: DataFrame) -> DataFrame:
     """Rows per (code_type, year)."""
@@ -34,10 +32,12 @@ def availability(codes: DataFrame, years: Sequence[int],
     """(code_type, year, exists, total_codes) for every asked pair, present or not.
 
     The types are those that occur, or those of ``types``. The counts of a type, one per year,
-    are held in a map and looked up for each asked year: one scan, no join with a grid.
+    are held in a map and looked up for each asked year: one scan, no join with a grid. Rows
+    without a year are in none.
     """
+    counted = F.when(F.col("year").isNotNull(), F.struct("year", "total_codes"))
     by_year = code_counts(codes).groupBy("code_type").agg(
-        F.map_from_entries(F.collect_list(F.struct("year", "total_codes"))).alias("by_year"))
+        F.map_from_entries(F.collect_list(counted)).alias("by_year"))
     if types is not None:
         by_year = types.select("code_type").distinct().join(by_year, "code_type", "left")
     asked = by_year.select("code_type", "by_year", F.explode(
@@ -111,40 +111,27 @@ def compare_years(codes: DataFrame, year1: int, year2: int) -> DataFrame:
         F.when(missing, F.lit("One or both years not available")).alias("error"))
 
 
-def year_masks(codes: DataFrame, first_year: int = FIRST_YEAR) -> DataFrame:
-    """(code_type, code, mask): one bit per year in which the code occurs.
+def code_years(codes: DataFrame) -> DataFrame:
+    """(code_type, code, years): the years in which the code occurs, ascending.
 
-    A single aggregation whose map-side state is one long per code. Years outside the 63 from
-    ``first_year`` on are an error.
+    A single aggregation whose state is one entry per year of a code. Rows without a year are
+    in no year.
     """
-    year = F.col("year")
-    offset = F.when(year.between(first_year, first_year + 62), year - first_year).otherwise(
-        F.raise_error(F.concat(F.lit("year out of range: "), year.cast("string"))).cast("int"))
-    bit = F.call_function("shiftleft", F.lit(1).cast("long"), offset)
-    return codes.groupBy("code_type", "code").agg(F.bit_or(bit).alias("mask"))
-
-
-def _has(mask: Column, year: Column, first_year: int) -> Column:
-    return F.getbit(mask, year - first_year) == 1
-
-
-def _years_of(mask: Column, first_year: int) -> Column:
-    every = F.sequence(F.lit(first_year), F.lit(first_year + 62))
-    return F.filter(every, lambda year: _has(mask, year, first_year))
+    return (codes.where(F.col("year").isNotNull()).groupBy("code_type", "code")
+            .agg(F.sort_array(F.collect_set("year")).alias("years")))
 
 
-def compare_consecutive_years(codes: DataFrame, first_year: int = FIRST_YEAR) -> DataFrame:
+def compare_consecutive_years(codes: DataFrame) -> DataFrame:
     """The comparison for every pair (y, y+1) of stored years of each type.
 
-    One shuffle by code; what follows works on one mask per code. Pairs of which one year is
-    not stored are dropped at the end.
+    One shuffle by code; what follows works on one list of years per code. Pairs of which one
+    year is not stored are dropped at the end.
     """
-    mask, year1 = F.col("mask"), F.col("year1")
-    either = mask.bitwiseOR(F.shiftrightunsigned(mask, 1))
-    presence = (year_masks(codes, first_year)
-                .select("code_type", "mask", F.explode(_years_of(either, first_year)).alias("year1"))
-                .select("code_type", "year1", _has(mask, year1, first_year).alias("in_year1"),
-                        _has(F.shiftrightunsigned(mask, 1), year1, first_year).alias("in_year2")))
+    years, year1 = F.col("years"), F.col("year1")
+    either = F.array_union(years, F.transform(years, lambda year: year - 1))
+    presence = (code_years(codes).select("code_type", "years", F.explode(either).alias("year1"))
+                .select("code_type", "year1", F.array_contains(years, year1).alias("in_year1"),
+                        F.array_contains(years, year1 + 1).alias("in_year2")))
     counts = _difference_counts(presence, "code_type", "year1")
     return (counts.filter((F.col("year1_total") > 0) & (F.col("year2_total") > 0))
             .withColumn("year2", F.col("year1") + 1))
@@ -218,12 +205,11 @@ def code_history(codes: DataFrame, order: Sequence[Column], code: str | None = N
     return first_per_key(codes, ["code_type", "code", "year"], order)
 
 
-def history_flags(codes: DataFrame, first_year: int = FIRST_YEAR) -> DataFrame:
+def history_flags(codes: DataFrame) -> DataFrame:
     """Per (code_type, code, year): first and last year of the code, years missing before."""
     years = F.col("years")
-    per_code = year_masks(codes, first_year).select(
-        "code_type", "code", _years_of(F.col("mask"), first_year).alias("years"))
-    return (per_code.select("code_type", "code", "years", F.posexplode("years").alias("i", "year"))
+    return (code_years(codes)
+            .select("code_type", "code", "years", F.posexplode("years").alias("i", "year"))
             .select("code_type", "code", "year",
                     F.get(years, F.lit(0)).alias("first_year"),
                     F.array_max(years).alias("last_year"),

@@ -70,12 +70,12 @@ def _embed_and_write(entries: DataFrame, path: str, embedder: Callable | None, f
 
 
 def chunk_documents(docs: DataFrame, raw_dir: str, size: int = chunk.CHUNK_SIZE,
-                    overlap: int = chunk.CHUNK_OVERLAP) -> DataFrame:
-    """Loaded documents to unique chunk rows with metadata."""
+                    overlap: int = chunk.CHUNK_OVERLAP, dedupe: bool = False) -> DataFrame:
+    """Loaded documents to chunk rows with metadata; ``dedupe`` keeps one chunk per text."""
     texts = docs.filter(F.col("load_error").isNull())
     chunks = chunk.number_across_elements(chunk.chunk_by_separator(texts, "text", size, overlap))
-    return chunk.dedupe_chunks(chunk.chunk_metadata(chunks, root=raw_dir.rstrip("/") + "/"),
-                               [F.asc("path"), F.asc("chunk_index")])
+    rows = chunk.chunk_metadata(chunks, root=raw_dir.rstrip("/") + "/")
+    return chunk.dedupe_chunks(rows, [F.asc("path"), F.asc("chunk_index")]) if dedupe else rows
 
 
 def embed_documents(spark: SparkSession, raw_dir: str, collections_path: str, code_type: str,

@@ -73,6 +73,14 @@ def log_encode(spark, sf_dir):
                                                       "p.resource", "p.user", "p.details")
 
 
+@query("log_encode_texts", r"""SELECT doc_id, '{"text": "' || array_to_string(list_transform(string_split(text, ''),
+    lambda c: CASE WHEN c = '"' THEN '\"' WHEN c = '\' THEN '\\' WHEN c = chr(10) THEN '\n' WHEN c = chr(9) THEN '\t'
+    WHEN unicode(c) > 127 THEN printf('\u%04x', unicode(c)) ELSE c END), '') || '"}' AS details FROM documents""")
+def log_encode_texts(spark, sf_dir):
+    """Details with texts beyond ASCII."""
+    return read(spark, sf_dir, "documents").select("doc_id", audit.json_object({"text": F.col("text")}).alias("details"))
+
+
 @query("audit_summary", f"""{ctes('suggested')},
 codes AS (SELECT session, count(DISTINCT doc_id) AS documents, count(*) AS codes, round(avg(confidence), 6) AS avg_confidence,
     count(*) FILTER (kind = 'diagnosis' AND is_primary) AS primary_diagnoses,

@@ -143,27 +143,27 @@ SELECT source || '_' || lang || '_' || source || '/' || doc_id || '.txt_chunk_'
     doc_id || '.txt' AS source_file, source || '/' || doc_id || '.txt' AS source_path, 'txt' AS file_type,
     round(n_chars / 1024.0::DOUBLE, 2) AS file_size_kb, source AS code_type, lang AS year, upper(source) AS cms_category,
     chunk_index, total_chunks, {_ID} AS chunk_id, CAST(length(chunk) AS INT) AS chunk_size,
-    chunk_index > 0 AS has_previous_chunk, chunk_index < total_chunks - 1 AS has_next_chunk, start_index
+    chunk_index > 0 AS has_previous_chunk, chunk_index < total_chunks - 1 AS has_next_chunk, start_index,
+    CAST(NULL AS INT) AS page_number, CAST(NULL AS VARCHAR) AS page_label, CAST(NULL AS INT) AS total_pages,
+    CAST(NULL AS VARCHAR) AS element_type, CAST(NULL AS VARCHAR) AS parent_element,
+    CAST(NULL AS VARCHAR) AS sheet_name, CAST(NULL AS INT) AS row_number
 FROM chunks""")
 def chunk_metadata(spark, sf_dir):
     docs = read_spread(spark, sf_dir, "documents").select(
         F.expr("'raw/' || source || '/' || doc_id || '.txt'").alias("path"), "text",
         F.col("n_chars").alias("length"), F.col("source").alias("code_type"),
         F.col("lang").alias("year"))
-    rows = chunk.chunk_metadata(chunk.chunk_fixed(docs), root="raw/")
-    absent = ["page_number", "page_label", "total_pages", "element_type", "parent_element",
-              "sheet_name", "row_number"]
-    return rows.drop("chunk", "path", *absent)
+    return chunk.chunk_metadata(chunk.chunk_fixed(docs), root="raw/").drop("chunk", "path")
 
 
 @query("chunk_dedupe", f"""WITH {_CHUNKS}
 SELECT {_ID} AS chunk_id, doc_id, chunk_index, start_index FROM chunks
-QUALIFY row_number() OVER (PARTITION BY {_ID} ORDER BY doc_id, chunk_index) = 1""")
+QUALIFY row_number() OVER (PARTITION BY chunk ORDER BY doc_id, chunk_index) = 1""")
 def chunk_dedupe(spark, sf_dir):
     docs = read_spread(spark, sf_dir, "documents", "doc_id", "text")
-    hashed = chunk.chunk_fixed(docs).select("doc_id", "chunk_index", "start_index",
-                                            chunk.chunk_id(F.col("chunk")).alias("chunk_id"))
-    return chunk.dedupe_chunks(hashed, [F.asc("doc_id"), F.asc("chunk_index")])
+    chunks = chunk.chunk_fixed(docs).select("doc_id", "chunk_index", "start_index", "chunk")
+    first = chunk.dedupe_chunks(chunks, [F.asc("doc_id"), F.asc("chunk_index")])
+    return first.select(chunk.chunk_id(F.col("chunk")).alias("chunk_id"), "doc_id", "chunk_index", "start_index")
 
 
 @query("chunk_neighbours", """WITH n AS (SELECT conv_id, turn AS chunk_index,
@@ -246,11 +246,17 @@ SELECT doc_id, bool_and(success) AS success,
     CAST(sum(CASE WHEN success AND kind = 'procedures' THEN coalesce(n, 0) ELSE 0 END) AS INT) AS n_procedures,
     CAST(sum(CASE WHEN success THEN coalesce(n, 0) ELSE 0 END) AS INT) AS n_total,
     CAST(sum(CASE WHEN success THEN total_tokens ELSE 0 END) AS BIGINT) AS tokens_used,
-    max(CASE WHEN NOT success THEN 'Failed to parse JSON response' END) AS error FROM parsed GROUP BY doc_id""")
+    max(CASE WHEN NOT success THEN 'Failed to parse JSON response' END) AS error,
+    coalesce(max(CASE WHEN success AND kind = 'diagnoses' THEN array_to_string(body->>'$.diagnoses[*].condition', '|') END), '')
+        AS diagnoses,
+    coalesce(max(CASE WHEN success AND kind = 'procedures' THEN array_to_string(body->>'$.procedures[*].procedure_name', '|') END), '')
+        AS procedures FROM parsed GROUP BY doc_id""")
 def combine_extractions(spark, sf_dir):
     combined = extract.combine_extractions(
         extract.parse_entities(derived(spark, sf_dir, "responses", heavy=True)), "doc_id")
-    return combined.drop("diagnoses", "procedures")
+    return combined.withColumns({
+        "diagnoses": F.array_join("diagnoses.condition", "|"),
+        "procedures": F.array_join("procedures.procedure_name", "|")})
 
 
 @query("extraction_routing", """WITH docs AS (SELECT conv_id, turn, CASE WHEN role = 'system' THEN '' ELSE text END AS t,

@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..functions.strings import drop_invalid_utf8
 from ..operators.ranking import top_k
 
 # The order of a line: file, then block of the file, then position inside the block.
 LINE_ORDER = ("file", "block_start", "line_id")
-MAX_COLUMNS = 64
 
 
 def line_order() -> list:
@@ -29,21 +28,31 @@ def read_lines(spark: SparkSession, *paths: str) -> DataFrame:
                     drop_invalid_utf8(F.col("value")).alias("line")))
 
 
-def read_delimited(spark: SparkSession, *paths: str, sep: str = ",",
-                   max_columns: int = MAX_COLUMNS) -> DataFrame:
-    """(file, block_start, line_id, cells) of CSV or TSV files without assuming a header.
+def split_cells(line: Column, sep: str) -> Column:
+    """The cells of a CSV line, however many: quoted or plain, unquoted empty cells null.
 
-    Cells are text; trailing empty cells are cut.
+    Inside quotes, a quote is doubled or follows a backslash. Trailing empty cells are cut.
     """
-    schema = ", ".join(f"c{i} string" for i in range(max_columns))
-    cells = F.array(*[f"c{i}" for i in range(max_columns)])
+    mark = {"\t": r"\t", "|": r"\|"}.get(sep, sep)
+    quoted = r'"[^"\\]*+(?:(?:""|\\.)[^"\\]*+)*+"'
+    found = F.regexp_extract_all(F.concat(F.lit(sep), line), F.lit(f"{mark}({quoted}|[^{mark}]*+)"), F.lit(1))
+
+    def value(cell: Column) -> Column:
+        inner = F.substring(cell, F.lit(2), F.length(cell) - 2)
+        inside = F.replace(F.replace(inner, F.lit('""'), F.lit('"')), F.lit('\\"'), F.lit('"'))
+        return F.when(cell.rlike('(?s)^".*"$') & (F.length(cell) > 1), inside).otherwise(F.nullif(cell, F.lit("")))
+    cells = F.transform(found, value)
     last = F.array_max(F.transform(cells, lambda cell, i: F.when(cell.isNotNull(), i + 1)))
-    return (spark.read.schema(schema).option("sep", sep).option("header", "false")
-            .csv(list(paths))
-            .select(F.col("_metadata.file_path").alias("file"),
-                    F.col("_metadata.file_block_start").alias("block_start"),
-                    F.monotonically_increasing_id().alias("line_id"),
-                    F.slice(cells, 1, F.coalesce(last, F.lit(0))).alias("cells")))
+    return F.slice(cells, F.lit(1), F.coalesce(last, F.lit(0)))
+
+
+def read_delimited(spark: SparkSession, *paths: str, sep: str = ",") -> DataFrame:
+    """(file, block_start, line_id, cells) of CSV or TSV files without assuming a header.
+
+    Lines may have any number of cells; cells are text. Empty lines are left out.
+    """
+    return read_lines(spark, *paths).where("line <> ''").select(
+        "file", "block_start", "line_id", split_cells(F.col("line"), sep).alias("cells"))
 
 
 def number_rows(rows: DataFrame, first_rows: int) -> DataFrame:

@@ -52,9 +52,10 @@ def duration_windows(calls: DataFrame, late_by: str | None = "10 minutes",
 
 
 def dedupe_chunk_stream(chunks: DataFrame, late_by: str = "1 hour") -> DataFrame:
-    """First arrival per ``chunk_id`` within the watermark of ``timestamp``."""
-    return (chunks.withWatermark("timestamp", late_by)
-            .dropDuplicatesWithinWatermark(["chunk_id"]))
+    """First arrival per text of ``chunk`` (by SHA-256) within the watermark of ``timestamp``."""
+    return (chunks.withColumn("chunk_sha256", F.sha2("chunk", 256))
+            .withWatermark("timestamp", late_by)
+            .dropDuplicatesWithinWatermark(["chunk_sha256"]).drop("chunk_sha256"))
 
 
 def to_files(stream: DataFrame, path: str, name: str, file_format: str = "parquet",

@@ -1,6 +1,7 @@
 """Column functions against documented cases and Python."""
 
 import datetime as dt
+import json
 import re
 
 import pytest
@@ -185,7 +186,7 @@ def test_audit_texts(spark):
     df = spark.createDataFrame([("E11.9", 0.92, None, 'q"é')], "code string, confidence double, note string, t string")
     line = df.select(audit.structured_line(F.lit("Code suggested"), {
         n: F.col(n) for n in df.columns}).alias("x")).first()["x"]
-    assert line == 'Code suggested | Data: {"code": "E11.9", "confidence": 0.92, "note": null, "t": "q\\"é"}'
+    assert line == 'Code suggested | Data: {"code": "E11.9", "confidence": 0.92, "note": null, "t": "q\\"\\u00e9"}'
     message = audit.audit_message(F.lit("a"), F.lit("r"), F.lit("u"), F.lit('{"k": 1}'))
     row = df.select(message.alias("m"), audit.audit_parts(message).alias("p")).first()
     assert row["m"] == 'Action: a | Resource: r | User: u | Details: {"k": 1}'
@@ -222,3 +223,11 @@ def test_sql_functions_agree_with_columns(spark):
     assert [r[0] for r in scores.select(strings.keyword_score(F.col("t"), F.col("q"))).collect()] == [
         pytest.approx(2 / 3), 0.0, None, None]
     assert spark.sql("SELECT keyword_score('Diabetes and diabetes', 'DIABETES')").first()[0] == pytest.approx(2 / 3)
+
+
+@given(st.lists(st.text(st.characters(exclude_categories=["Cs"], min_codepoint=32), max_size=12), min_size=1, max_size=8))
+@settings(max_examples=10, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
+def test_json_details_equal_json_dumps(spark, texts):
+    df = spark.createDataFrame(list(enumerate(texts)), "i int, t string")
+    got = df.select("i", audit.json_object({"ké": F.col("t")}).alias("j")).collect()
+    assert {r["i"]: r["j"] for r in got} == {i: json.dumps({"ké": t}) for i, t in enumerate(texts)}

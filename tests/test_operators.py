@@ -253,8 +253,17 @@ def test_years(spark):
     grid = {(r["code_type"], r["year"]): r["total_codes"] for r in
             years.availability(df, years.ALL_YEARS).collect()}
     assert grid[("cpt", 2024)] == 3 and grid[("icd10cm", 2022)] == 0 and len(grid) == 8
-    with pytest.raises(Exception, match="out of range"):
-        years.year_masks(df.withColumn("year", F.lit(1900))).collect()
+
+
+def test_any_year_and_none(spark):
+    df = spark.createDataFrame([("t", 1985, "a"), ("t", 1986, "a"), ("t", 2060, "a"), ("t", None, "a"), ("u", None, "b")],
+                               "code_type string, year int, code string")
+    pair, = years.compare_consecutive_years(df).collect()
+    assert (pair["year1"], pair["common_codes"]) == (1985, 1)
+    assert sorted((r["year"], r["gap_before"]) for r in years.history_flags(df).collect()) == [
+        (1985, 0), (1986, 0), (2060, 73)]
+    grid = {(r["code_type"], r["year"]): r["total_codes"] for r in years.availability(df, [1985, 2061]).collect()}
+    assert grid == {("t", 1985): 1, ("t", 2061): 0, ("u", 1985): 0, ("u", 2061): 0}
 
 
 def test_consecutive_years_at_the_edge_of_the_mask(spark):
@@ -322,6 +331,16 @@ def test_chunk_metadata_and_dedupe(spark):
     assert [r["file_type"] for r in unique.collect()] == ["pdf"]
 
 
+def test_every_response_of_a_kind_is_kept(spark):
+    rows = spark.createDataFrame(
+        [(1, 2, "diagnoses", '{"diagnoses": [{"condition": "b"}]}', 5), (1, 1, "diagnoses", '{"diagnoses": [{"condition": "c"}]}', 6),
+         (1, 1, "procedures", '{"procedures": [{"procedure_name": "p"}]}', 7), (2, 1, "procedures", "no json", 8)],
+        "doc int, part int, kind string, content string, total_tokens long")
+    got = {r["doc"]: r for r in extract.combine_extractions(extract.parse_entities(rows), "doc", "part").collect()}
+    assert [d["condition"] for d in got[1]["diagnoses"]] == ["c", "b"] and got[1]["tokens_used"] == 18
+    assert (got[1]["n_total"], got[2]["n_total"], got[2]["success"]) == (3, 0, False)
+
+
 def test_retry():
     calls, pauses = [], []
 

@@ -210,7 +210,11 @@ def test_documents_to_chunks(spark, tmp_path):
     second = entries.filter("document = 'page two'").first()
     assert second["id"].endswith("c.pdf_chunk_1") and second["metadata"]["page_number"] == "1"
     assert second["metadata"]["total_chunks"] == "2" and second["metadata"]["has_previous_chunk"] == "True"
-    assert entries.filter(F.col("metadata")["source_file"] == "same.txt").count() == 0   # duplicates of a.txt
+    copies = entries.groupBy(F.col("metadata")["source_file"].alias("f")).count().collect()
+    counts = {r["f"]: r["count"] for r in copies}
+    assert counts["same.txt"] == counts["a.txt"] > 1   # every file keeps its chunks
+    unique = jobs.chunk_documents(documents.scan_documents(spark, str(root), "cpt", 2024), str(root), dedupe=True)
+    assert unique.filter("source_file = 'same.txt'").count() == 0 < unique.filter("source_file = 'a.txt'").count()
     assert jobs.embed_documents(spark, str(root), store, "cpt", 2024, {".pdf": decode})["written"] == 0
 
 
@@ -301,11 +305,11 @@ def test_duration_windows_stream_equals_batch(spark, tmp_path):
 
 def test_chunk_stream_dedupe(spark, tmp_path):
     rows = spark.createDataFrame([("a", dt.datetime(2025, 1, 1)), ("a", dt.datetime(2025, 1, 1)), ("b", dt.datetime(2025, 1, 1))],
-                                 "chunk_id string, timestamp timestamp")
+                                 "chunk string, timestamp timestamp")
     rows.write.parquet(str(tmp_path / "in"))
     stream = logs.dedupe_chunk_stream(spark.readStream.schema(rows.schema).parquet(str(tmp_path / "in")))
     run(logs.to_files(stream, str(tmp_path / "out"), f"dedupe-{uuid.uuid4().hex}"))
-    assert sorted(r["chunk_id"] for r in spark.read.parquet(str(tmp_path / "out")).collect()) == ["a", "b"]
+    assert sorted(r["chunk"] for r in spark.read.parquet(str(tmp_path / "out")).collect()) == ["a", "b"]
 
 
 # --- session -------------------------------------------------------------------------------
@@ -319,6 +323,14 @@ def test_cut_lineage_and_small_rows(spark, tmp_path):
     assert session.spread(spark.range(10, numPartitions=1)).rdd.getNumPartitions() == 8
 
 
+def test_delimited_lines_of_any_width(spark, tmp_path):
+    path = str(write(tmp_path / "w.csv", ",".join(f"c{i}" for i in range(72)) + '\n"a,1","b ""q"" c",,"","d \\"e\\"",,\n\n,x\n'))
+    rows = [r["cells"] for r in code_files.read_delimited(spark, path).orderBy("line_id").collect()]
+    assert rows == [[f"c{i}" for i in range(72)], ["a,1", 'b "q" c', None, "", 'd "e"'], [None, "x"]]
+    tabs = str(write(tmp_path / "w.txt", "a\tb,c\t\td"))
+    assert code_files.read_delimited(spark, tabs, sep="\t").first()["cells"] == ["a", "b,c", None, "d"]
+
+
 def test_number_rows(spark, tmp_path):
     path = str(write(tmp_path / "t.csv", "\n".join(f"{i},x" for i in range(50))))
     rows = code_files.number_rows(code_files.read_delimited(spark, path), 21)
