@@ -7,8 +7,9 @@ from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.ml.feature import HashingTF, Normalizer, RegexTokenizer
-from pyspark.ml.functions import vector_to_array
+from pyspark.ml.feature import CountVectorizerModel, Normalizer
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 # Batch size, attempts, delay, collection name prefixes.
@@ -117,16 +118,19 @@ def embed_batches(df: DataFrame, embedder: Callable[[list[str]], np.ndarray], te
 
 def hashing_embed(df: DataFrame, text: str, dimension: int = 256,
                   vector: str = "embedding") -> DataFrame:
-    """Offline vectors on the JVM: lower-cased tokens hashed to counts of unit length.
+    """Offline vectors on the JVM: counts of lower-cased tokens by bucket, at unit length.
 
-    Texts without tokens get a zero vector, which no search returns.
+    The bucket of a token is the number in the first eight hex digits of its MD5, modulo
+    ``dimension``. Texts without tokens get a zero vector, which no search returns.
     """
-    tokens = RegexTokenizer(inputCol=text, outputCol="__tokens", pattern=r"\s+")
-    counts = HashingTF(inputCol="__tokens", outputCol="__tf", numFeatures=dimension)
+    tokens = F.filter(F.split(F.lower(F.col(text)), r"\s+"), lambda token: token != "")
+    buckets = F.transform(tokens, lambda token: F.pmod(
+        F.conv(F.substring(F.md5(token), 1, 8), 16, 10).cast("long"), F.lit(dimension)).cast("string"))
+    counts = CountVectorizerModel.from_vocabulary([str(i) for i in range(dimension)], "__buckets", "__tf")
     unit = Normalizer(inputCol="__tf", outputCol="__unit", p=2.0)
-    hashed = unit.transform(counts.transform(tokens.transform(df)))
-    return hashed.select(*df.columns,
-                         vector_to_array("__unit", "float32").alias(vector))
+    bucketed = df.withColumn("__buckets", F.coalesce(buckets, F.array().cast("array<string>")))
+    return unit.transform(counts.transform(bucketed)).select(
+        *df.columns, vector_to_array("__unit", "float32").alias(vector))
 
 
 def only_new(entries: DataFrame, existing: DataFrame, key: str = "id") -> DataFrame:
@@ -137,12 +141,9 @@ def only_new(entries: DataFrame, existing: DataFrame, key: str = "id") -> DataFr
 def label_centroids(vectors: DataFrame, label: str, vector: str) -> DataFrame:
     """Mean vector per label as search requests (``qid``, ``vector``).
 
-    Component sums are combined on the map side; what is collected per label is one value per
-    dimension.
+    One vector of sums per label and task is held and shuffled.
     """
-    parts = vectors.select(F.col(label).alias("qid"),
-                           F.posexplode(vector).alias("i", "component"))
-    means = parts.groupBy("qid", "i").agg(F.avg(F.col("component").cast("double")).alias("mean"))
-    return means.groupBy("qid").agg(
-        F.array_sort(F.collect_list(F.struct("i", "mean"))).alias("parts")).select(
-        "qid", F.col("parts.mean").alias("vector"))
+    rows = vectors.where(F.col(vector).isNotNull()).select(
+        F.col(label).alias("qid"), array_to_vector(F.col(vector).cast("array<double>")).alias("v"))
+    means = rows.groupBy("qid").agg(Summarizer.mean(F.col("v")).alias("mean"))
+    return means.select("qid", vector_to_array("mean").alias("vector"))

@@ -59,6 +59,19 @@ def semantic_topk(spark, sf_dir):
     return _rounded(hits, "similarity")
 
 
+@query("semantic_neighbours", int_rank("""WITH pairs AS (SELECT q.vec_id AS qid, c.vec_id,
+    round(list_cosine_similarity(c.embedding::DOUBLE[], q.embedding::DOUBLE[]), 9) AS similarity
+    FROM embeddings q CROSS JOIN embeddings c)
+SELECT qid, vec_id, round(similarity, 6) AS similarity,
+       row_number() OVER (PARTITION BY qid ORDER BY similarity DESC, vec_id) AS rank
+FROM pairs QUALIFY rank <= 3"""))
+def semantic_neighbours(spark, sf_dir):
+    """Every embedding as a request."""
+    vectors = read(spark, sf_dir, "embeddings")
+    requests = vectors.select(F.col("vec_id").alias("qid"), F.col("embedding").alias("vector"))
+    return _rounded(search.semantic_topk(vectors, requests, 3, id_col="vec_id", vector_col="embedding"), "similarity")
+
+
 @query("semantic_topk_filtered", int_rank(f"""WITH {REQUESTS_SQL}
 SELECT qid, vec_id, round(similarity, 6) AS similarity,
        row_number() OVER (PARTITION BY qid ORDER BY similarity DESC, vec_id) AS rank
@@ -169,15 +182,13 @@ def entry_metadata(spark, sf_dir):
 
 
 @query("incremental_insert", f"""WITH {_COLLECTION_CODES},
-stored AS (SELECT DISTINCT lpad(CAST(l_partkey AS STRING), 6, '0') AS code FROM lineitem
-           WHERE l_shipdate >= TIMESTAMP '2001-06-01')
+stored AS (SELECT DISTINCT lpad(CAST(l_orderkey AS STRING), 6, '0') AS code FROM lineitem)
 SELECT collection_type || '_' || CAST(year AS STRING) || '_' || code AS id, {_ENTRY} AS document
 FROM codes ANTI JOIN stored USING (code)""")
 def incremental_insert(spark, sf_dir):
-    """Parts not yet shipped since mid 2001 play the entries that are still to be stored."""
+    """Order numbers of all lines play the codes that are stored already."""
     entries = embed.code_entries(_collection_codes(spark, sf_dir))
-    stored = (read(spark, sf_dir, "lineitem").filter("l_shipdate >= TIMESTAMP_NTZ '2001-06-01'")
-              .selectExpr("lpad(CAST(l_partkey AS STRING), 6, '0') AS code"))
+    stored = read(spark, sf_dir, "lineitem").selectExpr("lpad(CAST(l_orderkey AS STRING), 6, '0') AS code")
     return embed.only_new(entries, stored, "code").select("id", "document")
 
 
@@ -189,13 +200,15 @@ def collection_counts(spark, sf_dir):
     return counts(embed.code_entries(_collection_codes(spark, sf_dir)))
 
 
-@query("embed_hash")
+@query("embed_hash", r"""WITH tokens AS (SELECT doc_id, unnest(regexp_split_to_array(lower(text), '\s+')) AS token FROM documents),
+buckets AS (SELECT doc_id, CAST(CAST('0x' || left(md5(token), 8) AS UBIGINT) % 64 AS INT) AS bucket, count(*) AS n
+    FROM tokens WHERE token <> '' GROUP BY ALL)
+SELECT doc_id, bucket, CAST(CAST(n / sqrt(sum(n * n) OVER (PARTITION BY doc_id)) AS FLOAT) AS DOUBLE) AS weight FROM buckets""")
 def embed_hash(spark, sf_dir):
-    vectors = embed.hashing_embed(read_spread(spark, sf_dir, "documents", "doc_id", "text"),
-                                  "text", 64)
-    norm = F.sqrt(F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x * x))
-    return vectors.select("doc_id", F.size("embedding").alias("dimension"),
-                          F.round(norm, 4).alias("norm"))
+    """All components other than 0 of the hashed vectors."""
+    vectors = embed.hashing_embed(read_spread(spark, sf_dir, "documents", "doc_id", "text"), "text", 64)
+    parts = vectors.select("doc_id", F.posexplode("embedding").alias("bucket", "weight"))
+    return parts.where("weight <> 0").select("doc_id", "bucket", F.col("weight").cast("double").alias("weight"))
 
 
 @query("rerank", int_rank(f"""{ctes('suggested')},

@@ -104,18 +104,40 @@ def test_semantic_topk(spark, monkeypatch, id_type):
         return {(r["qid"], r["key"], r["rank"]) for r in hits}
 
     assert run() == brute_semantic(corpus, requests, 7)
-    monkeypatch.setattr(search, "VECTOR_BLOCK", 3)   # several passes give the same
+    monkeypatch.setattr(search, "BROADCAST_BYTES", 0)   # requests that stream past blocks give the same
     assert run() == brute_semantic(corpus, requests, 7)
     odd = F.col("key") > (corpus[30][0])
     assert run(where=odd) == brute_semantic([c for c in corpus if c[0] > corpus[30][0]], requests, 7)
 
 
+def test_odd_ids_and_vectors_are_no_hits(spark, monkeypatch):
+    df = spark.createDataFrame([(1, [1.0, 0.0], "a"), (None, [1.0, 0.0], "a"), (2, [1.0], "b"), (3, [], "c"),
+                                (4, None, None), (5, [0.0, 1.0], "a")], "key long, v array<double>, g string")
+    req = spark.createDataFrame([(1, [1.0, 0.0]), (2, [2.0]), (3, None), (4, [])], "qid int, vector array<double>")
+    for size in (1 << 20, 0):
+        monkeypatch.setattr(search, "BROADCAST_BYTES", size)
+        hits = search.semantic_topk(df, req, 5, id_col="key", vector_col="v", per=["g"])
+        assert sorted((r["qid"], r["key"], r["g"], r["rank"]) for r in hits.collect()) == [
+            (1, 1, "a", 1), (1, 5, "a", 2), (2, 2, "b", 1)]
+
+
+def test_many_requests_take_one_corpus_scan(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(search, "BROADCAST_BYTES", 1000)
+    rng = np.random.default_rng(4)
+    vectors = [(i, v) for i, v in enumerate(rng.normal(size=(300, 4)).tolist())]
+    spark.createDataFrame(vectors, "key long, v array<double>").write.parquet(str(tmp_path / "corpus"))
+    df = spark.read.parquet(str(tmp_path / "corpus"))
+    req = spark.createDataFrame(vectors, "qid long, vector array<double>")
+    hits = search.semantic_topk(df, req, 3, id_col="key", vector_col="v")
+    assert plan_of(hits).count("FileScan parquet") == 1
+    assert {(r["qid"], r["key"], r["rank"]) for r in hits.collect()} == brute_semantic(vectors, vectors, 3)
+
+
 def test_search_rejects_bad_input(spark):
     df = spark.createDataFrame([(1, [1.0, 2.0], "a")], "key long, v array<double>, t string")
     req = spark.createDataFrame([(1, [1.0], "")], "qid int, vector array<double>, query string")
-    with pytest.raises(Exception, match="components"):
-        search.semantic_topk(df, req, 1, id_col="key", vector_col="v").collect()
-    with pytest.raises(ValueError, match="non-empty"):
+    assert search.semantic_topk(df, req, 1, id_col="key", vector_col="v").count() == 0   # no angle
+    with pytest.raises(Exception, match="non-empty"):
         search.keyword_topk(df, req, 1, id_col="key", text_col="t").collect()
     with pytest.raises(ValueError, match="sum to 1.0"):
         search.check_weights(0.7, 0.4)
@@ -139,8 +161,8 @@ def test_keyword_topk(spark, monkeypatch):
     requests = [(1, "Diabetes"), (2, "aa"), (3, "nothing"), (4, "e")]
     df = spark.createDataFrame(TEXTS, "key long, t string")
     req = spark.createDataFrame(requests, "qid int, query string")
-    for block in (256, 1):
-        monkeypatch.setattr(search, "KEYWORD_BLOCK", block)
+    for size in (1 << 20, 0):
+        monkeypatch.setattr(search, "BROADCAST_BYTES", size)
         got = {(r["qid"], r["key"], r["rank"], r["score"]) for r in search.keyword_topk(
             df, req, 3, id_col="key", text_col="t").collect()}
         assert got == brute_keyword(TEXTS, requests, 3)
