@@ -21,7 +21,7 @@ from .components import connected_components
 SHINGLE = 5
 SIMILARITY = 75  # per cent
 TABLES = 10
-LEAVES = 2000  # rows that are compared with one copy of a hub
+LEAVES = 400  # rows that are compared with one copy of a hub
 BLOCK_ROWS, BLOCK_SHINGLES = 512, 1 << 21  # what a block of the exact comparison holds at most
 
 _M1, _M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
@@ -172,8 +172,8 @@ def _grouped(signed: DataFrame, tables: int, scratch: Scratch) -> DataFrame:
     degree = live.groupBy("c").agg(F.sum("members").alias("degree"))
     hubs = (live.join(degree, "c").groupBy("key")
             .agg(F.max(F.struct("degree", F.negative("c").alias("c"))).alias("top"))
-            .select("key", F.negative("top.c").alias("hub")))
-    members = scratch.save(live.join(hubs, "key").select("key", "c", "hub"), "members")
+            .select("key", F.negative("top.c").alias("hub"), F.col("top.degree").alias("degree")))
+    members = scratch.save(live.join(hubs, "key").select("key", "c", "hub", "degree"), "members")
     stars = members.where("c <> hub").select("hub", "c").distinct()
     links = scratch.save(_verified_stars(stars, texts), "links")
     labels = scratch.save(connected_components(links, scratch), "labels")
@@ -251,9 +251,13 @@ def _verified_blocks(members: DataFrame, labels: DataFrame, texts: DataFrame) ->
                                        F.count("*").alias("n"))
              .where("n > 1").select("key", F.col("top.label").alias("main")))
     rows = labelled.join(mixed, "key")
-    home = (rows.groupBy("c", "label").agg(F.min("hub").alias("home"))
+    # near its hub with most neighbours, or near the hub of that one
+    first = (members.groupBy("c").agg(F.max(F.struct("degree", F.negative("hub").alias("hub"))).alias("top"))
+             .select("c", F.negative("top.hub").alias("hub")))
+    second = first.select(F.col("c").alias("hub"), F.col("hub").alias("home"))
+    home = (rows.select("c", "label").distinct().join(first, "c").join(second, "hub")
             .join(texts.select("c", "n"), "c")
-            .withColumn("size", F.floor(F.log2("n")).cast("int")))
+            .select("c", "label", "home", F.floor(F.log2("n")).cast("int").alias("size")))
     room = F.greatest(F.lit(1), F.least(F.lit(BLOCK_ROWS),
                                         F.floor(F.lit(BLOCK_SHINGLES) / F.pow(2.0, "size"))))
     blocks = (home.groupBy("home", "size").count()
