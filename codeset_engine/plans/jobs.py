@@ -4,26 +4,37 @@ from __future__ import annotations
 
 from collections.abc import Callable, Mapping
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, functions as F
 
 from ..functions.prompts import TEMPLATES
 from ..operators import chunk, embed, extract, normalize, search
+from ..operators.ranking import first_per_key
 from ..session import cut_lineage
 from ..sources import code_files, documents, listing, tables
 
 
-def parse_code_file(spark: SparkSession, path: str, code_type: str) -> DataFrame:
-    """Rows of one raw code file by type and extension, de-duplicated in line order."""
+SPREADSHEETS = (".xlsx", ".xls")
+
+
+def parse_code_file(spark: SparkSession, path: str, code_type: str,
+                    decoders: Mapping[str, code_files.Decoder] | None = None) -> DataFrame:
+    """Rows of one raw code file by type and extension, de-duplicated in line order.
+
+    ``decoders`` read spreadsheets, by extension.
+    """
     if code_type == "icd10cm":
         rows = normalize.parse_icd10cm_lines(code_files.read_lines(spark, path))
     elif code_type == "icd10pcs":
         rows = normalize.parse_icd10pcs_lines(code_files.read_lines(spark, path))
     elif code_type == "cpt":
-        if path.lower().endswith((".xlsx", ".xls")):
-            raise ValueError("spreadsheets need a decoder: pass their rows to read_sheet_codes")
-        sep = "\t" if path.lower().endswith(".txt") else ","
-        sheet = code_files.number_rows(code_files.read_delimited(spark, path, sep=sep),
-                                       normalize.HEADER_ROWS_TRIED + 1)
+        extension = path.lower()[path.rfind("."):]
+        if extension in SPREADSHEETS:
+            if extension not in (decoders or {}):
+                raise ValueError(f"{extension} files need a decoder")
+            sheet = code_files.read_decoded(spark, path, decoders[extension])
+        else:
+            sheet = code_files.number_rows(code_files.read_delimited(
+                spark, path, sep="\t" if extension == ".txt" else ","), normalize.HEADER_ROWS_TRIED + 1)
         codes = normalize.read_sheet_codes(sheet, carry=("block_start", "line_id"))
         return normalize.dedupe_codes(codes, code_files.line_order())
     else:
@@ -31,23 +42,25 @@ def parse_code_file(spark: SparkSession, path: str, code_type: str) -> DataFrame
     return normalize.dedupe_codes(rows, code_files.line_order())
 
 
-def normalize_codes(spark: SparkSession, raw_dir: str, code_type: str, year: int,
-                    out: str) -> DataFrame | None:
+def normalize_codes(spark: SparkSession, raw_dir: str, code_type: str, year: int, out: str,
+                    decoders: Mapping[str, code_files.Decoder] | None = None) -> DataFrame | None:
     """Find, parse, de-duplicate and store the code set of one type and year.
 
-    Returns the stored rows, or None when there is no code file or it holds no codes; the
-    stored partition then stays as it is.
+    Spreadsheets count as code files where ``decoders`` has their extension; else the next file
+    is taken. Returns the stored rows, or None when there is no code file or it holds no codes;
+    the stored partition then stays as it is.
     """
-    found = listing.code_files(listing.list_files(spark, raw_dir)).filter(
+    skip = [extension for extension in SPREADSHEETS if extension not in (decoders or {})]
+    found = listing.code_files(listing.list_files(spark, raw_dir), skip).filter(
         (F.col("code_type") == code_type) & (F.col("year") == year)).select("path").first()
     if found is None:
         return None
-    codes = parse_code_file(spark, found["path"], code_type)
-    if codes.isEmpty():
-        return None
-    codes = codes.withColumn("collection_type", F.lit(code_type)).withColumn("year", F.lit(year))
-    tables.write_codes(codes, out)
-    return tables.load_codes(spark, out, code_type, year)
+    codes = parse_code_file(spark, found["path"], code_type, decoders)
+    parsed = Observation("parsed")
+    codes = (codes.withColumn("collection_type", F.lit(code_type)).withColumn("year", F.lit(year))
+             .observe(parsed, F.count(F.lit(1)).alias("rows")))
+    tables.write_codes(codes, out)   # without rows no partition is overwritten
+    return tables.load_codes(spark, out, code_type, year) if parsed.get["rows"] else None
 
 
 def embed_codes(spark: SparkSession, codes_path: str, collections_path: str, code_type: str,
@@ -56,17 +69,30 @@ def embed_codes(spark: SparkSession, codes_path: str, collections_path: str, cod
     """Embed a stored code set into its collection. Without a model, hashed vectors are used."""
     codes = tables.load_codes(spark, codes_path, code_type, year)
     extra = [name for name in ("code_type", "category", "is_billable", "section", "body_system")]
-    entries = embed.code_entries(codes, extra)
-    if not force and tables.exists(spark, collections_path):
-        entries = embed.only_new(entries, tables.read_collections(spark, collections_path))
+    entries = _new_entries(spark, embed.code_entries(codes, extra), collections_path, code_type, year, force)
     return _embed_and_write(entries, collections_path, embedder, force, dimension)
 
 
+def collection_names(code_type: str, year: int) -> list[str]:
+    """The collections of a type and year: that of its codes and that of its documents."""
+    return [f"{prefix}_{code_type}_{year}" for prefix in (embed.COLLECTION_PREFIX, embed.DOCUMENT_PREFIX)]
+
+
+def _new_entries(spark: SparkSession, entries: DataFrame, path: str, code_type: str, year: int,
+                 force: bool) -> DataFrame:
+    """One entry per id; without ``force`` only ids that their collection does not hold yet."""
+    entries = first_per_key(entries, ["id"], [F.asc("document")])
+    if force or not tables.exists(spark, path):
+        return entries
+    stored = tables.read_collections(spark, path)
+    return embed.only_new(entries, stored.filter(F.col("collection").isin(collection_names(code_type, year))))
+
+
 def _embed_and_write(entries: DataFrame, path: str, embedder: Callable | None, force: bool,
                      dimension: int) -> dict[str, int]:
     vectors = (embed.hashing_embed(entries, "document", dimension) if embedder is None
                else embed.embed_batches(entries, embedder, "document"))
-    return tables.write_collection(vectors, path, f"{path}-errors", force)
+    return tables.write_collection(vectors, path, f"{path}-errors", force, only_new_ids=True)
 
 
 def chunk_documents(docs: DataFrame, raw_dir: str, size: int = chunk.CHUNK_SIZE,
@@ -94,8 +120,7 @@ def embed_documents(spark: SparkSession, raw_dir: str, collections_path: str, co
         F.lit(None).cast("string").alias("code"), F.lit(None).cast("string").alias("description"),
         F.lit(code_type).alias("collection_type"), F.lit(code_type).alias("code_type"),
         F.lit(year).alias("year"))
-    if not force and tables.exists(spark, collections_path):
-        entries = embed.only_new(entries, tables.read_collections(spark, collections_path))
+    entries = _new_entries(spark, entries, collections_path, code_type, year, force)
     return _embed_and_write(entries, collections_path, embedder, force, dimension)
 
 
@@ -104,10 +129,11 @@ def search_codes(entries: DataFrame, requests: DataFrame, code_type: str, year:
                  hybrid: bool = True) -> DataFrame:
     """Top-k of one type and year with code, description and metadata.
 
-    The (type, year) filter and ``where`` prune before the search; descriptions are joined
-    back to the few hits.
+    Only the folders of the type's and year's collections are read, and ``where`` filters before
+    the search; descriptions are joined back to the few hits.
     """
-    chosen = entries.filter((F.col("collection_type") == code_type) & (F.col("year") == year))
+    chosen = entries.filter(F.col("collection").isin(collection_names(code_type, year))
+                            & (F.col("collection_type") == code_type) & (F.col("year") == year))
     if where is not None:
         chosen = chosen.filter(where)
     if hybrid:
@@ -122,7 +148,7 @@ def search_codes(entries: DataFrame, requests: DataFrame, code_type: str, year:
 def search_all_types(entries: DataFrame, requests: DataFrame, year: int,
                      k: int = search.TOP_K_PER_TYPE) -> DataFrame:
     """Top-k per collection type in one pass; types without hits do not occur."""
-    chosen = entries.filter(F.col("year") == year)
+    chosen = entries.filter(F.endswith("collection", F.lit(f"_{year}")) & (F.col("year") == year))
     hits = search.semantic_topk(chosen, requests, k, id_col="id", vector_col="embedding",
                                 per=["collection_type"])
     return hits.join(chosen.select("id", "code", "description", "code_type"), "id")

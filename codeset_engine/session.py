@@ -54,6 +54,9 @@ def _local_root() -> str:
     return tempfile.mkdtemp(prefix="codeset-checkpoint-", dir="/tmp")
 
 
+_CUTS: dict[int, str] = {}   # where the tables lie
+
+
 def cut_lineage(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` once as a table in the checkpoint folder and read it back.
 
@@ -63,7 +66,16 @@ def cut_lineage(df: DataFrame, label: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{checkpoint_root(spark)}/{label}-{uuid.uuid4().hex}"
     df.write.mode("errorifexists").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    cut = spark.read.schema(df.schema).parquet(path)
+    _CUTS[id(cut)] = path
+    return cut
+
+
+def drop_cut(cut: DataFrame) -> None:
+    """Delete what :func:`cut_lineage` has written, once nothing reads it any more."""
+    jvm = cut.sparkSession._jvm
+    folder = jvm.org.apache.hadoop.fs.Path(_CUTS.pop(id(cut)))
+    folder.getFileSystem(cut.sparkSession._jsc.hadoopConfiguration()).delete(folder, True)
 
 
 def rows_if_small(df: DataFrame, max_rows: int) -> list[Row] | None:

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..functions.strings import drop_invalid_utf8
@@ -11,6 +14,9 @@ from ..operators.ranking import top_k
 LINE_ORDER = ("file", "block_start", "line_id")
 
 
+Decoder = Callable[[bytes], list]
+
+
 def line_order() -> list:
     return [F.asc(name) for name in LINE_ORDER]
 
@@ -55,6 +61,24 @@ def read_delimited(spark: SparkSession, *paths: str, sep: str = ",") -> DataFram
         "file", "block_start", "line_id", split_cells(F.col("line"), sep).alias("cells"))
 
 
+def read_decoded(spark: SparkSession, path: str, decoder: Decoder) -> DataFrame:
+    """(file, block_start, line_id, row_no, cells) of a spreadsheet, by an injected decoder.
+
+    The decoder takes the bytes of a file and returns its rows as lists of cell texts. A file is
+    decoded by one task.
+    """
+    files = spark.read.format("binaryFile").load(path).select("path", "content")
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for name, content in zip(batch["path"], batch["content"]):
+                rows = [[None if cell is None else str(cell) for cell in row] for row in decoder(bytes(content))]
+                yield pd.DataFrame({"file": name, "block_start": 0, "line_id": range(len(rows)),
+                                    "row_no": range(len(rows)), "cells": rows})
+
+    return files.mapInPandas(run, "file string, block_start long, line_id long, row_no int, cells array<string>")
+
+
 def number_rows(rows: DataFrame, first_rows: int) -> DataFrame:
     """Adds 0-based ``row_no`` for the first rows of each file.
 

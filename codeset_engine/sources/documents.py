@@ -24,6 +24,9 @@ ELEMENT_FACTS = T.StructType([
     T.StructField("row_number", T.IntegerType())])
 
 
+BINARY_FILE = "path string, modificationTime timestamp, length long, content binary"
+
+
 def document_listing(files: DataFrame, code_type: str, year: int,
                      include_xsd: bool = False) -> DataFrame:
     """Files directly inside ``{code_type}/*_{year}`` folders whose type is supported."""
@@ -90,6 +93,13 @@ def refuse(files: DataFrame) -> DataFrame:
                         .alias("load_error"))
 
 
+def matching_folders(spark: SparkSession, pattern: str) -> list[str]:
+    """Folders that match a path pattern; files of other folders are never listed or opened."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(pattern)
+    found = path.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(path)
+    return [str(status.getPath()) for status in found or () if status.isDirectory()]
+
+
 def scan_documents(spark: SparkSession, raw_dir: str, code_type: str, year: int,
                    decoders: Mapping[str, Decoder] | None = None,
                    include_xsd: bool = False) -> DataFrame:
@@ -98,11 +108,13 @@ def scan_documents(spark: SparkSession, raw_dir: str, code_type: str, year: int,
     Each way of loading has its own scan, limited by file name, so no content is read twice.
     What cannot be loaded keeps a row with its error.
     """
+    folders = matching_folders(spark, f"{raw_dir}/{code_type}/*_{year}")
+
     def scan(*types: str) -> DataFrame:
         # A name pattern for the extensions in any case.
         names = ",".join("".join(f"[{c.lower()}{c.upper()}]" for c in t[1:]) for t in types)
-        files = (spark.read.format("binaryFile").option("recursiveFileLookup", "true")
-                 .option("pathGlobFilter", f"*.{{{names}}}").load(f"{raw_dir}/{code_type}"))
+        reader = spark.read.format("binaryFile").option("pathGlobFilter", f"*.{{{names}}}")
+        files = reader.load(folders) if folders else spark.createDataFrame([], BINARY_FILE)
         return document_listing(files, code_type, year, include_xsd)
 
     decoders = {t: d for t, d in (decoders or {}).items() if t in DECODED_TYPES + OPTIONAL_TYPES}

@@ -69,11 +69,14 @@ def resolve_source_dirs(files: DataFrame) -> DataFrame:
             .agg(F.min_by("source", "priority").alias("source")))
 
 
-def find_code_files(files: DataFrame) -> DataFrame:
+def find_code_files(files: DataFrame, skip: Sequence[str] = ()) -> DataFrame:
     """One file per (code_type, year, source): best pattern, then size where size decides, then path.
 
-    ``files``: ``code_type, year, source, name, path, length``.
+    ``files``: ``code_type, year, source, name, path, length``. Files with an extension in
+    ``skip`` do not count.
     """
+    for extension in skip:
+        files = files.filter(~F.endswith(F.lower("name"), F.lit(extension)))
     priority = _position(F.col("name"), F.col("code_type"), FILE_PATTERNS,
                          lambda v, o: v.rlike(o))
     size = F.when(F.col("code_type").isin(*LARGEST_WINS), F.col("length")).otherwise(F.lit(0))
@@ -82,10 +85,10 @@ def find_code_files(files: DataFrame) -> DataFrame:
         ["code_type", "year", "source"], [F.asc("priority"), F.desc(size), F.asc("path")])
 
 
-def code_files(files: DataFrame) -> DataFrame:
+def code_files(files: DataFrame, skip: Sequence[str] = ()) -> DataFrame:
     """The code file of every (code_type, year): preferred directory, then best file in it."""
     parts = with_source_parts(files)
-    return find_code_files(parts).join(resolve_source_dirs(parts),
+    return find_code_files(parts, skip).join(resolve_source_dirs(parts),
                                        ["code_type", "year", "source"], "left_semi")
 
 

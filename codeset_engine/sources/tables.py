@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from .. import schemas
 from ..operators.embed import collection_name, only_new
-from ..session import cut_lineage
+from ..session import cut_lineage, drop_cut
 
 CODE_PARTITIONS = ["collection_type", "year"]
 # Export formats that are tables. (Spreadsheets and PDF are not.)
@@ -94,19 +94,23 @@ def read_collections(spark: SparkSession, path: str) -> DataFrame:
 
 
 def write_collection(entries: DataFrame, path: str, errors_path: str | None = None,
-                     force: bool = False) -> dict[str, int]:
+                     force: bool = False, only_new_ids: bool = False) -> dict[str, int]:
     """Add entries to their collections; returns counts of written, known and failed rows.
 
     Ids already stored are skipped, so a load that failed half way is completed by running it
-    again. ``force`` replaces the collections that occur in ``entries``. Rows whose vector is
+    again; ``only_new_ids`` says that the caller has left them out already. ``force`` replaces the collections that occur in ``entries``. Rows whose vector is
     missing (see ``embed_error``) go to ``errors_path`` and do not stop the others.
     """
     spark = entries.sparkSession
-    entries = cut_lineage(entries, "entries")   # vectors are computed once, then read three times
+    scratch = [cut_lineage(entries, "entries")]   # vectors are computed once, then read three times
+    entries = scratch[0]
     total = entries.count()
-    if not force and exists(spark, path):
+    if not force and not only_new_ids and exists(spark, path):
         # The stored ids are read before the append, so the plan below cannot see its own output.
-        entries = cut_lineage(only_new(entries, read_collections(spark, path)), "new-entries")
+        names = [row["collection"] for row in entries.select("collection").distinct().collect()]
+        stored = read_collections(spark, path).filter(F.col("collection").isin(names))
+        scratch.append(cut_lineage(only_new(entries, stored), "new-entries"))
+        entries = scratch[1]
     columns = [F.col(f.name).cast(f.dataType).alias(f.name) for f in schemas.COLLECTION_ENTRY]
     has_vector = F.col("embedding").isNotNull()
     counts = entries.agg(F.count_if(has_vector).alias("written"),
@@ -119,6 +123,8 @@ def write_collection(entries: DataFrame, path: str, errors_path: str | None = No
         writer.mode("append").parquet(path)
     if counts["failed"] and errors_path:
         entries.filter(~has_vector).write.mode("append").parquet(errors_path)
+    for table in scratch:
+        drop_cut(table)
     return {"written": counts["written"], "failed": counts["failed"],
             "known": total - counts["written"] - counts["failed"]}
 

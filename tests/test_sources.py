@@ -218,6 +218,38 @@ def test_documents_to_chunks(spark, tmp_path):
     assert jobs.embed_documents(spark, str(root), store, "cpt", 2024, {".pdf": decode})["written"] == 0
 
 
+def test_jobs_read_no_other_year_or_collection(spark, tmp_path):
+    root = tmp_path / "raw"
+    write(root / "cpt" / "cpt_hcpcs_codes_2024" / "a.txt", "hello")
+    for year in (2023, 2025):
+        write(root / "cpt" / f"cpt_hcpcs_codes_{year}" / "b.txt", "other")
+    docs = documents.scan_documents(spark, str(root), "cpt", 2024)
+    assert [f.rsplit("/", 1)[1] for f in docs.inputFiles()] == ["a.txt"]
+    assert documents.scan_documents(spark, str(root), "cpt", 1999).count() == 0
+    store = str(tmp_path / "store")
+    jobs.embed_documents(spark, str(root), store, "cpt", 2024)
+    jobs.embed_documents(spark, str(root), store, "cpt", 2025)
+    requests = spark.createDataFrame([(1, "hello", [1.0] * 256)], "qid int, query string, vector array<double>")
+    hits = jobs.search_codes(tables.read_collections(spark, store), requests, "cpt", 2024, hybrid=False)
+    plan = hits._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: []" not in plan and hits.count() == 1
+    assert jobs.search_all_types(tables.read_collections(spark, store), requests, 2025).count() == 1
+
+
+def test_spreadsheets_through_a_decoder(spark, tmp_path):
+    folder = tmp_path / "raw" / "cpt" / "cpt_hcpcs_codes_2024"
+    write(folder / "codes.xlsx", "title\nHCPCS|Description\nA1234|from sheet\n99213|visit")
+    write(folder / "codes.csv", "HCPCS,Description\nB1234,from csv\n")
+    decoders = {".xlsx": lambda content: [line.split("|") for line in content.decode().split("\n")]}
+    out = str(tmp_path / "codes")
+    plain = jobs.normalize_codes(spark, str(tmp_path / "raw"), "cpt", 2024, out)
+    assert [r["code"] for r in plain.collect()] == ["B1234"]
+    sheet = jobs.normalize_codes(spark, str(tmp_path / "raw"), "cpt", 2024, out, decoders)
+    assert {r["code"]: r["description"] for r in sheet.collect()} == {"A1234": "from sheet", "99213": "visit"}
+    write(folder / "codes.csv", "HCPCS,Description\n")
+    assert jobs.normalize_codes(spark, str(tmp_path / "raw"), "cpt", 2024, out) is None
+
+
 def test_archives(spark, tmp_path):
     buffer = io.BytesIO()
     with zipfile.ZipFile(buffer, "w") as archive:
