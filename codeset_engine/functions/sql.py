@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import SparkSession
 
 from . import phi, sanitize, validate
-from .strings import WHITESPACE
+from .strings import WHITESPACE, WHITESPACE_CLASS
 
 
 def _quoted(text: str) -> str:
@@ -58,8 +58,8 @@ def definitions() -> dict[str, tuple[str, str, str]]:
         "chunk_id": ("text STRING", "STRING", "substring(md5(encode(text, 'UTF-8')), 1, 16)"),
         "keyword_score": (
             "text STRING, query STRING", "DOUBLE",
-            "(length(lower(text)) - length(replace(lower(text), lower(query), ''))) / length(query)"
-            " / regexp_count(text, '(?U)\\\\S+')"),
+            "try_divide(try_divide(length(lower(text)) - length(replace(lower(text), lower(query), '')), length(query)),"
+            f" regexp_count(text, {_quoted(f'[^{WHITESPACE_CLASS}]+')}))"),
     }
 
 

@@ -286,3 +286,12 @@ def lookup_codes(codes: DataFrame, requests: DataFrame, keys: Sequence[str]) ->
     stored = codes.withColumn("found", F.lit(True))
     return (requests.join(stored, list(keys), "left")
             .withColumn("found", F.coalesce("found", F.lit(False))))
+
+
+def filter_entries(entries: DataFrame, where: Column, limit: int, per: Sequence[str] = (),
+                   id_col: str = "id") -> DataFrame:
+    """The first ``limit`` entries by id (for each value of ``per``) that ``where`` accepts."""
+    chosen = entries.filter(where)
+    if not per:
+        return chosen.orderBy(id_col).limit(limit)
+    return top_k(chosen, list(per), [F.asc(id_col)], limit, rank="__place").drop("__place")

@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, functions as F
 from ...functions import validate
 from ...functions.strings import WHITESPACE, WHITESPACE_CLASS
 from ...operators import normalize, years
-from ...sources import links
+from ...sources import documents, links, listing
 from .registry import ctes, derived, int_rank, query, read
 
 _WS = "||".join(f"chr({ord(c)})" for c in WHITESPACE)
@@ -217,16 +217,13 @@ def validate_required_keys(spark, sf_dir):
 
 @query("validate_emails", f"""WITH tokens AS (
     SELECT doc_id, unnest(regexp_extract_all(text, '[^{WHITESPACE_CLASS}]+')) AS token FROM documents),
-mails AS (SELECT doc_id, token FROM tokens WHERE contains(token, '@')),
-checked AS (SELECT *, regexp_matches(token, '^[a-zA-Z0-9._%+-]+@[a-zA-Z0-9.-]+\\.[a-zA-Z]{{2,}}$') AS is_valid FROM mails)
+checked AS (SELECT *, regexp_matches(token, '^[a-zA-Z0-9._%+-]+@[a-zA-Z0-9.-]+\\.[a-zA-Z]{{2,}}$') AS is_valid FROM tokens)
 SELECT doc_id, token, is_valid, CASE WHEN NOT is_valid THEN 'Invalid email format: ' || token END AS error,
     true AS non_empty FROM checked""")
 def validate_emails(spark, sf_dir):
-    with_at = F.regexp_extract_all("text", F.lit(f"[^{WHITESPACE_CLASS}]*@[^{WHITESPACE_CLASS}]*"),
-                                   F.lit(0))
-    mails = (read(spark, sf_dir, "documents").filter(F.contains("text", F.lit("@")))
-             .select("doc_id", F.explode(with_at).alias("token")))
-    return mails.select("doc_id", "token", validate.validate_email(F.col("token")).alias("r"),
+    tokens = read(spark, sf_dir, "documents").select("doc_id", F.explode(F.regexp_extract_all(
+        "text", F.lit(f"[^{WHITESPACE_CLASS}]+"), F.lit(0))).alias("token"))
+    return tokens.select("doc_id", "token", validate.validate_email(F.col("token")).alias("r"),
                         validate.validate_non_empty(F.col("token"), "Email").alias("n")).select(
         "doc_id", "token", "r.is_valid", "r.error", F.col("n.is_valid").alias("non_empty"))
 
@@ -349,9 +346,10 @@ def _metadata(spark, sf_dir) -> DataFrame:
     return years.year_metadata(codes, files, _YEARS)
 
 
-@query("year_metadata", f"{_METADATA} SELECT * FROM metadata")
+@query("year_metadata", f"""{_METADATA} SELECT *, CASE WHEN exists AND code_type = 'cpt'
+    THEN 'code|description|code_type' END AS columns FROM metadata""")
 def year_metadata(spark, sf_dir):
-    return _metadata(spark, sf_dir).drop("columns")   # null for the types of the test tables
+    return _metadata(spark, sf_dir).withColumn("columns", F.array_join("columns", "|"))
 
 
 @query("year_report", f"""{_METADATA}
@@ -367,7 +365,9 @@ def year_report(spark, sf_dir):
 # --- links -------------------------------------------------------------------------------
 
 _HREF = links.HREF.replace("'", "''")
-_HREFS = f"""raws AS (SELECT unnest(regexp_extract_all(html, '{_HREF}', 1)) AS raw FROM pages),
+_HREFS = f"""derived AS (SELECT CASE WHEN page_id % 2 = 0 THEN regexp_replace(html, 'href="/([^"]*)"', 'href="/files/\\1.zip"', 'g')
+    ELSE html END AS html FROM pages),
+raws AS (SELECT unnest(regexp_extract_all(html, '{_HREF}', 1)) AS raw FROM derived),
 hrefs AS (SELECT replace(trim(regexp_replace(raw, '^["'']|["'']$', '', 'g')), '&amp;', '&') AS href FROM raws)"""
 
 
@@ -375,10 +375,13 @@ hrefs AS (SELECT replace(trim(regexp_replace(raw, '^["'']|["'']$', '', 'g')), '&
 SELECT DISTINCT CASE WHEN regexp_matches(href, '^[A-Za-z][A-Za-z0-9+.-]*:') THEN href
     WHEN starts_with(href, '//') THEN 'https:' || href
     WHEN starts_with(href, '/') THEN 'https://www.cms.gov' || href
-    ELSE 'https://www.cms.gov/' || regexp_replace(href, '^(\\.\\.?/)+', '') END AS url FROM hrefs""")
+    ELSE 'https://www.cms.gov/' || regexp_replace(href, '^(\\.\\.?/)+', '') END AS url FROM hrefs
+WHERE ends_with(href, '.zip') AND contains(href, '/files/')""")
 def extract_links(spark, sf_dir):
-    """Every link of every page; the test pages hold no archives, so both conditions are open."""
-    return links.extract_links(read(spark, sf_dir, "pages"), suffix="", contains="")
+    """The archive links of all pages; half of the pages have their site links made into archives."""
+    pages = read(spark, sf_dir, "pages").select(F.when(F.col("page_id") % 2 == 0, F.regexp_replace(
+        "html", 'href="/([^"]*)"', 'href="/files/$1.zip"')).otherwise(F.col("html")).alias("html"))
+    return links.extract_links(pages)
 
 
 _LINKS_EXPR = """CASE p_partkey % 6
@@ -437,3 +440,55 @@ def type_groups(spark, sf_dir):
            WHEN '3-MEDIUM' THEN 'icd10pcs' ELSE lower(o_orderpriority) END AS code_type""",
         "CAST(year(o_orderdate) AS INT) AS year").distinct()
     return links.download_paths(links.expand_type_groups(asked, keep=["year"]))
+
+
+# --- discovery on listing rows ------------------------------------------------------------
+
+_LISTED = {
+    "path": """'/raw/' || CASE p_partkey % 3 WHEN 0 THEN 'icd10cm' WHEN 1 THEN 'icd10pcs' ELSE 'cpt' END || '/'
+        || CASE p_partkey % 3 WHEN 0 THEN CASE WHEN p_size % 2 = 0 THEN 'icd10cm_code_descriptions' ELSE 'icd10cm_code_tables' END
+           WHEN 1 THEN CASE WHEN p_size % 3 = 0 THEN 'icd10pcs_order' ELSE 'icd10pcs_codes' END ELSE 'cpt_hcpcs_codes' END
+        || '_' || CAST(2000 + p_size AS STRING) || '/' || CASE WHEN p_partkey % 7 = 0 THEN 'deep/' ELSE '' END
+        || CASE p_partkey % 5 WHEN 0 THEN 'icd10cm_order_' WHEN 1 THEN 'icd10pcs_codes_' WHEN 2 THEN 'my order ' ELSE 'notes ' END
+        || CAST(p_partkey AS STRING) || CASE p_partkey % 4 WHEN 0 THEN '.txt' WHEN 1 THEN '.csv' WHEN 2 THEN '.TXT' ELSE '.xlsx' END""",
+    "length": "CAST(p_partkey * 31 % 1000 AS BIGINT)",
+}
+_LISTING_SQL = f"""WITH listed AS (SELECT {", ".join(f"{e} AS {c}" for c, e in _LISTED.items())} FROM part),
+parts AS (SELECT *, regexp_extract(path, '^/raw/([a-z0-9]+)/', 1) AS code_type,
+    regexp_extract(path, '^/raw/[a-z0-9]+/([a-z0-9_]+)_[0-9]{{4}}/', 1) AS source,
+    CAST(regexp_extract(path, '_([0-9]{{4}})/', 1) AS INT) AS year, regexp_extract(path, '([^/]+)$', 1) AS name FROM listed),
+dirs AS (SELECT code_type, year, arg_min(source, position) AS source FROM (SELECT *, CASE source
+    WHEN 'icd10cm_code_descriptions' THEN 0 WHEN 'icd10pcs_order' THEN 0 WHEN 'cpt_hcpcs_codes' THEN 0 ELSE 1 END AS position
+    FROM parts) GROUP BY ALL)"""
+
+
+def _listing(spark, sf_dir) -> DataFrame:
+    return read(spark, sf_dir, "part").select(*[F.expr(e).alias(c) for c, e in _LISTED.items()])
+
+
+@query("source_dirs", f"{_LISTING_SQL} SELECT code_type, year, source FROM dirs")
+def source_dirs(spark, sf_dir):
+    return listing.resolve_source_dirs(listing.with_source_parts(_listing(spark, sf_dir)))
+
+
+@query("code_files", f"""{_LISTING_SQL},
+ranked AS (SELECT *, CASE WHEN code_type = 'cpt' THEN CASE WHEN ends_with(name, '.xlsx') THEN 0 WHEN ends_with(name, '.csv') THEN 1
+        WHEN ends_with(name, '.txt') THEN 2 END
+    WHEN starts_with(name, code_type || '_codes_') AND ends_with(name, '.txt') THEN 0
+    WHEN starts_with(name, code_type || '_order_') AND ends_with(name, '.txt') THEN 1
+    WHEN regexp_matches(name, 'order.*[.]txt$') THEN 2 WHEN regexp_matches(name, 'codes.*[.]txt$') THEN 3
+    WHEN ends_with(name, '.txt') THEN 4 END AS priority FROM parts JOIN dirs USING (code_type, year, source))
+SELECT code_type, year, source, path, length FROM ranked WHERE priority IS NOT NULL
+QUALIFY row_number() OVER (PARTITION BY code_type, year
+    ORDER BY priority, CASE WHEN code_type <> 'cpt' THEN length ELSE 0 END DESC, path) = 1""")
+def code_files(spark, sf_dir):
+    return listing.code_files(_listing(spark, sf_dir)).select("code_type", "year", "source", "path", "length")
+
+
+@query("document_listing", f"""{_LISTING_SQL}
+SELECT path, lower(regexp_extract(name, '([.][^.]+)$', 1)) AS extension, code_type, year FROM parts
+WHERE code_type = 'cpt' AND year = 2024 AND NOT contains(path, '/deep/') AND NOT ends_with(path, '.csv')""")
+def document_listing(spark, sf_dir):
+    """The documents of one type and year, which is what the operator asks for."""
+    return documents.document_listing(_listing(spark, sf_dir), "cpt", 2024).select(
+        "path", "extension", "code_type", "year")

@@ -8,6 +8,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from ... import schemas
+from ...functions import responses
 from ...functions.strings import WHITESPACE_CLASS
 from ...operators import embed, ranking, search
 from .registry import ctes, derived, int_rank, query, read, read_spread
@@ -200,6 +202,53 @@ def collection_counts(spark, sf_dir):
     return counts(embed.code_entries(_collection_codes(spark, sf_dir)))
 
 
+@query("collection_stats", f"""WITH {_COLLECTION_CODES},
+counts AS (SELECT collection_type, year, count(*) AS n FROM codes GROUP BY ALL),
+asked AS (SELECT DISTINCT lower(p_type) AS code_type, CAST(2018 + p_size % 9 AS INT) AS year FROM part)
+SELECT code_type, asked.year, 'medical_codes_' || code_type || '_' || asked.year AS collection, n IS NOT NULL AS exists,
+    coalesce(n, 0) AS count FROM asked LEFT JOIN counts ON code_type = collection_type AND asked.year = counts.year""")
+def collection_stats(spark, sf_dir):
+    """Stored and absent collections of all types over nine years."""
+    from ...sources.tables import collection_stats as stats
+    asked = read(spark, sf_dir, "part").selectExpr(
+        "lower(p_type) AS code_type", "CAST(2018 + p_size % 9 AS INT) AS year").distinct()
+    return stats(embed.code_entries(_collection_codes(spark, sf_dir)), asked)
+
+
+@query("metadata_filter", f"""WITH {_COLLECTION_CODES}
+SELECT collection_type || '_' || CAST(year AS STRING) || '_' || code AS id, {_ENTRY} AS document FROM codes
+WHERE is_billable AND category IS NOT NULL
+QUALIFY row_number() OVER (PARTITION BY collection_type, year ORDER BY id) <= 3""")
+def metadata_filter(spark, sf_dir):
+    """The first three billable entries with a category of each collection, without a vector."""
+    entries = embed.code_entries(_collection_codes(spark, sf_dir), ["code_type", "category", "is_billable"])
+    where = (F.col("metadata")["is_billable"] == "True") & F.col("metadata")["category"].isNotNull()
+    return search.filter_entries(entries, where, 3, ["collection"]).select("id", "document")
+
+
+_RERANKED = """'```json' || chr(10) || '{"reranked_codes": [{"code": "C' || lpad(CAST(event_id % 500 AS STRING), 3, '0')
+    || '", "description": "' || event_type || '", "relevance_score": ' || CAST(value AS STRING) || ', "reasoning": "r"}, {"code": "X"}]}'
+    || chr(10) || '```'"""
+
+
+@query("rerank_responses", int_rank("""WITH scores AS (SELECT event_type AS session, 'C' || lpad(CAST(event_id % 500 AS STRING), 3, '0') AS code,
+    max(value) AS relevance_score FROM events GROUP BY ALL),
+candidates AS (SELECT event_type AS session, 'C' || lpad(CAST(user_id % 600 AS STRING), 3, '0') AS code, count(*) AS n FROM events GROUP BY ALL)
+SELECT session, code, n, round(relevance_score, 6) AS relevance_score,
+    row_number() OVER (PARTITION BY session ORDER BY relevance_score DESC, code) AS new_rank
+FROM candidates JOIN scores USING (session, code) QUALIFY new_rank <= 5""", "new_rank"))
+def rerank_responses(spark, sf_dir):
+    """Candidates re-ordered by the scores in the responses of a model."""
+    events = read(spark, sf_dir, "events")
+    parsed = events.select(F.col("event_type").alias("session"), F.inline(responses.parse_response(
+        F.expr(_RERANKED), schemas.RERANK_RESPONSE)["reranked_codes"]))
+    scores = (parsed.where("relevance_score IS NOT NULL").groupBy("session", "code")
+              .agg(F.max("relevance_score").alias("relevance_score")))
+    candidates = events.selectExpr("event_type AS session", "'C' || lpad(CAST(user_id % 600 AS STRING), 3, '0') AS code").groupBy(
+        "session", "code").agg(F.count(F.lit(1)).alias("n"))
+    return _rounded(ranking.apply_rerank(candidates, scores, ["session"]), "relevance_score")
+
+
 @query("embed_hash", r"""WITH tokens AS (SELECT doc_id, unnest(regexp_split_to_array(lower(text), '\s+')) AS token FROM documents),
 buckets AS (SELECT doc_id, CAST(CAST('0x' || left(md5(token), 8) AS UBIGINT) % 64 AS INT) AS bucket, count(*) AS n
     FROM tokens WHERE token <> '' GROUP BY ALL)

@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from ... import schemas
-from ...functions import phi, prompts, responses, sanitize
-from ...functions.strings import WHITESPACE
+from ...functions import phi, prompts, responses, sanitize, sql
+from ...functions.strings import WHITESPACE, WHITESPACE_CLASS
 from ...operators import chunk, extract, reports
 from .registry import ctes, derived, query, read, read_spread, sql_text
 
@@ -122,6 +122,19 @@ def sanitize_texts(spark, sf_dir):
                                                    sanitize.sanitize_text(raw).alias("safe"))
 
 
+@query("sql_functions", f"""SELECT doc_id, {_redact_sql(phi.PATTERNS)} AS redacted,
+    {" OR ".join(f"regexp_matches(text, {_pattern_sql(kind)})" for kind in phi.PATTERNS)} AS has_phi,
+    left(md5(text), 16) AS chunk_id,
+    round((length(lower(text)) - length(replace(lower(text), 'the', ''))) / 3.0::DOUBLE
+        / nullif(len(regexp_extract_all(text, '[^{WHITESPACE_CLASS}]+')), 0), 6) AS score FROM documents""")
+def sql_functions(spark, sf_dir):
+    """The registered SQL functions called from SQL over a table."""
+    sql.register(spark)
+    return spark.sql("""SELECT doc_id, redact_phi(text) AS redacted, contains_phi(text) AS has_phi,
+        chunk_id(text) AS chunk_id, round(keyword_score(text, 'the'), 6) AS score FROM {documents}""",
+                     documents=read(spark, sf_dir, "documents"))
+
+
 # --- chunks --------------------------------------------------------------------------------
 
 _CHUNKS = """chunks AS (SELECT doc_id, lang, source, n_chars, CAST(i AS INT) AS chunk_index, total AS total_chunks,
@@ -183,6 +196,8 @@ def chunk_separator(spark, sf_dir):
 
 # --- prompts and responses -----------------------------------------------------------------
 
+_HEAD2, _TAIL2 = prompts.TEMPLATES["procedure_extraction"].replace("{{", "{").replace("}}", "}").split(
+    "{document_text}")
 _HEAD, _TAIL = prompts.TEMPLATES["diagnosis_extraction"].replace("{{", "{").replace("}}", "}").split(
     "{document_text}")
 
@@ -264,14 +279,18 @@ def combine_extractions(spark, sf_dir):
 kinds AS (SELECT conv_id, turn, t, unnest(CASE WHEN t = '' THEN [NULL] WHEN extract_type = 'all'
     THEN ['diagnoses', 'procedures'] ELSE [extract_type] END) AS kind FROM docs)
 SELECT conv_id, turn, kind, CASE WHEN kind IS NULL THEN 'No document text provided' END AS error,
-    CASE WHEN kind IS NULL THEN -1 ELSE 1 END AS n_messages FROM kinds""")
+    CASE WHEN kind IS NULL THEN -1 ELSE 1 END AS n_messages,
+    CASE kind WHEN 'diagnoses' THEN """ + f"'user: ' || {sql_text(_HEAD)} || t || {sql_text(_TAIL)}" + """
+        WHEN 'procedures' THEN """ + f"'user: ' || {sql_text(_HEAD2)} || t || {sql_text(_TAIL2)}" + """ END AS messages FROM kinds""")
 def extraction_routing(spark, sf_dir):
     docs = read(spark, sf_dir, "conversations").selectExpr(
         "conv_id", "turn", "CASE WHEN role = 'system' THEN '' ELSE text END AS document_text",
         "CASE turn % 3 WHEN 0 THEN 'diagnoses' WHEN 1 THEN 'procedures' ELSE 'all' END AS extract_type")
     asked = extract.extraction_requests(docs)
     return asked.select("conv_id", "turn", "kind", "error",
-                        F.coalesce(F.size("messages"), F.lit(-1)).alias("n_messages"))
+                        F.coalesce(F.size("messages"), F.lit(-1)).alias("n_messages"),
+                        F.array_join(F.transform("messages", lambda m: F.concat(
+                            m["role"], F.lit(": "), m["content"])), chr(10)).alias("messages"))
 
 
 @query("parse_suggestions", f"""{ctes('suggested')}
