@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, functions as F
 from .common import Scratch, utf8
 
 WINDOW = 10
-BLOCK_WORDS = 50_000  # item words in one automaton; more items take more passes
+BLOCK_WORDS = 200_000  # item words in one automaton; more items take more passes
 MIN_SPAN = 10  # words; shorter spans (of short items) are reported, but stay in the text
 MAX_COVERAGE = 0.5  # a text with a larger share of hit words is removed as a whole
 

@@ -30,7 +30,8 @@ def shuffle_into_shards(records: DataFrame, key_col: str, size_col: str, shards:
     writes them to the shared folder. Pass 2 shuffles each bucket by Fisher-Yates (Spark's
     ``shuffle``) and numbers its records; a bucket begins where the one before it ends. So a shard
     holds its records in random order, and no task ever holds more than a bucket, whose rows and
-    ``size_col`` bytes are bounded in expectation.
+    ``size_col`` bytes are bounded in expectation: each shard has as many buckets as its own rows
+    and bytes need, also where one key holds most of them.
 
     The shard depends on the key and the number of shards alone. The bucket also depends on the
     record's number in the scan, so that equal keys and repeated rows spread over the buckets of
@@ -39,13 +40,16 @@ def shuffle_into_shards(records: DataFrame, key_col: str, size_col: str, shards:
     """
     scratch = Scratch(records.sparkSession, "sharding")
     names = [c for c in records.columns if c not in ("shard", "slot")]
-    rows, total = records.agg(F.count("*"), F.sum(size_col)).first()
-    buckets = max(1, -(-(total or 0) // (shards * bucket_bytes)), -(-rows // (shards * bucket_rows)))
+    shard = shard_of(F.col(key_col), shards, seed)
+    sums = records.groupBy(shard.alias("s")).agg(F.count("*").alias("n"), F.sum(size_col).alias("bytes")).collect()
+    buckets = F.create_map(*[F.lit(x) for r in sums for x in (
+        r["s"], max(1, -(-(r["bytes"] or 0) // bucket_bytes), -(-r["n"] // bucket_rows)))])
     record = F.struct(*names).alias("record")
     scattered = scratch.save(
         records.select(record, F.monotonically_increasing_id().alias("number"))
         .select(shard_of(F.col(f"record.{key_col}"), shards, seed).alias("shard"),
-                F.pmod(F.xxhash64(F.lit(seed), "number"), F.lit(buckets)).alias("bucket"),
+                "number", "record")
+        .select("shard", F.pmod(F.xxhash64(F.lit(seed), "number"), F.element_at(buckets, F.col("shard")) if sums else F.lit(1)).alias("bucket"),
                 "number", "record"), "scattered")
     earlier = Window.partitionBy("shard").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     starts = (scattered.groupBy("shard", "bucket").count()  # one row per bucket

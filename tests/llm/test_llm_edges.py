@@ -276,6 +276,15 @@ def test_sharding(messy, empty):
     assert sharding.shuffle_into_shards(empty.withColumn("bytes", F.lit(1)), "doc_id", "bytes").count() == 0
 
 
+def test_a_shard_of_one_hot_key_has_buckets_of_bounded_size(spark):
+    records = spark.range(3000).select(F.when(F.col("id") % 3 > 0, F.col("id")).alias("doc_id"), F.lit(10).cast("long").alias("bytes"))
+    rows = sharding.shuffle_into_shards(records, "doc_id", "bytes", shards=4, bucket_rows=50).collect()
+    hot = [r for r in rows if r.shard == next(r.shard for r in rows if r.doc_id is None)]
+    assert len(hot) > 1000 and sorted(r.slot for r in hot) == list(range(len(hot))) and len(rows) == 3000
+    places = [r.slot for r in hot if r.doc_id is not None]
+    assert max(places) - min(places) > len(hot) * 0.8   # mixed with the copies
+
+
 def test_packing(messy, empty):
     rows = packing.pack_documents(messy, TOKENS).collect()
     assert sum(r.start == 0 for r in rows) == len(ROWS)
