@@ -367,7 +367,8 @@ def year_report(spark, sf_dir):
 _HREF = links.HREF.replace("'", "''")
 _HREFS = f"""derived AS (SELECT CASE WHEN page_id % 2 = 0 THEN regexp_replace(html, 'href="/([^"]*)"', 'href="/files/\\1.zip"', 'g')
     ELSE html END AS html FROM pages),
-raws AS (SELECT unnest(regexp_extract_all(html, '{_HREF}', 1)) AS raw FROM derived),
+shown AS (SELECT regexp_replace(html, '(?is)<!--.*?-->|<script\\b.*?</script\\s*>|<style\\b.*?</style\\s*>', ' ', 'g') AS html FROM derived),
+raws AS (SELECT unnest(regexp_extract_all(html, '{_HREF}', 1)) AS raw FROM shown),
 hrefs AS (SELECT replace(trim(regexp_replace(raw, '^["'']|["'']$', '', 'g')), '&amp;', '&') AS href FROM raws)"""
 
 

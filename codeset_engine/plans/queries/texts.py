@@ -188,7 +188,26 @@ def chunk_neighbours(spark, sf_dir):
     return chunk.neighbour_flags(turns, "conv_id")
 
 
-@query("chunk_separator")
+def _chunk_end(start: str, covered: str) -> str:
+    """End of a chunk: after the last preferred separator in what is new, else after 1000 characters."""
+    new = f"substring(text, {covered} + 1, {start} + 1000 - {covered})"
+    ends = []
+    for backwards in ("chr(10) || chr(10)", "chr(10)", "' .'", "' '"):
+        found = f"strpos(reverse({new}), {backwards})"   # the separator ends this far before the end
+        after = f"{start} + 1000 - {found} + 1"
+        ends.append(f"CASE WHEN {found} > 0 AND {after} - length({backwards}) > {start} THEN {after} END")
+    return (f"CASE WHEN {start} + 1000 >= length(text) THEN length(text) "
+            f"ELSE coalesce({', '.join(ends)}, {start} + 1000) END")
+
+
+@query("chunk_separator", f"""WITH RECURSIVE steps AS (
+    SELECT doc_id, text, 0::BIGINT AS i, 0::BIGINT AS start, CAST({_chunk_end('0', '0')} AS BIGINT) AS stop
+    FROM documents WHERE length(text) > 0
+    UNION ALL SELECT doc_id, text, i + 1, next, CAST({_chunk_end('next', 'stop')} AS BIGINT) FROM (
+        SELECT *, greatest(stop - 200, start + 1) AS next FROM steps WHERE stop < length(text)))
+SELECT doc_id, CAST(i AS INT) AS chunk_index, CAST(count(*) OVER (PARTITION BY doc_id) AS INT) AS total_chunks,
+    CAST(start AS INT) AS start_index, substring(text, start + 1, stop - start) AS chunk,
+    left(md5(substring(text, start + 1, stop - start)), 16) AS chunk_id FROM steps""")
 def chunk_separator(spark, sf_dir):
     docs = read_spread(spark, sf_dir, "documents", "doc_id", "text")
     return chunk.chunk_by_separator(docs).withColumn("chunk_id", chunk.chunk_id(F.col("chunk")))

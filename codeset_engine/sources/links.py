@@ -46,6 +46,25 @@ LINK_FORMS = {
 HREF = r"""(?is)<a\s(?:[^>]*?\s)?href\s*=\s*("[^"]*"|'[^']*'|[^\s>"']+)"""
 
 
+NOT_SHOWN = r"(?is)<!--.*?-->|<script\b.*?</script\s*>|<style\b.*?</style\s*>"
+# The entities that attribute values need.
+ENTITIES = {"&lt;": "<", "&gt;": ">", "&quot;": '"', "&apos;": "'", "&amp;": "&"}
+
+
+def decode_entities(text: Column) -> Column:
+    """Numeric entities up to U+FFFF and the five of XML, ``&amp;`` last."""
+    def numbered(value: Column, entity: Column) -> Column:
+        digits = F.regexp_extract(entity, r"&#[xX]?([0-9A-Fa-f]+);", 1)
+        code = F.when(entity.rlike("^&#[xX]"), F.conv(digits, 16, 10)).otherwise(digits).cast("long")
+        char = F.decode(F.unhex(F.lpad(F.hex(code), 4, "0")), "UTF-16BE")
+        return F.when(code.between(1, 0xFFFF), F.replace(value, entity, char)).otherwise(value)
+    found = F.regexp_extract_all(text, F.lit("&#(?:[xX][0-9A-Fa-f]{1,6}|[0-9]{1,7});"), F.lit(0))
+    text = F.when(text.contains("&#"), F.aggregate(found, text, numbered)).otherwise(text)
+    for entity, char in ENTITIES.items():
+        text = F.replace(text, F.lit(entity), F.lit(char))
+    return text
+
+
 def resolve_href(href: Column, site: str = SITE) -> Column:
     """Absolute URL of a link found on ``site``."""
     return (F.when(href.rlike("^[A-Za-z][A-Za-z0-9+.-]*:"), href)
@@ -57,9 +76,9 @@ def resolve_href(href: Column, site: str = SITE) -> Column:
 def page_links(pages: DataFrame, html: str = "html", suffix: str = ".zip",
                contains: str = "/files/", site: str = SITE) -> DataFrame:
     """Distinct ``url`` of the anchors in all pages whose href passes both conditions."""
-    raw = pages.select(F.explode(F.regexp_extract_all(html, F.lit(HREF), F.lit(1))).alias("raw"))
-    href = F.replace(F.trim(F.regexp_replace("raw", "^[\"']|[\"']$", "")),
-                     F.lit("&amp;"), F.lit("&"))
+    shown = F.regexp_replace(html, NOT_SHOWN, " ")
+    raw = pages.select(F.explode(F.regexp_extract_all(shown, F.lit(HREF), F.lit(1))).alias("raw"))
+    href = decode_entities(F.trim(F.regexp_replace("raw", "^[\"']|[\"']$", "")))
     return (raw.select(href.alias("href"))
             .filter(F.endswith("href", F.lit(suffix)) & F.contains("href", F.lit(contains)))
             .select(resolve_href(F.col("href"), site).alias("url")).distinct())

@@ -268,11 +268,12 @@ def test_links(spark):
     html = ('<a class="x" href="/files/zip/2025-code-tables-tabular-and-index.zip">a</a> <A HREF=\'files/zip/b.zip\'>b</A>'
             '<a href="https://other.org/files/c.zip">c</a><a href="/files/d.pdf">d</a><a href="//cdn.org/files/e.zip">'
             '<a data-href="/files/no.zip"><area href="/files/no2.zip"><a href="../files/f.zip"><a href=/files/g.zip>'
-            '<a href="/other/h.zip"><a href="/files/zip/2025-code-tables-tabular-and-index.zip">again</a>')
+            '<!-- <a href="/files/no3.zip"> --><script>"<a href=/files/no4.zip>"</script>'
+            '<a href="/files/h&#45;&#x69;&amp;.zip"><a href="/other/h.zip"><a href="/files/zip/2025-code-tables-tabular-and-index.zip">again</a>')
     pages = spark.createDataFrame([(1, html), (2, None), (3, "")], "page_id int, html string")
     urls = [r["url"] for r in links.extract_links(pages).collect()]
     assert urls == sorted(["https://www.cms.gov/files/zip/2025-code-tables-tabular-and-index.zip", "https://other.org/files/c.zip", "https://cdn.org/files/e.zip", "https://www.cms.gov/files/f.zip",
-                           "https://www.cms.gov/files/g.zip"])
+                           "https://www.cms.gov/files/g.zip", "https://www.cms.gov/files/h-i&.zip"])
     asked = spark.createDataFrame([("all", 2025), ("icd10cm_poa", 2025), ("x", 2025)], "code_type string, year int")
     requests = links.expand_type_groups(asked, ["year"])
     assert requests.count() == 7
