@@ -129,6 +129,16 @@ def _keys(path: str):
     return keys
 
 
+def _borders(sample: list[tuple[int, int]], parts: int) -> list[int]:
+    """Keys at which stretches of about equal bytes begin."""
+    total, passed, borders = sum(size for _, size in sample), 0, []
+    for key, size in sample:
+        if passed * parts >= (len(borders) + 1) * total and key not in borders[-1:]:
+            borders.append(key)
+        passed += size
+    return borders
+
+
 _PIECES = "struct<key:bigint,part:int,total:bigint,chunks:array<struct<start:bigint,ids:binary>>>"
 _PIECES_ARROW = pa.struct([
     ("key", pa.int64()), ("part", pa.int32()), ("total", pa.int64()),
@@ -209,9 +219,9 @@ def pack_documents(documents: DataFrame, tokenizer_path: str, id_col: str = "doc
     if parts > 1:
         wanted = max(SAMPLE, 40 * parts)
         some = texts.sample(min(1.0, wanted / rows), 7).select(
-            (F.arrow_udf(_keys(tokenizer_path), "bigint")("text") + tie).alias("key"))
-        keys = sorted(row["key"] for row in some.collect())
-        borders = sorted({keys[len(keys) * i // parts] for i in range(1, parts) if keys})
+            (F.arrow_udf(_keys(tokenizer_path), "bigint")("text") + tie).alias("key"),
+            F.coalesce(F.octet_length("text"), F.lit(0)).alias("bytes"))
+        borders = _borders(sorted((row["key"], row["bytes"]) for row in some.collect()), parts)
     encode = F.arrow_udf(_encode(tokenizer_path, borders), _PIECES)
     chunks = (texts.withColumn("tie", tie).select("id", encode("text", "tie").alias("e"))
               .select("id", "e.key", "e.part", "e.total", F.explode("e.chunks").alias("c"))
