@@ -19,8 +19,7 @@ PREDEFINED = {
     ("cpt_hcpcs_codes", 2025):
         "/files/zip/list-codes-effective-january-1-2025-published-november-26-2024.zip",
     ("cpt_hcpcs_codes", 2024):
-        "/files/zip/updated-list-codes-effective-january-1-2024-published-march-1-2024-all-codes-"
-        "effective-january-1-2024-unless-otherwise-indicated-code-list.zip",
+        "/files/zip/updated-list-codes-effective-january-1-2024-published-march-1-2024-all-codes-effective-january-1-2024-unless-otherwise-indicated-code-list.zip",
     ("cpt_hcpcs_codes", 2023):
         "/files/zip/list-codes-effective-january-1-2023-published-december-1-2022.zip",
 }

@@ -250,6 +250,15 @@ def test_spreadsheets_through_a_decoder(spark, tmp_path):
     assert jobs.normalize_codes(spark, str(tmp_path / "raw"), "cpt", 2024, out) is None
 
 
+def test_fixed_addresses():
+    """The fixed values that the SQL checks share with the code, as plain literals."""
+    assert links.PREDEFINED[("cpt_hcpcs_codes", 2024)] == (
+        "/files/zip/updated-list-codes-effective-january-1-2024-published-march-1-2024-all-codes-effective-january-1-2024-unless-otherwise-indicated-code-list.zip")
+    assert links.PREDEFINED[("cpt_hcpcs_codes", 2025)] == "/files/zip/list-codes-effective-january-1-2025-published-november-26-2024.zip"
+    assert links.FALLBACK_SLUGS["icd10cm_code_tables"] == "{year}-code-tables-tabular-and-index.zip"
+    assert links.LINK_FORMS["icd10pcs_codes"] == r"(?i)/files/zip/([0-9]{4})-icd-10-pcs-codes-file\.zip$"
+
+
 def test_archives(spark, tmp_path):
     buffer = io.BytesIO()
     with zipfile.ZipFile(buffer, "w") as archive:
