@@ -136,10 +136,13 @@ def train(labelled: DataFrame, text_col: str, lang_col: str, order_col: str,
                             F.col(text_col).cast("string").alias("text"),
                             F.xxhash64(F.lit(20240503), order_col).alias("h"))
             .where("lang IS NOT NULL AND text IS NOT NULL"))
-    # by far most rows are left out by their hash before the exact choice, which then is small
-    rates = rows.groupBy("lang").agg((F.lit(1.5 * per_language + 100) / F.count("*")).alias("rate"))
+    # by far most rows are left out by their hash before the exact choice, which then is small;
+    # the languages are the classes of the model, which the driver holds anyway
+    counts = rows.groupBy("lang").count().collect()
+    rates = F.create_map(*[F.lit(x) for r in counts for x in (r["lang"], (1.5 * per_language + 100) / r["count"])])
+    rate = F.try_element_at(rates, F.col("lang")) if counts else F.lit(1.0)
     first = Window.partitionBy("lang").orderBy("h", "text")
-    some = (rows.join(rates, "lang").where(F.pmod("h", F.lit(1 << 30)) < F.col("rate") * (1 << 30))
+    some = (rows.where(F.pmod("h", F.lit(1 << 30)) < rate * (1 << 30))
             .withColumn("n", F.row_number().over(first)).where(F.col("n") <= per_language))
     rows = (some.withColumn("f", F.arrow_udf(_featurize, _SEEN)("text"))
             .select("lang", "h", "f.seen", "f.values").toArrow().sort_by([("lang", "ascending"), ("h", "ascending")]))
