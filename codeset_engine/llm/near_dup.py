@@ -178,8 +178,8 @@ def _grouped(signed: DataFrame, tables: int, scratch: Scratch) -> DataFrame:
     links = scratch.save(_verified_stars(stars, texts), "links")
     labels = scratch.save(connected_components(links, scratch), "labels")
     rest = scratch.save(_verified_blocks(members, labels, texts), "rest")
-    roots = connected_components(
-        labels.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(rest), scratch)
+    edges = labels.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(rest)
+    roots = labels if rest.isEmpty() else connected_components(edges, scratch)
     classes = scratch.save(classes, "classes")
     named = roots.join(classes.select(F.col("c").alias("node"), "least_id"), "node")
     least = named.groupBy("root").agg(F.min("least_id").alias("component"))
