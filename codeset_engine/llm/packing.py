@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import base64
 import re
+import sys
 import zlib
+from array import array
 from bisect import bisect_right
 from collections.abc import Iterator
 
@@ -20,7 +22,7 @@ PART_BYTES, MAX_PARTS = 8 << 20, 4096  # text of one stretch of the curve; stret
 SAMPLE = 4096  # documents, at least, whose keys choose the borders of the stretches
 DIMENSIONS, BITS = 3, 10
 CHUNK = 256 * LENGTH  # ids in one row at most
-CACHED = 300_000
+CACHED = 400_000  # encoded parts that a task remembers
 
 _BREAK = re.compile(r"(?= \S)")
 SPECIAL = "<|endoftext|>"
@@ -52,17 +54,22 @@ class Tokens:
             ids = self.whole.encode(text, add_special_tokens=False).ids
             return np.array(ids, "<u2").tobytes()
         first, *parts = text.split(" ")
-        for part in parts:
-            if not part or part[0].isspace():
-                break
-        else:
+        try:
             return _bytes(self.encoder, first) + b"".join(map(self.after_space.__getitem__, parts))
-        first, *parts = _BREAK.split(text)
-        return _bytes(self.encoder, first) + b"".join(self.after_space[p[1:]] for p in parts)
+        except _MoreSpace:
+            first, *parts = _BREAK.split(text)
+            return _bytes(self.encoder, first) + b"".join(self.after_space[p[1:]] for p in parts)
 
 
 def _bytes(encoder, text: str) -> bytes:
-    return np.array(encoder.encode_ordinary(text), "<u2").tobytes()
+    ids = array("H", encoder.encode_ordinary(text))
+    if sys.byteorder == "big":
+        ids.byteswap()
+    return ids.tobytes()
+
+
+class _MoreSpace(Exception):
+    """White space follows a space, so that the space begins no piece."""
 
 
 class _Parts(dict):
@@ -71,49 +78,50 @@ class _Parts(dict):
         self.encoder, self.before = encoder, before
 
     def __missing__(self, part: str) -> bytes:
+        if not part or part[0].isspace():
+            raise _MoreSpace
         ids = _bytes(self.encoder, self.before + part)
         if len(self) < CACHED and len(part) < 64:
             self[part] = ids
         return ids
 
 
-def hilbert_index(point: list[int], bits: int) -> int:
-    """Place of a grid point along the Hilbert curve (Skilling's transform)."""
-    x, n = list(point), len(point)
+def hilbert_index(points: np.ndarray, bits: int) -> np.ndarray:
+    """Places of grid points (one a row) along the Hilbert curve, by Skilling's transform."""
+    x = points.T.astype(np.int64)
     q = 1 << (bits - 1)
     while q > 1:
-        p = q - 1
-        for i in range(n):
-            if x[i] & q:
-                x[0] ^= p
-            else:
-                t = (x[0] ^ x[i]) & p
-                x[0] ^= t
-                x[i] ^= t
+        for i in range(len(x)):
+            high = x[i] & q != 0
+            t = np.where(high, 0, (x[0] ^ x[i]) & (q - 1))
+            x[0] ^= np.where(high, q - 1, t)
+            x[i] ^= t
         q >>= 1
-    for i in range(1, n):
+    for i in range(1, len(x)):
         x[i] ^= x[i - 1]
-    t, q = 0, 1 << (bits - 1)
+    t, q = np.zeros_like(x[0]), 1 << (bits - 1)
     while q > 1:
-        if x[n - 1] & q:
-            t ^= q - 1
+        t ^= np.where(x[-1] & q, q - 1, 0)
         q >>= 1
-    x = [v ^ t for v in x]
-    index = 0
+    x ^= t
+    index = np.zeros_like(t)
     for bit in range(bits - 1, -1, -1):
         for v in x:
             index = index << 1 | v >> bit & 1
     return index
 
 
-def curve_key(ids: np.ndarray, directions: np.ndarray) -> int:
-    """Hilbert index of the document's count vector, of length one, along random directions."""
-    seen, counts = np.unique(ids, return_counts=True)
-    if not len(seen):
-        return 0
-    place = counts @ directions[seen] / np.sqrt(float((counts.astype(np.float64) ** 2).sum()))
-    grid = np.clip((place + 4) / 8 * (1 << BITS), 0, (1 << BITS) - 1).astype(np.int64)
-    return hilbert_index(grid.tolist(), BITS)
+def curve_keys(texts: list[bytes], directions: np.ndarray) -> np.ndarray:
+    """Hilbert indices of the documents' count vectors, of length one, along random directions."""
+    places = np.zeros((len(texts), DIMENSIONS))
+    for row, raw in enumerate(texts):
+        ids = np.sort(np.frombuffer(raw, "<u2"))
+        if len(ids):
+            starts = np.flatnonzero(np.concatenate(([True], ids[1:] != ids[:-1])))
+            counts = np.diff(np.append(starts, len(ids))).astype(np.float64)
+            places[row] = counts @ directions[ids[starts]] / np.sqrt(counts @ counts)
+    grid = np.clip((places + 4) / 8 * (1 << BITS), 0, (1 << BITS) - 1).astype(np.int64)
+    return hilbert_index(grid, BITS)
 
 
 def _directions() -> np.ndarray:
@@ -124,8 +132,8 @@ def _keys(path: str):
     def keys(columns: Iterator[pa.Array]) -> Iterator[pa.Array]:
         tokens, directions = Tokens(path), _directions()
         for column in columns:
-            yield pa.array([curve_key(np.frombuffer(tokens.encode((t or b"").decode()), "<u2"),
-                                      directions) << 31 for t in utf8(column)], pa.int64())
+            ids = [tokens.encode((t or b"").decode()) for t in utf8(column)]
+            yield pa.array(curve_keys(ids, directions) << 31, pa.int64())
     return keys
 
 
@@ -149,10 +157,9 @@ def _encode(path: str, borders: list[int]):
     def encode(columns: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
         tokens, directions = Tokens(path), _directions()
         for column, ties in columns:
-            rows = []
-            for text, tie in zip(utf8(column), ties.to_pylist()):
-                ids = tokens.encode((text or b"").decode())
-                key = (curve_key(np.frombuffer(ids, "<u2"), directions) << 31) + tie
+            rows, encoded = [], [tokens.encode((t or b"").decode()) for t in utf8(column)]
+            keys = (curve_keys(encoded, directions) << 31) + ties.to_numpy()
+            for ids, key in zip(encoded, keys.tolist()):
                 ids += b"\0\0"
                 rows.append({"key": key, "part": bisect_right(borders, key), "total": len(ids) // 2,
                              "chunks": [{"start": at // 2, "ids": ids[at:at + 2 * CHUNK]}
