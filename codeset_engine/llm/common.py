@@ -21,9 +21,10 @@ class Scratch:
         self.root = f"{checkpoint_root(spark)}/{label}-{uuid.uuid4().hex}"
         self.paths: dict[int, str] = {}
 
-    def save(self, df: DataFrame, name: str, compression: str = "zstd") -> DataFrame:
+    def save(self, df: DataFrame, name: str, compression: str = "zstd",
+             partition_by: tuple[str, ...] = ()) -> DataFrame:
         path = f"{self.root}/{name}-{uuid.uuid4().hex[:8]}"
-        df.write.option("compression", compression).parquet(path)
+        df.write.option("compression", compression).partitionBy(*partition_by).parquet(path)
         saved = self.spark.read.schema(df.schema).parquet(path)
         self.paths[id(saved)] = path
         return saved

@@ -140,12 +140,11 @@ def url_filter(spark, sf_dir):
 @query("op9_external_shuffle")
 def external_shuffle(spark, sf_dir):
     text = F.coalesce("text", F.lit(""))
-    records = read(spark, sf_dir, "documents").select(
-        "doc_id", (F.octet_length(text) + 16).cast("long").alias("size"),
-        F.crc32(text).alias("text_crc32"))
+    size = (F.octet_length(text) + 16).cast("long").alias("size")
+    records = read(spark, sf_dir, "documents").select("*", size)
     placed = sharding.shuffle_into_shards(records, "doc_id", "size")
-    return placed.select(
-        "doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", "slot",
+    return placed.select(  # from the written documents
+        "doc_id", size, F.crc32(text).alias("text_crc32"), F.lit("key").alias("law"), "shard", "slot",
         sharding.shard_of(F.col("doc_id"), sharding.SHARDS + 1).alias("grown_shard"))
 
 

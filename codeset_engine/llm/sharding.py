@@ -24,13 +24,15 @@ def shard_of(key: Column, shards: int, seed: int = SEED) -> Column:
 def shuffle_into_shards(records: DataFrame, key_col: str, size_col: str, shards: int = SHARDS,
                         seed: int = SEED, bucket_bytes: int = BUCKET_BYTES,
                         bucket_rows: int = BUCKET_ROWS) -> DataFrame:
-    """``records`` with ``shard`` and ``slot``, their place in the shard, gapless from 0.
+    """``records`` with ``shard`` and ``slot``, their place in the shard, gapless from 0, as written.
 
     Pass 1 scatters records over the memory-sized buckets of their shard by a seeded hash and
     writes them to the shared folder. Pass 2 shuffles each bucket by Fisher-Yates (Spark's
-    ``shuffle``) and numbers its records; a bucket begins where the one before it ends. So a shard
-    holds its records in random order, and no task ever holds more than a bucket, whose rows and
-    ``size_col`` bytes are bounded in expectation: each shard has as many buckets as its own rows
+    ``shuffle``), numbers its records and writes them there, too, in a folder for each shard, in
+    order of slot in each file; a bucket begins where the one before it ends. The result reads
+    these files. So a shard holds its records in random order, and a task holds one bucket on
+    average and a handful at most (buckets are hashed to as many tasks). The rows and ``size_col``
+    bytes of a bucket are bounded in expectation: each shard has as many buckets as its own rows
     and bytes need, also where one key holds most of them.
 
     The shard depends on the key and the number of shards alone. The bucket also depends on the
@@ -42,8 +44,8 @@ def shuffle_into_shards(records: DataFrame, key_col: str, size_col: str, shards:
     names = [c for c in records.columns if c not in ("shard", "slot")]
     shard = shard_of(F.col(key_col), shards, seed)
     sums = records.groupBy(shard.alias("s")).agg(F.count("*").alias("n"), F.sum(size_col).alias("bytes")).collect()
-    buckets = F.create_map(*[F.lit(x) for r in sums for x in (
-        r["s"], max(1, -(-(r["bytes"] or 0) // bucket_bytes), -(-r["n"] // bucket_rows)))])
+    needed = {r["s"]: max(1, -(-(r["bytes"] or 0) // bucket_bytes), -(-r["n"] // bucket_rows)) for r in sums}
+    buckets = F.create_map(*[F.lit(x) for pair in needed.items() for x in pair])
     record = F.struct(*names).alias("record")
     scattered = scratch.save(
         records.select(record, F.monotonically_increasing_id().alias("number"))
@@ -54,10 +56,13 @@ def shuffle_into_shards(records: DataFrame, key_col: str, size_col: str, shards:
     earlier = Window.partitionBy("shard").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     starts = (scattered.groupBy("shard", "bucket").count()  # one row per bucket
               .select("shard", "bucket", F.coalesce(F.sum("count").over(earlier), F.lit(0)).alias("begin")))
-    shuffled = (scattered.groupBy("shard", "bucket")
+    shuffled = (scattered.repartition(sum(needed.values()) or 1, "shard", "bucket").groupBy("shard", "bucket")
                 .agg(F.shuffle(F.sort_array(F.collect_list(F.struct("number", "record"))),
                                seed).alias("records")))
-    return (shuffled.join(starts, ["shard", "bucket"])
-            .select("shard", "begin", F.posexplode("records").alias("place", "r"))
-            .select("r.record.*", "shard", (F.col("begin") + F.col("place")).alias("slot")))
-
+    written = scratch.save(
+        shuffled.join(starts, ["shard", "bucket"])
+        .select("shard", "begin", F.posexplode("records").alias("place", "r"))
+        .select("r.record.*", "shard", (F.col("begin") + F.col("place")).alias("slot"))
+        .sortWithinPartitions("shard", "slot"), "shards", partition_by=("shard",))
+    scratch.drop(scattered)
+    return written

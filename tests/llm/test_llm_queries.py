@@ -106,6 +106,19 @@ def test_shards_are_whole_and_grow_into_one(spark):
     assert any([d for _, d in sorted(v)] != sorted(d for _, d in v) for v in slots.values())
 
 
+def test_written_shards_hold_the_documents(spark):
+    want = {r.doc_id: r for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
+    got = QUERIES["op9_external_shuffle"](spark, SF)
+    files = got.inputFiles()
+    assert len({f.split("shard=")[1].split("/")[0] for f in files if "shard=" in f}) == 40
+    written = spark.read.option("basePath", files[0].split("/shard=")[0]).parquet(*files).collect()
+    assert len(written) == len(want)
+    for r in written:
+        assert all(r[c] == want[r.doc_id][c] for c in want[r.doc_id].__fields__)
+    assert {(r.doc_id, r.shard, r.slot, r.text_crc32) for r in got.collect()} == {
+        (r.doc_id, r.shard, r.slot, zlib.crc32((r.text or "").encode())) for r in written}
+
+
 def test_packing_gives_every_token_back(spark):
     docs = texts(spark, SF)
     tokenizer = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
