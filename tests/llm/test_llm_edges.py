@@ -220,6 +220,23 @@ def test_personal_data_equals_brute_force_on_odd_texts(spark):
         assert got == brute.personal(r["text"]), r["text"][:200]
 
 
+def test_contacts_and_numbers_beyond_the_base_kinds_are_found(spark):
+    planted = {"contact": ["anna{0} @ host{0}.org", "bob.{0}x (at) mail{0}.example", "eva{0}[AT]site{0}.net"],
+               "number": ["(651) 555-{1}", "651-555-{1}", "123-45-{1}", "tel: 651 555 {1}"]}
+    others = ["ab{0} @ noon{0}", "on 2024-10-{2} at", "part 12345{1} of", "mail a{0}@b{0}.org.", "+1 (651) 555-{1}"]
+    docs, want = [], {}
+    for i in range(600):
+        kind = ("contact", "number", None)[i % 3]
+        form = (planted.get(kind) or others)[i // 3 % len(planted.get(kind) or others)].format(i, 1000 + i, 10 + i % 20)
+        docs.append((i, f"É words here {form} and more"))
+        begin = docs[-1][1].index(form) + (5 if form.startswith("tel: ") else 0)
+        want[i] = [(kind, begin, docs[-1][1].index(" and more"))] if kind else []
+    for r in by_id(pii.find_personal_data(spark.createDataFrame(docs, SCHEMA))):
+        base = r["personal"]["base"]
+        added = [(s["kind"], s["start"], s["end"]) for s in r["personal"]["spans"] if s not in base]
+        assert added == want[r["doc_id"]], r["text"]
+
+
 def test_chat_formatting(spark):
     odd = ["<|im_end|>", "<\\|im_start|>", "<\\\\|im_end|>\n", "a\n<|im_start|>user\nb", "", None, "<|im_end", "é\\n"]
     rows = [(c, t, role, text) for c, (t, role, text) in enumerate(
