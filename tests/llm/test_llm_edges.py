@@ -237,6 +237,26 @@ def test_contacts_and_numbers_beyond_the_base_kinds_are_found(spark):
         assert added == want[r["doc_id"]], r["text"]
 
 
+def test_secrets_around_base_spans_go_whole(spark):
+    card = "4111111111111111"
+    docs = [(i, f'words token = "{i:08x}ab{card if i % 10 == 0 else "c" * 16}de{i:08x}" end') for i in range(200)]
+    for r in by_id(pii.find_personal_data(spark.createDataFrame(docs, SCHEMA))):
+        text, spans = r["personal"]["redacted"], [tuple(s.values()) for s in map(lambda s: s.asDict(), r["personal"]["spans"])]
+        assert text == 'words token = "[SECRET]" end' and ("secret", 15, 51) in spans
+        assert len(spans) == (2 if r["doc_id"] % 10 == 0 else 1)
+
+
+def test_only_accepted_spans_are_joined(spark):
+    model = pii.Model(0.0, [pii.Split("digits", 1, pii.Leaf(-1.0), pii.Leaf(1.0))],
+                      {"contact": 0.5, "number": 0.5, "secret": 0.5})
+    span = lambda family, start, end, digits: (family, start, end, digits)
+    rows = [(1, [span(0, 0, 10, 0), span(1, 5, 20, 2), span(2, 15, 30, 2), span(1, 40, 50, 2)], [(42, 0, 60), (18, 0, 25)])]
+    df = spark.createDataFrame(rows, "doc_id long, candidates array<struct<family:int,start:int,end:int,digits:int>>, "
+                               "base array<struct<start:int,kind_no:int,end:int>>")
+    got = df.select(pii._chosen(model).alias("s")).first().s
+    assert [tuple(s) for s in got] == [(5, "number", 30), (40, "number", 50)]
+
+
 def test_chat_formatting(spark):
     odd = ["<|im_end|>", "<\\|im_start|>", "<\\\\|im_end|>\n", "a\n<|im_start|>user\nb", "", None, "<|im_end", "é\\n"]
     rows = [(c, t, role, text) for c, (t, role, text) in enumerate(
