@@ -13,7 +13,7 @@ from .common import Scratch, utf8
 
 WINDOW = 10
 BLOCK_WORDS = 200_000  # item words in one automaton; more items take more passes
-MIN_SPAN = 10  # words; shorter spans (of short items) are reported, but stay in the text
+MIN_SPAN = 4  # words; shorter spans (items of one to three words) are reported, but stay in the text
 MAX_COVERAGE = 0.5  # a text with a larger share of hit words is removed as a whole
 
 _WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")

@@ -39,6 +39,23 @@ def test_stages(spark, tmp_path):
     assert {r.doc_id for r in after} == set(before)
 
 
+def test_benchmark_stage_removes_short_items(spark, tmp_path):
+    items = [(1, "Which river flows through Paris?"), (2, "Name the capital city of France in a word"),
+             (3, "alpha beta gamma delta"), (4, "one two three")]
+    spark.createDataFrame(items, "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    around = " ".join(f"filler{i}" for i in range(500))
+    docs = spark.createDataFrame(
+        [(i, f"{around} {text} {around}", "en", "web", 0) for i, text in items],
+        "doc_id long, text string, lang string, source string, n_chars long")
+    left = {r.doc_id: r for r in corpus_pipeline.benchmark(spark, docs, str(tmp_path)).collect()}
+    assert len(left) == len(items)
+    for i, text in items:  # the floor: three words and fewer stay
+        kept = len(text.split()) < 4
+        assert (brute.contamination([left[i].text], items)[0][2] == {"4"}) == kept
+        assert bool(brute.contamination([left[i].text], items)[0][1]) == kept
+        assert left[i].n_chars == (0 if kept else len(left[i].text)) and around in left[i].text
+
+
 def test_run_gives_the_last_stage(spark):
     assert corpus_pipeline.ORACLE_SQL is None and 4 <= len(STAGES) <= 5
     assert corpus_pipeline.run(spark, SF).count() > 0
