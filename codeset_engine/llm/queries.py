@@ -7,8 +7,8 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import (chat_format, decontamination, language_id, near_dup, packing, pii, quality, sharding,
-               toxicity, url_filters)
+from . import (chat_format, conversation_repair, decontamination, language_id, near_dup, packing, pii,
+               quality, sharding, toxicity, url_filters)
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -213,3 +213,105 @@ def personal_data(spark, sf_dir):
     return found.select(
         "doc_id", *[number(kind).alias(f"n_{kind}") for kind in pii.KINDS],
         F.sha2(listed(base), 256).alias("base_sha256"), listed(F.col("personal.spans")).alias("spans"))
+
+
+# crc32 in SQL: ``codes`` are the bytes of a string; the table of the polynomial is built by a rule.
+CRC_TABLE = """(SELECT list_transform(range(256), lambda i: list_reduce([i, 0, 0, 0, 0, 0, 0, 0, 0],
+    lambda c, s: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) AS tab)"""
+CRC = """xor(4294967295, list_reduce([4294967295] || {codes},
+    lambda c, b: xor(c >> 8, tab[CAST((xor(c, b) & 255) + 1 AS BIGINT)])))"""
+
+
+def damaged(conversations):
+    """Rows of conversations with planted damage, as the contract of op13 states it."""
+    shown = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(" "))
+    kind = F.crc32(F.concat(shown("conv_id"), F.lit(":"), shown("turn")).cast("binary")) % 20
+    copies = F.when(F.col("kind") == 0, 0).when(F.col("kind") == 3, 2).otherwise(1)
+    text = (F.when(F.col("kind") == 1, "").when(F.col("kind") == 2, F.translate(shown("text"), ".!?", ""))
+            .otherwise(shown("text")))
+    return conversations.withColumn("kind", kind).select(
+        "conv_id", "turn", F.when(F.col("kind") == 4, "user").otherwise(shown("role")).alias("role"),
+        text.alias("text"), F.explode(F.array_repeat(F.lit(0), copies))).drop("col")
+
+
+_STATES = {  # op13 in SQL: for each grammar state the role that may come next and where it leads
+    0: ("user", "u", 2), 1: ("user", "u", 2), 2: ("assistant", "a", 3), 3: ("user", "u", 2)}
+
+
+def _option(condition, cost, edit, line, to):
+    # an option that is not open has a cost that never wins
+    price = cost if condition is None else f"CASE WHEN {condition} THEN {cost} ELSE 1000000000 END"
+    return f"{{'c': {price} + {to}.c, 'a': '{edit}' || {to}.a, 't': {line}{to}.t}}"
+
+
+def _repair_sql() -> str:
+    bases, stays = [], "(CASE WHEN fault = 'truncated' THEN 3 ELSE 0 END)"
+    for state, (role, initial, to) in _STATES.items():
+        options = [_option(None, "4", "D", "", f"v{state}"),
+                   _option("NOT doomed", f"3 + {stays}", "R", f"['{role}:' || text] || ", f"v{to}"),
+                   _option(f"NOT doomed AND initial = '{initial}'", stays, "K", "[role || ':' || text] || ", f"v{to}")]
+        if state == 0:
+            options.append(_option("NOT doomed AND initial = 's'", stays, "K", "[role || ':' || text] || ", "v1"))
+        bases.append(f"list_sort([{', '.join(options)}])[1] AS b{state}")
+    insert = lambda state, to: (f"list_sort([b{state}, " + _option(
+        None, "3", "I", f"['{_STATES[state][0]}:'] || ", to) + "])[1]")
+    return r"""
+WITH RECURSIVE source AS (
+    SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+        coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' ') AS key FROM conversations),
+coded AS (SELECT conv_id, turn, role, text, """ + CRC.format(
+        codes="list_transform(string_split(key, ''), lambda s: CAST(ord(s) AS BIGINT))") + r""" % 20 AS kind
+    FROM source, """ + CRC_TABLE + r"""),
+after AS (SELECT conv_id, turn, CASE WHEN kind = 4 THEN 'user' ELSE role END AS role,
+        CASE kind WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text
+    FROM coded, (VALUES (1), (2)) AS twice(copy) WHERE kind <> 0 AND (copy = 1 OR kind = 3)),
+numbered AS (SELECT *, left(role, 1) AS initial,
+        row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS n FROM after),
+again AS (SELECT *, row_number() OVER (PARTITION BY conv_id, role, text ORDER BY n) AS time,
+        lag(initial) OVER (PARTITION BY conv_id ORDER BY n) || initial AS pair FROM numbered),
+judged AS (SELECT *, CASE WHEN NOT regexp_matches(text, '[^ 	-
+]') THEN 'blank'
+        WHEN time > 1 THEN 'duplicate'
+        WHEN NOT regexp_matches(text, '[.!?][ 	-
+]*\z') THEN 'truncated' ELSE 'none' END AS fault FROM again),
+rows AS (SELECT *, fault IN ('blank', 'duplicate') AS doomed FROM judged),
+counted AS (SELECT conv_id, max(n) AS size,
+        coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps,
+        count(*) FILTER (fault = 'blank') AS blank, count(*) FILTER (fault = 'duplicate') AS duplicate,
+        count(*) FILTER (fault = 'truncated') AS truncated,
+        count(*) FILTER (pair NOT IN ('su', 'ua', 'au')) AS illegal FROM rows GROUP BY conv_id),
+best(conv_id, n, v0, v1, v2, v3) AS (
+    SELECT conv_id, size + 1, {'c': 0::BIGINT, 'a': '', 't': []::VARCHAR[]},
+        {'c': 6::BIGINT, 'a': 'II', 't': ['user:', 'assistant:']},
+        {'c': 3::BIGINT, 'a': 'I', 't': ['assistant:']},
+        {'c': 0::BIGINT, 'a': '', 't': []::VARCHAR[]} FROM counted
+    UNION ALL
+    SELECT conv_id, n, """ + insert(0, "w2") + ", " + insert(1, "w2") + r""", w2, w3 FROM (
+        SELECT *, """ + insert(2, "b3") + " AS w2, " + insert(3, "b2") + r""" AS w3 FROM (
+            SELECT b.conv_id, r.n, """ + ", ".join(bases) + r"""
+            FROM best b JOIN rows r ON r.conv_id IS NOT DISTINCT FROM b.conv_id AND r.n = b.n - 1)))
+SELECT o.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate,
+    coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal, coalesce(v0.c, 0) AS cost,
+    coalesce(v0.a, '') AS audit, sha256(coalesce(array_to_string(v0.t, chr(10)), '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) o
+LEFT JOIN counted c ON c.conv_id IS NOT DISTINCT FROM o.conv_id
+LEFT JOIN best b ON b.conv_id IS NOT DISTINCT FROM o.conv_id AND b.n = 1"""
+
+
+@query("op13_conversation_repair", _repair_sql())
+def conversation_structure(spark, sf_dir):
+    conversations = read(spark, sf_dir, "conversations")
+    report, repaired = conversation_repair.repair_conversations(damaged(conversations))
+    lines = F.sort_array(F.collect_list(F.struct(
+        "position", F.concat("role", F.lit(":"), "text").alias("line"))))
+    shown = repaired.groupBy(F.col("conv_id").alias("shown_id")).agg(
+        F.array_join(F.transform(lines, lambda x: x["line"]), "\n").alias("shown"))
+    original = conversations.select(F.col("conv_id").alias("original_id")).distinct()
+    every = (original.join(report, F.col("original_id").eqNullSafe(F.col("conv_id")), "left")
+             .join(shown, F.col("original_id").eqNullSafe(F.col("shown_id")), "left"))
+    return every.select(
+        F.col("original_id").alias("conv_id"),
+        *[F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in (
+            "gaps", "blank", "duplicate", "truncated", "illegal", "cost")],
+        F.coalesce("audit", F.lit("")).alias("audit"),
+        F.sha2(F.coalesce("shown", F.lit("")), 256).alias("repaired_sha256"))
