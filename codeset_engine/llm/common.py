@@ -37,6 +37,21 @@ class Scratch:
             path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def chosen_rows(rows: DataFrame, ids: DataFrame, scratch: Scratch) -> DataFrame:
+    """The rows of which ``rid`` is in ``ids`` (rid), by one bit a row.
+
+    The ids become one bitmap per 32,768 row numbers, written to the shared folder, so that their
+    size is known when the join is planned. Spark broadcasts them where they lie under its
+    threshold (10 MB hold the bits of 80 million rows) and shuffles otherwise.
+    """
+    bits = scratch.save(ids.groupBy(F.bitmap_bucket_number("rid").alias("bucket")).agg(
+        F.bitmap_construct_agg(F.bitmap_bit_position("rid")).alias("bits")), "bits")
+    at = F.bitmap_bit_position("rid")
+    byte = F.conv(F.hex(F.substring("bits", F.floor(at / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    return (rows.withColumn("bucket", F.bitmap_bucket_number("rid")).join(bits, "bucket")
+            .where(F.getbit(byte, F.pmod(at, 8).cast("int")) == 1).drop("bucket", "bits"))
+
+
 def ascii_lower(text: Column) -> Column:
     """``text`` with A-Z in lower case and everything else as it is."""
     return F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")

@@ -7,8 +7,8 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import (chat_format, conversation_repair, decontamination, language_id, near_dup, packing, pii,
-               quality, sharding, toxicity, url_filters)
+from . import (chat_format, conversation_repair, decontamination, language_id, near_dup, ngram_join, packing,
+               pii, quality, sharding, toxicity, url_filters)
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -28,7 +28,33 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
-@query("op3_minhash_near_dedup")
+def _components_sql(percent: int, more: str = "") -> str:
+    """Exact self-join of shingle sets, then the smallest id reachable over links."""
+    return r"""
+WITH RECURSIVE texts AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''),
+    'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS words FROM documents),
+shingles AS MATERIALIZED (SELECT DISTINCT doc_id, list_slice(words, i, i + 4) AS shingle FROM (
+    SELECT doc_id, words, unnest(range(1, greatest(len(words) - 3, 2))) AS i FROM texts WHERE len(words) > 0)),
+sizes AS MATERIALIZED (SELECT doc_id, count(*) AS n FROM shingles GROUP BY doc_id),
+links AS MATERIALIZED (SELECT x, y FROM (
+    SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS common FROM shingles a JOIN shingles b
+    ON a.shingle = b.shingle AND a.doc_id < b.doc_id GROUP BY ALL) c
+    JOIN sizes p ON p.doc_id = x JOIN sizes q ON q.doc_id = y
+    WHERE 100 * common >= """ + str(percent) + r""" * (p.n + q.n - common)),
+both_ways AS MATERIALIZED (SELECT x, y FROM links UNION ALL SELECT y, x FROM links),
+reached(node, least) AS (
+    SELECT doc_id, doc_id FROM documents UNION SELECT y, least FROM reached JOIN both_ways ON x = node),
+component AS (SELECT node, min(least) AS component_id FROM reached GROUP BY node)
+SELECT d.doc_id, coalesce(n, 0) AS n_shingles, component_id""" + more + r"""
+FROM documents d JOIN component ON node = d.doc_id LEFT JOIN sizes s ON s.doc_id = d.doc_id"""
+
+
+@query("op12_ngram_jaccard_join", _components_sql(80))
+def ngram_jaccard_join(spark, sf_dir):
+    return ngram_join.join_similar(read(spark, sf_dir, "documents")).drop("class_id")
+
+
+@query("op3_minhash_near_dedup", _components_sql(75, ", d.doc_id = component_id AS kept"))
 def near_dedup(spark, sf_dir):
     return near_dup.near_duplicates(read(spark, sf_dir, "documents"))
 
