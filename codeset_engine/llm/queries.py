@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from . import (chat_format, conversation_repair, decontamination, language_id, near_dup, ngram_join, packing,
-               pii, quality, sharding, toxicity, url_filters)
+               pii, quality, sharding, spelling, toxicity, url_filters)
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -341,3 +341,44 @@ def conversation_structure(spark, sf_dir):
             "gaps", "blank", "duplicate", "truncated", "illegal", "cost")],
         F.coalesce("audit", F.lit("")).alias("audit"),
         F.sha2(F.coalesce("shown", F.lit("")), 256).alias("repaired_sha256"))
+
+
+def misspelt(runs):
+    """Runs (doc_id, run) with planted typing errors, as the contract of op11 states it."""
+    key = F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit(":"), "run")
+    h = F.crc32(key.cast("binary"))
+    at = (F.col("h") % F.length("run")).cast("int")
+    return runs.withColumn("h", h).select(F.when(F.col("h") % 199 == 0, F.concat(
+        F.substring("run", F.lit(1), at), F.substring("run", at + 2, F.length("run")))).otherwise(F.col("run")).alias("run"))
+
+
+@query("op11_spelling_variants", r"""
+WITH RECURSIVE runs AS (SELECT doc_id, translate(run, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS run,
+    count(*) AS times FROM (SELECT doc_id, unnest(regexp_extract_all(coalesce(text, ''), '[A-Za-z\x{C0}-\x{FF}]+')) AS run
+    FROM documents) GROUP BY ALL),
+coded AS (SELECT run, times, length(run) AS size, """ + CRC.format(codes="""flatten(list_transform(
+    string_split(coalesce(CAST(doc_id AS VARCHAR), '') || ':' || run, ''),
+    lambda s: CASE WHEN ord(s) < 128 THEN [CAST(ord(s) AS BIGINT)] ELSE [195, CAST(ord(s) - 64 AS BIGINT)] END))""") + r""" AS h
+    FROM runs, """ + CRC_TABLE + r"""),
+spelt AS (SELECT times, CASE WHEN h % 199 = 0 THEN left(run, CAST(h % size AS BIGINT)) || substr(run, CAST(h % size AS BIGINT) + 2)
+    ELSE run END AS word FROM coded),
+words AS MATERIALIZED (SELECT word, CAST(sum(times) AS BIGINT) AS n FROM spelt WHERE length(word) >= 6
+    GROUP BY word HAVING sum(times) >= 5),
+shorter AS (SELECT word, n, i, left(word, i - 1) || substr(word, i + 1) AS part FROM (
+    SELECT word, n, unnest(range(1, length(word) + 1)) AS i FROM words)),
+near AS MATERIALIZED (
+    SELECT a.word, b.word AS other, b.n AS other_n FROM shorter a JOIN shorter b ON a.part = b.part AND a.i = b.i AND a.word <> b.word
+    UNION SELECT s.word, w.word, w.n FROM shorter s JOIN words w ON w.word = s.part
+    UNION SELECT w.word, s.word, s.n FROM shorter s JOIN words w ON w.word = s.part),
+best AS (SELECT word, count(*) AS n_near, first(other ORDER BY other_n DESC, other) AS other, max(other_n) AS other_n
+    FROM near GROUP BY word),
+formed AS MATERIALIZED (SELECT w.word, w.n, coalesce(n_near, 0) AS n_near,
+    CASE WHEN other_n >= 5 * w.n THEN other END AS form, CASE WHEN other_n >= 5 * w.n THEN other_n END AS form_n
+    FROM words w LEFT JOIN best b ON b.word = w.word),
+steps(word, root) AS (SELECT word, word FROM words
+    UNION ALL SELECT s.word, f.form FROM steps s JOIN formed f ON f.word = s.root AND f.form IS NOT NULL),
+ends AS (SELECT s.word, s.root FROM steps s JOIN formed f ON f.word = s.root AND f.form IS NULL)
+SELECT f.word, form, root, n, n_near, form_n FROM formed f JOIN ends e ON e.word = f.word""")
+def spelling_variants(spark, sf_dir):
+    runs = spelling.word_runs(read(spark, sf_dir, "documents").select("doc_id", "text"))
+    return spelling.group_variants(spelling.count_words(misspelt(runs)))
