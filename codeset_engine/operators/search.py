@@ -26,6 +26,7 @@ SEMANTIC_WEIGHT, KEYWORD_WEIGHT = 0.7, 0.3
 SIMILARITY_THRESHOLD = 0.7
 
 BROADCAST_BYTES = 8 << 20   # measured size of the requests up to which they are broadcast
+BLOCK_BYTES = 64 << 20      # what a task holds of the corpus at once when requests stream past it
 MARK = "\0"            # between the texts that are searched as one
 DECIMALS = 9          # scores are rounded so that ranks do not depend on summation order
 
@@ -47,7 +48,7 @@ def _prune(scores: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
     return keep[np.lexsort((ids[keep], -scores[keep]))][:k]
 
 
-def _unit_vectors(vectors: list) -> tuple:
+def unit_vectors(vectors: list) -> tuple:
     """Request vectors of unit length: their number, and (positions, matrix) by dimension."""
     by_size: dict[int, list[int]] = {}
     for position, vector in enumerate(vectors):
@@ -62,7 +63,7 @@ def _unit_vectors(vectors: list) -> tuple:
     return len(vectors), parts
 
 
-def _cosine(threshold: float | None) -> Callable:
+def cosine(threshold: float | None) -> Callable:
     """Scores of an Arrow batch (id, vector, ...): a matrix product with the requests."""
 
     def score(requests: tuple, batch: pa.RecordBatch) -> np.ndarray:
@@ -143,12 +144,12 @@ def _best(qids: list, requests, batches: Iterator[pa.RecordBatch], score: Callab
             schema=schema)
 
 
-def _topk(corpus: DataFrame, requests: DataFrame, size: Column, score: Callable, prepare: Callable,
-          k: int, id_col: str, value_col: str, asked: str, score_name: str,
+def _topk(corpus: DataFrame, requests: DataFrame, size: Callable[[str], Column], score: Callable,
+          prepare: Callable, k: int, id_col: str, value_col: str, asked: str, score_name: str,
           per: Sequence[str]) -> DataFrame:
     """Hits of ``requests`` (qid, ``asked``) among (id, value, per...), then their ranking.
 
-    ``size`` is the size in bytes of a request and ``prepare`` turns a list of them into what
+    ``size`` gives the size in bytes of a value and ``prepare`` turns a list of requests into what
     ``score`` takes. Rows without an id are left out.
     """
     corpus = corpus.filter(F.col(id_col).isNotNull() & F.col(value_col).isNotNull())
@@ -157,7 +158,7 @@ def _topk(corpus: DataFrame, requests: DataFrame, size: Column, score: Callable,
                         *(corpus.schema[name] for name in per)])
     schema, n_groups = to_arrow_schema(out), len(per)
     rows = corpus.select(id_col, value_col, *per)
-    measured = requests.agg(F.sum(size + 64)).first()[0] or 0
+    measured = requests.agg(F.sum(size(asked) + 64)).first()[0] or 0
     if measured <= BROADCAST_BYTES:
         few = requests.collect()
         shared = corpus.sparkSession.sparkContext.broadcast(
@@ -169,17 +170,19 @@ def _topk(corpus: DataFrame, requests: DataFrame, size: Column, score: Callable,
 
         hits = rows.mapInArrow(over_partition, out)
     else:
-        hits = _streamed(rows, requests, asked).mapInArrow(
-            _over_blocks(prepare, score, k, n_groups, schema), out)
+        held = rows.agg(F.sum(size(value_col) + 64)).first()[0] or 0
+        hits = _streamed(rows, requests, asked, held).mapInArrow(
+            best_over_blocks(prepare, score, k, n_groups, schema), out)
     return top_k(hits, ["qid", *per], [F.desc(score_name), F.asc(id_col)], k)
 
 
-def _streamed(rows: DataFrame, requests: DataFrame, asked: str) -> DataFrame:
+def _streamed(rows: DataFrame, requests: DataFrame, asked: str, held: int) -> DataFrame:
     """Corpus rows and copies of all requests by block, in each block the corpus first.
 
-    There are as many blocks as shuffle partitions, so a task holds what any shuffle would give it.
+    Blocks are as many as keep each under ``BLOCK_BYTES`` of the ``held`` bytes measured, and no
+    fewer than there are cores. Requests pass in batches, so a task holds no more than its block.
     """
-    blocks = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    blocks = max(-(-held // BLOCK_BYTES), rows.sparkSession.sparkContext.defaultParallelism)
     id_col, value_col, *per = rows.columns
     own = rows.select(F.pmod(F.xxhash64(id_col), F.lit(blocks)).cast("int").alias("block"),
                       F.lit(False).alias("asks"), *[F.col(c).alias(f"c{i}") for i, c in enumerate(rows.columns)])
@@ -189,7 +192,7 @@ def _streamed(rows: DataFrame, requests: DataFrame, asked: str) -> DataFrame:
             .repartitionById(blocks, F.col("block")).sortWithinPartitions("block", "asks"))
 
 
-def _over_blocks(prepare: Callable, score: Callable, k: int, n_groups: int, schema: pa.Schema) -> Callable:
+def best_over_blocks(prepare: Callable, score: Callable, k: int, n_groups: int, schema: pa.Schema) -> Callable:
     names = [f"c{i}" for i in range(2 + n_groups)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -225,10 +228,23 @@ def semantic_topk(corpus: DataFrame, requests: DataFrame, k: int = TOP_K, *, id_
     corpus = corpus if where is None else corpus.filter(where)
     requests = requests.select("qid", F.col("vector").cast("array<double>").alias("vector"))
     requests = requests.filter(F.size("vector") > 0)
-    return _topk(corpus, requests, 8 * F.size("vector"), _cosine(threshold), _unit_vectors, k, id_col,
+    return _topk(corpus, requests, lambda c: 8 * F.size(c), cosine(threshold), unit_vectors, k, id_col,
                  vector_col, "vector", "similarity", per)
 
 
+def _non_empty(requests: DataFrame) -> DataFrame:
+    refused = F.raise_error(F.lit("keyword search needs a non-empty query")).cast("string")
+    return requests.select("qid", F.when(F.length("query") > 0, F.col("query")).otherwise(refused).alias("query"))
+
+
+def needles(requests: DataFrame) -> DataFrame:
+    """(qid, query) with queries in lower case, as texts are compared; empty ones are refused."""
+    @F.udf("string", useArrow=True)
+    def lower(query: str) -> str:
+        return query.lower()
+    return _non_empty(requests).select("qid", lower("query").alias("query"))
+
+
 def keyword_topk(corpus: DataFrame, requests: DataFrame, k: int = KEYWORD_TOP_K, *, id_col: str,
                  text_col: str, per: Sequence[str] = (), where: Column | None = None) -> DataFrame:
     """Best ``k`` rows per request whose lower-cased text contains the lower-cased query.
@@ -238,9 +254,8 @@ def keyword_topk(corpus: DataFrame, requests: DataFrame, k: int = KEYWORD_TOP_K,
     through Arrow because counting with ``replace`` and ``regexp_count`` took four times as long.
     """
     corpus = corpus if where is None else corpus.filter(where)
-    refused = F.raise_error(F.lit("keyword search needs a non-empty query")).cast("string")
-    requests = requests.select("qid", F.when(F.length("query") > 0, F.col("query")).otherwise(refused).alias("query"))
-    return _topk(corpus, requests, F.octet_length("query"), _keyword_density,
+    requests = _non_empty(requests)
+    return _topk(corpus, requests, F.octet_length, _keyword_density,
                  lambda queries: [query.lower() for query in queries], k, id_col, text_col, "query",
                  "score", per)
 
@@ -270,6 +285,13 @@ def hybrid_topk(vectors: DataFrame, texts: DataFrame, requests: DataFrame, k: in
                              where=vector_where)
     keyword = keyword_topk(texts, requests, 2 * k, id_col=id_col, text_col=text_col,
                            where=text_where)
+    return weigh_hits(semantic, keyword, k, id_col, semantic_weight, keyword_weight)
+
+
+def weigh_hits(semantic: DataFrame, keyword: DataFrame, k: int, id_col: str,
+               semantic_weight: float = SEMANTIC_WEIGHT, keyword_weight: float = KEYWORD_WEIGHT) -> DataFrame:
+    """The ``k`` best of two hit lists by the weighted sum of their scores."""
+    check_weights(semantic_weight, keyword_weight)
     score = (F.lit(semantic_weight) * F.col("semantic_score")
              + F.lit(keyword_weight) * F.col("keyword_score"))
     merged = merge_hits(semantic, keyword, id_col).withColumn(

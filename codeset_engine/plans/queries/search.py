@@ -6,12 +6,15 @@ fixed search word each; the corpus is every embedding and every document.
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ... import schemas
 from ...functions import responses
 from ...functions.strings import WHITESPACE_CLASS
-from ...operators import embed, ranking, search
+from ...operators import cells, embed, grams, ranking, search
+from ...session import checkpoint_root
 from .registry import ctes, derived, int_rank, query, read, read_spread
 
 WORDS = ("tion", "que", "der", "the", "and", "ion", "est", "ent", "ing", "sch")
@@ -74,6 +77,34 @@ def semantic_neighbours(spark, sf_dir):
     return _rounded(search.semantic_topk(vectors, requests, 3, id_col="vec_id", vector_col="embedding"), "similarity")
 
 
+def _cell_index(spark, sf_dir) -> str:
+    path = f"{checkpoint_root(spark)}/cells-{uuid.uuid4().hex}"
+    cells.build_cells(read(spark, sf_dir, "embeddings"), path, id_col="vec_id", vector_col="embedding")
+    return path
+
+
+@query("semantic_topk_cells", int_rank(f"""WITH {REQUESTS_SQL}
+SELECT qid, vec_id, round(similarity, 6) AS similarity,
+       row_number() OVER (PARTITION BY qid ORDER BY similarity DESC, vec_id) AS rank
+FROM semantic QUALIFY rank <= 10"""))
+def semantic_topk_cells(spark, sf_dir):
+    """The same hits through stored cells."""
+    hits = cells.search_cells(spark, _cell_index(spark, sf_dir), _requests(spark, sf_dir), 10, id_col="vec_id")
+    return _rounded(hits, "similarity")
+
+
+@query("semantic_neighbours_cells", int_rank("""WITH pairs AS (SELECT q.vec_id AS qid, c.vec_id,
+    round(list_cosine_similarity(c.embedding::DOUBLE[], q.embedding::DOUBLE[]), 9) AS similarity
+    FROM embeddings q CROSS JOIN embeddings c)
+SELECT qid, vec_id, round(similarity, 6) AS similarity,
+       row_number() OVER (PARTITION BY qid ORDER BY similarity DESC, vec_id) AS rank
+FROM pairs QUALIFY rank <= 3"""))
+def semantic_neighbours_cells(spark, sf_dir):
+    """Every embedding as a request, through stored cells."""
+    requests = read(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("qid"), F.col("embedding").alias("vector"))
+    return _rounded(cells.search_cells(spark, _cell_index(spark, sf_dir), requests, 3, id_col="vec_id"), "similarity")
+
+
 @query("semantic_topk_filtered", int_rank(f"""WITH {REQUESTS_SQL}
 SELECT qid, vec_id, round(similarity, 6) AS similarity,
        row_number() OVER (PARTITION BY qid ORDER BY similarity DESC, vec_id) AS rank
@@ -107,10 +138,13 @@ def similarity_threshold(spark, sf_dir):
                     "similarity", "from_distance")
 
 
-@query("keyword_topk", int_rank(f"""WITH {_words_sql(KEYWORDS)}, {KEYWORD_SQL}
+KEYWORD_TOPK_SQL = int_rank(f"""WITH {_words_sql(KEYWORDS)}, {KEYWORD_SQL}
 SELECT qid, doc_id, round(score, 6) AS score,
        row_number() OVER (PARTITION BY qid ORDER BY score DESC, doc_id) AS rank
-FROM keyword QUALIFY rank <= 20"""))
+FROM keyword QUALIFY rank <= 20""")
+
+
+@query("keyword_topk", KEYWORD_TOPK_SQL)
 def keyword_topk(spark, sf_dir):
     requests = spark.createDataFrame(list(enumerate(KEYWORDS)), "qid int, query string")
     hits = search.keyword_topk(read_spread(spark, sf_dir, "documents", "doc_id", "text"), requests, 20, id_col="doc_id",
@@ -118,7 +152,7 @@ def keyword_topk(spark, sf_dir):
     return _rounded(hits, "score")
 
 
-@query("hybrid_search", int_rank(f"""WITH {REQUESTS_SQL}, {_words_sql(WORDS)}, {KEYWORD_SQL},
+HYBRID_SQL = int_rank(f"""WITH {REQUESTS_SQL}, {_words_sql(WORDS)}, {KEYWORD_SQL},
 s AS (SELECT qid, vec_id AS doc_id, similarity FROM semantic
       QUALIFY row_number() OVER (PARTITION BY qid ORDER BY similarity DESC, vec_id) <= 20),
 k AS (SELECT qid, doc_id, score FROM keyword
@@ -129,7 +163,10 @@ scored AS (SELECT *, round(0.7::DOUBLE * semantic_score + 0.3::DOUBLE * keyword_
 SELECT qid, doc_id, round(semantic_score, 6) AS semantic_score, round(keyword_score, 6) AS keyword_score,
        round(h, 6) AS hybrid_score,
        row_number() OVER (PARTITION BY qid ORDER BY h DESC, doc_id) AS rank
-FROM scored QUALIFY rank <= 10"""))
+FROM scored QUALIFY rank <= 10""")
+
+
+@query("hybrid_search", HYBRID_SQL)
 def hybrid_search(spark, sf_dir):
     vectors = read(spark, sf_dir, "embeddings").withColumnRenamed("vec_id", "doc_id")
     requests = _requests(spark, sf_dir).withColumn("query", _word(F.col("qid")))
@@ -138,6 +175,33 @@ def hybrid_search(spark, sf_dir):
     return _rounded(hits, "semantic_score", "keyword_score", "hybrid_score")
 
 
+def _gram_index(spark, sf_dir) -> str:
+    path = f"{checkpoint_root(spark)}/grams-{uuid.uuid4().hex}"
+    texts = read_spread(spark, sf_dir, "documents", "doc_id", "text")
+    odd = F.col("doc_id") % 2 == 1
+    grams.build_grams(texts.where(~odd), path, id_col="doc_id", text_col="text")
+    grams.build_grams(texts.where(odd), path, id_col="doc_id", text_col="text", append=True)
+    return path
+
+
+@query("keyword_topk_grams", KEYWORD_TOPK_SQL)
+def keyword_topk_grams(spark, sf_dir):
+    """The same hits through stored postings, built in two batches."""
+    requests = spark.createDataFrame(list(enumerate(KEYWORDS)), "qid int, query string")
+    return _rounded(grams.search_grams(spark, _gram_index(spark, sf_dir), requests, 20, id_col="doc_id"), "score")
+
+
+@query("hybrid_search_indexed", HYBRID_SQL)
+def hybrid_search_indexed(spark, sf_dir):
+    """Hybrid search through cells and postings."""
+    asked = _requests(spark, sf_dir)
+    semantic = cells.search_cells(spark, _cell_index(spark, sf_dir), asked, 20, id_col="vec_id")
+    keyword = grams.search_grams(spark, _gram_index(spark, sf_dir), asked.select("qid", _word(F.col("qid")).alias("query")),
+                                 20, id_col="doc_id")
+    hits = search.weigh_hits(semantic.withColumnRenamed("vec_id", "doc_id"), keyword, 10, "doc_id")
+    return _rounded(hits, "semantic_score", "keyword_score", "hybrid_score")
+
+
 @query("code_lookup", """SELECT o_orderkey AS qid, o_orderkey AS code, p_name AS description,
        p_partkey IS NOT NULL AS found
 FROM orders LEFT JOIN part ON o_orderkey = p_partkey""")
