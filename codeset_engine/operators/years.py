@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..schemas import COLUMNS_BY_TYPE
 from .ranking import first_per_key, top_k
@@ -215,3 +215,77 @@ def history_flags(codes: DataFrame) -> DataFrame:
                     F.array_max(years).alias("last_year"),
                     F.coalesce(F.col("year") - F.get(years, F.col("i") - 1) - 1, F.lit(0))
                     .alias("gap_before")))
+
+
+def presence_patterns(codes: DataFrame) -> DataFrame:
+    """(code_type, years, codes): how many codes occur in exactly these years.
+
+    One shuffle by code; the patterns are few, however many codes there are.
+    """
+    return code_years(codes).groupBy("code_type", "years").agg(F.count(F.lit(1)).alias("codes"))
+
+
+def compare_all_years(codes: DataFrame) -> DataFrame:
+    """The comparison of every stored year of a type with every other one, in both directions.
+
+    All counts follow from the patterns: two years have the codes of all patterns in common that
+    hold both. So the codes are shuffled once, whatever the number of years.
+    """
+    patterns = presence_patterns(codes)
+    one = patterns.select("code_type", "years", "codes", F.explode("years").alias("year1"))
+    totals = one.groupBy("code_type", "year1").agg(F.sum("codes").alias("total"))
+    both = (one.select("code_type", "year1", F.explode("years").alias("year2"), "codes")
+            .groupBy("code_type", "year1", "year2").agg(F.sum("codes").alias("common")))
+    other = totals.select("code_type", F.col("year1").alias("year2"), F.col("total").alias("total2"))
+    pairs = totals.join(other, "code_type").where("year1 <> year2")     # years of a type are few
+    shared = F.coalesce("common", F.lit(0))
+    return (pairs.join(both, ["code_type", "year1", "year2"], "left")
+            .select("code_type", "year1", "year2", F.col("total").alias("year1_total"),
+                    F.col("total2").alias("year2_total"), (F.col("total2") - shared).alias("added_in_year2"),
+                    (F.col("total") - shared).alias("removed_from_year1"), shared.alias("common_codes")))
+
+
+def validity_intervals(codes: DataFrame, order: Sequence[Column]) -> DataFrame:
+    """(code_type, code, description, valid_from, valid_to): runs of years with one description.
+
+    A run ends where a year is missing or the description changes (null is a description like any
+    other). A year's description is that of its first row in ``order``. Rows without a year are in
+    no run. After the first step a code has one row a year, so its window is small.
+    """
+    yearly = first_per_key(codes.where(F.col("year").isNotNull()), ["code_type", "code", "year"], order)
+    by_year = Window.partitionBy("code_type", "code").orderBy("year")
+    follows = ((F.lag("year").over(by_year) == F.col("year") - 1)
+               & F.lag("description").over(by_year).eqNullSafe(F.col("description")))
+    starts = yearly.withColumn("starts", (~F.coalesce(follows, F.lit(False))).cast("int"))
+    return (starts.withColumn("run", F.sum("starts").over(by_year)).groupBy("code_type", "code", "run")
+            .agg(F.first("description").alias("description"), F.min("year").alias("valid_from"),
+                 F.max("year").alias("valid_to")).drop("run"))
+
+
+def as_of_lookup(intervals: DataFrame, requests: DataFrame, salts: int = 8) -> DataFrame:
+    """``requests`` (code_type, code, as_of, ...) with the interval in force, or the last one before.
+
+    Adds description, valid_from, valid_to and ``status``: ``valid``, ``lapsed`` (the last interval
+    ended before) or ``unknown`` (none has begun). Intervals and requests are sorted together and the
+    last interval is carried on, so there is no range join. A code's requests are dealt to
+    ``salts`` groups, each with a copy of the code's few intervals.
+    """
+    found = F.struct("description", "valid_from", "valid_to")
+    begun = intervals.select(
+        "code_type", "code", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("__salt"),
+        F.col("valid_from").cast("int").alias("__at"), F.lit(0).alias("__asks"), found.alias("__found"),
+        F.lit(None).cast(requests.schema).alias("__request"))
+    row = F.struct(*[F.col(c) for c in requests.columns])
+    asking = requests.select(
+        "code_type", "code", F.pmod(F.xxhash64(row), F.lit(salts)).cast("int").alias("__salt"),
+        F.col("as_of").cast("int").alias("__at"), F.lit(1).alias("__asks"),
+        F.lit(None).cast(begun.schema["__found"].dataType).alias("__found"), row.alias("__request"))
+    until_now = (Window.partitionBy("code_type", "code", "__salt").orderBy(F.asc_nulls_first("__at"), "__asks")
+                 .rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    carried = (begun.unionByName(asking).withColumn("__last", F.last("__found", ignorenulls=True).over(until_now))
+               .where("__asks = 1"))
+    last = F.col("__last")
+    status = (F.when(last.isNull() | F.col("__at").isNull(), "unknown")
+              .when(F.col("__at") <= last["valid_to"], "valid").otherwise("lapsed"))
+    return carried.select("__request.*", last["description"].alias("description"), last["valid_from"].alias("valid_from"),
+                          last["valid_to"].alias("valid_to"), status.alias("status"))

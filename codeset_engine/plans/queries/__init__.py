@@ -1,6 +1,6 @@
 """Registered queries: the operators applied to the driver's tables, with SQL to check them."""
 
-from . import codes, logs, search, texts
+from . import codes, logs, search, stored, texts
 from .registry import ORACLES, QUERIES
 
-__all__ = ["ORACLES", "QUERIES", "codes", "logs", "search", "texts"]
+__all__ = ["ORACLES", "QUERIES", "codes", "logs", "search", "stored", "texts"]

@@ -310,6 +310,58 @@ def code_history_flags(spark, sf_dir):
     return years.history_flags(derived(spark, sf_dir, "year_codes"))
 
 
+@query("compare_all_years", f"""{_YEAR_CODES},
+d AS (SELECT DISTINCT code_type, year, code FROM year_codes),
+totals AS (SELECT code_type, year, count(*) AS n FROM d GROUP BY ALL),
+both_ AS (SELECT a.code_type, a.year AS y1, b.year AS y2, count(*) AS n FROM d a JOIN d b
+          ON a.code_type = b.code_type AND a.code = b.code AND a.year <> b.year GROUP BY ALL)
+SELECT t1.code_type, t1.year AS year1, t2.year AS year2, t1.n AS year1_total, t2.n AS year2_total,
+       t2.n - coalesce(b.n, 0) AS added_in_year2, t1.n - coalesce(b.n, 0) AS removed_from_year1,
+       coalesce(b.n, 0) AS common_codes
+FROM totals t1 JOIN totals t2 ON t1.code_type = t2.code_type AND t2.year <> t1.year
+LEFT JOIN both_ b ON b.code_type = t1.code_type AND b.y1 = t1.year AND b.y2 = t2.year""")
+def compare_all_years(spark, sf_dir):
+    """Every year of a type with every other one."""
+    return years.compare_all_years(derived(spark, sf_dir, "year_codes"))
+
+
+_INTERVALS = f"""{_YEAR_CODES},
+firsts AS (SELECT code_type, code, year, description FROM year_codes
+    QUALIFY row_number() OVER (PARTITION BY code_type, code, year ORDER BY l_orderkey, l_linenumber) = 1),
+marked AS (SELECT *, CASE WHEN lag(year) OVER w = year - 1 AND lag(description) OVER w IS NOT DISTINCT FROM description
+    THEN 0 ELSE 1 END AS starts FROM firsts WINDOW w AS (PARTITION BY code_type, code ORDER BY year)),
+numbered AS (SELECT *, sum(starts) OVER (PARTITION BY code_type, code ORDER BY year) AS run FROM marked),
+intervals AS (SELECT code_type, code, any_value(description) AS description, min(year) AS valid_from, max(year) AS valid_to
+    FROM numbered GROUP BY code_type, code, run)"""
+
+
+@query("validity_intervals", f"{_INTERVALS} SELECT * FROM intervals")
+def validity_intervals(spark, sf_dir):
+    return years.validity_intervals(derived(spark, sf_dir, "year_codes"),
+                                    [F.asc("l_orderkey"), F.asc("l_linenumber")])
+
+
+_REQUESTS = """SELECT o_orderkey AS qid, CASE o_orderkey % 3 WHEN 0 THEN 'A' WHEN 1 THEN 'N' ELSE 'R' END AS code_type,
+    lpad(CAST(CASE WHEN o_orderkey % 4 = 0 THEN 7 ELSE o_custkey END AS STRING), 10, '0') AS code,
+    CAST(year(o_orderdate) AS INT) AS as_of FROM orders"""
+
+
+@query("as_of_lookup", f"""{_INTERVALS}, requests AS ({_REQUESTS}),
+last_ AS (SELECT r.*, i.description, i.valid_from, i.valid_to FROM requests r LEFT JOIN intervals i
+    ON i.code_type = r.code_type AND i.code = r.code AND i.valid_from <= r.as_of
+    QUALIFY row_number() OVER (PARTITION BY qid ORDER BY valid_from DESC NULLS LAST) = 1)
+SELECT *, CASE WHEN valid_from IS NULL THEN 'unknown' WHEN as_of <= valid_to THEN 'valid' ELSE 'lapsed' END AS status
+FROM last_""")
+def as_of_lookup(spark, sf_dir):
+    """A lookup for every order; a quarter of them ask for one code."""
+    orders = read(spark, sf_dir, "orders")
+    requests = orders.selectExpr(
+        "o_orderkey AS qid", "CASE o_orderkey % 3 WHEN 0 THEN 'A' WHEN 1 THEN 'N' ELSE 'R' END AS code_type",
+        "lpad(CAST(CASE WHEN o_orderkey % 4 = 0 THEN 7 ELSE o_custkey END AS STRING), 10, '0') AS code",
+        "CAST(year(o_orderdate) AS INT) AS as_of")
+    return years.as_of_lookup(validity_intervals(spark, sf_dir), requests)
+
+
 _GRID = f"""{_YEAR_CODES},
 grid AS (SELECT code_type, CAST(year AS INT) AS year FROM (SELECT DISTINCT code_type FROM year_codes)
          CROSS JOIN (SELECT unnest(range(1994, 2003)) AS year)),

@@ -29,9 +29,13 @@ def read_audit_log(spark: SparkSession, path: str) -> DataFrame:
 
 
 def append_audit_log(events: DataFrame, path: str) -> None:
-    """Append events as JSON lines; null fields are written so that every line is complete."""
+    """Append events as JSON lines; null fields are written so that every line is complete.
+
+    Times keep their microseconds.
+    """
     (events.select(*schemas.AUDIT_EVENT.names).write.mode("append")
-     .option("ignoreNullFields", "false").json(path))
+     .option("ignoreNullFields", "false").option("timestampFormat", "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX")
+     .option("timestampNTZFormat", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS").json(path))
 
 
 def duration_windows(calls: DataFrame, late_by: str | None = "10 minutes",
