@@ -3,8 +3,9 @@
 All shingles have one order, rarest first. Sets of Jaccard similarity t share at least
 ``ceil(t * n)`` shingles, so the first ``n - ceil(t * n) + k`` shingles of both have k in common.
 A light set (fewer shingles than the boundary) has a key for every subset of two of its first
-shingles; a heavy set scans the inverted lists of its first shingles, on which light sets are as
-well that can still be similar to a heavy one. The boundary is where both together cost least.
+shingles; a heavy set scans the inverted lists of its first shingles, with a k that grows with the
+set, and is dropped where fewer lists than that hold another set. Light sets that can still be
+similar to a heavy one are on lists as well. The boundary is where both together cost least.
 """
 
 from __future__ import annotations
@@ -24,8 +25,10 @@ from .verification import MIX1, MIX2, WordHashes, linked_components
 
 SIMILARITY = 80     # per cent
 SUBSET = 2          # shingles in a subset
-CELLS = 1 << 19     # counters of the shingle order, a fixed 2 MB
-PART = 1 << 13      # counters in one row on their way to the sum
+HITS = 10           # per cent of a set that a similar one has on its lists, at least
+PEELS = 2           # rounds in which sets with too few lists, and lists of one set, are dropped
+CELLS = 1 << 22     # counters of the shingle order: a fixed 8 MB once they are broadcast
+PART = 1 << 14      # counters in one row on their way to the sum
 MOST_LIGHT = 256    # the boundary is looked for up to this size
 SALTS = 16
 _SIGNED = "struct<n:bigint,c:bigint,d:bigint,keys:array<bigint>>"
@@ -48,6 +51,15 @@ def first_shingles(n: int, percent: int, subset: int) -> int:
     return n - shared_at_least(n, percent) + subset
 
 
+def least_hits(n: int, percent: int) -> int:
+    """Lists that a set of ``n`` has in common with any similar set, at least."""
+    return _hits(shared_at_least(n, percent))   # the smallest similar set may have no more shingles
+
+
+def _hits(n: int) -> int:
+    return max(1, n * HITS // 100)
+
+
 def has_partners(n: int, percent: int) -> bool:
     """Whether a set of ``n`` can be similar to a set other than itself."""
     return 100 * n >= percent * (n + 1)
@@ -64,7 +76,7 @@ def estimate(boundary: int, sizes: np.ndarray, scan: float, percent: int) -> Cos
             k = first_shingles(n, percent, SUBSET)
             subsets += many * k * (k - 1) / 2
         if 100 * n >= percent * boundary:
-            postings += many * first_shingles(n, percent, 1)
+            postings += many * first_shingles(n, percent, _hits(n))
     return Costs(boundary, subsets, (postings + float(sizes[-1])) * scan)
 
 
@@ -84,16 +96,16 @@ def _cells(shingles: np.ndarray) -> np.ndarray:
 def _counter(percent: int):
     """Counts of a task: shingles by cell, in parts, and sizes of sets (part -1)."""
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, cells, sizes = WordHashes(), np.zeros(CELLS, np.int64), np.zeros(MOST_LIGHT + 1, np.int64)
+        hashes, cells, sizes = WordHashes(), np.zeros(CELLS, np.uint32), np.zeros(MOST_LIGHT + 1, np.int64)
         for batch in batches:
             for text in utf8(batch["text"]):
                 shingles = hashes.shingles(text)
-                np.add.at(cells, _cells(shingles), 1)
+                np.add.at(cells, _cells(shingles), np.uint32(1))
                 n = len(shingles)
                 if n < MOST_LIGHT:
                     sizes[n] += 1
                 else:
-                    sizes[-1] += first_shingles(n, percent, 1)
+                    sizes[-1] += first_shingles(n, percent, _hits(n))
         parts = [(-1, sizes)] + [(i, cells[i * PART:(i + 1) * PART]) for i in range(CELLS // PART)]
         yield _counted([(i, values) for i, values in parts if values.any()])
     return count
@@ -102,14 +114,20 @@ def _counter(percent: int):
 def _counted(parts: list[tuple[int, np.ndarray]]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([
         pa.array([i for i, _ in parts], pa.int32()),
-        pa.array([values.astype(np.int64).tobytes() for _, values in parts], pa.binary())], ["part", "counts"])
+        pa.array([pa.compress(values.astype(np.int64).tobytes(), "zstd", asbytes=True) for _, values in parts],
+                 pa.binary())], ["part", "counts"])
+
+
+def _uncounted(part: int, counts: bytes) -> np.ndarray:
+    length = MOST_LIGHT + 1 if part < 0 else PART
+    return np.frombuffer(pa.decompress(counts, 8 * length, "zstd", asbytes=True), np.int64)
 
 
 def _add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     sums: dict[int, np.ndarray] = {}
     for batch in batches:
         for part, counts in zip(batch["part"].to_pylist(), batch["counts"].to_pylist()):
-            values = np.frombuffer(counts, np.int64)
+            values = _uncounted(part, counts)
             sums[part] = sums[part] + values if part in sums else values
     yield _counted(sorted(sums.items()))
 
@@ -117,8 +135,8 @@ def _add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def shingle_counts(documents: DataFrame, percent: int) -> tuple[np.ndarray, np.ndarray]:
     """(counts by cell, sets by size) of the texts of ``documents`` (text).
 
-    The counts are summed in two rounds of bounded rows; 4 MB of sums reach the driver, whatever
-    the input.
+    The counts are summed in two rounds of bounded rows; the sums reach the driver, at most 32 MB
+    whatever the input.
     """
     rows = documents.select("text").mapInArrow(_counter(percent), "part int, counts binary")
     salted = rows.withColumn("salt", F.pmod(F.spark_partition_id(), F.lit(SALTS)))
@@ -126,7 +144,7 @@ def shingle_counts(documents: DataFrame, percent: int) -> tuple[np.ndarray, np.n
     twice = once.repartition("part").mapInArrow(_add, "part int, counts binary")
     cells, sizes = np.zeros(CELLS, np.int64), np.zeros(MOST_LIGHT + 1, np.int64)
     for part, counts in twice.collect():
-        values = np.frombuffer(counts, np.int64)
+        values = _uncounted(part, counts)
         if part < 0:
             sizes += values
         else:
@@ -139,18 +157,19 @@ def join_keys(shingles: np.ndarray, counts: np.ndarray, boundary: int, percent:
     n = len(shingles)
     if not has_partners(n, percent):
         return np.empty(0, np.uint64)
-    wanted = first_shingles(n, percent, SUBSET)
-    ordered = shingles[np.argsort(counts[_cells(shingles)], kind="stable")[:wanted]]
-    keys = []
-    if n < boundary:
-        for members in itertools.combinations(ordered, SUBSET):
+    light, listed = n < boundary, 100 * n >= percent * boundary
+    pairs, lists = (first_shingles(n, percent, k) for k in (SUBSET, _hits(n)))
+    ordered = shingles[np.argsort(counts[_cells(shingles)], kind="stable")[:max(pairs, lists)]]
+    subsets = []
+    if light:
+        for members in itertools.combinations(ordered[:pairs], SUBSET):
             key = np.uint64(SUBSET)
             for member in sorted(members):
                 key = (key ^ member) * MIX1
                 key ^= key >> np.uint64(29)
-            keys.append(key)
-    lists = ordered[:wanted - SUBSET + 1] * MIX2 if 100 * n >= percent * boundary else ordered[:0]
-    return np.concatenate([np.array(keys, np.uint64), lists])
+            subsets.append(key)
+    one = np.uint64(1)      # the last bit tells subsets from lists
+    return np.concatenate([np.array(subsets, np.uint64) | one, ordered[:lists if listed else 0] * MIX2 & ~one])
 
 
 def _signer(counts: Broadcast, boundary: int, percent: int, seed: int):
@@ -172,22 +191,105 @@ def _signer(counts: Broadcast, boundary: int, percent: int, seed: int):
     return sign
 
 
-def _buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(key, c, hub) of keys that two or more classes have, from rows sorted by key and class."""
-    key = hub = last = None
+_BUCKET = "key bigint, n bigint, c bigint"
+
+
+def _runs(percent: int):
+    """Buckets (key, n, c): classes that share a key with one of similar size.
+
+    Rows come sorted by key, size and class. A bucket is a key and a run of sizes, each similar to
+    the one before; one class alone is none.
+    """
+    def runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key = last = size = bucket = waiting = None
+        for batch in batches:
+            out: list[tuple[int, int, int]] = []
+            keys = batch["key"].to_numpy()
+            same = keys[1:] == keys[:-1]    # most keys have one row, which only matters at the ends
+            with_others = np.ones(len(keys), bool)
+            with_others[1:-1] = same[:-1] | same[1:]
+            rows = batch.filter(pa.array(with_others))
+            for k, n, c in zip(rows["key"].to_pylist(), rows["n"].to_pylist(), rows["c"].to_pylist()):
+                if k != key or 100 * size < percent * n:
+                    bucket = (xxhash.xxh3_64_intdigest(f"{k},{n}") & -2 | k & 1) - (1 << 63)
+                    waiting = (bucket, n, c)
+                elif c != last:
+                    if waiting:
+                        out.append(waiting)
+                        waiting = None
+                    out.append((bucket, n, c))
+                key, size, last = k, n, c
+            yield _rows(out)
+    return runs
+
+
+def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows of buckets that have two or more left, from rows sorted by bucket."""
+    key = waiting = None
     for batch in batches:
         out: list[tuple[int, int, int]] = []
-        for k, c in zip(batch["key"].to_pylist(), batch["c"].to_pylist()):
-            if k != key:
-                key = k
-                hub = last = c
-            elif c != last:
-                if last == hub:     # the second class of this key
-                    out.append((key, hub, hub))
-                out.append((key, c, hub))
-                last = c
-        columns = list(zip(*out)) if out else [(), (), ()]
-        yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in columns], ["key", "c", "hub"])
+        for row in zip(*(batch[c].to_pylist() for c in ("key", "n", "c"))):
+            if row[0] != key:
+                key, waiting = row[0], row
+            else:
+                if waiting:
+                    out.append(waiting)
+                    waiting = None
+                out.append(row)
+        yield _rows(out)
+
+
+def _rows(out: list[tuple[int, int, int]]) -> pa.RecordBatch:
+    columns = list(zip(*out)) if out else [(), (), ()]
+    return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in columns], ["key", "n", "c"])
+
+
+def _hubs(percent: int):
+    """Adds each member's hub, and how central that is: the first member of similar size.
+
+    Rows come sorted by bucket, and the most central class first. A bucket has few hubs, as each is
+    larger or smaller by the similarity than the others.
+    """
+    def hubs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, found = None, []
+        for batch in batches:
+            hub, degree = [], []
+            for k, n, c, d in zip(*(batch[x].to_pylist() for x in ("key", "n", "c", "degree"))):
+                if k != key:
+                    key, found = k, []
+                own = next((h for h in found if 100 * min(h[0], n) >= percent * max(h[0], n)), None)
+                if own is None:
+                    found.append(own := (n, c, d))
+                hub.append(own[1])
+                degree.append(own[2])
+            yield pa.RecordBatch.from_arrays(
+                [batch["key"], batch["c"], pa.array(hub, pa.int64()), pa.array(degree, pa.int64())],
+                ["key", "c", "hub", "degree"])
+    return hubs
+
+
+def _members(signed: DataFrame, percent: int, scratch: Scratch) -> DataFrame:
+    """(key, c, hub, degree) of the buckets that links can come from."""
+    entries = signed.select("c", "n", F.explode("keys").alias("key"))
+    rows = scratch.save(entries.repartition("key").sortWithinPartitions("key", "n", "c")
+                        .mapInArrow(_runs(percent), _BUCKET), "runs")
+    subset = F.col("key").bitwiseAND(1) == 1
+    smallest = F.ceil(F.col("n") * percent / 100)
+    enough = F.greatest(F.lit(1), F.floor(smallest * HITS / 100))
+    for _ in range(PEELS):
+        told = rows.groupBy("c", "n").agg(F.count_if(~subset).alias("lists"), F.count_if(subset).alias("subsets"))
+        good = told.where((F.col("lists") >= enough) | (F.col("subsets") > 0)).select("c")
+        fewer = scratch.save(rows.join(good, "c", "left_semi").repartition("key").sortWithinPartitions("key")
+                             .select("key", "n", "c").mapInArrow(_shared, _BUCKET), "peeled")
+        scratch.drop(rows)
+        rows = fewer
+    sizes = rows.groupBy("key").agg(F.count("*").alias("size"))
+    degree = rows.join(sizes, "key").groupBy("c").agg(F.sum("size").alias("degree"))
+    central = (rows.join(degree, "c").select("key", "n", "c", "degree").repartition("key")
+               .sortWithinPartitions("key", F.desc("degree"), "c"))
+    members = scratch.save(central.mapInArrow(_hubs(percent), "key bigint, c bigint, hub bigint, degree bigint"), "members")
+    scratch.drop(rows)
+    return members
 
 
 def join_similar(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text",
@@ -207,8 +309,8 @@ def join_similar(documents: DataFrame, id_col: str = "doc_id", text_col: str = "
 
     1. Counts of shingles, in a fixed number of counters, order the shingles; with the sizes of the
        sets they give the boundary between light and heavy sets.
-    2. Keys of all rows are sorted by key and class in one shuffle; keys of one class go, and the
-       smallest class of a key becomes its hub.
+    2. Keys of all rows are sorted by key, size and class in one shuffle; runs of similar sizes with
+       one key are buckets. Classes on too few lists go, then every bucket gets its hubs.
     3. Members are verified against hubs, and blocks of what is left (``verification``).
     """
     if not 67 <= percent <= 100:
@@ -217,7 +319,7 @@ def join_similar(documents: DataFrame, id_col: str = "doc_id", text_col: str = "
     scratch = Scratch(spark, "ngram-join")
     texts = documents.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
     counts, sizes = shingle_counts(texts, percent)
-    order = spark.sparkContext.broadcast(np.minimum(counts, (1 << 32) - 1).astype(np.uint32))
+    order = spark.sparkContext.broadcast(np.minimum(counts, (1 << 16) - 1).astype(np.uint16))
     boundary = choose_boundary(sizes, counts, percent).boundary
     for seed in itertools.count():   # a class is named by half of its digest, if that is unique
         sign = F.arrow_udf(_signer(order, boundary, percent, seed), _SIGNED)
@@ -230,10 +332,7 @@ def join_similar(documents: DataFrame, id_col: str = "doc_id", text_col: str = "
         if classes.where("ambiguous").isEmpty():
             break
         scratch.drop(signed, classes)
-    entries = signed.select("c", F.explode("keys").alias("key"))
-    members = scratch.save(
-        entries.repartition("key").sortWithinPartitions("key", "c")
-        .mapInArrow(_buckets, "key bigint, c bigint, hub bigint").withColumn("degree", F.lit(0)), "members")
+    members = _members(signed, percent, scratch)
     live = classes.join(members.select("c").distinct(), "c", "left_semi").select("rid")
     held = scratch.save(chosen_rows(signed.select("rid", "c", "text", "n"), live, scratch)
                         .select("c", "text", "n"), "held")
