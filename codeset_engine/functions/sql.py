@@ -24,19 +24,27 @@ def _is_code(pattern: str, value: str) -> str:
     return f"coalesce({value} RLIKE {_quoted(pattern)}, false)"
 
 
+def _possible(pattern: str) -> str:
+    """Whether ``text`` has what every match of the pattern contains."""
+    if pattern in phi.NEEDED_TEXT:
+        return f"contains(text, {_quoted(phi.NEEDED_TEXT[pattern])})"
+    return f"text RLIKE {_quoted(phi.NEEDED_MATCH[pattern])}"
+
+
 def _redacted() -> str:
-    text = "text"
+    """Steps as nested one-element arrays, so that each is written, and computed, once."""
+    steps = "array(text)"
     for kind, pattern in phi.PATTERNS.items():
         if kind not in phi.KEPT_BY_REDACTION:
-            flags = "(?Ui)" if kind == "mrn" else "(?U)"
-            text = (f"regexp_replace({text}, {_quoted(flags + pattern)}, "
-                    f"'[REDACTED-{kind.upper()}]')")
-    return text
+            java = _quoted(phi.java_pattern(kind, pattern, True))
+            steps = (f"transform({steps}, t -> IF({_possible(pattern)}, "
+                     f"regexp_replace(t, {java}, '[REDACTED-{kind.upper()}]'), t))")
+    return f"{steps}[0]"
 
 
 def _any_phi() -> str:
     return " OR ".join(
-        f"text RLIKE {_quoted(('(?Ui)' if kind == 'mrn' else '(?U)') + pattern)}"
+        f"({_possible(pattern)} AND text RLIKE {_quoted(phi.java_pattern(kind, pattern, True))})"
         for kind, pattern in phi.PATTERNS.items())
 
 

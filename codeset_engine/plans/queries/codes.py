@@ -8,7 +8,7 @@ from ...functions import validate
 from ...functions.strings import WHITESPACE, WHITESPACE_CLASS
 from ...operators import normalize, years
 from ...sources import documents, links, listing
-from .registry import ctes, derived, int_rank, query, read
+from .registry import ctes, derived, int_rank, query, read, read_spread
 
 _WS = "||".join(f"chr({ord(c)})" for c in WHITESPACE)
 _SP = f"[{WHITESPACE_CLASS}]+"
@@ -221,8 +221,8 @@ checked AS (SELECT *, regexp_matches(token, '^[a-zA-Z0-9._%+-]+@[a-zA-Z0-9.-]+\\
 SELECT doc_id, token, is_valid, CASE WHEN NOT is_valid THEN 'Invalid email format: ' || token END AS error,
     true AS non_empty FROM checked""")
 def validate_emails(spark, sf_dir):
-    tokens = read(spark, sf_dir, "documents").select("doc_id", F.explode(F.regexp_extract_all(
-        "text", F.lit(f"[^{WHITESPACE_CLASS}]+"), F.lit(0))).alias("token"))
+    tokens = read_spread(spark, sf_dir, "documents", "doc_id", "text").select("doc_id", F.explode(F.split(
+        "text", f"[{WHITESPACE_CLASS}]+")).alias("token")).where("token <> ''")
     return tokens.select("doc_id", "token", validate.validate_email(F.col("token")).alias("r"),
                         validate.validate_non_empty(F.col("token"), "Email").alias("n")).select(
         "doc_id", "token", "r.is_valid", "r.error", F.col("n.is_valid").alias("non_empty"))

@@ -132,7 +132,7 @@ def sql_functions(spark, sf_dir):
     sql.register(spark)
     return spark.sql("""SELECT doc_id, redact_phi(text) AS redacted, contains_phi(text) AS has_phi,
         chunk_id(text) AS chunk_id, round(keyword_score(text, 'the'), 6) AS score FROM {documents}""",
-                     documents=read(spark, sf_dir, "documents"))
+                     documents=read_spread(spark, sf_dir, "documents", "doc_id", "text"))
 
 
 # --- chunks --------------------------------------------------------------------------------
