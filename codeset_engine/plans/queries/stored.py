@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ...operators import embed, memo
 from ...session import checkpoint_root
-from ...sources import tables
+from ...sources import code_files, spreadsheets, tables
 from ...streaming import logs
 from . import logs as log_queries, search, texts
 from .registry import ORACLES, query, read
@@ -51,17 +51,21 @@ def stored_collection(spark, sf_dir):
         "id", "collection", "document", F.size("embedding").alias("dimensions"))
 
 
-@query("exported_codes", f"""WITH {_CODES}, formats AS (SELECT unnest(['csv', 'json']) AS format)
+@query("exported_codes", f"""WITH {_CODES}, formats AS (SELECT unnest(['xlsx', 'csv', 'json']) AS format)
 SELECT format, code, description, category, is_billable, collection_type, year FROM codes CROSS JOIN formats""")
 def exported_codes(spark, sf_dir):
-    """All codes as CSV and as JSON lines, read back with their types."""
+    """All codes as spreadsheets, CSV and JSON lines, read back with their types."""
     codes = search._collection_codes(spark, sf_dir).drop("code_type")
     found = None
     for name in tables.EXPORT_FORMATS:
         path = new_folder(spark, f"export-{name}")
         tables.export_rows(codes, path, name)
-        reader = spark.read.schema(codes.schema).format(name)
-        rows = (reader.option("header", "true").option("escape", '"') if name == "csv" else reader).load(path)
+        if name == "xlsx":
+            cells = code_files.read_decoded(spark, f"{path}/*.xlsx", spreadsheets.first_sheet).where("row_no > 0")
+            rows = cells.select(*[F.get("cells", i).cast(f.dataType).alias(f.name) for i, f in enumerate(codes.schema)])
+        else:
+            reader = spark.read.schema(codes.schema).format(name)
+            rows = (reader.option("header", "true").option("escape", '"') if name == "csv" else reader).load(path)
         rows = rows.withColumn("format", F.lit(name))
         found = rows if found is None else found.unionByName(rows)
     return found

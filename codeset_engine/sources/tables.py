@@ -7,10 +7,11 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from .. import schemas
 from ..operators.embed import collection_name, only_new
 from ..session import cut_lineage, drop_cut
+from .spreadsheets import XlsxSource
 
 CODE_PARTITIONS = ["collection_type", "year"]
-# Export formats that are tables. (Spreadsheets and PDF are not.)
-EXPORT_FORMATS = ("csv", "json")
+# Export formats that are tables. (PDF is none.)
+EXPORT_FORMATS = ("xlsx", "csv", "json")
 
 
 def _folder(spark: SparkSession, path: str):
@@ -70,6 +71,8 @@ def read_codes_csv(spark: SparkSession, path: str, code_type: str, year: int) ->
 def export_rows(df: DataFrame, path: str, file_format: str = "csv") -> None:
     if file_format not in EXPORT_FORMATS:
         raise ValueError(f"export format must be one of {EXPORT_FORMATS}, got {file_format!r}")
+    if file_format == "xlsx":
+        df.sparkSession.dataSource.register(XlsxSource)
     writer = df.write.mode("overwrite").format(file_format)
     (writer.option("header", "true").option("escape", '"') if file_format == "csv"
      else writer).save(path)

@@ -8,7 +8,8 @@ import pytest
 from pyspark.sql import functions as F, types as T
 
 from codeset_engine.operators import memo, years
-from codeset_engine.sources import archives
+from codeset_engine.plans import jobs
+from codeset_engine.sources import archives, code_files, spreadsheets, tables
 
 CODES = "code_type string, code string, year int, description string, line int"
 
@@ -199,3 +200,86 @@ def test_as_of_lookup_with_a_hot_code(spark):
 def test_answers_keep_their_type(spark, tmp_path):
     none = memo.read_answers(spark, str(tmp_path / "no-store"), T.ArrayType(T.FloatType()))
     assert none.schema["answer"].dataType == T.ArrayType(T.FloatType()) and none.count() == 0
+
+
+# ---------------------------------------------------------------- spreadsheets
+
+ODD = ["plain", "", "a < b & \"c\"", "line\nbreak\ttab\r\n", "\x00\x1f\x0b bell", "_x0041_ literal", "ﬁ \U0001F600 é", " spaces "]
+
+
+def test_spreadsheets_round_trip(spark, tmp_path):
+    rows = [(i, text, i % 2 == 0, i / 4, None, 10 ** 17 + i) for i, text in enumerate(ODD)]
+    df = spark.createDataFrame(rows, "n int, text string, flag boolean, ratio double, nothing string, big long")
+    path = str(tmp_path / "book")
+    tables.export_rows(df.repartition(3), path, "xlsx")
+    read = code_files.read_decoded(spark, f"{path}/*.xlsx", spreadsheets.first_sheet)
+    got = {int(r.cells[0]): r.cells for r in read.where("row_no > 0").collect()}
+    for i, text, flag, ratio, _, big in rows:
+        ratio_text = str(int(ratio)) if ratio == int(ratio) else repr(ratio)
+        assert got[i] == [str(i), text, str(flag), ratio_text, None, str(big)]
+    assert {tuple(r.cells) for r in read.where("row_no = 0").collect()} == {tuple(df.columns)}
+    tables.export_rows(df.limit(1), path, "xlsx")          # replaces what was there
+    read = code_files.read_decoded(spark, f"{path}/*.xlsx", spreadsheets.first_sheet)
+    assert read.where("row_no > 0").count() == 1
+    assert not os.path.exists(f"{path}/_temporary")
+
+
+def test_a_failed_task_leaves_nothing(spark, tmp_path):
+    path = str(tmp_path / "book")
+    good = spark.range(20).selectExpr("id", "'kept' AS text")
+    tables.export_rows(good, path, "xlsx")
+    before = sorted(os.listdir(path))
+    failing = spark.range(0, 20, 1, 4).selectExpr("id", "IF(id = 17, raise_error('stop'), 'new') AS text")
+    with pytest.raises(Exception, match="stop"):
+        tables.export_rows(failing, path, "xlsx")
+    assert sorted(os.listdir(path)) == before
+
+
+def test_full_sheets_go_on_in_another_workbook(spark, tmp_path, monkeypatch):
+    import io
+    monkeypatch.setattr(spreadsheets, "MOST_ROWS", 4)
+    rows, found, more = iter([(i,) for i in range(8)]), [], True
+    while more:
+        file = io.BytesIO()
+        more = spreadsheets.write_workbook(file, ["n"], rows)
+        found.append([r[0] for r in spreadsheets.first_sheet(file.getvalue())])
+    assert [r for sheet in found for r in sheet[1:]] == [str(i) for i in range(8)]
+    assert all(sheet[0] == "n" and len(sheet) <= 4 for sheet in found)
+
+
+def workbook(sheet, strings=()):
+    """A workbook as other programs write it: shared strings, gaps, formulas, a second sheet."""
+    import io
+    file, main = io.BytesIO(), spreadsheets.MAIN
+    with zipfile.ZipFile(file, "w") as z:
+        z.writestr("xl/workbook.xml", f'<workbook xmlns="{main}" xmlns:r="{spreadsheets.OFFICE}"><sheets>'
+                   '<sheet name="Codes" sheetId="4" r:id="rId7"/><sheet name="Notes" sheetId="1" r:id="rId2"/></sheets></workbook>')
+        z.writestr("xl/_rels/workbook.xml.rels", f'<Relationships xmlns="{spreadsheets.PACKAGE}/relationships">'
+                   '<Relationship Id="rId2" Target="/xl/worksheets/b.xml"/><Relationship Id="rId7" Target="worksheets/a.xml"/></Relationships>')
+        z.writestr("xl/sharedStrings.xml", f'<sst xmlns="{main}">' + "".join(f"<si>{s}</si>" for s in strings) + "</sst>")
+        z.writestr("xl/worksheets/a.xml", f'<worksheet xmlns="{main}"><sheetData>{sheet}</sheetData></worksheet>')
+        z.writestr("xl/worksheets/b.xml", f'<worksheet xmlns="{main}"><sheetData><row><c t="str"><v>hello</v></c></row></sheetData></worksheet>')
+    return file.getvalue()
+
+
+def test_foreign_workbooks_are_read():
+    strings = ["<t>Code</t>", "<r><t>Long </t></r><r><t>text</t></r><rPh><t>no</t></rPh>"]
+    content = workbook('<row r="2"><c r="A2" t="s"><v>0</v></c><c r="C2" t="s"><v>1</v></c></row>'
+                       '<row r="4"><c r="A4"><f>1+1</f><v>99213.0</v></c><c r="B4"><v>1.5E-3</v></c><c r="AB4" t="b"><v>1</v></c>'
+                       '<c r="AC4" t="e"><v>#N/A</v></c></row>', strings)
+    first, second = spreadsheets.read_sheets(content)
+    assert (first.name, second) == ("Codes", ("Notes", [["hello"]]))
+    assert first.rows[0] == [] and first.rows[1] == ["Code", None, "Long text"] and first.rows[2] == []
+    assert first.rows[3][:2] == ["99213", "0.0015"] and first.rows[3][27:] == ["True", "#N/A"]
+    assert spreadsheets.sheet_texts(content)[1] == {"text": "hello", "sheet_name": "Notes"}
+
+
+def test_a_code_spreadsheet_is_normalised(spark, tmp_path):
+    folder = tmp_path / "raw" / "cpt" / "cpt_2025"
+    folder.mkdir(parents=True)
+    rows = "".join(f'<row r="{n}">' + "".join(f'<c t="str"><v>{v}</v></c>' for v in values) + "</row>" for n, values in enumerate(
+        [["Annual list"], ["HCPCS", "Long Descriptor"], ["99213", "visit"], ["A1234", "item"], ["99213", "again"], ["x", "y"]], 1))
+    (folder / "codes.xlsx").write_bytes(workbook(rows))
+    found = jobs.parse_code_file(spark, str(folder / "codes.xlsx"), "cpt", spreadsheets.DECODERS)
+    assert sorted((r.code, r.description, r.code_type) for r in found.collect()) == [
+        ("99213", "visit", "cpt"), ("A1234", "item", "hcpcs")]
