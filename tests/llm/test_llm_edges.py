@@ -2,6 +2,7 @@
 
 import itertools
 import random
+import re
 
 import numpy as np
 import public_tokenizers
@@ -10,7 +11,7 @@ from pyspark.sql import functions as F
 
 import brute
 from codeset_engine.llm import (chat_format, decontamination, language_id, near_dup, packing, pii, quality,
-                                sharding, toxicity, url_filters)
+                                sharding, toxicity, url_filters, verification)
 from codeset_engine.llm.common import Scratch
 from codeset_engine.llm.components import connected_components
 
@@ -132,7 +133,7 @@ def test_joining_links_equal_brute_force():
     sets = [np.unique(np.concatenate([rng.choice(base, rng.integers(100, 200), replace=False),
                                       rng.integers(1000, 1100, 15).astype(np.uint64)])) for _ in range(60)]
     for often in (2, 16, 100):
-        links = near_dup.joining_links(sets, list(range(60)), often)
+        links = verification.joining_links(sets, list(range(60)), often)
         parent = list(range(60))
 
         def find(x):
@@ -140,12 +141,12 @@ def test_joining_links_equal_brute_force():
                 x = parent[x]
             return x
         for a, b in itertools.combinations(range(60), 2):
-            if near_dup.similar(sets[a], sets[b]):
+            if verification.similar(sets[a], sets[b]):
                 parent[max(find(a), find(b))] = min(find(a), find(b))
         want = {frozenset(i for i in range(60) if find(i) == r) for r in {find(i) for i in range(60)}}
         parent = list(range(60))
         for a, b in links:
-            assert near_dup.similar(sets[a], sets[b]) and find(a) != find(b)
+            assert verification.similar(sets[a], sets[b]) and find(a) != find(b)
             parent[max(find(a), find(b))] = min(find(a), find(b))
         assert {frozenset(i for i in range(60) if find(i) == r) for r in {find(i) for i in range(60)}} == want
 
@@ -213,7 +214,8 @@ def test_personal_data_equals_brute_force_on_odd_texts(spark):
     alphabet = ["@", ".", "..", "-", " ", "  ", "+", "(", ")", "a", "é", "\n", "1", "23", "4", "255", "256", "007",
                 "a@b.c", "x@y", "1.2.3.4", "4111 1111 1111 1111", "4111111111111111", "+1 (651) 555-8500", "%"]
     docs = [(i, "".join(rng.choices(alphabet, k=rng.randrange(40)))) for i in range(400)]
-    docs += [(1000, "1 " * 20_000), (1001, "1" * 20_000), (1002, "a" * 20_000 + "@"), (1003, "1.1.1.1 " * 400)]
+    docs += [(1000, "1 " * 20_000), (1001, "1" * 20_000), (1002, "a" * 20_000 + "@"), (1003, "1.1.1.1 " * 400),
+             (1004, "a@" + "b." * 100_000 + "c"), (1005, "\ufeffa@b.c " * 3)]
     kinds = list(brute.BASE)
     for r in by_id(pii.find_personal_data(spark.createDataFrame(docs, SCHEMA))):
         got = [(s["start"], kinds.index(s["kind"]), s["end"]) for s in r["personal"]["base"]]
@@ -237,6 +239,29 @@ def test_contacts_and_numbers_beyond_the_base_kinds_are_found(spark):
         assert added == want[r["doc_id"]], r["text"]
 
 
+def test_a_text_of_very_many_matches(spark):
+    """Time grows with the text, and the redacted text has every piece between the spans."""
+    words = [f"user{i}@host{i % 7}.example.org ÄÖ +1 (651) 555-{1000 + i % 9000}, 1.2.3.{i % 256}" for i in range(33_400)]
+    text = " ".join(words)
+    r = pii.find_personal_data(spark.createDataFrame([(1, text)], SCHEMA)).first().personal
+    kinds = list(brute.BASE)
+    assert [(s.start, kinds.index(s.kind), s.end) for s in r.base] == brute.personal(text)
+    assert len(r.base) == 100_200 and set(map(tuple, r.base)) <= set(map(tuple, r.spans))
+    assert r.redacted.startswith("[EMAIL] ÄÖ [PHONE]") and r.redacted.count("ÄÖ") == 33_400
+    assert not re.search("[a-z0-9]", r.redacted)
+
+
+def test_adjoining_cards_are_redacted(spark):
+    cards = ["4111111111111111 4111111111111111", "4111 1111 1111 1111 4111 1111 1111 1111",
+             "5500005555555559 4111111111111111"]
+    docs = [(i, f"paid with {cards[i % 3]} today {i}") for i in range(60)]
+    docs += [(100 + i, f"the code {10 ** 15 + i * 7919 * 10 ** 9 + 3} {2 * 10 ** 15 + i} and") for i in range(60)]
+    for r in by_id(pii.find_personal_data(spark.createDataFrame(docs, SCHEMA))):
+        text, taken = r["personal"]["redacted"], len(r["personal"]["spans"])
+        if r["doc_id"] < 100:
+            assert text == f"paid with [NUMBER] today {r['doc_id']}" and taken == 1
+
+
 def test_secrets_around_base_spans_go_whole(spark):
     card = "4111111111111111"
     docs = [(i, f'words token = "{i:08x}ab{card if i % 10 == 0 else "c" * 16}de{i:08x}" end') for i in range(200)]
