@@ -12,23 +12,23 @@ from . import phi, sanitize, validate
 from .strings import WHITESPACE, WHITESPACE_CLASS
 
 
-def _quoted(text: str) -> str:
+def quoted(text: str) -> str:
     return "'" + text.replace("\\", "\\\\").replace("'", "\\'") + "'"
 
 
 def _strip(argument: str) -> str:
-    return f"trim(BOTH {_quoted(WHITESPACE)} FROM {argument})"
+    return f"trim(BOTH {quoted(WHITESPACE)} FROM {argument})"
 
 
 def _is_code(pattern: str, value: str) -> str:
-    return f"coalesce({value} RLIKE {_quoted(pattern)}, false)"
+    return f"coalesce({value} RLIKE {quoted(pattern)}, false)"
 
 
 def _possible(pattern: str) -> str:
     """Whether ``text`` has what every match of the pattern contains."""
     if pattern in phi.NEEDED_TEXT:
-        return f"contains(text, {_quoted(phi.NEEDED_TEXT[pattern])})"
-    return f"text RLIKE {_quoted(phi.NEEDED_MATCH[pattern])}"
+        return f"contains(text, {quoted(phi.NEEDED_TEXT[pattern])})"
+    return f"text RLIKE {quoted(phi.NEEDED_MATCH[pattern])}"
 
 
 def _redacted() -> str:
@@ -36,7 +36,7 @@ def _redacted() -> str:
     steps = "array(text)"
     for kind, pattern in phi.PATTERNS.items():
         if kind not in phi.KEPT_BY_REDACTION:
-            java = _quoted(phi.java_pattern(kind, pattern, True))
+            java = quoted(phi.java_pattern(kind, pattern, True))
             steps = (f"transform({steps}, t -> IF({_possible(pattern)}, "
                      f"regexp_replace(t, {java}, '[REDACTED-{kind.upper()}]'), t))")
     return f"{steps}[0]"
@@ -44,7 +44,7 @@ def _redacted() -> str:
 
 def _any_phi() -> str:
     return " OR ".join(
-        f"({_possible(pattern)} AND text RLIKE {_quoted(phi.java_pattern(kind, pattern, True))})"
+        f"({_possible(pattern)} AND text RLIKE {quoted(phi.java_pattern(kind, pattern, True))})"
         for kind, pattern in phi.PATTERNS.items())
 
 
@@ -60,14 +60,14 @@ def definitions() -> dict[str, tuple[str, str, str]]:
         "is_hcpcs": ("code STRING", "BOOLEAN", _is_code(validate.HCPCS_PATTERN, upper)),
         "is_email": ("address STRING", "BOOLEAN", _is_code(validate.EMAIL_PATTERN, "address")),
         "sanitize_code": ("code STRING", "STRING",
-                          f"regexp_replace({upper}, {_quoted(sanitize.NON_CODE_CHARS)}, '')"),
+                          f"regexp_replace({upper}, {quoted(sanitize.NON_CODE_CHARS)}, '')"),
         "redact_phi": ("text STRING", "STRING", _redacted()),
         "contains_phi": ("text STRING", "BOOLEAN", _any_phi()),
         "chunk_id": ("text STRING", "STRING", "substring(md5(encode(text, 'UTF-8')), 1, 16)"),
         "keyword_score": (
             "text STRING, query STRING", "DOUBLE",
             "try_divide(try_divide(length(lower(text)) - length(replace(lower(text), lower(query), '')), length(query)),"
-            f" regexp_count(text, {_quoted(f'[^{WHITESPACE_CLASS}]+')}))"),
+            f" regexp_count(text, {quoted(f'[^{WHITESPACE_CLASS}]+')}))"),
     }
 
 

@@ -21,7 +21,7 @@ def chunk_id(text: Column) -> Column:
     return F.substring(F.md5(F.encode(text, "UTF-8")), 1, 16)
 
 
-def _check(size: int, overlap: int) -> None:
+def check_sizes(size: int, overlap: int) -> None:
     if not 0 <= overlap < size:
         raise ValueError("overlap must be at least 0 and smaller than the chunk size")
 
@@ -35,7 +35,7 @@ def chunk_fixed(docs: DataFrame, text: str = "text", size: int = CHUNK_SIZE,
     pieces of the step width and a chunk joins its piece with the next ones, so the cost is
     linear in the text however long it is.
     """
-    _check(size, overlap)
+    check_sizes(size, overlap)
     step = size - overlap
     total = F.greatest(F.lit(1), F.ceil((F.length(text) - overlap) / F.lit(float(step)))).cast("int")
     pieces_per_chunk = 1 - (-overlap // step)
@@ -86,7 +86,7 @@ def chunk_by_separator(docs: DataFrame, text: str = "text", size: int = CHUNK_SI
     Where a chunk ends decides where the next one starts, which no built-in expresses, so
     this runs over Arrow batches. Other columns are carried through unchanged.
     """
-    _check(size, overlap)
+    check_sizes(size, overlap)
     separators = tuple(separators)
     others = [field for field in docs.schema if field.name != text]
     names = [field.name for field in others]

@@ -5,10 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from ... import schemas
-from ...functions import phi, prompts, responses, sanitize, sql
+from ...functions import phi, prompts, responses, sanitize, sql, table_functions
 from ...functions.strings import WHITESPACE, WHITESPACE_CLASS
 from ...operators import chunk, extract, reports
-from .registry import ctes, derived, query, read, read_spread, sql_text
+from .registry import ORACLES, ctes, derived, query, read, read_spread, sql_text
 
 _WS = "||".join(f"chr({ord(c)})" for c in WHITESPACE)
 
@@ -213,6 +213,22 @@ def chunk_separator(spark, sf_dir):
     return chunk.chunk_by_separator(docs).withColumn("chunk_id", chunk.chunk_id(F.col("chunk")))
 
 
+_STEPS = ORACLES["chunk_separator"].split("SELECT doc_id, CAST(i AS INT)")[0]
+
+
+@query("sql_chunks", f"""{_STEPS}SELECT doc_id, CAST(i AS INT) AS chunk_index,
+    CAST(count(*) OVER (PARTITION BY doc_id, how) AS INT) AS total_chunks, CAST(start AS INT) AS start_index,
+    substring(text, start + 1, stop - start) AS chunk, how
+    FROM steps CROSS JOIN (SELECT unnest(['lateral', 'table']) AS how)""")
+def sql_chunks(spark, sf_dir):
+    """Separator chunks from SQL, by a lateral call for each row and by a call on the whole table."""
+    table_functions.register(spark)
+    docs = read_spread(spark, sf_dir, "documents", "doc_id", "text")
+    return spark.sql("""SELECT doc_id, c.*, 'lateral' AS how FROM {docs} d, LATERAL separator_chunks(d.text, 1000, 200) c
+        UNION ALL SELECT doc_id, chunk_index, total_chunks, start_index, chunk, 'table' AS how
+        FROM chunk_table(TABLE(SELECT * FROM {docs}), 'text')""", docs=docs)
+
+
 # --- prompts and responses -----------------------------------------------------------------
 
 _HEAD2, _TAIL2 = prompts.TEMPLATES["procedure_extraction"].replace("{{", "{").replace("}}", "}").split(
@@ -293,6 +309,19 @@ def combine_extractions(spark, sf_dir):
         "procedures": F.array_join("procedures.procedure_name", "|")})
 
 
+@query("sql_entities", f"""{_PARSED}, listed AS (SELECT doc_id, kind, CASE WHEN kind = 'diagnoses'
+    THEN body->>'$.diagnoses[*].condition' ELSE body->>'$.procedures[*].procedure_name' END AS names,
+    CASE WHEN kind = 'diagnoses' THEN body->>'$.diagnoses[*].context' ELSE body->>'$.procedures[*].context' END AS contexts
+    FROM parsed WHERE success)
+SELECT doc_id, kind, CAST(generate_subscripts(names, 1) - 1 AS INT) AS entity_no, unnest(names) AS name,
+    unnest(contexts) AS context FROM listed""")
+def sql_entities(spark, sf_dir):
+    """The entities in responses, by a lateral call in SQL."""
+    table_functions.register(spark)
+    return spark.sql("SELECT doc_id, e.* FROM {responses} r, LATERAL response_entities(r.content) e",
+                     responses=derived(spark, sf_dir, "responses", heavy=True))
+
+
 @query("extraction_routing", """WITH docs AS (SELECT conv_id, turn, CASE WHEN role = 'system' THEN '' ELSE text END AS t,
     CASE turn % 3 WHEN 0 THEN 'diagnoses' WHEN 1 THEN 'procedures' ELSE 'all' END AS extract_type FROM conversations),
 kinds AS (SELECT conv_id, turn, t, unnest(CASE WHEN t = '' THEN [NULL] WHEN extract_type = 'all'

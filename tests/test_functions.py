@@ -231,3 +231,27 @@ def test_json_details_equal_json_dumps(spark, texts):
     df = spark.createDataFrame(list(enumerate(texts)), "i int, t string")
     got = df.select("i", audit.json_object({"ké": F.col("t")}).alias("j")).collect()
     assert {r["i"]: r["j"] for r in got} == {i: json.dumps({"ké": t}) for i, t in enumerate(texts)}
+
+
+def test_table_functions_equal_the_operators(spark):
+    from codeset_engine.functions import table_functions
+    from codeset_engine.operators import chunk, extract
+    table_functions.register(spark)
+    docs = spark.createDataFrame([(1, "one two. three\n\nfour " * 5, "x"), (2, None, "y"), (3, "", "z"), (4, "é" * 45, None)],
+                                 "id int, text string, tag string")
+    names = ["id", "tag", "chunk_index", "total_chunks", "start_index", "chunk"]
+    want = sorted(map(tuple, chunk.chunk_by_separator(docs, "text", 20, 5).select(names).collect()), key=str)
+    for sql in ("SELECT id, tag, c.* FROM {docs} d, LATERAL separator_chunks(d.text, 20, 5) c",
+                "SELECT * FROM chunk_table(TABLE(SELECT tag, text, id FROM {docs}), 'text', 20, 5)"):
+        assert sorted(map(tuple, spark.sql(sql, docs=docs).select(names).collect()), key=str) == want and want
+    for sql in ("SELECT * FROM chunk_table(TABLE({docs}), 'body')", "SELECT * FROM separator_chunks('a', 10, 10)"):
+        with pytest.raises(Exception):
+            spark.sql(sql, docs=docs).collect()
+    odd = ['{"diagnoses": [{"condition": "a", "context": "c"}, {}]}', 'x ```json\n{"procedures": [{"procedure_name": "p"}]}\n``` y',
+           "nope", None, "{}", "```\n{\"diagnoses\": []}\n```", '[1]', '{"diagnoses": [{"condition": "q"']
+    rows = spark.createDataFrame([(i, k, c, 1) for i, c in enumerate(odd) for k in ("diagnoses", "procedures")],
+                                 "id int, kind string, content string, total_tokens int")
+    parsed = extract.parse_entities(rows).collect()
+    found = [(r.id, r.kind, i, e[0]) for r in parsed for i, e in enumerate(r[r.kind])]
+    got = spark.sql("SELECT DISTINCT id, e.kind, entity_no, name FROM {rows} r, LATERAL response_entities(r.content) e", rows=rows)
+    assert sorted(map(tuple, got.collect()), key=str) == sorted(found, key=str) and len(found) == 3
