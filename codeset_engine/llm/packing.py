@@ -18,8 +18,10 @@ from pyspark.sql.pandas.types import to_arrow_type
 from .common import utf8
 
 LENGTH = 1024
-PART_BYTES, MAX_PARTS = 8 << 20, 4096  # text of one stretch of the curve; stretches at most
-SAMPLE = 4096  # documents, at least, whose keys choose the borders of the stretches
+PART_BYTES = 8 << 20  # text of one stretch of the curve
+REGIONS = 4096  # regions, at most, with borders from a sample; more stretches divide them evenly
+TASKS = 100_000  # tasks that pack, at most; each takes neighbouring stretches one after another
+SAMPLE = 4096  # documents, at least, whose keys choose the borders of the regions
 DIMENSIONS, BITS = 3, 10
 CHUNK = 256 * LENGTH  # ids in one row at most
 CACHED = 400_000  # encoded parts that a task remembers
@@ -153,7 +155,20 @@ _PIECES_ARROW = pa.struct([
     ("chunks", pa.list_(pa.struct([("start", pa.int64()), ("ids", pa.binary())])))])
 
 
-def _encode(path: str, borders: list[int]):
+LAST_KEY = (1 << DIMENSIONS * BITS + 31) - 1
+
+
+def stretch_of(key: int, borders: list[int], each: int) -> int:
+    """The number of a key's stretch: its region, of which ``each`` stretches divide the keys."""
+    region = bisect_right(borders, key)
+    if each == 1:
+        return region
+    low = borders[region - 1] if region else 0
+    high = borders[region] if region < len(borders) else LAST_KEY
+    return region * each + min(max(key - low, 0) * each // max(high - low, 1), each - 1)
+
+
+def _encode(path: str, borders: list[int], each: int):
     def encode(columns: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
         tokens, directions = Tokens(path), _directions()
         for column, ties in columns:
@@ -161,7 +176,7 @@ def _encode(path: str, borders: list[int]):
             keys = (curve_keys(encoded, directions) << 31) + ties.to_numpy()
             for ids, key in zip(encoded, keys.tolist()):
                 ids += b"\0\0"
-                rows.append({"key": key, "part": bisect_right(borders, key), "total": len(ids) // 2,
+                rows.append({"key": key, "part": stretch_of(key, borders, each), "total": len(ids) // 2,
                              "chunks": [{"start": at // 2, "ids": ids[at:at + 2 * CHUNK]}
                                         for at in range(0, len(ids), 2 * CHUNK)]})
             yield pa.array(rows, _PIECES_ARROW)
@@ -209,31 +224,36 @@ def pack_documents(documents: DataFrame, tokenizer_path: str, id_col: str = "doc
     tokens as little-endian 16-bit numbers; a sequence is its pieces by offset). A document is its
     tokens and the id 0; null and empty texts are that id alone. Documents follow a Hilbert curve
     through three random projections of their token counts, ties by a hash of the id, so that
-    neighbours in a sequence are alike. The curve is cut into stretches of about 8 MB of text; only
-    the last sequence of a stretch may be short. Null ids are kept, repeated rows are packed each
+    neighbours in a sequence are alike. The curve is cut into stretches of about 8 MB of text, however
+    many; only the last sequence of a stretch may be short. Null ids are kept, repeated rows are packed each
     for itself, an empty table gives no rows, and other columns are ignored.
 
-    The borders of the stretches come from the keys of a bounded sample, as in a range sort; they
-    decide which task packs a document, not whether it is packed. Equal documents have equal keys
+    The borders of up to 4,096 regions come from the keys of a bounded sample, as in a range sort;
+    further stretches divide the keys of a region evenly. They decide which task packs a document,
+    not whether it is packed. Equal documents have equal keys
     but different hashes, so a large group of copies is spread over stretches. Tokens are made
     once, in chunks of bounded size, and shuffled once.
     """
     texts = documents.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
     rows, size = texts.agg(F.count("*"), F.sum(F.octet_length("text"))).first()
-    parts = int(min(MAX_PARTS, max(1, -(-(size or 0) // PART_BYTES))))
+    parts = int(max(1, -(-(size or 0) // PART_BYTES)))
+    regions = min(parts, REGIONS)
+    each = -(-parts // regions)
     tie = F.pmod(F.xxhash64("id", F.length("text")), F.lit(1 << 31))
     borders: list[int] = []
     if parts > 1:
-        wanted = max(SAMPLE, 40 * parts)
+        wanted = max(SAMPLE, 40 * regions)
         some = texts.sample(min(1.0, wanted / rows), 7).select(
             (F.arrow_udf(_keys(tokenizer_path), "bigint")("text") + tie).alias("key"),
             F.coalesce(F.octet_length("text"), F.lit(0)).alias("bytes"))
-        borders = _borders(sorted((row["key"], row["bytes"]) for row in some.collect()), parts)
-    encode = F.arrow_udf(_encode(tokenizer_path, borders), _PIECES)
+        borders = _borders(sorted((row["key"], row["bytes"]) for row in some.collect()), regions)
+    encode = F.arrow_udf(_encode(tokenizer_path, borders, each), _PIECES)
     chunks = (texts.withColumn("tie", tie).select("id", encode("text", "tie").alias("e"))
               .select("id", "e.key", "e.part", "e.total", F.explode("e.chunks").alias("c"))
               .select("id", "key", "part", "total", "c.start", "c.ids"))
-    placed = (chunks.repartitionById(len(borders) + 1, F.col("part"))
+    stretches = (len(borders) + 1) * each
+    at_once = -(-stretches // TASKS)
+    placed = (chunks.repartitionById(-(-stretches // at_once), F.floor(F.col("part") / at_once).cast("int"))
               .sortWithinPartitions("key", "id", "total", "start"))
     id_type = documents.schema[id_col].dataType
     packed = placed.select("id", "part", "total", "start", "ids").mapInArrow(
