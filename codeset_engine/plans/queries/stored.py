@@ -7,11 +7,12 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ...operators import embed, memo
+from ...operators.ranking import first_per_key
 from ...session import checkpoint_root
 from ...sources import code_files, spreadsheets, tables
-from ...streaming import logs
+from ...streaming import logs, sessions
 from . import logs as log_queries, search, texts
-from .registry import ORACLES, query, read
+from .registry import DERIVED, ORACLES, query, read
 
 
 def new_folder(spark: SparkSession, label: str) -> str:
@@ -121,3 +122,24 @@ def memoised_calls(spark, sf_dir):
     for part in (asked.where("event_id % 2 = 0"), asked):
         answered = memo.call_model_once(part, echo_model, "messages", path, "echo", wave=2000, attempts=1)
     return answered.select("event_id", F.col("response.content").alias("content"), "ok", "call_error")
+
+
+@query("session_summary_stream", ORACLES["audit_summary"])
+def session_summary_stream(spark, sf_dir):
+    """The last running summary of every session, after its suggestions have come as a stream."""
+    source, out = new_folder(spark, "suggestions"), new_folder(spark, "summaries")
+    columns = DERIVED["suggested"][1]
+    rows = read(spark, sf_dir, "events").select("ts", *[F.expr(e).alias(c) for c, e in columns.items()]).select(
+        "session", F.col("ts").alias("timestamp"), "doc_id", "kind", "is_primary", "confidence",
+        F.when(F.col("confidence") < 0.2, F.col("severity")).alias("severity"))
+    rows.repartition(4).write.parquet(source)
+    stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 2).parquet(source)
+    always = "4000 days"    # the files come in no order of time
+
+    def keep(batch: DataFrame, number: int) -> None:
+        batch.withColumn("batch", F.lit(number)).write.mode("append").parquet(out)
+    (sessions.running_summaries(stream, always, always).writeStream.outputMode("update")
+     .option("checkpointLocation", new_folder(spark, "summary-state")).foreachBatch(keep)
+     .trigger(availableNow=True).start().awaitTermination())
+    last = first_per_key(spark.read.parquet(out), ["session"], [F.desc("batch")])
+    return last.withColumn("avg_confidence", F.round("avg_confidence", 6)).drop("batch", "last_event", "closed")
