@@ -51,12 +51,8 @@ def first_shingles(n: int, percent: int, subset: int) -> int:
     return n - shared_at_least(n, percent) + subset
 
 
-def least_hits(n: int, percent: int) -> int:
-    """Lists that a set of ``n`` has in common with any similar set, at least."""
-    return _hits(shared_at_least(n, percent))   # the smallest similar set may have no more shingles
-
-
 def _hits(n: int) -> int:
+    """Lists that a set has in common with a similar one of ``n`` shingles or more."""
     return max(1, n * HITS // 100)
 
 
@@ -274,7 +270,7 @@ def _members(signed: DataFrame, percent: int, scratch: Scratch) -> DataFrame:
     rows = scratch.save(entries.repartition("key").sortWithinPartitions("key", "n", "c")
                         .mapInArrow(_runs(percent), _BUCKET), "runs")
     subset = F.col("key").bitwiseAND(1) == 1
-    smallest = F.ceil(F.col("n") * percent / 100)
+    smallest = F.ceil(F.col("n") * percent / 100)   # of the similar sets, which ask for least
     enough = F.greatest(F.lit(1), F.floor(smallest * HITS / 100))
     for _ in range(PEELS):
         told = rows.groupBy("c", "n").agg(F.count_if(~subset).alias("lists"), F.count_if(subset).alias("subsets"))
