@@ -52,8 +52,10 @@ def choose_pivots(places: list[tuple[int, int]], many: int = EDITS + 1) -> list[
     best j - 1 of those that end before it.
     """
     best: list[list[tuple[int, list[int]] | None]] = [[(0, [])] + [None] * many]
+    free = 0    # how many of them end before the i-th
     for i, (position, count) in enumerate(places, 1):
-        free = max((k for k in range(i) if k == 0 or places[k - 1][0] + GRAM <= position), default=0)
+        while free < i - 1 and places[free][0] + GRAM <= position:
+            free += 1
         row: list[tuple[int, list[int]] | None] = [(0, [])]
         for j in range(1, many + 1):
             options = [best[i - 1][j]] if best[i - 1][j] else []
@@ -65,7 +67,17 @@ def choose_pivots(places: list[tuple[int, int]], many: int = EDITS + 1) -> list[
     return best[-1][many][1] if best[-1][many] else []
 
 
-def _key(length: int, side: str, text: str) -> int:
+def _beginnings(word: str) -> list[int]:
+    """A hash of each beginning of a word, the empty one first."""
+    running = xxhash.xxh3_64()
+    hashes = [running.intdigest()]
+    for letter in word:
+        running.update(letter)
+        hashes.append(running.intdigest())
+    return hashes
+
+
+def _key(length: int, side: str, text: int) -> int:
     return xxhash.xxh3_64_intdigest(f"{length}{side}{text}") - (1 << 63)
 
 
@@ -77,14 +89,15 @@ def word_keys(word: str, counts: list[int]) -> tuple[str, list[int], list[int]]:
     last = sorted(order)[GRAM * EDITS]
     prefix = [i for i, o in enumerate(order) if o <= last]
     pivots = choose_pivots([(i, counts[cell(grams[i])]) for i in prefix])
+    left, right = _beginnings(word), _beginnings(word[::-1])    # up to, and from, each place
     looked_up = set()
     for p in pivots:
         for other in (n - 1, n, n + 1):     # the length of the other word
             if other > n or p + GRAM < n:   # the edit is on the right
-                looked_up.add(_key(other, "<", word[:p + GRAM]))
+                looked_up.add(_key(other, "<", left[p + GRAM]))
             if other > n or p > 0:          # the edit is on the left
-                looked_up.add(_key(other, ">", word[p:]))
-    listed = {_key(n, "<", word[:p + GRAM]) for p in prefix} | {_key(n, ">", word[p:]) for p in prefix}
+                looked_up.add(_key(other, ">", right[n - p]))
+    listed = {_key(n, "<", left[p + GRAM]) for p in prefix} | {_key(n, ">", right[n - p]) for p in prefix}
     return last, sorted(looked_up), sorted(listed)
 
 

@@ -323,4 +323,4 @@ def test_more_stretches_than_regions_pack_every_token(spark, monkeypatch):
         filled[r.sequence_id] = filled.get(r.sequence_id, 0) + r.length
     assert set(pieces) == {i for i, _ in docs}
     assert all(sum(p.length for p in v) == v[0].doc_tokens for v in pieces.values())
-    assert len({s >> 32 for s in filled}) > 40 and max(filled.values()) <= 1024
+    assert len({s >> 32 for s in filled}) > 10 and max(filled.values()) <= 1024    # of five regions
