@@ -20,13 +20,14 @@ from pyspark.sql.pandas.types import to_arrow_schema
 
 from ..session import cut_lineage, drop_cut
 from .ranking import top_k
-from .search import TOP_K, best_over_blocks, cosine, unit_vectors
+from .search import SCORES, TOP_K, Best, by_length, chunks, cosine, hit_rows, ids_of, tiles
 
 MOST_CELLS = 4096       # bounds the broadcast centres: 4096 x 1536 doubles are 50 MB
 FIT_ROWS = 100_000      # rows that centres are fitted to, chosen by a hash of the id
 ROUNDS = 8
 TILE_ROWS = 20_000      # vectors of a cell that a task holds at once
-ASK_ROWS = 20_000       # requests that one copy of a tile answers
+BLOCK_BYTES = 64 << 20  # of the tiles that a task holds together; at least one tile
+ASK_ROWS = 100_000      # requests that one copy of a block answers
 SLACK = 1e-6            # for rounding in angles and similarities
 OTHER = -1              # the cell of vectors of another length than the centres
 
@@ -42,6 +43,13 @@ class Cells(NamedTuple):
     schema: str         # of the stored vectors, as JSON
 
 
+def _slices(batch: pa.RecordBatch, width: int) -> Iterator[pa.RecordBatch]:
+    """Parts of a batch of which a matrix with ``width`` columns is bounded."""
+    rows = max(1, SCORES // max(width, 1))
+    for start in range(0, batch.num_rows, rows):
+        yield batch.slice(start, rows)
+
+
 def _matrix(column: pa.Array, size: int) -> tuple[np.ndarray, np.ndarray]:
     """(positions, unit vectors) of the rows of this length that have a direction."""
     rows = np.flatnonzero(column.value_lengths().to_numpy(zero_copy_only=False) == size)
@@ -77,7 +85,7 @@ def _fit(sample: DataFrame, cells: int, size: int, rounds: int) -> np.ndarray:
 
         def assigned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             found: dict[int, list] = {}
-            for batch in batches:
+            for batch in (part for whole in batches for part in _slices(whole, cells)):
                 _, vectors = _matrix(batch["vector"], size)
                 nearest = (vectors @ shared.value.T).argmax(axis=1)
                 for cell in np.unique(nearest).tolist():
@@ -111,7 +119,7 @@ def _assign(rows: DataFrame, centres: np.ndarray, id_col: str, keep: Sequence[st
 
     def nearest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         size = shared.value.shape[1]
-        for batch in batches:
+        for batch in (part for whole in batches for part in _slices(whole, len(shared.value))):
             cell = np.full(batch.num_rows, OTHER, np.int32)
             angle = np.zeros(batch.num_rows)
             positions, vectors = _matrix(batch["vector"], size)
@@ -202,44 +210,101 @@ def cell_bounds(cells: Cells, vectors: np.ndarray) -> np.ndarray:
     return bounds
 
 
+class Deal(NamedTuple):
+    """Which tiles are searched together: of each cell the first tile, and the block of every tile."""
+
+    first: np.ndarray
+    block: np.ndarray
+    blocks: int
+
+
+def _deal(cells: Cells, width: int, parallelism: int) -> Deal:
+    """Tiles in the order of their cells, dealt to blocks of equal numbers of rows, each under ``BLOCK_BYTES``
+    (or one tile), and no fewer than there are cores."""
+    rows = np.repeat(cells.rows / np.maximum(cells.tiles, 1), cells.tiles)
+    total = rows.sum()
+    blocks = int(max(-(-total * (8 * width + 64) // BLOCK_BYTES), parallelism))
+    block = np.minimum((np.cumsum(rows) - rows) * blocks // max(total, 1), blocks - 1).astype(np.int64)
+    return Deal(np.cumsum(cells.tiles) - cells.tiles, block, blocks)
+
+
+def _choose(held: Cells, column: pa.Array, least: np.ndarray | None, k: int, first: int) -> tuple[np.ndarray, np.ndarray]:
+    """(request, place of the cell) to be opened: without ``least`` the most promising cells, ``first`` of them
+    and as many more as hold ``k`` rows; with it (k-th similarities) all cells that reach it."""
+    size, n = held.centres.shape[1], len(held.centres)
+    asks, places = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    positions, vectors = _matrix(column, size)
+    if n and len(positions):
+        bounds = cell_bounds(held, vectors)
+        if least is None:
+            order = np.argsort(-bounds, axis=1, kind="stable")
+            rows = held.rows[:n][order]
+            chosen = (np.cumsum(rows, axis=1) - rows < k) | (np.arange(n) < first)   # by place in the order
+            chosen &= np.isfinite(np.take_along_axis(bounds, order, axis=1))
+            at, place = np.nonzero(chosen)
+            place = order[at, place]
+        else:
+            at, place = np.nonzero(np.isfinite(bounds) & (bounds >= least[positions][:, None]))
+        asks.append(positions[at])
+        places.append(place)
+    if (held.rows[held.ids == OTHER] > 0).any():
+        lengths = column.value_lengths().to_numpy(zero_copy_only=False)
+        others = np.flatnonzero((lengths != size) & (lengths > 0))
+        asks.append(others)
+        places.append(np.full(len(others), np.flatnonzero(held.ids == OTHER)[0]))
+    return np.concatenate(asks), np.concatenate(places)
+
+
+def _chosen(batches: Iterator[pa.RecordBatch], held: Cells, k: int, first: int,
+            known: str | None) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
+    for part in (part for whole in batches for part in _slices(whole, len(held.centres))):
+        least = None if known is None else np.asarray(part[known].to_numpy(zero_copy_only=False), np.float64)
+        yield part, *_choose(held, part["vector"], least, k, first)
+
+
 def _pairs(requests: DataFrame, cells: Cells, k: int, first: int, known: str | None) -> DataFrame:
-    """(qid, vector, cell) to be opened: without ``known`` the most promising cells, ``first`` of them and
-    as many more as hold ``k`` rows; with it (a column of k-th similarities) all others that reach it."""
+    """(cell, requests) for the cells that some of the ``requests`` open, a row a task and cell."""
     shared = requests.sparkSession.sparkContext.broadcast(cells)
-    out = T.StructType([requests.schema["qid"], T.StructField("vector", T.ArrayType(T.DoubleType())),
-                        T.StructField("cell", T.IntegerType())])
-    schema = to_arrow_schema(out)
 
-    def choose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = shared.value
-        size, n = (held.centres.shape[1], len(held.centres))
-        for batch in batches:
-            lengths = batch["vector"].value_lengths().to_numpy(zero_copy_only=False)
-            asks, opened = [], []
-            positions, vectors = _matrix(batch["vector"], size)
-            if n and len(positions):
-                bounds = cell_bounds(held, vectors)
-                order = np.argsort(-bounds, axis=1, kind="stable")
-                below = np.cumsum(held.rows[:n][order], axis=1) - held.rows[:n][order] < k
-                early = below | (np.arange(n) < first)   # by place in the order
-                if known is None:
-                    chosen = early
-                else:
-                    least = np.asarray(batch[known].to_numpy(zero_copy_only=False), np.float64)[positions]
-                    chosen = ~early & (np.take_along_axis(bounds, order, axis=1) >= least[:, None])
-                chosen &= np.isfinite(np.take_along_axis(bounds, order, axis=1))
-                at, place = np.nonzero(chosen)
-                asks += positions[at].tolist()
-                opened += order[at, place].tolist()
-            if known is None and (held.rows[held.ids == OTHER] > 0).any():
-                others = np.flatnonzero((lengths != size) & (lengths > 0)).tolist()
-                asks += others
-                opened += [OTHER] * len(others)
-            take = pa.array(asks, pa.int64())
-            yield pa.RecordBatch.from_arrays(
-                [batch["qid"].take(take), batch["vector"].take(take), pa.array(opened, pa.int32())], schema=schema)
-
-    return requests.mapInArrow(choose, out)
+        counts = np.zeros(len(held.ids), np.int64)
+        for _, _, places in _chosen(batches, held, k, first, known):
+            counts += np.bincount(places, minlength=len(counts))
+        some = np.flatnonzero(counts)
+        yield pa.RecordBatch.from_arrays([pa.array(held.ids[some], pa.int32()), pa.array(counts[some], pa.int64())],
+                                         ["cell", "requests"])
+
+    return requests.mapInArrow(count, "cell int, requests long")
+
+
+def _asks(requests: DataFrame, cells: Cells, deal: Deal, k: int, first: int, known: str | None) -> DataFrame:
+    """(qid, value, least, block, cells): a request goes once to a block, with the cells that it opens there."""
+    shared = requests.sparkSession.sparkContext.broadcast((cells, deal))
+    out = T.StructType([requests.schema["qid"], T.StructField("value", T.ArrayType(T.DoubleType())),
+                        T.StructField("least", T.DoubleType()), T.StructField("block", T.IntegerType()),
+                        T.StructField("cells", T.ArrayType(T.IntegerType()))])
+    schema = to_arrow_schema(out)
+
+    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, dealt = shared.value
+        for part, at, places in _chosen(batches, held, k, first, known):
+            many = held.tiles[places]
+            ends = np.cumsum(many)
+            tile = np.repeat(dealt.first[places] - (ends - many), many) + np.arange(many.sum())
+            at, places, block = np.repeat(at, many), np.repeat(places, many), dealt.block[tile]
+            order = np.lexsort((places, block, at))
+            at, places, block = at[order], places[order], block[order]
+            moved = (np.diff(at, prepend=-1) != 0) | (np.diff(block, prepend=-1) != 0)
+            own = moved | (np.diff(places, prepend=-1) != 0)    # a cell counts once a block, however many tiles
+            starts = np.append(np.cumsum(own)[moved] - 1, own.sum())
+            take = pa.array(at[moved], pa.int64())
+            least = pa.nulls(len(take), pa.float64()) if known is None else part[known].take(take)
+            opened = pa.ListArray.from_arrays(pa.array(starts, pa.int32()), pa.array(held.ids[places[own]], pa.int32()))
+            yield pa.RecordBatch.from_arrays([part["qid"].take(take), part["vector"].take(take), least,
+                                              pa.array(block[moved], pa.int32()), opened], schema=schema)
+
+    return requests.mapInArrow(send, out)
 
 
 def opened_vectors(spark: SparkSession, path: str, cells: Cells, opened: Sequence[int]) -> DataFrame:
@@ -251,31 +316,85 @@ def opened_vectors(spark: SparkSession, path: str, cells: Cells, opened: Sequenc
             .parquet(*[f"{path}/vectors/cell={int(c)}" for c in sorted(opened)]))
 
 
-def _scored(spark: SparkSession, path: str, pairs: DataFrame, cells: Cells, k: int, id_col: str,
-            per: Sequence[str], threshold: float | None) -> tuple[DataFrame, list[int]]:
-    """The k best of the opened cells by request, and which cells were opened.
+def _best_of_cells(k: int, threshold: float | None, schema: pa.Schema):
+    """The k best of each request from rows by block: first its vectors by cell, then what is asked."""
+    scorer = cosine(threshold)
+
+    def answer(part: pa.RecordBatch, held: dict[int, list]) -> Iterator[pa.RecordBatch]:
+        n = part.num_rows
+        least = np.array(part["least"].fill_null(-np.inf).to_numpy(zero_copy_only=False), np.float64)
+        best, units = Best(n, k, least), by_length(part["value"])
+        size_of, row_of = np.zeros(n, np.int64), np.zeros(n, np.int64)
+        for size, (positions, _) in units.items():
+            size_of[positions], row_of[positions] = size, np.arange(len(positions))
+        opened = part["cells"].flatten().to_numpy()
+        order = np.argsort(opened, kind="stable")
+        asking = np.repeat(np.arange(n), part["cells"].value_lengths().to_numpy())[order]
+        numbers, starts = np.unique(opened[order], return_index=True)
+        for cell, start, end in zip(numbers.tolist(), starts, [*starts[1:], len(order)]):
+            for ids, corpus in held.get(cell, ()):
+                for size in corpus[1]:
+                    own = asking[start:end][size_of[asking[start:end]] == size]
+                    for chunk in chunks(len(own)):
+                        some = own[chunk]
+                        asked = len(some), {size: (np.arange(len(some)), units[size][1][row_of[some]])}
+                        best.show(some, scorer.score(asked, corpus), ids)
+        yield from hit_rows(best, part["qid"], (), schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        unit, held = None, {}
+        for batch in batches:
+            kinds = np.array([batch[c].to_numpy(zero_copy_only=False) for c in ("unit", "asks", "c2")], object).T
+            marks = [tuple(row[:2]) + (row[2] if not row[1] else None,) for row in kinds.tolist()]
+            starts = [i for i in range(len(marks)) if not i or marks[i] != marks[i - 1]]
+            for start, end in zip(starts, [*starts[1:], len(marks)]):
+                at, asks, cell = marks[start]
+                if at != unit:
+                    unit, held = at, {}
+                part = batch.slice(start, end - start)
+                if asks:
+                    yield from answer(part, held)
+                else:
+                    held.setdefault(int(cell), []).extend(
+                        (ids_of(tile), scorer.load(tile.column(1))) for tile in tiles([part.select(["c0", "c1"])]))
+
+    return run
+
+
+def _scored(spark: SparkSession, path: str, asks: DataFrame, cells: Cells, k: int, id_col: str, first: int,
+            known: str | None, threshold: float | None) -> DataFrame:
+    """The k best of the opened cells by request.
 
-    A task holds one tile of a cell and scores batches of its requests; a cell that very many
-    requests open is copied once per ``ASK_ROWS`` of them.
+    Tiles are dealt to blocks and a request goes once to each block in which it opens a cell, however
+    many cells it opens there. A task holds one block while its requests stream past; a block that
+    very many requests open is copied once per ``ASK_ROWS`` of them.
     """
-    asked = {row["cell"]: row["count"] for row in pairs.groupBy("cell").count().collect()}   # a row a cell
-    tiles = dict(zip(cells.ids.tolist(), cells.tiles.tolist()))
-    plan = spark.createDataFrame([(c, int(tiles[c]), -(-n // ASK_ROWS)) for c, n in asked.items()],
-                                 "cell int, tiles int, copies int")
+    deal = _deal(cells, cells.centres.shape[1], spark.sparkContext.defaultParallelism)
+    asked = {row["cell"]: row["requests"] for row in      # a row a cell
+             _pairs(asks, cells, k, first, known).groupBy("cell").agg(F.sum("requests").alias("requests")).collect()}
+    listed = [(int(cell), int(tile), int(deal.block[start + tile]))
+              for cell, start, n in zip(cells.ids, deal.first, cells.tiles) for tile in range(n)]
+    requests = np.zeros(deal.blocks, np.int64)
+    for cell, _, block in listed:
+        requests[block] += asked.get(cell, 0)
+    copies = -(-np.minimum(requests, asks.count()) // ASK_ROWS)
+    base = np.cumsum(copies) - copies
+    blocks = F.broadcast(spark.createDataFrame(
+        [(b, int(copies[b]), int(base[b])) for b in range(deal.blocks)], "block int, copies int, base int"))
+    known_tiles = F.broadcast(spark.createDataFrame(listed, "cell int, tile int, block int"))
     stored = opened_vectors(spark, path, cells, list(asked))
-    block = F.concat_ws(":", "cell", "tile", "copy").alias("block")
-    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    own = (stored.join(F.broadcast(plan), "cell").withColumn("copy", every("copies"))
-           .select(block, F.lit(False).alias("asks"),
-                   *[F.col(c).alias(f"c{i}") for i, c in enumerate([id_col, "vector", *per])]))
-    asking = (pairs.join(F.broadcast(plan), "cell").withColumn("tile", every("tiles"))
-              .withColumn("copy", F.pmod(F.xxhash64("qid"), F.col("copies")))
-              .select(block, F.lit(True).alias("asks"), "qid", F.col("vector").alias("value")))
-    both = own.unionByName(asking, allowMissingColumns=True).repartition("block").sortWithinPartitions("block", "asks")
-    out = T.StructType([T.StructField("qid", pairs.schema["qid"].dataType), stored.schema[id_col],
-                        T.StructField("similarity", T.DoubleType()), *(stored.schema[c] for c in per)])
-    scored = both.mapInArrow(best_over_blocks(unit_vectors, cosine(threshold), k, len(per), to_arrow_schema(out)), out)
-    return scored, list(asked)
+    own = (stored.join(known_tiles, ["cell", "tile"]).join(blocks, "block")
+           .select(F.explode(F.sequence(F.col("base"), F.col("base") + F.col("copies") - 1)).alias("unit"),
+                   F.lit(False).alias("asks"), F.col(id_col).alias("c0"), F.col("vector").alias("c1"),
+                   F.col("cell").alias("c2")))
+    asking = (_asks(asks, cells, deal, k, first, known).join(blocks, "block")
+              .select((F.col("base") + F.pmod(F.xxhash64("qid"), F.col("copies"))).cast("int").alias("unit"),
+                      F.lit(True).alias("asks"), "qid", "value", "least", "cells"))
+    both = (own.unionByName(asking, allowMissingColumns=True).repartitionById(max(int(copies.sum()), 1), F.col("unit"))
+            .sortWithinPartitions("unit", "asks", "c2"))
+    out = T.StructType([T.StructField("qid", asks.schema["qid"].dataType), stored.schema[id_col],
+                        T.StructField("similarity", T.DoubleType())])
+    return both.mapInArrow(_best_of_cells(k, threshold, to_arrow_schema(out)), out)
 
 
 def search_cells(spark: SparkSession, path: str, requests: DataFrame, k: int = TOP_K, *, id_col: str,
@@ -289,14 +408,12 @@ def search_cells(spark: SparkSession, path: str, requests: DataFrame, k: int = T
     cells = load_cells(spark, path)
     asks = requests.select("qid", F.col("vector").cast("array<double>").alias("vector")).where(F.size("vector") > 0)
     order = [F.desc("similarity"), F.asc(id_col)]
-    pairs = _pairs(asks, cells, k, first, None)
-    early, _ = _scored(spark, path, pairs, cells, k, id_col, (), threshold)
+    early = _scored(spark, path, asks, cells, k, id_col, first, None, threshold)
     if approximate:
         return top_k(early, ["qid"], order, k)
     early = cut_lineage(top_k(early, ["qid"], order, k), "cells-first")
     least = early.where(F.col("rank") == k).select("qid", F.col("similarity").alias("kth"))
     known = asks.join(least, "qid", "left").withColumn(
         "kth", F.greatest(F.coalesce("kth", F.lit(-1.0)), F.lit(-1.0 if threshold is None else threshold)))
-    late, _ = _scored(spark, path, cut_lineage(_pairs(known, cells, k, first, "kth"), "cells-late"),
-                      cells, k, id_col, (), threshold)
-    return top_k(early.drop("rank").unionByName(late), ["qid"], order, k)
+    # the promising cells are opened again, so that nothing hangs on both rounds choosing alike
+    return top_k(_scored(spark, path, known, cells, k, id_col, first, "kth", threshold), ["qid"], order, k)

@@ -9,7 +9,8 @@ copies of the requests pass by. Ties are broken by id.
 from __future__ import annotations
 
 import re
-from collections.abc import Callable, Iterator, Sequence
+from collections.abc import Callable, Iterable, Iterator, Sequence
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -27,6 +28,9 @@ SIMILARITY_THRESHOLD = 0.7
 
 BROADCAST_BYTES = 8 << 20   # measured size of the requests up to which they are broadcast
 BLOCK_BYTES = 64 << 20      # what a task holds of the corpus at once when requests stream past it
+SCORES = 2 << 20           # scores that a task holds at once
+TILE_ROWS = 4096           # rows of the corpus that are compared at once, with as many requests as SCORES allows
+TILE_BYTES = 4 << 20       # and the bytes of their values: texts are held several times while they are searched
 MARK = "\0"            # between the texts that are searched as one
 DECIMALS = 9          # scores are rounded so that ranks do not depend on summation order
 
@@ -38,67 +42,78 @@ def check_weights(semantic: float, keyword: float) -> None:
         raise ValueError(f"Search weights must sum to 1.0. Got: {total}")
 
 
-def _prune(scores: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
-    """Positions of the k best by (score desc, id asc)."""
-    if len(ids) > k:
-        kth = np.partition(scores, len(ids) - k)[len(ids) - k]
-        keep = np.flatnonzero(scores >= kth)
-    else:
-        keep = np.arange(len(ids))
-    return keep[np.lexsort((ids[keep], -scores[keep]))][:k]
+def by_length(column: pa.Array) -> dict[int, tuple[np.ndarray, np.ndarray]]:
+    """Unit vectors of an Arrow list column by dimension: (positions, matrix) of those with a direction."""
+    sizes = column.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
+    found = {}
+    for size in np.unique(sizes[sizes > 0]).tolist():
+        rows = np.flatnonzero(sizes == size)
+        vectors = np.asarray(column.take(pa.array(rows)).flatten(), np.float64).reshape(len(rows), size)
+        lengths = np.linalg.norm(vectors, axis=1)
+        usable = np.isfinite(lengths) & (lengths > 0)
+        if usable.any():
+            found[size] = rows[usable], vectors[usable] / lengths[usable, None]
+    return found
 
 
 def unit_vectors(vectors: list) -> tuple:
     """Request vectors of unit length: their number, and (positions, matrix) by dimension."""
-    by_size: dict[int, list[int]] = {}
-    for position, vector in enumerate(vectors):
-        by_size.setdefault(len(vector or ()), []).append(position)
-    parts = []
-    for size, positions in by_size.items():
-        matrix = np.array([vectors[p] for p in positions], dtype=np.float64).reshape(len(positions), size)
-        lengths = np.linalg.norm(matrix, axis=1)
-        usable = lengths > 0
-        if usable.any():
-            parts.append((np.array(positions)[usable], matrix[usable] / lengths[usable, None]))
-    return len(vectors), parts
+    return len(vectors), by_length(pa.array(vectors, pa.list_(pa.float64())))
+
+
+class Scorer(NamedTuple):
+    """``load`` makes of a column of corpus values what ``score`` compares with prepared requests.
+
+    Scores are a (requests x rows) array in which NaN marks rows that are no hit.
+    """
+
+    load: Callable
+    score: Callable
+
+
+def cosine(threshold: float | None) -> Scorer:
+    """Matrix products of request and corpus vectors of the same length."""
 
+    def score(requests: tuple, corpus: tuple) -> np.ndarray:
+        (n, asked), (rows, held) = requests, corpus
+        scores = None
+        for size in asked.keys() & held.keys():
+            (positions, matrix), (places, vectors) = asked[size], held[size]
+            found = matrix @ vectors.T
+            np.round(found, DECIMALS, out=found)
+            if found.shape == (n, rows):
+                scores = found
+                break
+            scores = np.full((n, rows), np.nan) if scores is None else scores
+            scores[np.ix_(positions, places)] = found
+        if scores is None:
+            return np.full((n, rows), np.nan)
+        if threshold is not None:
+            scores[scores < threshold] = np.nan
+        return scores
 
-def cosine(threshold: float | None) -> Callable:
-    """Scores of an Arrow batch (id, vector, ...): a matrix product with the requests."""
+    return Scorer(lambda column: (len(column), by_length(column)), score)
 
-    def score(requests: tuple, batch: pa.RecordBatch) -> np.ndarray:
-        n, parts = requests
-        scores = np.full((n, batch.num_rows), np.nan)
-        column = batch.column(1)
-        sizes = column.value_lengths().to_numpy(zero_copy_only=False)
-        for positions, matrix in parts:
-            rows = np.flatnonzero(sizes == matrix.shape[1])
-            vectors = np.asarray(column.take(pa.array(rows)).flatten(), dtype=np.float64)
-            vectors = vectors.reshape(len(rows), matrix.shape[1])
-            norms = np.linalg.norm(vectors, axis=1)
-            norms[norms == 0] = np.nan
-            found = np.round(matrix @ (vectors / norms[:, None]).T, DECIMALS)
-            scores[np.ix_(positions, rows)] = found
-        return scores if threshold is None else np.where(scores >= threshold, scores, np.nan)
 
-    return score
+def _joined_texts(column: pa.Array) -> tuple[list[str], str, np.ndarray]:
+    """Lower-cased texts, all of them as one with a mark between them, and where each starts in it."""
+    texts = [text.lower() for text in column.to_pylist()]
+    return texts, MARK.join(texts), np.cumsum([0] + [len(text) + 1 for text in texts])
 
 
-def _keyword_density(needles: list[str], batch: pa.RecordBatch) -> np.ndarray:
-    """Scores of an Arrow batch (id, text, ...): occurrences per whitespace token of the text.
+def _keyword_density(needles: list[str], corpus: tuple) -> np.ndarray:
+    """Scores of joined texts: occurrences per whitespace token of the text.
 
-    The texts of a batch are searched as one, with a mark between them that no text holds across.
+    The texts are searched as one, with a mark between them that no text holds across.
     """
-    texts = [text.lower() for text in batch.column(1).to_pylist()]
-    starts = np.cumsum([0] + [len(text) + 1 for text in texts])
-    joined = MARK.join(texts)
+    texts, joined, starts = corpus
     scores = np.full((len(needles), len(texts)), np.nan)
     tokens: dict[int, float] = {}
     for q, needle in enumerate(needles):
         if MARK in needle:
             counts = np.array([text.count(needle) for text in texts], dtype=np.int64)
         else:
-            places = [match.start() for match in re.finditer(re.escape(needle), joined)]
+            places = np.fromiter((m.start() for m in re.finditer(re.escape(needle), joined)), np.int64)
             counts = np.bincount(np.searchsorted(starts, places, side="right") - 1, minlength=len(texts))
         for row in np.flatnonzero(counts).tolist():
             if row not in tokens:   # a text of whitespace only has no tokens, and a match in it no score
@@ -107,50 +122,116 @@ def _keyword_density(needles: list[str], batch: pa.RecordBatch) -> np.ndarray:
     return np.round(scores, DECIMALS)
 
 
-def _best(qids: list, requests, batches: Iterator[pa.RecordBatch], score: Callable, k: int,
-          n_groups: int, schema: pa.Schema) -> Iterator[pa.RecordBatch]:
-    """The k best rows per request and group over all ``batches``.
+DENSITY = Scorer(_joined_texts, _keyword_density)
 
-    ``score`` returns a (requests x rows) array in which NaN marks rows that are no hit. At most
-    k rows per request and group are held and sent, however many rows there are.
-    """
-    best: dict[tuple, tuple[np.ndarray, np.ndarray]] = {}
+
+def tiles(batches: Iterable[pa.RecordBatch], value: int = 1) -> Iterator[pa.RecordBatch]:
+    """Parts of batches of at most ``TILE_ROWS`` rows and, but for a longer value, ``TILE_BYTES``."""
     for batch in batches:
-        if not batch.num_rows:
-            continue
-        ids = batch.column(0).to_numpy(zero_copy_only=False)
-        if ids.dtype == object:
-            ids = ids.astype(str)
-        scores = score(requests, batch)
-        groups: dict[tuple, list[int]] = {}
-        for row, key in enumerate(zip(*(batch.column(2 + i).to_pylist() for i in range(n_groups)))):
-            groups.setdefault(key, []).append(row)
-        for key, rows in groups.items() if n_groups else [((), slice(None))]:
-            group_ids, group_scores = ids[rows], scores[:, rows]
-            for q in np.flatnonzero(~np.isnan(group_scores).all(axis=1)).tolist():
-                hits = np.flatnonzero(~np.isnan(group_scores[q]))
-                values, candidates = group_scores[q][hits], group_ids[hits]
-                if (q, *key) in best:
-                    old_values, old_ids = best[(q, *key)]
-                    values = np.concatenate([old_values, values])
-                    candidates = np.concatenate([old_ids, candidates])
-                keep = _prune(values, candidates, k)
-                best[(q, *key)] = values[keep], candidates[keep]
-    for (q, *key), (values, candidates) in best.items():
-        n = len(candidates)
-        columns = [[qids[q]] * n, candidates, values, *([part] * n for part in key)]
+        column, start = batch.column(value), 0
+        while start < batch.num_rows:
+            end = min(start + TILE_ROWS, batch.num_rows)
+            while end > start + 1 and column.slice(start, end - start).nbytes > TILE_BYTES:
+                end = start + (end - start) // 2
+            yield batch.slice(start, end - start)
+            start = end
+
+
+def chunks(n: int) -> list[slice]:
+    """Slices of ``n`` requests so that their scores with a tile are bounded."""
+    size = max(1, SCORES // TILE_ROWS)
+    return [slice(at, at + size) for at in range(0, n, size)]
+
+
+class Best:
+    """The k best (score desc, id asc) of each of ``n`` requests among all rows that it is shown."""
+
+    def __init__(self, n: int, k: int, least: np.ndarray | None = None):
+        self.n, self.k = n, k
+        self.least = np.full(n, -np.inf) if least is None else least   # scores below are of no use
+        self.held: tuple[np.ndarray, ...] | None = None     # request, score, id
+        self.new: list[tuple[np.ndarray, ...]] = []
+        self.waiting = 0
+
+    def show(self, requests: np.ndarray, scores: np.ndarray, ids: np.ndarray) -> None:
+        """Take what is needed of a (requests x rows) array."""
+        least, some = self.least[requests], scores[:, :16 * self.k + 256]
+        fresh = np.flatnonzero(np.isneginf(least)) if some.shape[1] < scores.shape[1] else []
+        if len(fresh):      # the k-th of some rows bounds the k-th of all; NaN where fewer than k are hits
+            kth = -np.partition(-some[fresh], self.k - 1, axis=1)[:, self.k - 1]
+            least[fresh] = np.where(np.isnan(kth), -np.inf, kth)
+        at, place = np.nonzero(scores >= least[:, None])
+        if not len(at):
+            return
+        self.new.append((requests[at], scores[at, place], ids[place]))
+        self.waiting += len(at)
+        if self.waiting > SCORES // 2:
+            self.settle()
+
+    def settle(self) -> None:
+        """Keep the k best of what is held and new; a k-th score bounds what may still come."""
+        if not self.new:
+            return
+        parts = self.new if self.held is None else [self.held, *self.new]
+        at, scores, ids = (np.concatenate(column) for column in zip(*parts))
+        order = np.lexsort((ids, -scores, at))
+        at, scores, ids = at[order], scores[order], ids[order]
+        counts = np.bincount(at, minlength=self.n)
+        ends = np.cumsum(counts)
+        keep = np.arange(len(at)) - (ends - counts)[at] < self.k
+        full = counts >= self.k
+        self.least[full] = np.maximum(self.least[full], scores[(ends - counts)[full] + self.k - 1])
+        self.held, self.new, self.waiting = (at[keep], scores[keep], ids[keep]), [], 0
+
+
+def ids_of(batch: pa.RecordBatch) -> np.ndarray:
+    ids = batch.column(0).to_numpy(zero_copy_only=False)
+    return ids.astype(str) if ids.dtype == object else ids
+
+
+def hit_rows(best: Best, qids: pa.Array, key: tuple, schema: pa.Schema) -> Iterator[pa.RecordBatch]:
+    """What ``best`` has found, as rows (qid, id, score, key...)."""
+    best.settle()
+    if best.held is not None:
+        at, scores, ids = best.held
+        columns = [qids.take(pa.array(at)), ids, scores, *([part] * len(at) for part in key)]
         yield pa.RecordBatch.from_arrays(
-            [pa.array(column, type=field.type) for column, field in zip(columns, schema)],
-            schema=schema)
+            [c if isinstance(c, pa.Array) else pa.array(c, type=f.type) for c, f in zip(columns, schema)], schema=schema)
 
 
-def _topk(corpus: DataFrame, requests: DataFrame, size: Callable[[str], Column], score: Callable,
+def _best(qids: pa.Array, requests: list, batches: Iterable[pa.RecordBatch], scorer: Scorer, k: int,
+          n_groups: int, schema: pa.Schema) -> Iterator[pa.RecordBatch]:
+    """The k best rows per request and group over all ``batches``; ``requests`` are prepared by chunk.
+
+    Scores are held of a chunk and a tile at once. At most k rows per request and group are kept
+    and sent, however many rows there are.
+    """
+    best: dict[tuple, Best] = {}
+    parts = chunks(len(qids))
+    for tile in tiles(batches):
+        ids, corpus = ids_of(tile), scorer.load(tile.column(1))
+        groups: dict[tuple, list[int]] = {}
+        for row, key in enumerate(zip(*(tile.column(2 + i).to_pylist() for i in range(n_groups)))):
+            groups.setdefault(key, []).append(row)
+        for part, asked in zip(parts, requests):
+            scores = scorer.score(asked, corpus)
+            for key, rows in groups.items() if n_groups else [((), slice(None))]:
+                if (part.start, key) not in best:
+                    best[part.start, key] = Best(len(scores), k)
+                best[part.start, key].show(np.arange(len(scores)), scores[:, rows], ids[rows])
+        for found in best.values():
+            found.settle()
+    for (start, key), found in best.items():
+        yield from hit_rows(found, qids.slice(start, found.n), key, schema)
+
+
+def _topk(corpus: DataFrame, requests: DataFrame, size: Callable[[str], Column], scorer: Scorer,
           prepare: Callable, k: int, id_col: str, value_col: str, asked: str, score_name: str,
           per: Sequence[str]) -> DataFrame:
     """Hits of ``requests`` (qid, ``asked``) among (id, value, per...), then their ranking.
 
     ``size`` gives the size in bytes of a value and ``prepare`` turns a list of requests into what
-    ``score`` takes. Rows without an id are left out.
+    ``scorer`` takes. Rows without an id are left out.
     """
     corpus = corpus.filter(F.col(id_col).isNotNull() & F.col(value_col).isNotNull())
     out = T.StructType([T.StructField("qid", requests.schema["qid"].dataType), corpus.schema[id_col],
@@ -162,17 +243,17 @@ def _topk(corpus: DataFrame, requests: DataFrame, size: Callable[[str], Column],
     if measured <= BROADCAST_BYTES:
         few = requests.collect()
         shared = corpus.sparkSession.sparkContext.broadcast(
-            ([row["qid"] for row in few], prepare([row[asked] for row in few])))
+            ([row["qid"] for row in few], [prepare([row[asked] for row in few[part]]) for part in chunks(len(few))]))
 
         def over_partition(batches):
             qids, values = shared.value
-            return _best(qids, values, batches, score, k, n_groups, schema)
+            return _best(pa.array(qids, schema.field(0).type), values, batches, scorer, k, n_groups, schema)
 
         hits = rows.mapInArrow(over_partition, out)
     else:
         held = rows.agg(F.sum(size(value_col) + 64)).first()[0] or 0
         hits = _streamed(rows, requests, asked, held).mapInArrow(
-            best_over_blocks(prepare, score, k, n_groups, schema), out)
+            best_over_blocks(prepare, scorer, k, n_groups, schema), out)
     return top_k(hits, ["qid", *per], [F.desc(score_name), F.asc(id_col)], k)
 
 
@@ -192,7 +273,7 @@ def _streamed(rows: DataFrame, requests: DataFrame, asked: str, held: int) -> Da
             .repartitionById(blocks, F.col("block")).sortWithinPartitions("block", "asks"))
 
 
-def best_over_blocks(prepare: Callable, score: Callable, k: int, n_groups: int, schema: pa.Schema) -> Callable:
+def best_over_blocks(prepare: Callable, scorer: Scorer, k: int, n_groups: int, schema: pa.Schema) -> Callable:
     names = [f"c{i}" for i in range(2 + n_groups)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -207,8 +288,9 @@ def best_over_blocks(prepare: Callable, score: Callable, k: int, n_groups: int,
                     block, held = kinds[start][0], []
                 part = batch.slice(start, end - start)
                 if kinds[start][1]:
-                    values = prepare(part["value"].to_pylist())
-                    yield from _best(part["qid"].to_pylist(), values, iter(held), score, k, n_groups, schema)
+                    asked = part["value"].to_pylist()
+                    values = [prepare(asked[chunk]) for chunk in chunks(len(asked))]
+                    yield from _best(part["qid"], values, held, scorer, k, n_groups, schema)
                 else:
                     held.append(part.select(names))
 
@@ -255,7 +337,7 @@ def keyword_topk(corpus: DataFrame, requests: DataFrame, k: int = KEYWORD_TOP_K,
     """
     corpus = corpus if where is None else corpus.filter(where)
     requests = _non_empty(requests)
-    return _topk(corpus, requests, F.octet_length, _keyword_density,
+    return _topk(corpus, requests, F.octet_length, DENSITY,
                  lambda queries: [query.lower() for query in queries], k, id_col, text_col, "query",
                  "score", per)
 

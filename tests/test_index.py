@@ -1,6 +1,10 @@
 """Stored search indexes: cells of vectors and postings of trigrams, against the plain search."""
 
+import tracemalloc
+
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 import pytest
 from pyspark.sql import functions as F
 
@@ -119,6 +123,40 @@ def test_large_request_sets_use_bounded_blocks(spark, monkeypatch, vectors, asks
     assert hits(search.semantic_topk(vectors, asks, 5, id_col="id", vector_col="vector")) == want
 
 
+def test_a_request_goes_once_to_a_block_however_many_cells_it_opens(spark, tmp_path):
+    rng, path = np.random.default_rng(8), str(tmp_path / "index")
+    rows = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(rng.normal(size=(600, 48)))],
+                                 "id long, vector array<double>")
+    cells.build_cells(rows, path, id_col="id", vector_col="vector")
+    held = cells.load_cells(spark, path)
+    asked = rows.selectExpr("id AS qid", "vector", "-1.0D AS kth")     # every cell is open
+    deal = cells._deal(held, 48, 4)
+    sent = cells._asks(asked, held, deal, 3, 2, "kth")
+    assert deal.blocks == 4 and sent.count() == 4 * 600
+    assert {sum(map(len, r.opened)) for r in sent.groupBy("qid").agg(F.collect_list("cells").alias("opened")).collect()} \
+        == {(held.rows > 0).sum()}
+    want = search.semantic_topk(rows, asked, 3, id_col="id", vector_col="vector")
+    assert hits(cells.search_cells(spark, path, asked, 3, id_col="id")) == hits(want)
+
+
+def test_scores_of_a_block_are_held_in_parts():
+    rng = np.random.default_rng(5)
+    vectors = pa.array(list(rng.normal(size=(6000, 8))), pa.list_(pa.float64()))
+    numbers, zeros, none = pa.array(range(6000)), pa.array([0] * 6000, pa.int32()), pa.nulls(6000, pa.int64())
+    names = ["block", "asks", "c0", "c1", "qid", "value"]
+    stream = [pa.RecordBatch.from_arrays([zeros, pa.array([False] * 6000), numbers, vectors, none, pa.nulls(6000, vectors.type)], names),
+              pa.RecordBatch.from_arrays([zeros, pa.array([True] * 6000), none, pa.nulls(6000, vectors.type), numbers, vectors], names)]
+    schema = pa.schema([("qid", pa.int64()), ("id", pa.int64()), ("similarity", pa.float64())])
+    tracemalloc.start()
+    found = list(search.best_over_blocks(search.unit_vectors, search.cosine(None), 2, 0, schema)(iter(stream)))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 120e6     # all scores at once are 288 MB
+    table = pa.Table.from_batches(found)
+    assert table.num_rows == 12000
+    assert table.filter(pc.equal(table["qid"], table["id"]))["similarity"].to_pylist() == [1.0] * 6000
+
+
 # ---------------------------------------------------------------- trigrams
 
 TEXTS = ["Acute pain of the knee", "KNEE pain, chronic", "", " ", "no match here", "aaaa aaa", "İstanbul knee \U0001F600 x",
