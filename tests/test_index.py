@@ -157,6 +157,20 @@ def test_scores_of_a_block_are_held_in_parts():
     assert table.filter(pc.equal(table["qid"], table["id"]))["similarity"].to_pylist() == [1.0] * 6000
 
 
+def test_texts_are_searched_in_parts_of_bounded_size(monkeypatch):
+    monkeypatch.setattr(search, "TILE_BYTES", 1000)
+    texts = ["the " * n for n in [10] * 200 + [2000] + [3] * 50] + ["", "no"]
+    rows = pa.RecordBatch.from_arrays([pa.array(range(len(texts))), pa.array(texts)], ["id", "text"])
+    parts = list(search.tiles([rows]))
+    assert pa.Table.from_batches(parts).equals(pa.Table.from_batches([rows]))
+    assert all(part.num_rows == 1 or part.column(1).nbytes <= 1000 for part in parts)
+    loaded = []
+    scorer = search.Scorer(lambda column: loaded.append(column.nbytes) or search.DENSITY.load(column), search.DENSITY.score)
+    schema = pa.schema([("qid", pa.int32()), ("id", pa.int64()), ("score", pa.float64())])
+    found = pa.Table.from_batches(search._best(pa.array([7], pa.int32()), [["the"]], [rows], scorer, 300, 0, schema))
+    assert found.num_rows == 251 and sorted(loaded)[-2] <= 1000
+
+
 # ---------------------------------------------------------------- trigrams
 
 TEXTS = ["Acute pain of the knee", "KNEE pain, chronic", "", " ", "no match here", "aaaa aaa", "İstanbul knee \U0001F600 x",
