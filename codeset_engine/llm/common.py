@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..session import checkpoint_root
 
+PIECE_ROWS, PIECE_BYTES = 500, 1 << 20    # of a batch, that a function turns into Python objects at once
 ASCII_LOWER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
 
 
@@ -57,6 +58,27 @@ def ascii_lower(text: Column) -> Column:
     return F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
 
+def pieces(columns: Iterator) -> Iterator:
+    """The columns (or tuples of them, the texts first) of an Arrow function in slices of bounded size.
+
+    A batch has thousands of texts, however long; the Python objects made of them are many times
+    larger, and a worker keeps for later stages the memory that it once took. A function may
+    give its results by slice, in the same order.
+    """
+    for column in columns:
+        parts = column if isinstance(column, tuple) else (column,)
+        texts, start = parts[0], 0
+        while start < len(texts) or not len(texts):
+            n = min(PIECE_ROWS, len(texts) - start)
+            while n > 1 and texts.slice(start, n).nbytes > PIECE_BYTES:
+                n //= 2
+            cut = tuple(part.slice(start, n) for part in parts)
+            yield cut if isinstance(column, tuple) else cut[0]
+            start += n
+            if not n:
+                break
+
+
 def utf8(column: pa.Array | pa.ChunkedArray) -> list[bytes | None]:
     """The texts of an Arrow column as UTF-8 bytes."""
     binary = pa.large_binary() if pa.types.is_large_string(column.type) else pa.binary()

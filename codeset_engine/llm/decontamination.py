@@ -9,7 +9,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import Scratch, utf8
+from .common import Scratch, pieces, utf8
 
 WINDOW = 10
 BLOCK_WORDS = 200_000  # item words in one automaton; more items take more passes
@@ -203,7 +203,7 @@ def item_blocks(benchmark: DataFrame, item_col: str, text_col: str, window: int,
 def _pass(shared, last: bool, min_span: int, max_coverage: float):
     def scan(columns: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
         automaton = SuffixAutomaton.of(shared.value)
-        for column, earlier in columns:
+        for column, earlier in pieces(columns):
             rows = []
             for raw, before in zip(utf8(column), earlier.to_pylist()):
                 words = normal_words(raw)

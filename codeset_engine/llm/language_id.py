@@ -9,7 +9,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
-from .common import utf8
+from .common import pieces, utf8
 
 DIMENSIONS = 1 << 14
 PER_LANGUAGE = 500  # labelled texts per language that the classifiers learn from, at most
@@ -103,7 +103,7 @@ _SEEN = "struct<seen:array<int>,values:array<float>>"
 
 
 def _featurize(columns: Iterator[pa.Array]) -> Iterator[pa.Array]:
-    for column in columns:
+    for column in pieces(columns):
         seen, values = zip(*(ngram_counts(t or b"") for t in utf8(column))) if len(column) else ((), ())
         yield pa.StructArray.from_arrays(
             [pa.array([s.astype(np.int32) for s in seen], pa.list_(pa.int32())),
@@ -113,7 +113,7 @@ def _featurize(columns: Iterator[pa.Array]) -> Iterator[pa.Array]:
 def _predict(shared):
     def predict(columns: Iterator[pa.Array]) -> Iterator[pa.Array]:
         model = Model(*shared.value)
-        for column in columns:
+        for column in pieces(columns):
             out: tuple[list, list, list] = ([], [], [])
             for text in utf8(column):
                 if not text or not model.languages or not has_letter(text.decode()):

@@ -15,7 +15,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from .common import Scratch, chosen_rows, utf8
+from .common import Scratch, chosen_rows, pieces, utf8
 from .verification import MIX1, MIX2, SIMILARITY, WordHashes, linked_components
 
 TABLES = 10
@@ -38,7 +38,7 @@ def _signer(tables: int):
 
     def sign(columns: Iterator[pa.Array]) -> Iterator[pa.Array]:
         hashes = WordHashes()
-        for column in columns:
+        for column in pieces(columns):
             n, d1, d2, rows = [], [], [], []
             for text in utf8(column):
                 shingles = hashes.shingles(text)

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
-from .common import utf8
+from .common import pieces, utf8
 
 LENGTH = 1024
 PART_BYTES = 8 << 20  # text of one stretch of the curve
@@ -24,7 +24,7 @@ TASKS = 100_000  # tasks that pack, at most; each takes neighbouring stretches o
 SAMPLE = 4096  # documents, at least, whose keys choose the borders of the regions
 DIMENSIONS, BITS = 3, 10
 CHUNK = 256 * LENGTH  # ids in one row at most
-CACHED = 400_000  # encoded parts that a task remembers
+CACHED = 100_000  # encoded parts that a task remembers
 
 _BREAK = re.compile(r"(?= \S)")
 SPECIAL = "<|endoftext|>"
@@ -133,7 +133,7 @@ def _directions() -> np.ndarray:
 def _keys(path: str):
     def keys(columns: Iterator[pa.Array]) -> Iterator[pa.Array]:
         tokens, directions = Tokens(path), _directions()
-        for column in columns:
+        for column in pieces(columns):
             ids = [tokens.encode((t or b"").decode()) for t in utf8(column)]
             yield pa.array(curve_keys(ids, directions) << 31, pa.int64())
     return keys
@@ -171,7 +171,7 @@ def stretch_of(key: int, borders: list[int], each: int) -> int:
 def _encode(path: str, borders: list[int], each: int):
     def encode(columns: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
         tokens, directions = Tokens(path), _directions()
-        for column, ties in columns:
+        for column, ties in pieces(columns):
             rows, encoded = [], [tokens.encode((t or b"").decode()) for t in utf8(column)]
             keys = (curve_keys(encoded, directions) << 31) + ties.to_numpy()
             for ids, key in zip(encoded, keys.tolist()):

@@ -6,13 +6,14 @@ import re
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 import brute
 from codeset_engine.llm import (chat_format, decontamination, language_id, near_dup, packing, pii, quality,
                                 sharding, toxicity, url_filters, verification)
-from codeset_engine.llm.common import Scratch
+from codeset_engine.llm.common import Scratch, pieces
 from codeset_engine.llm.components import connected_components
 
 TOKENS = public_tokenizers.path("byte_bpe_50k.json")
@@ -372,3 +373,14 @@ def test_hilbert_neighbours_touch():
         order = [p for _, p in sorted(zip(places, grid))]
         assert sorted(places) == list(range(len(grid)))
         assert all(sum(abs(a - b) for a, b in zip(p, q)) == 1 for p, q in zip(order, order[1:]))
+
+
+def test_a_batch_is_taken_in_pieces_of_bounded_size():
+    texts = pa.array(["word " * 10] * 3000 + [None, "x" * (3 << 20), ""])
+    parts = list(pieces(iter([(texts, pa.array(range(3003)))])))
+    assert all(len(text) <= 500 and (len(text) == 1 or text.nbytes <= 1 << 20) for text, _ in parts)
+    assert pa.chunked_array([text for text, _ in parts]).to_pylist() == texts.to_pylist()
+    assert [n for _, numbers in parts for n in numbers.to_pylist()] == list(range(3003))
+    assert [len(part) for part in pieces(iter([texts.slice(0, 0)]))] == [0]
+    signed = list(near_dup._signer(2)(iter([texts])))
+    assert sum(map(len, signed)) == 3003 and max(map(len, signed)) <= 500
