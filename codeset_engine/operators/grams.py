@@ -15,11 +15,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
+from ..session import cut_lineage, drop_cut
 from .ranking import top_k
 from .search import DECIMALS, KEYWORD_TOP_K, keyword_topk, needles
 
 GRAM = 3
 BLOCK_BITS = 12         # 4,096 consecutive rows are a block, which bounds what a task holds
+PART_CHARS = 4 << 20    # of the texts of a block that are numbered at once
 RAREST = 4              # lists that are intersected for a request; the texts decide about the rest
 PUSHED_GRAMS = 2000     # up to so many trigrams are looked for by a filter of the scan
 
@@ -49,28 +51,71 @@ def unpack_rows(packed: bytes) -> np.ndarray:
     return np.cumsum(values) - 1
 
 
-def _postings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(gram, block, n, rows) of texts (rid, text) whose rows come in order; one block is held."""
-    block, held = None, {}
+def _packed(rows: np.ndarray, starts: np.ndarray) -> pa.Array:
+    """``pack_rows`` of many ascending lists, which begin at ``starts``."""
+    gaps = np.diff(rows, prepend=-1)
+    gaps[starts] = rows[starts] + 1
+    sizes = np.where(gaps < 255, 1, 3)
+    ends = np.cumsum(sizes)
+    out = np.empty(ends[-1], np.uint8)
+    out[ends - sizes] = np.minimum(gaps, 255)
+    wide = gaps >= 255
+    out[ends[wide] - 2], out[ends[wide] - 1] = gaps[wide] & 255, gaps[wide] >> 8
+    offsets = np.append((ends - sizes)[starts], ends[-1]).astype(np.int32)
+    return pa.Array.from_buffers(pa.binary(), len(starts), [None, pa.py_buffer(offsets), pa.py_buffer(out)])
+
+
+def _block_postings(block: int, rows: list[int], texts: list[str]) -> Iterator[pa.RecordBatch]:
+    """(gram, block, n, rows) of some texts of a block, by sorting numbers of gram and row."""
+    codes = np.frombuffer("".join(texts).encode("utf-32-le"), np.uint32)
+    present = np.zeros(0x110000, bool)
+    present[codes] = True
+    chars = np.flatnonzero(present)
+    n = len(chars)
+    if n ** 3 << BLOCK_BITS >= 1 << 63 and len(rows) > 1:    # too many characters for one number
+        half = len(rows) // 2
+        yield from _block_postings(block, rows[:half], texts[:half])
+        yield from _block_postings(block, rows[half:], texts[half:])
+        return
+    if len(codes) < GRAM:
+        return
+    ranks = (np.cumsum(present, dtype=np.int32) - 1)[codes]
+    owner = np.repeat(np.arange(len(texts), dtype=np.int32), [len(t) for t in texts])
+    keys = ranks[:-2] * np.int64(n)
+    keys += ranks[1:-1]
+    keys *= n
+    keys += ranks[2:]
+    keys *= len(rows)
+    keys += owner[:-2]
+    keys = np.unique(keys[owner[:-2] == owner[2:]])
+    if not len(keys):
+        return
+    keys, at = np.divmod(keys, len(rows))
+    starts = np.flatnonzero(np.diff(keys, prepend=-1))
+    found = keys[starts]
+    letters = chars[np.stack([found // n // n, found // n % n, found % n], axis=1)].astype("<u4").tobytes().decode("utf-32-le")
+    yield pa.RecordBatch.from_arrays([
+        pa.array([letters[i:i + GRAM] for i in range(0, len(letters), GRAM)], pa.string()),
+        pa.array(np.full(len(starts), block), pa.int64()),
+        pa.array(np.diff(np.append(starts, len(keys))), pa.int32()), _packed(np.array(rows, np.int64)[at], starts)],
+        ["gram", "block", "n", "rows"])
 
-    def done() -> pa.RecordBatch:
-        rows = [np.array(r, np.int64) for r in held.values()]
-        return pa.RecordBatch.from_arrays([
-            pa.array(list(held), pa.string()), pa.array([block] * len(rows), pa.int64()),
-            pa.array([len(r) for r in rows], pa.int32()), pa.array([pack_rows(r) for r in rows], pa.binary())],
-            ["gram", "block", "n", "rows"])
 
+def _postings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(gram, block, n, rows) of texts (rid, text) whose rows come in order; at most a block and
+    ``PART_CHARS`` characters are held, a block of more gives several lists of a trigram."""
+    block, rows, texts, held = None, [], [], 0
     for batch in batches:
         for rid, text in zip(batch["rid"].to_pylist(), batch["text"].to_pylist()):
-            if rid >> BLOCK_BITS != block:
-                if held:
-                    yield done()
-                block, held = rid >> BLOCK_BITS, {}
-            row = rid & (1 << BLOCK_BITS) - 1
-            for gram in text_grams(text.lower()):
-                held.setdefault(gram, []).append(row)
-    if held:
-        yield done()
+            if rid >> BLOCK_BITS != block or held + len(text) > PART_CHARS:
+                if rows:
+                    yield from _block_postings(block, rows, texts)
+                block, rows, texts, held = rid >> BLOCK_BITS, [], [], 0
+            rows.append(rid & (1 << BLOCK_BITS) - 1)
+            texts.append(text.lower())
+            held += len(text)
+    if rows:
+        yield from _block_postings(block, rows, texts)
 
 
 def build_grams(corpus: DataFrame, path: str, *, id_col: str, text_col: str, append: bool = False) -> None:
@@ -92,8 +137,10 @@ def build_grams(corpus: DataFrame, path: str, *, id_col: str, text_col: str, app
     # rows of a block are neighbours in one file; a file that is read in several splits, or with
     # others, gives a few more lists of the same block, which a search joins
     postings = stored.select("rid", "text").mapInArrow(_postings, "gram string, block long, n int, rows binary")
+    postings = cut_lineage(postings, "postings")    # finding the ranges would otherwise make them twice
     (postings.repartitionByRange("gram", "block").sortWithinPartitions("gram", "block")
      .write.mode(mode).parquet(f"{path}/postings/{folder}"))
+    drop_cut(postings)
 
 
 def _lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

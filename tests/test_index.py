@@ -230,3 +230,40 @@ def test_packed_rows_round_trip():
         rows = np.sort(rng.choice(4096, n, replace=False)).astype(np.int64)
         assert (grams.unpack_rows(grams.pack_rows(rows)) == rows).all()
     assert (grams.unpack_rows(grams.pack_rows(np.array([254, 509, 4095]))) == [254, 509, 4095]).all()
+
+
+def test_postings_are_made_once_for_the_index(spark, tmp_path):
+    calls = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for batch in batches:
+            calls.add(batch.num_rows)
+            yield from grams._block_postings(0, list(range(batch.num_rows)), batch["text"].to_pylist())
+    original, grams._postings = grams._postings, counted
+    try:
+        rows = spark.createDataFrame([(i, f"some text {i}") for i in range(3000)], "id long, text string")
+        grams.build_grams(rows, str(tmp_path / "index"), id_col="id", text_col="text")
+    finally:
+        grams._postings = original
+    assert calls.value == 3000
+
+
+def test_postings_of_a_block_equal_those_by_text(monkeypatch):
+    rng = np.random.default_rng(6)
+    texts = ["", "ab", "abc", "\0\0\0", "\U0001F600xy\U0001F600xy", "aaaa"] + [
+        "".join(rng.choice(list("abcdé \U0001F600"), rng.integers(0, 60))) for _ in range(5000)]
+    rows = [(1 << 40) + i for i in range(len(texts))]
+    want = {}
+    for rid, text in zip(rows, texts):
+        for gram in grams.text_grams(text):
+            want.setdefault((gram, rid >> grams.BLOCK_BITS), []).append(rid & (1 << grams.BLOCK_BITS) - 1)
+    batch = pa.RecordBatch.from_arrays([pa.array(rows), pa.array(texts)], ["rid", "text"])
+    for part in (1 << 23, 3000):
+        monkeypatch.setattr(grams, "PART_CHARS", part)
+        got = {}
+        for found in grams._postings(iter([batch])):
+            for row in found.to_pylist():
+                unpacked = grams.unpack_rows(row["rows"]).tolist()
+                assert len(unpacked) == row["n"] and grams.pack_rows(np.array(unpacked)) == row["rows"]
+                got.setdefault((row["gram"], row["block"]), []).extend(unpacked)
+        assert got == want
