@@ -62,7 +62,7 @@ def exported_codes(spark, sf_dir):
         path = new_folder(spark, f"export-{name}")
         tables.export_rows(codes, path, name)
         if name == "xlsx":
-            cells = code_files.read_decoded(spark, f"{path}/*.xlsx", spreadsheets.first_sheet).where("row_no > 0")
+            cells = code_files.read_decoded(spark, f"{path}/*.xlsx", spreadsheets.first_sheet_rows).where("row_no > 0")
             rows = cells.select(*[F.get("cells", i).cast(f.dataType).alias(f.name) for i, f in enumerate(codes.schema)])
         else:
             reader = spark.read.schema(codes.schema).format(name)

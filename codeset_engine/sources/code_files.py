@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+import itertools
+from collections.abc import Callable, Iterable, Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
@@ -14,7 +15,8 @@ from ..operators.ranking import top_k
 LINE_ORDER = ("file", "block_start", "line_id")
 
 
-Decoder = Callable[[bytes], list]
+Decoder = Callable[[bytes], Iterable[list]]
+DECODED_ROWS = 10_000    # of a spreadsheet that a task holds at once
 
 
 def line_order() -> list:
@@ -64,17 +66,20 @@ def read_delimited(spark: SparkSession, *paths: str, sep: str = ",") -> DataFram
 def read_decoded(spark: SparkSession, path: str, decoder: Decoder) -> DataFrame:
     """(file, block_start, line_id, row_no, cells) of a spreadsheet, by an injected decoder.
 
-    The decoder takes the bytes of a file and returns its rows as lists of cell texts. A file is
-    decoded by one task.
+    The decoder takes the bytes of a file and gives its rows as lists of cell texts, at once or one
+    by one. A file is decoded by one task, which passes on ``DECODED_ROWS`` at a time.
     """
     files = spark.read.format("binaryFile").load(path).select("path", "content")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for name, content in zip(batch["path"], batch["content"]):
-                rows = [[None if cell is None else str(cell) for cell in row] for row in decoder(bytes(content))]
-                yield pd.DataFrame({"file": name, "block_start": 0, "line_id": range(len(rows)),
-                                    "row_no": range(len(rows)), "cells": rows})
+                decoded, start = iter(decoder(bytes(content))), 0
+                while part := list(itertools.islice(decoded, DECODED_ROWS)):
+                    numbers = range(start, start + len(part))
+                    rows = [[None if cell is None else str(cell) for cell in row] for row in part]
+                    yield pd.DataFrame({"file": name, "block_start": 0, "line_id": numbers, "row_no": numbers, "cells": rows})
+                    start += len(part)
 
     return files.mapInPandas(run, "file string, block_start long, line_id long, row_no int, cells array<string>")
 

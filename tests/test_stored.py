@@ -1,7 +1,9 @@
 """Archives as a data source, stored answers of paid calls, intervals and year patterns."""
 
 import os
+import io
 import random
+import tracemalloc
 import zipfile
 
 import pytest
@@ -283,3 +285,18 @@ def test_a_code_spreadsheet_is_normalised(spark, tmp_path):
     found = jobs.parse_code_file(spark, str(folder / "codes.xlsx"), "cpt", spreadsheets.DECODERS)
     assert sorted((r.code, r.description, r.code_type) for r in found.collect()) == [
         ("99213", "visit", "cpt"), ("A1234", "item", "hcpcs")]
+
+
+def test_rows_of_a_large_sheet_are_read_one_by_one(spark, tmp_path):
+    book = io.BytesIO()
+    spreadsheets.write_workbook(book, ["n", "text"], ([i, f"row number {i} of many"] for i in range(40_000)))
+    content = book.getvalue()
+    tracemalloc.start()
+    numbers = [int(row[0]) for row in spreadsheets.first_sheet_rows(content) if row[0] != "n"]
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert numbers == list(range(40_000)) and peak < 6e6
+    (tmp_path / "book.xlsx").write_bytes(content)
+    read = code_files.read_decoded(spark, f"{tmp_path}/*.xlsx", spreadsheets.first_sheet_rows)
+    assert [tuple(r) for r in read.selectExpr("row_no", "line_id", "cells[0]").orderBy("row_no").collect()[1:]] \
+        == [(i + 1, i + 1, str(i)) for i in range(40_000)]
