@@ -4,9 +4,7 @@ from __future__ import annotations
 
 import base64
 import re
-import sys
 import zlib
-from array import array
 from bisect import bisect_right
 from collections.abc import Iterator
 
@@ -24,18 +22,14 @@ TASKS = 100_000  # tasks that pack, at most; each takes neighbouring stretches o
 SAMPLE = 4096  # documents, at least, whose keys choose the borders of the regions
 DIMENSIONS, BITS = 3, 10
 CHUNK = 256 * LENGTH  # ids in one row at most
-CACHED = 100_000  # encoded parts that a task remembers
+LONG = 100_000  # characters of white space without a break
 
-_BREAK = re.compile(r"(?= \S)")
 SPECIAL = "<|endoftext|>"
+_SPACE = re.compile(r"\s{%d}" % LONG)
 
 
 class Tokens:
-    """Byte-level BPE ids of whole texts as little-endian 16-bit numbers.
-
-    A space before a character other than white space always begins a new piece of this
-    tokenizer, so the parts between such places are encoded one by one and remembered.
-    """
+    """Byte-level BPE ids of whole texts as little-endian 16-bit numbers."""
 
     def __init__(self, path: str):
         import public_tokenizers
@@ -46,46 +40,17 @@ class Tokens:
         self.path, self.whole = path, None
         self.encoder = tiktoken.Encoding("ids", pat_str=public_tokenizers.PATTERN,
                                          mergeable_ranks=table, special_tokens={})
-        self.after_space = _Parts(self.encoder, " ")
 
     def encode(self, text: str) -> bytes:
-        if SPECIAL in text:  # the tokenizer file gives this string an id of its own
+        # the tokenizer file gives this string an id of its own; long white space overflows the other's stack
+        if SPECIAL in text or len(text) > LONG and _SPACE.search(text):
             if self.whole is None:
                 from tokenizers import Tokenizer
                 self.whole = Tokenizer.from_file(self.path)
             ids = self.whole.encode(text, add_special_tokens=False).ids
-            return np.array(ids, "<u2").tobytes()
-        first, *parts = text.split(" ")
-        try:
-            return _bytes(self.encoder, first) + b"".join(map(self.after_space.__getitem__, parts))
-        except _MoreSpace:
-            first, *parts = _BREAK.split(text)
-            return _bytes(self.encoder, first) + b"".join(self.after_space[p[1:]] for p in parts)
-
-
-def _bytes(encoder, text: str) -> bytes:
-    ids = array("H", encoder.encode_ordinary(text))
-    if sys.byteorder == "big":
-        ids.byteswap()
-    return ids.tobytes()
-
-
-class _MoreSpace(Exception):
-    """White space follows a space, so that the space begins no piece."""
-
-
-class _Parts(dict):
-    def __init__(self, encoder, before: str):
-        super().__init__()
-        self.encoder, self.before = encoder, before
-
-    def __missing__(self, part: str) -> bytes:
-        if not part or part[0].isspace():
-            raise _MoreSpace
-        ids = _bytes(self.encoder, self.before + part)
-        if len(self) < CACHED and len(part) < 64:
-            self[part] = ids
-        return ids
+        else:
+            ids = self.encoder.encode_ordinary(text)
+        return np.array(ids, "<u2").tobytes()
 
 
 def hilbert_index(points: np.ndarray, bits: int) -> np.ndarray:

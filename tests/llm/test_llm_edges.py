@@ -3,6 +3,7 @@
 import itertools
 import random
 import re
+import time
 
 import numpy as np
 import public_tokenizers
@@ -366,6 +367,26 @@ def test_tokens_equal_the_tokenizer():
         assert np.frombuffer(own.encode(text), "<u2").tolist() == tokenizer.encode(text, add_special_tokens=False).ids, repr(text)
 
 
+def test_long_white_space_is_encoded():
+    from tokenizers import Tokenizer
+    text = "a" + " " * 3_000_000 + "b"
+    assert np.frombuffer(packing.Tokens(TOKENS).encode(text), "<u2").tolist() == Tokenizer.from_file(TOKENS).encode(
+        text, add_special_tokens=False).ids
+
+
+def test_words_that_never_repeat_cost_what_the_encoder_takes():
+    own = packing.Tokens(TOKENS)
+    texts = [" ".join(f"x{i * 1000 + j:b}"[:12] + f"{i * j}" for j in range(1000)) for i in range(300)]
+
+    def seconds(encode):
+        started = time.process_time()
+        for text in texts:
+            encode(text)
+        return time.process_time() - started
+    seconds(own.encode)
+    assert min(seconds(own.encode) for _ in range(3)) < 1.5 * min(seconds(own.encoder.encode_ordinary) for _ in range(3))
+
+
 def test_hilbert_neighbours_touch():
     for n, bits in ((2, 3), (3, 2)):
         grid = list(itertools.product(range(1 << bits), repeat=n))
