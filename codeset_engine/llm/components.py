@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Observation, functions as F
 
 from .common import Scratch
 
@@ -16,31 +16,33 @@ def connected_components(links: DataFrame, scratch: Scratch) -> DataFrame:
     the shared folder, so lineage stays short. Self links and repeated links change nothing; no
     links give no rows.
     """
-    edges = scratch.save(
+    edges, state = _saved(
         links.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-        .distinct(), "edges")
-    state = _fingerprint(edges)
+        .distinct(), scratch)
     while state[0]:
         # large star: every larger neighbour of a node is linked to the node's smallest neighbour
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.min("b").alias("m"))
-        large = (both.join(least, "a").where("b > a")
-                 .select(F.col("b").alias("a"), F.least("m", "a").alias("b")).distinct())
-        large = scratch.save(large, "large")
+        large = scratch.save(both.join(least, "a").where("b > a")
+                             .select(F.col("b").alias("a"), F.least("m", "a").alias("b")), "large")
         # small star: the smaller neighbours of a node, and itself, are linked to the smallest
         least = large.groupBy("a").agg(F.min("b").alias("m"))
         linked = large.join(least, "a")
         small = (linked.where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
                  .unionByName(least.select("a", F.col("m").alias("b"))).distinct())
-        small = scratch.save(small, "small")
+        before = state
+        small, state = _saved(small, scratch)
         scratch.drop(edges, large)
-        edges, before, state = small, state, _fingerprint(small)
+        edges = small
         if before == state:
             break
     roots = edges.select("b").distinct().select(F.col("b").alias("node"), F.col("b").alias("root"))
     return edges.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(roots)
 
 
-def _fingerprint(edges: DataFrame) -> tuple:
-    h = F.xxhash64("a", "b")
-    return tuple(edges.agg(F.count("*"), F.bit_xor(h), F.sum(h.cast("decimal(38,0)"))).first())
+def _saved(edges: DataFrame, scratch: Scratch) -> tuple[DataFrame, tuple]:
+    """The written edges and their fingerprint, which is taken while they are written."""
+    h, seen = F.xxhash64("a", "b"), Observation()
+    saved = scratch.save(edges.observe(seen, F.count("*").alias("n"), F.bit_xor(h).alias("x"),
+                                       F.sum(h.cast("decimal(38,0)")).alias("s")), "edges")
+    return saved, (seen.get["n"], seen.get["x"], seen.get["s"])

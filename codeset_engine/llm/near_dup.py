@@ -115,9 +115,9 @@ def _signed(documents: DataFrame, id_col: str, text_col: str, tables: int, scrat
 
 def _grouped(signed: DataFrame, tables: int, scratch: Scratch) -> DataFrame:
     """(rid, id, n, group, component_id) of every signed row."""
-    classes = (signed.where("n > 0").groupBy("d1", "d2")
-               .agg(F.min("rid").alias("c"), F.min("id").alias("least_id")))
-    live = scratch.save(_live_keys(signed, classes, tables), "live")
+    classes = scratch.save(signed.where("n > 0").groupBy("d1", "d2")
+                           .agg(F.min("rid").alias("c"), F.min("id").alias("least_id")), "classes")
+    live = _live_keys(signed, classes, tables, scratch)
     texts = scratch.save(chosen_rows(signed.select("rid", "text", "n"), live.select(F.col("c").alias("rid")), scratch)
                          .select(F.col("rid").alias("c"), F.col("text").cast("string").alias("text"), "n"), "texts")
     degree = live.groupBy("c").agg(F.sum("members").alias("degree"))
@@ -126,7 +126,6 @@ def _grouped(signed: DataFrame, tables: int, scratch: Scratch) -> DataFrame:
             .select("key", F.negative("top.c").alias("hub"), F.col("top.degree").alias("degree")))
     members = scratch.save(live.join(hubs, "key").select("key", "c", "hub", "degree"), "members")
     roots = linked_components(members, texts, SIMILARITY, scratch)
-    classes = scratch.save(classes, "classes")
     named = roots.join(classes.select(F.col("c").alias("node"), "least_id"), "node")
     least = named.groupBy("root").agg(F.min("least_id").alias("component"))
     components = scratch.save(
@@ -141,15 +140,17 @@ def _grouped(signed: DataFrame, tables: int, scratch: Scratch) -> DataFrame:
     return result
 
 
-def _live_keys(signed: DataFrame, classes: DataFrame, tables: int) -> DataFrame:
-    """(key, c, members) of all table keys that two or more classes have."""
-    reps = signed.select(F.col("rid").alias("c"), "h").join(classes.select("c"), "c")
+def _live_keys(signed: DataFrame, classes: DataFrame, tables: int, scratch: Scratch) -> DataFrame:
+    """(key, c, members) of all table keys that two or more classes have, as a table."""
+    reps = scratch.save(signed.select(F.col("rid").alias("c"), "h").join(classes.select("c"), "c"), "reps")
     entries = reps.select("c", F.posexplode("h").alias("at", "value"))
     shared = entries.groupBy("at", "value").count().where("count > 1").select("at", "value")
-    mine = (entries.join(shared, ["at", "value"]).groupBy("c")
-            .agg(F.collect_list(F.struct("at", "value")).alias("e")))  # at most 2 * tables
+    mine = scratch.save(entries.join(shared, ["at", "value"]).groupBy("c")
+                        .agg(F.collect_list(F.struct("at", "value")).alias("e")), "mine")  # at most 2 * tables
     keys = (mine.select("c", "e", F.explode("e").alias("x")).where(F.col("x.at") < tables)
             .select("c", "x", F.explode("e").alias("y")).where(F.col("y.at") >= tables)
             .select("c", F.xxhash64("x.at", "x.value", "y.at", "y.value").alias("key")))
     counts = keys.groupBy("key").agg(F.count("*").alias("members")).where("members > 1")
-    return keys.join(counts, "key")
+    live = scratch.save(keys.join(counts, "key"), "live")
+    scratch.drop(reps, mine)
+    return live

@@ -74,13 +74,12 @@ def linked_components(members: DataFrame, texts: DataFrame, percent: int, scratc
     ``texts`` (c, text, n) are the texts of all members and the sizes of their sets. Both are
     tables that can be read again.
     """
-    stars = members.where("c <> hub").select("hub", "c").distinct()
+    stars = scratch.save(members.where("c <> hub").select("hub", "c").distinct(), "stars")
     links = scratch.save(_verified_stars(stars, texts, percent), "links")
     labels = scratch.save(connected_components(links, scratch), "labels")
-    rest = scratch.save(_verified_blocks(members, labels, texts, percent), "rest")
-    scratch.drop(links)
-    if rest.isEmpty():
-        scratch.drop(rest)
+    scratch.drop(stars, links)
+    rest = _verified_blocks(members, labels, texts, percent, scratch)
+    if rest is None:
         return labels
     edges = labels.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(rest)
     roots = scratch.save(connected_components(edges, scratch), "roots")
@@ -116,40 +115,46 @@ def _verified_stars(stars: DataFrame, texts: DataFrame, percent: int) -> DataFra
             .mapInArrow(verify, "a bigint, b bigint"))
 
 
-def _verified_blocks(members: DataFrame, labels: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
-    """Links between different components of one bucket that the stars did not find.
+def _verified_blocks(members: DataFrame, labels: DataFrame, texts: DataFrame, percent: int,
+                     scratch: Scratch) -> DataFrame | None:
+    """Links between different components of one bucket that the stars did not find, None if there are none.
 
     Members of a mixed bucket are put into blocks of bounded size, near their hub and by size of
     set; blocks meet where a bucket has an outsider in one and a member in the other. All pairs of
-    two blocks are compared inside a task, and only links that join components leave it.
+    two blocks are compared inside a task, and only links that join components leave it. Steps that
+    are read again are tables: one plan of them all would cost the driver several times as much.
     """
-    labelled = (members.join(labels.withColumnRenamed("node", "c"), "c", "left")
-                .select("key", "c", "hub", F.coalesce("root", "c").alias("label")))
+    labelled = scratch.save(members.join(labels.withColumnRenamed("node", "c"), "c", "left")
+                            .select("key", "c", "hub", F.coalesce("root", "c").alias("label")), "labelled")
     counts = labelled.groupBy("key", "label").count()
     mixed = (counts.groupBy("key").agg(F.max(F.struct("count", "label")).alias("top"),
                                        F.count("*").alias("n"))
              .where("n > 1").select("key", F.col("top.label").alias("main")))
-    rows = labelled.join(mixed, "key")
+    rows = scratch.save(labelled.join(mixed, "key"), "mixed")
+    scratch.drop(labelled)
+    if rows.isEmpty():
+        scratch.drop(rows)
+        return None
     # near its hub with most neighbours, or near the hub of that one
     first = (members.groupBy("c").agg(F.max(F.struct("degree", F.negative("hub").alias("hub"))).alias("top"))
              .select("c", F.negative("top.hub").alias("hub")))
     second = first.select(F.col("c").alias("hub"), F.col("hub").alias("home"))
-    home = (rows.select("c", "label").distinct().join(first, "c").join(second, "hub")
-            .join(texts.select("c", "n"), "c")
-            .select("c", "label", "home", F.floor(F.log2("n")).cast("int").alias("size")))
+    home = scratch.save(rows.select("c", "label").distinct().join(first, "c").join(second, "hub")
+                        .join(texts.select("c", "n"), "c")
+                        .select("c", "label", "home", F.floor(F.log2("n")).cast("int").alias("size")), "home")
     room = F.greatest(F.lit(1), F.least(F.lit(BLOCK_ROWS),
                                         F.floor(F.lit(BLOCK_SHINGLES) / F.pow(2.0, "size"))))
     blocks = (home.groupBy("home", "size").count()
               .select("home", "size", F.ceil(F.col("count") / room).alias("blocks")))
-    placed = home.join(blocks, ["home", "size"]).select(
+    placed = scratch.save(home.join(blocks, ["home", "size"]).select(
         "c", "label", "size",
-        F.xxhash64("home", "size", F.pmod(F.xxhash64("c"), "blocks")).alias("block"))
+        F.xxhash64("home", "size", F.pmod(F.xxhash64("c"), "blocks")).alias("block")), "placed")
     seen = rows.join(placed.select("c", "block", "size"), "c")
     outside = seen.where("label <> main").select("key", F.col("block").alias("x"),
                                                  F.col("size").alias("x_size")).distinct()
     inside = seen.select("key", F.col("block").alias("y"), F.col("size").alias("y_size")).distinct()
-    meets = (outside.join(inside, "key").where("abs(x_size - y_size) <= 1")
-             .select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct())
+    meets = scratch.save(outside.join(inside, "key").where("abs(x_size - y_size) <= 1")
+                         .select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct(), "meets")
     sides = meets.select("x", "y", F.explode(F.array_distinct(F.array("x", "y"))).alias("block"))
     work = (sides.join(placed.select("c", "label", "block"), "block").join(texts, "c")
             .select("x", "y", "c", "label", "text"))
@@ -160,8 +165,13 @@ def _verified_blocks(members: DataFrame, labels: DataFrame, texts: DataFrame, pe
             sets = [hashes.shingles(text) for text in utf8(group["text"])]
             yield _pairs(joining_links(sets, group["label"].to_pylist(), percent=percent))
 
-    return (work.repartition("x", "y").sortWithinPartitions("x", "y")
-            .mapInArrow(compare, "a bigint, b bigint"))
+    rest = scratch.save(work.repartition("x", "y").sortWithinPartitions("x", "y")
+                        .mapInArrow(compare, "a bigint, b bigint"), "rest")
+    scratch.drop(rows, home, placed, meets)
+    if rest.isEmpty():
+        scratch.drop(rest)
+        return None
+    return rest
 
 
 def _pairs(found: list[tuple[int, int]]) -> pa.RecordBatch:

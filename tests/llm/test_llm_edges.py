@@ -405,3 +405,16 @@ def test_a_batch_is_taken_in_pieces_of_bounded_size():
     assert [len(part) for part in pieces(iter([texts.slice(0, 0)]))] == [0]
     signed = list(near_dup._signer(2)(iter([texts])))
     assert sum(map(len, signed)) == 3003 and max(map(len, signed)) <= 500
+
+
+def test_no_plan_of_the_near_duplicate_step_has_many_exchanges(spark, monkeypatch):
+    shuffles, save = [], Scratch.save
+
+    def counted(self, df, *args, **kwargs):
+        plan = df._jdf.queryExecution().sparkPlan().toString()
+        shuffles.append(len(re.findall(r"SortMergeJoin|ShuffledHashJoin|BroadcastHashJoin|HashAggregate|SortAggregate", plan)))
+        return save(self, df, *args, **kwargs)
+    monkeypatch.setattr(Scratch, "save", counted)
+    docs = spark.createDataFrame([(i, " ".join(f"w{j}" for j in range(i % 3, 40))) for i in range(9)], "doc_id long, text string")
+    assert {r.component_id for r in near_dup.near_duplicates(docs).collect()} == {0}
+    assert len(shuffles) > 10 and max(shuffles) <= 16, shuffles
