@@ -1,12 +1,13 @@
 """Paid calls, once per distinct input: results are stored under the digest of what was asked.
 
-Rows that ask the same collapse before the call, stored answers join back, and only successes are
-stored. New inputs are called in waves, each appended to the store when it is done, so a run that
-breaks off repeats at most one wave.
+Rows that ask the same collapse before the call, stored answers join back, and failures are asked
+again: the store keeps their errors, by run, but they are no answers. New inputs are called in waves,
+each appended to the store by one job when it is done, so a run that breaks off repeats at most one wave.
 """
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 import numpy as np
@@ -26,12 +27,16 @@ def ask_digest(model: str, asked: Column) -> Column:
     return F.sha2(F.to_json(F.struct(F.lit(model).alias("model"), asked.alias("asked"))), 256)
 
 
+def _stored(spark: SparkSession, path: str, answer: T.DataType) -> DataFrame:
+    schema = T.StructType([T.StructField("key", T.StringType()), T.StructField("answer", answer),
+                           T.StructField("call_error", T.StringType()), T.StructField("run", T.StringType())])
+    return spark.read.schema(schema).parquet(path) if exists(spark, path) else spark.createDataFrame([], schema)
+
+
 def read_answers(spark: SparkSession, path: str, answer: T.DataType) -> DataFrame:
     """(key, answer) of the store; two runs at once may both have stored a key, one of them counts."""
-    schema = T.StructType([T.StructField("key", T.StringType()), T.StructField("answer", answer)])
-    if not exists(spark, path):
-        return spark.createDataFrame([], schema)
-    return spark.read.schema(schema).parquet(path).dropDuplicates(["key"])
+    return (_stored(spark, path, answer).where("call_error IS NULL").select("key", "answer")
+            .dropDuplicates(["key"]))
 
 
 def answer_once(df: DataFrame, asked: str, model_name: str, path: str, answer: T.DataType,
@@ -46,20 +51,22 @@ def answer_once(df: DataFrame, asked: str, model_name: str, path: str, answer: T
     known = read_answers(spark, path, answer)
     new = cut_lineage(keyed.where(F.col("__key").isNotNull()).groupBy(F.col("__key").alias("key"))
                       .agg(F.first(asked).alias("asked")).join(known.select("key"), "key", "left_anti"), "to-ask")
-    waves = -(-new.count() // wave)
-    failures = None
-    for number in range(waves):
-        part = new.where(F.pmod(F.xxhash64("key"), F.lit(waves)) == number)
-        done = cut_lineage(call(part).select("key", F.col("answer").cast(answer).alias("answer"), "call_error"), "answers")
-        done.where("call_error IS NULL").select("key", "answer").write.mode("append").parquet(path)
-        failed = done.where("call_error IS NOT NULL").select("key", "call_error")
-        failures = failed if failures is None else failures.unionByName(failed)
+    waves, run = -(-new.count() // wave), uuid.uuid4().hex
+    if waves:
+        # a folder for each wave, so that a wave reads its own inputs only, in files for several tasks
+        number, tasks = F.pmod(F.xxhash64("key"), F.lit(waves)), spark.sparkContext.defaultParallelism
+        deal = F.pmod(F.crc32("key"), F.lit(tasks))
+        by_wave = cut_lineage(new.select("key", "asked", number.alias("wave")).repartition(tasks, deal), "waves", "wave")
+        for n in range(waves):
+            called = call(by_wave.where(F.col("wave") == n).drop("wave"))
+            (called.select("key", F.col("answer").cast(answer).alias("answer"), "call_error", F.lit(run).alias("run"))
+             .write.mode("append").parquet(path))
+        drop_cut(by_wave)
     drop_cut(new)
     answers = read_answers(spark, path, answer).withColumnRenamed("key", "__key")
-    if failures is None:
-        failures = spark.createDataFrame([], "key string, call_error string")
-    return (keyed.join(answers, "__key", "left")
-            .join(failures.withColumnRenamed("key", "__key"), "__key", "left").drop("__key"))
+    failures = (_stored(spark, path, answer).where((F.col("run") == run) & F.col("call_error").isNotNull())
+                .select(F.col("key").alias("__key"), "call_error"))
+    return keyed.join(answers, "__key", "left").join(failures, "__key", "left").drop("__key")
 
 
 def call_model_once(df: DataFrame, model: Callable[[list[dict[str, str]]], dict], messages: str, path: str,

@@ -57,7 +57,7 @@ def _local_root() -> str:
 _CUTS: dict[int, str] = {}   # where the tables lie
 
 
-def cut_lineage(df: DataFrame, label: str) -> DataFrame:
+def cut_lineage(df: DataFrame, label: str, *partition_by: str) -> DataFrame:
     """Write ``df`` once as a table in the checkpoint folder and read it back.
 
     Used after expensive or paid steps (embedding, model calls) so that a lost
@@ -65,7 +65,7 @@ def cut_lineage(df: DataFrame, label: str) -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{checkpoint_root(spark)}/{label}-{uuid.uuid4().hex}"
-    df.write.mode("errorifexists").parquet(path)
+    df.write.mode("errorifexists").partitionBy(*partition_by).parquet(path)
     cut = spark.read.schema(df.schema).parquet(path)
     _CUTS[id(cut)] = path
     return cut

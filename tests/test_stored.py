@@ -130,6 +130,23 @@ def test_a_broken_run_repeats_no_finished_wave(spark, tmp_path):
     assert sorted(set(words) - stored) == calls(tmp_path / "second")
 
 
+def test_a_wave_reads_its_own_inputs_only(spark, tmp_path):
+    read = []
+
+    def call(part):
+        read.append({r[0] for r in part.select(F.input_file_name()).distinct().collect()})
+        return part.withColumn("answer", F.upper("asked")).withColumn(
+            "call_error", F.when(F.col("asked").endswith("7"), "refused")).withColumn(
+            "answer", F.when(F.col("call_error").isNull(), F.col("answer")))
+    df, store = spark.createDataFrame([(i, f"w{i}") for i in range(60)], "id int, q string"), str(tmp_path / "store")
+    got = {r.id: r for r in memo.answer_once(df, "q", "m", store, T.StringType(), call, wave=9).collect()}
+    assert len(read) == 7 and sum(map(len, read)) == len(set().union(*read))
+    assert all((r.answer, r.call_error) == ((None, "refused") if i % 10 == 7 else (f"W{i}", None)) for i, r in got.items())
+    read.clear()
+    again = {r.id: r for r in memo.answer_once(df, "q", "m", store, T.StringType(), call, wave=9).collect()}
+    assert len(read) == 1 and again == got     # only what had failed
+
+
 def _call_type():
     from codeset_engine import schemas
     return schemas.MODEL_CALL
