@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..session import checkpoint_root
 
+PART_ROWS = 1 << 16    # of a few numbers each, that are worth a task and a file of their own
 PIECE_ROWS, PIECE_BYTES = 500, 1 << 20    # of a batch, that a function turns into Python objects at once
 ASCII_LOWER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
 
@@ -23,7 +24,12 @@ class Scratch:
         self.paths: dict[int, str] = {}
 
     def save(self, df: DataFrame, name: str, compression: str = "zstd",
-             partition_by: tuple[str, ...] = ()) -> DataFrame:
+             partition_by: tuple[str, ...] = (), rows: int | None = None) -> DataFrame:
+        """Write ``df`` and read it back. ``rows``: how many the last stage reads at most, where that is known and
+        they are short; it then has no more tasks, and the table no more files, than so many rows are worth.
+        """
+        if rows is not None:
+            df = df.coalesce(max(1, -(-rows // PART_ROWS)))
         path = f"{self.root}/{name}-{uuid.uuid4().hex[:8]}"
         df.write.option("compression", compression).partitionBy(*partition_by).parquet(path)
         saved = self.spark.read.schema(df.schema).parquet(path)

@@ -115,8 +115,9 @@ def _signed(documents: DataFrame, id_col: str, text_col: str, tables: int, scrat
 
 def _grouped(signed: DataFrame, tables: int, scratch: Scratch) -> DataFrame:
     """(rid, id, n, group, component_id) of every signed row."""
+    n_rows = signed.count()
     classes = scratch.save(signed.where("n > 0").groupBy("d1", "d2")
-                           .agg(F.min("rid").alias("c"), F.min("id").alias("least_id")), "classes")
+                           .agg(F.min("rid").alias("c"), F.min("id").alias("least_id")), "classes", rows=n_rows)
     live = _live_keys(signed, classes, tables, scratch)
     texts = scratch.save(chosen_rows(signed.select("rid", "text", "n"), live.select(F.col("c").alias("rid")), scratch)
                          .select(F.col("rid").alias("c"), F.col("text").cast("string").alias("text"), "n"), "texts")
@@ -124,18 +125,18 @@ def _grouped(signed: DataFrame, tables: int, scratch: Scratch) -> DataFrame:
     hubs = (live.join(degree, "c").groupBy("key")
             .agg(F.max(F.struct("degree", F.negative("c").alias("c"))).alias("top"))
             .select("key", F.negative("top.c").alias("hub"), F.col("top.degree").alias("degree")))
-    members = scratch.save(live.join(hubs, "key").select("key", "c", "hub", "degree"), "members")
+    members = scratch.save(live.join(hubs, "key").select("key", "c", "hub", "degree"), "members", rows=live.count())
     roots = linked_components(members, texts, SIMILARITY, scratch)
     named = roots.join(classes.select(F.col("c").alias("node"), "least_id"), "node")
     least = named.groupBy("root").agg(F.min("least_id").alias("component"))
     components = scratch.save(
-        named.join(least, "root").select(F.col("node").alias("c"), "root", "component"), "components")
+        named.join(least, "root").select(F.col("node").alias("c"), "root", "component"), "components", rows=n_rows)
     result = scratch.save(
         signed.select("rid", "id", "n", "d1", "d2").join(classes, ["d1", "d2"], "left")
         .join(components, "c", "left")
         .select("rid", "id", "n", F.when(F.col("n") > 0, F.coalesce("root", "c")).otherwise(F.col("rid")).alias("group"),
                 F.when(F.col("n") > 0, F.coalesce("component", "least_id"))
-                .otherwise(F.col("id")).alias("component_id")), "result")
+                .otherwise(F.col("id")).alias("component_id")), "result", rows=n_rows)
     scratch.drop(live, texts, members, roots, classes, components)
     return result
 

@@ -269,6 +269,7 @@ def _members(signed: DataFrame, percent: int, scratch: Scratch) -> DataFrame:
     entries = signed.select("c", "n", F.explode("keys").alias("key"))
     rows = scratch.save(entries.repartition("key").sortWithinPartitions("key", "n", "c")
                         .mapInArrow(_runs(percent), _BUCKET), "runs")
+    held = rows.count()
     subset = F.col("key").bitwiseAND(1) == 1
     smallest = F.ceil(F.col("n") * percent / 100)   # of the similar sets, which ask for least
     enough = F.greatest(F.lit(1), F.floor(smallest * HITS / 100))
@@ -276,14 +277,15 @@ def _members(signed: DataFrame, percent: int, scratch: Scratch) -> DataFrame:
         told = rows.groupBy("c", "n").agg(F.count_if(~subset).alias("lists"), F.count_if(subset).alias("subsets"))
         good = told.where((F.col("lists") >= enough) | (F.col("subsets") > 0)).select("c")
         fewer = scratch.save(rows.join(good, "c", "left_semi").repartition("key").sortWithinPartitions("key")
-                             .select("key", "n", "c").mapInArrow(_shared, _BUCKET), "peeled")
+                             .select("key", "n", "c").mapInArrow(_shared, _BUCKET), "peeled", rows=held)
         scratch.drop(rows)
-        rows = fewer
+        rows, held = fewer, fewer.count()
     sizes = rows.groupBy("key").agg(F.count("*").alias("size"))
     degree = rows.join(sizes, "key").groupBy("c").agg(F.sum("size").alias("degree"))
     central = (rows.join(degree, "c").select("key", "n", "c", "degree").repartition("key")
                .sortWithinPartitions("key", F.desc("degree"), "c"))
-    members = scratch.save(central.mapInArrow(_hubs(percent), "key bigint, c bigint, hub bigint, degree bigint"), "members")
+    members = scratch.save(central.mapInArrow(_hubs(percent), "key bigint, c bigint, hub bigint, degree bigint"),
+                           "members", rows=held)
     scratch.drop(rows)
     return members
 
@@ -322,9 +324,10 @@ def join_similar(documents: DataFrame, id_col: str = "doc_id", text_col: str = "
         signed = scratch.save(
             texts.withColumn("rid", F.monotonically_increasing_id()).withColumn("s", sign("text"))
             .select("rid", "id", "text", "s.*"), "signed")
+        n_rows = signed.count()
         classes = scratch.save(signed.where("n > 0").groupBy("c").agg(
             F.min("rid").alias("rid"), F.min("id").alias("least_id"), F.max("n").alias("n"),
-            (F.min("d") != F.max("d")).alias("ambiguous")), "classes")
+            (F.min("d") != F.max("d")).alias("ambiguous")), "classes", rows=n_rows)
         if classes.where("ambiguous").isEmpty():
             break
         scratch.drop(signed, classes)
@@ -335,13 +338,13 @@ def join_similar(documents: DataFrame, id_col: str = "doc_id", text_col: str = "
     roots = linked_components(members, held, percent, scratch)
     named = roots.withColumnRenamed("node", "c").join(classes.select("c", "least_id"), "c")
     least = named.groupBy("root").agg(F.min("least_id").alias("component"))
-    components = scratch.save(named.join(least, "root").select("c", "component"), "components")
+    components = scratch.save(named.join(least, "root").select("c", "component"), "components", rows=n_rows)
     alone = classes.join(components, "c", "left").select(
         "c", F.coalesce("component", "least_id").alias("component"))
     result = scratch.save(
         signed.select("id", "n", F.when(F.col("n") > 0, F.col("c")).alias("c")).join(alone, "c", "left")
         .select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"),
                 F.when(F.col("n") > 0, F.col("component")).otherwise(F.col("id")).alias("component_id"),
-                F.col("c").alias("class_id")), "result")
+                F.col("c").alias("class_id")), "result", rows=n_rows)
     scratch.drop(signed, classes, members, held, roots, components)
     return result

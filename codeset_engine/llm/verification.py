@@ -74,15 +74,16 @@ def linked_components(members: DataFrame, texts: DataFrame, percent: int, scratc
     ``texts`` (c, text, n) are the texts of all members and the sizes of their sets. Both are
     tables that can be read again.
     """
-    stars = scratch.save(members.where("c <> hub").select("hub", "c").distinct(), "stars")
+    rows = members.count()
+    stars = scratch.save(members.where("c <> hub").select("hub", "c").distinct(), "stars", rows=rows)
     links = scratch.save(_verified_stars(stars, texts, percent), "links")
-    labels = scratch.save(connected_components(links, scratch), "labels")
+    labels = scratch.save(connected_components(links, scratch), "labels", rows=rows)
     scratch.drop(stars, links)
-    rest = _verified_blocks(members, labels, texts, percent, scratch)
+    rest = _verified_blocks(members, rows, labels, texts, percent, scratch)
     if rest is None:
         return labels
     edges = labels.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(rest)
-    roots = scratch.save(connected_components(edges, scratch), "roots")
+    roots = scratch.save(connected_components(edges, scratch), "roots", rows=rows)
     scratch.drop(labels, rest)
     return roots
 
@@ -115,7 +116,7 @@ def _verified_stars(stars: DataFrame, texts: DataFrame, percent: int) -> DataFra
             .mapInArrow(verify, "a bigint, b bigint"))
 
 
-def _verified_blocks(members: DataFrame, labels: DataFrame, texts: DataFrame, percent: int,
+def _verified_blocks(members: DataFrame, n_members: int, labels: DataFrame, texts: DataFrame, percent: int,
                      scratch: Scratch) -> DataFrame | None:
     """Links between different components of one bucket that the stars did not find, None if there are none.
 
@@ -130,7 +131,7 @@ def _verified_blocks(members: DataFrame, labels: DataFrame, texts: DataFrame, pe
     mixed = (counts.groupBy("key").agg(F.max(F.struct("count", "label")).alias("top"),
                                        F.count("*").alias("n"))
              .where("n > 1").select("key", F.col("top.label").alias("main")))
-    rows = scratch.save(labelled.join(mixed, "key"), "mixed")
+    rows = scratch.save(labelled.join(mixed, "key"), "mixed", rows=n_members)
     scratch.drop(labelled)
     if rows.isEmpty():
         scratch.drop(rows)
@@ -141,14 +142,14 @@ def _verified_blocks(members: DataFrame, labels: DataFrame, texts: DataFrame, pe
     second = first.select(F.col("c").alias("hub"), F.col("hub").alias("home"))
     home = scratch.save(rows.select("c", "label").distinct().join(first, "c").join(second, "hub")
                         .join(texts.select("c", "n"), "c")
-                        .select("c", "label", "home", F.floor(F.log2("n")).cast("int").alias("size")), "home")
+                        .select("c", "label", "home", F.floor(F.log2("n")).cast("int").alias("size")), "home", rows=n_members)
     room = F.greatest(F.lit(1), F.least(F.lit(BLOCK_ROWS),
                                         F.floor(F.lit(BLOCK_SHINGLES) / F.pow(2.0, "size"))))
     blocks = (home.groupBy("home", "size").count()
               .select("home", "size", F.ceil(F.col("count") / room).alias("blocks")))
     placed = scratch.save(home.join(blocks, ["home", "size"]).select(
         "c", "label", "size",
-        F.xxhash64("home", "size", F.pmod(F.xxhash64("c"), "blocks")).alias("block")), "placed")
+        F.xxhash64("home", "size", F.pmod(F.xxhash64("c"), "blocks")).alias("block")), "placed", rows=n_members)
     seen = rows.join(placed.select("c", "block", "size"), "c")
     outside = seen.where("label <> main").select("key", F.col("block").alias("x"),
                                                  F.col("size").alias("x_size")).distinct()

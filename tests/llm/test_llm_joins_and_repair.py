@@ -274,6 +274,29 @@ def test_a_large_family_and_a_shared_passage(spark):
     assert [got[d] for d, _ in docs] == [docs[g][0] for g in groups]
 
 
+def test_short_tables_are_few_files(spark, monkeypatch):
+    files, save = [], Scratch.save
+
+    def counted(self, df, name, *args, **more):
+        saved = save(self, df, name, *args, **more)
+        files.append((name, len(saved.inputFiles())))
+        return saved
+    monkeypatch.setattr(Scratch, "save", counted)
+    docs = sorted(family(3, [30, 60], 12))
+    settings = {"spark.sql.shuffle.partitions": "32", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {key: spark.conf.get(key) for key in settings}
+    for key, value in settings.items():
+        spark.conf.set(key, value)
+    try:
+        got = {r.doc_id: r.component_id for r in ngram_join.join_similar(spark.createDataFrame(docs, DOCS)).collect()}
+    finally:
+        for key, value in before.items():
+            spark.conf.set(key, value)
+    assert [got[d] for d, _ in docs] == [docs[g][0] for g in brute.groups([t for _, t in docs], 80)]
+    heavy = {"signed", "runs", "bits", "held", "links", "meets", "rest"}
+    assert {name for name, n in files if n > 1} <= heavy
+
+
 def test_sums_of_counts_do_not_depend_on_the_partitions(spark):
     docs = [(i, " ".join(f"w{(i * j) % 97}" for j in range(30))) for i in range(60)]
     df = spark.createDataFrame(docs, DOCS)
