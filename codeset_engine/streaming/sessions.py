@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
-from datetime import datetime, timezone
 
-from pyspark.sql import DataFrame, Row, functions as F
+import numpy as np
+import pandas as pd
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from ..functions.audit import HIGH_CONFIDENCE, MIN_CONFIDENCE
@@ -13,6 +15,7 @@ from ..functions.audit import HIGH_CONFIDENCE, MIN_CONFIDENCE
 STATE_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 IDLE = "30 minutes"      # after which a session is closed
 LATE = "10 minutes"
+BLOCK_BITS = 12          # of a document's number that tell it from the others of its block
 
 COUNTS = ("codes", "primary_diagnoses", "secondary_diagnoses", "high_diagnoses", "review_diagnoses", "procedures",
           "high_procedures", "review_procedures", "issues", "critical", "warnings")
@@ -21,24 +24,28 @@ SUMMARY = ("session string, documents long, avg_confidence double, "
            + ", ".join(f"{c} long" for c in COUNTS) + ", last_event timestamp, closed boolean")
 
 
-def _counted(row: Row) -> list[str]:
-    """The counters that a suggestion raises; what is null belongs to no kind and no band."""
-    names = ["codes"]
-    high = row.confidence is not None and row.confidence > HIGH_CONFIDENCE
-    low = row.confidence is not None and row.confidence < MIN_CONFIDENCE
-    if row.kind == "diagnosis":
-        if row.is_primary is not None:
-            names.append("primary_diagnoses" if row.is_primary else "secondary_diagnoses")
-        names += ["high_diagnoses"] * high + ["review_diagnoses"] * low
-    elif row.kind is not None:
-        names += ["procedures"] + ["high_procedures"] * high + ["review_procedures"] * low
-    if row.severity is not None:
-        names += ["issues"] + ["critical"] * (row.severity == "critical") + ["warnings"] * (row.severity == "warning")
-    return names
+def _raised() -> Column:
+    """The counters that a suggestion raises, a bit each; what is null belongs to no kind and no band."""
+    diagnosis, procedure = F.col("kind") == "diagnosis", F.col("kind") != "diagnosis"
+    number = F.col("confidence").isNotNull() & ~F.isnan("confidence")
+    high, low = number & (F.col("confidence") > HIGH_CONFIDENCE), number & (F.col("confidence") < MIN_CONFIDENCE)
+    raised = {"codes": F.lit(True), "primary_diagnoses": diagnosis & F.col("is_primary"),
+              "secondary_diagnoses": diagnosis & ~F.col("is_primary"), "high_diagnoses": diagnosis & high,
+              "review_diagnoses": diagnosis & low, "procedures": procedure, "high_procedures": procedure & high,
+              "review_procedures": procedure & low, "issues": F.col("severity").isNotNull(),
+              "critical": F.col("severity") == "critical", "warnings": F.col("severity") == "warning"}
+    bits = F.lit(0)
+    for i, name in enumerate(COUNTS):
+        bits += F.when(raised[name], F.lit(1 << i)).otherwise(0)
+    return bits
 
 
 class SessionSummary(StatefulProcessor):
-    """Counters of one session, the set of its documents, and a timer that closes it when idle."""
+    """Counters of one session, the set of its documents, and a timer that closes it when idle.
+
+    Rows come in frames and are counted as such. Documents are kept by block of neighbouring
+    numbers, so that those of a batch cost a read and a write of the state a block, not each.
+    """
 
     def __init__(self, idle_ms: int):
         self.idle_ms = idle_ms
@@ -46,43 +53,60 @@ class SessionSummary(StatefulProcessor):
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
         self.counters = handle.getValueState("counters", _STATE)
-        self.documents = handle.getMapState("documents", "doc_id long", "seen boolean")
+        self.documents = handle.getMapState("documents", "block long", "places binary")
 
-    def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         if self.counters.exists():
             last, documents, scored, confidence, *counts = self.counters.get()
         else:
             last, documents, scored, confidence, counts = 0, 0, 0, 0.0, [0] * len(COUNTS)
-        held, seen, before = dict(zip(COUNTS, counts)), set(), last
-        for row in rows:
-            for name in _counted(row):
-                held[name] += 1
-            if row.confidence is not None:
-                scored, confidence = scored + 1, confidence + row.confidence
-            if row.doc_id is not None and row.doc_id not in seen:
-                seen.add(row.doc_id)
-                if not self.documents.containsKey((row.doc_id,)):
-                    self.documents.updateValue((row.doc_id,), (True,))
-                    documents += 1
-            last = max(last, row.at_ms)
+        raised, seen, before = np.zeros(1 << len(COUNTS), np.int64), np.empty(0, np.int64), last
+        for frame in rows:
+            raised += np.bincount(frame["raised"].to_numpy(), minlength=len(raised))
+            scored += int(frame["scored"].sum())
+            confidence += float(frame["confidence"].to_numpy().sum())
+            seen = np.union1d(seen, frame["doc_id"].to_numpy()[frame["has_doc"].to_numpy(bool)])
+            last = max(last, int(frame["at_ms"].max()))
+        documents += self._remember(seen.astype(np.int64))
         if before:
             self.handle.deleteTimer(before + self.idle_ms)
         self.handle.registerTimer(last + self.idle_ms)
-        state = (last, documents, scored, confidence, *held.values())
+        kinds = np.arange(len(raised))
+        counts = [count + int(raised[kinds >> i & 1 == 1].sum()) for i, count in enumerate(counts)]
+        state = (last, documents, scored, confidence, *counts)
         self.counters.update(state)
         yield self._summary(key, state, False)
 
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
+    def _remember(self, seen: np.ndarray) -> int:
+        """Adds distinct sorted documents to the session's; how many are new."""
+        new, blocks = 0, seen >> BLOCK_BITS
+        starts = np.flatnonzero(np.concatenate(([True], blocks[1:] != blocks[:-1]))) if len(seen) else []
+        for part in np.split(seen, starts)[1:]:
+            block = int(part[0] >> BLOCK_BITS)
+            places = (part & (1 << BLOCK_BITS) - 1).astype("<u2")
+            if self.documents.containsKey((block,)):
+                held = np.frombuffer(bytes(self.documents.getValue((block,))[0]), "<u2")
+                places = np.union1d(held, places)
+                if len(places) == len(held):
+                    continue
+                new -= len(held)
+            new += len(places)
+            self.documents.updateValue((block,), (places.tobytes(),))
+        return new
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         if self.counters.exists():
             yield self._summary(key, self.counters.get(), True)
             self.counters.clear()
             self.documents.clear()
 
-    def _summary(self, key, state, closed: bool) -> Row:
+    def _summary(self, key, state, closed: bool) -> pd.DataFrame:
         last, documents, scored, confidence, *counts = state
-        return Row(session=key[0], documents=documents, avg_confidence=confidence / scored if scored else None,
-                   **dict(zip(COUNTS, counts)), last_event=datetime.fromtimestamp(last / 1000, timezone.utc).replace(tzinfo=None),
-                   closed=closed)
+        mean = pa.array([confidence / scored if scored else None], pa.float64())
+        return pd.DataFrame({
+            "session": [key[0]], "documents": [documents], "avg_confidence": pd.Series(mean, dtype=pd.ArrowDtype(pa.float64())),
+            **{name: [count] for name, count in zip(COUNTS, counts)},
+            "last_event": [pd.Timestamp(last, unit="ms", tz="UTC")], "closed": [closed]})
 
     def close(self) -> None:
         pass
@@ -104,8 +128,9 @@ def running_summaries(events: DataFrame, idle: str = IDLE, late_by: str = LATE)
     events.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", STATE_STORE)
     rows = (events.where("session IS NOT NULL AND timestamp IS NOT NULL")
             .withColumn("timestamp", F.col("timestamp").cast("timestamp")).withWatermark("timestamp", late_by)
-            .select("session", "timestamp", F.unix_millis("timestamp").alias("at_ms"),
-                    F.col("doc_id").cast("long").alias("doc_id"), "kind", "is_primary",
-                    F.col("confidence").cast("double").alias("confidence"), "severity"))
-    return rows.groupBy("session").transformWithState(
+            .withColumns({"doc_id": F.col("doc_id").cast("long"), "confidence": F.col("confidence").cast("double")})
+            .select("session", "timestamp", F.unix_millis("timestamp").alias("at_ms"), _raised().alias("raised"),
+                    F.coalesce("doc_id", F.lit(0).cast("long")).alias("doc_id"), F.col("doc_id").isNotNull().alias("has_doc"),
+                    F.coalesce("confidence", F.lit(0.0)).alias("confidence"), F.col("confidence").isNotNull().alias("scored")))
+    return rows.groupBy("session").transformWithStateInPandas(
         SessionSummary(_milliseconds(idle)), SUMMARY, "Update", "EventTime")

@@ -3,6 +3,7 @@
 import random
 from datetime import datetime, timedelta
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from codeset_engine.operators import reports
@@ -74,3 +75,31 @@ def test_idle_sessions_close_and_late_events_are_left_out(spark, tmp_path):
     got = latest(rows)
     assert (got["new"].codes, got["new"].documents, got["new"].procedures) == (2, 1, 2)
     assert (got["old"].codes, got["old"].documents, got["old"].secondary_diagnoses) == (1, 1, 1)   # begun anew
+
+
+class Documents(dict):
+    """A map state that counts its writes."""
+    writes = 0
+
+    def containsKey(self, key):
+        return key in self
+
+    def getValue(self, key):
+        return self[key]
+
+    def updateValue(self, key, value):
+        self.writes += 1
+        self[key] = value
+
+
+def test_documents_cost_a_write_of_the_state_a_block():
+    processor = sessions.SessionSummary(1)
+    processor.documents, rng, known = Documents(), random.Random(5), set()
+    for batch in (range(9000), range(4000, 12_000), range(100), [-1, -5000, 2 ** 63 - 1, -2 ** 63, 40_000],
+                  [rng.randrange(-10 ** 6, 10 ** 6) for _ in range(500)], []):
+        seen, before = np.unique(np.array(batch, np.int64)), processor.documents.writes
+        assert processor._remember(seen) == len(set(seen.tolist()) - known)
+        known |= set(seen.tolist())
+        assert processor.documents.writes - before <= len({d >> sessions.BLOCK_BITS for d in batch})
+    before = processor.documents.writes
+    assert processor._remember(np.array(sorted(known), np.int64)) == 0 and processor.documents.writes == before
