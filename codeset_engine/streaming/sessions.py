@@ -16,6 +16,7 @@ STATE_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreP
 IDLE = "30 minutes"      # after which a session is closed
 LATE = "10 minutes"
 BLOCK_BITS = 12          # of a document's number that tell it from the others of its block
+SETTLE_ROWS = 1 << 18    # rows whose documents wait, at least, until they are joined to the distinct ones
 
 COUNTS = ("codes", "primary_diagnoses", "secondary_diagnoses", "high_diagnoses", "review_diagnoses", "procedures",
           "high_procedures", "review_procedures", "issues", "critical", "warnings")
@@ -60,14 +61,18 @@ class SessionSummary(StatefulProcessor):
             last, documents, scored, confidence, *counts = self.counters.get()
         else:
             last, documents, scored, confidence, counts = 0, 0, 0, 0.0, [0] * len(COUNTS)
-        raised, seen, before = np.zeros(1 << len(COUNTS), np.int64), np.empty(0, np.int64), last
+        raised, before = np.zeros(1 << len(COUNTS), np.int64), last
+        seen, new, waiting = np.empty(0, np.int64), [], 0
         for frame in rows:
             raised += np.bincount(frame["raised"].to_numpy(), minlength=len(raised))
             scored += int(frame["scored"].sum())
             confidence += float(frame["confidence"].to_numpy().sum())
-            seen = np.union1d(seen, frame["doc_id"].to_numpy()[frame["has_doc"].to_numpy(bool)])
+            new.append(frame["doc_id"].to_numpy()[frame["has_doc"].to_numpy(bool)])
+            waiting += len(new[-1])
+            if waiting > max(len(seen), SETTLE_ROWS):     # not for every frame: what is seen is sorted again
+                seen, new, waiting = np.unique(np.concatenate([seen, *new])), [], 0
             last = max(last, int(frame["at_ms"].max()))
-        documents += self._remember(seen.astype(np.int64))
+        documents += self._remember(np.unique(np.concatenate([seen, *new])))
         if before:
             self.handle.deleteTimer(before + self.idle_ms)
         self.handle.registerTimer(last + self.idle_ms)
